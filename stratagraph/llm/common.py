@@ -8,6 +8,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from stratagraph.shipping import ship
 
 #: Rows in one Arrow batch at most; a batch of very long texts must fit in a Python worker.
 BATCH_ROWS = 512
@@ -32,9 +36,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     returns columns by name, in the order of ``schema``.
     """
     small_batches(df.sparkSession)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    struct = _parsed(schema)
+    ship(df.sparkSession)
+    struct = StructType.fromDDL(schema)
     arrow = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,12 +53,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
     return df.mapInArrow(run, struct)
 
 
-def _parsed(schema: str):
-    from pyspark.sql.types import StructType
-
-    return StructType.fromDDL(schema)
-
-
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings; null is the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
