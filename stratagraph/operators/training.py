@@ -1,0 +1,199 @@
+"""Training of link-scoring models on quads, one configuration in each group of a grouped-map call.
+
+Steps of stochastic gradient descent depend on each other, so a model trains in one task; a table of
+configurations trains as many models at once as there are tasks. Gradients go row by row into the
+embedding tables with AdaGrad; each negative is compared with its own positive.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratagraph.shipping import ship
+
+MODELS = ("tcomplex", "complex", "transe", "distmult", "rotate", "tuckert", "eai_tcomplex", "inductive", "chkg")
+TIMED = {"tcomplex", "tuckert", "eai_tcomplex", "inductive", "chkg"}
+
+
+class Embedding:
+    """Scores and gradients of the models. ``features`` (rows by entity) serve the attribute and the inductive model, ``effect`` (by pair) the causal one."""
+
+    def __init__(self, model: str, n_e: int, n_r: int, n_t: int, dim: int, seed: int = 42, features: np.ndarray | None = None, effect: np.ndarray | None = None, seen: np.ndarray | None = None, weight: float = 0.1):
+        if model not in MODELS:
+            raise ValueError(f"unknown model {model!r}")
+        r = np.random.default_rng(seed)
+        draw = lambda n, scale=1.0: r.normal(0, 0.5 * scale / np.sqrt(dim), (n, dim))
+        self.model, self.dim, self.weight, self.effect = model, dim, weight, effect
+        self.p = {"E": draw(n_e), "R": draw(n_r)}
+        if model not in ("transe", "distmult", "tuckert"):
+            self.p |= {"Ei": draw(n_e), "Ri": draw(n_r)}
+        if model in TIMED:
+            self.p["T"] = draw(n_t, 0.2 if model == "tuckert" else 0.5)
+            if model != "tuckert":
+                self.p["Ti"] = draw(n_t, 0.5)
+        self.acc = {k: np.zeros_like(v) for k, v in self.p.items()}
+        self.cos = None
+        if features is not None and model == "eai_tcomplex":
+            f = features / (np.linalg.norm(features, axis=1, keepdims=True) + 1e-12)
+            self.cos = f @ f.T
+        self.features = features if model == "inductive" else None
+        self.seen = np.ones(n_e, dtype=bool) if seen is None else seen
+        if self.features is not None:
+            self.p |= {"W": r.normal(0, 0.1, (2, features.shape[1], dim)), "b": np.zeros((2, dim))}
+
+    def entity(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Vectors of entities; those that training has not seen come from their features."""
+        re, im = self.p["E"][ids], self.p["Ei"][ids] if "Ei" in self.p else None
+        if self.features is not None:
+            new = ~self.seen[ids]
+            if new.any():
+                f = self.features[ids[new]]
+                re, im = re.copy(), im.copy()
+                re[new], im[new] = f @ self.p["W"][0] + self.p["b"][0], f @ self.p["W"][1] + self.p["b"][1]
+        return re, im
+
+    def _parts(self, h, r, t, tau):
+        (hr, hi), (tr, ti) = self.entity(h), self.entity(t)
+        wr, wi = self.p["R"][r], self.p["Ri"][r] if "Ri" in self.p else None
+        if "T" in self.p:
+            wr = wr + self.p["T"][tau]
+            wi = wi + self.p["Ti"][tau] if wi is not None else None
+        return hr, hi, wr, wi, tr, ti
+
+    def score(self, h, r, t, tau) -> np.ndarray:
+        hr, hi, wr, wi, tr, ti = self._parts(h, r, t, tau)
+        if self.model == "transe":
+            return -np.abs(hr + wr - tr).sum(1)
+        if self.model in ("distmult", "tuckert"):
+            return (hr * wr * tr).sum(1)
+        if self.model == "rotate":
+            n = np.sqrt(wr**2 + wi**2) + 1e-12
+            wr, wi = wr / n, wi / n
+            return -((hr * wr - hi * wi - tr) ** 2 + (hr * wi + hi * wr - ti) ** 2).sum(1)
+        s = ((hr * wr - hi * wi) * tr + (hr * wi + hi * wr) * ti).sum(1)
+        if self.cos is not None:
+            s = s + self.weight * self.cos[h, t]
+        if self.effect is not None and self.model == "chkg":
+            s = s + self.weight * self.effect[h, t]
+        return s
+
+    def gradients(self, h, r, t, tau, sign: np.ndarray) -> list[tuple[str, np.ndarray, np.ndarray]]:
+        """(table, rows, sign * d score / d row) for every table that the score reads."""
+        hr, hi, wr, wi, tr, ti = self._parts(h, r, t, tau)
+        g = sign[:, None]
+        if self.model == "transe":
+            s = -np.sign(hr + wr - tr)
+            return [("E", h, g * s), ("R", r, g * s), ("E", t, -g * s)]
+        if self.model in ("distmult", "tuckert"):
+            out = [("E", h, g * wr * tr), ("R", r, g * hr * tr), ("E", t, g * hr * wr)]
+            return out + ([("T", tau, g * hr * tr)] if self.model == "tuckert" else [])
+        if self.model == "rotate":
+            n = np.sqrt(wr**2 + wi**2) + 1e-12
+            c, s = wr / n, wi / n
+            dr, di = hr * c - hi * s - tr, hr * s + hi * c - ti
+            dc, ds = -2 * (dr * hr + di * hi), -2 * (-dr * hi + di * hr)
+            along = dc * c + ds * s  # only what turns the unit vector changes the score
+            return [("E", h, g * -2 * (dr * c + di * s)), ("Ei", h, g * -2 * (-dr * s + di * c)), ("E", t, g * 2 * dr), ("Ei", t, g * 2 * di), ("R", r, g * (dc - along * c) / n), ("Ri", r, g * (ds - along * s) / n)]
+        dwr, dwi = hr * tr + hi * ti, hr * ti - hi * tr
+        out = [("E", h, g * (wr * tr + wi * ti)), ("Ei", h, g * (wr * ti - wi * tr)), ("E", t, g * (hr * wr - hi * wi)), ("Ei", t, g * (hr * wi + hi * wr)), ("R", r, g * dwr), ("Ri", r, g * dwi)]
+        return out + ([("T", tau, g * dwr), ("Ti", tau, g * dwi)] if "T" in self.p else [])
+
+    def apply(self, parts, lr: float, reg: float, scale: float) -> None:
+        sums: dict[str, np.ndarray] = {}
+        for name, rows, g in parts:
+            np.add.at(sums.setdefault(name, np.zeros_like(self.p[name])), rows, g)
+        for name, g in sums.items():
+            touched = np.flatnonzero(np.abs(g).sum(1))
+            step = -g[touched] * scale + reg * self.p[name][touched]
+            self.acc[name][touched] += step**2
+            self.p[name][touched] -= lr * step / (np.sqrt(self.acc[name][touched]) + 1e-8)
+
+    def align(self, lr: float, weight: float) -> None:
+        """One step of the projection from features towards the vectors of seen entities."""
+        seen = np.flatnonzero(self.seen)
+        f = self.features[seen]
+        for i, name in enumerate(("E", "Ei")):
+            off = f @ self.p["W"][i] + self.p["b"][i] - self.p[name][seen]
+            self.p["W"][i] -= lr * weight * 2 * f.T @ off / len(seen)
+            self.p["b"][i] -= lr * weight * 2 * off.mean(0)
+
+    def fit(self, quads: np.ndarray, n_e: int, epochs: int, batch: int = 512, negatives: int = 10, lr: float = 0.1, reg: float = 0.001, margin: float = 1.0, seed: int = 42) -> list[float]:
+        """Mean loss of every epoch."""
+        r = np.random.default_rng(seed)
+        p = (np.bincount(quads[:, 2], minlength=n_e) + 1.0) ** 0.75
+        p /= p.sum()
+        history = []
+        for _ in range(epochs):
+            order, total = r.permutation(len(quads)), 0.0
+            for at in range(0, len(quads), batch):
+                q = quads[order[at : at + batch]]
+                h, rel, t, tau = (np.repeat(q[:, i], negatives) for i in range(4))
+                neg = r.choice(n_e, len(h), p=p)
+                loss = margin + self.score(h, rel, neg, tau) - self.score(h, rel, t, tau)
+                on = loss > 0
+                total += loss[on].sum() / len(loss) * len(q)
+                if on.any():
+                    one = np.ones(int(on.sum()))
+                    self.apply(self.gradients(h[on], rel[on], t[on], tau[on], one) + self.gradients(h[on], rel[on], neg[on], tau[on], -one), lr, reg, 1 / len(q))
+                if self.model == "transe":
+                    self.p["E"] /= np.maximum(np.linalg.norm(self.p["E"], axis=1, keepdims=True), 1e-12)
+            if self.features is not None:
+                for _ in range(20):
+                    self.align(lr, 0.5)
+            history.append(total / max(len(quads), 1))
+        return history
+
+    def ranks(self, test: np.ndarray, known: np.ndarray, n_e: int) -> np.ndarray:
+        """Filtered ranks of the tails of test rows."""
+        true: dict[tuple, set] = {}
+        for h, r, t, tau in known:
+            true.setdefault((h, r, tau), set()).add(t)
+        out = np.zeros(len(test), dtype=int)
+        every = np.arange(n_e)
+        for i, (h, r, t, tau) in enumerate(test):
+            s = self.score(np.full(n_e, h), np.full(n_e, r), every, np.full(n_e, tau))
+            own = s[t]
+            s[list(true.get((h, r, tau), set()) - {t})] = -np.inf
+            out[i] = 1 + (s > own).sum()
+        return out
+
+
+def metrics(ranks: np.ndarray) -> dict[str, float]:
+    if not len(ranks):
+        return dict.fromkeys(("mrr", "hits1", "hits3", "hits10", "mean_rank"), 0.0)
+    return {"mrr": float((1 / ranks).mean()), **{f"hits{k}": float((ranks <= k).mean()) for k in (1, 3, 10)}, "mean_rank": float(ranks.mean())}
+
+
+def run_grid(quads: DataFrame, configs: DataFrame, n_e: int, n_r: int, n_t: int) -> DataFrame:
+    """Train and evaluate every configuration (``config, model, dim, epochs, negatives, margin, timed``).
+
+    ``quads`` has a ``split``. Each configuration's rows are its group; the result has its metrics and
+    its first and last loss.
+    """
+    ship(quads.sparkSession)
+    rows = configs.crossJoin(quads.select("h", "r", "t", "tau", "split"))
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = pdf.iloc[0]
+        q = pdf.sort_values(["tau", "h", "r", "t"])[["h", "r", "t", "tau", "split"]]
+        own = lambda s: q[q["split"] == s][["h", "r", "t", "tau"]].to_numpy(dtype=np.int64)
+        train, test = own("train"), own("test")
+        if not c["timed"]:
+            train[:, 3] = 0
+            test[:, 3] = 0
+        model = Embedding(str(c["model"]), n_e, n_r, n_t, int(c["dim"]))
+        loss = model.fit(train, n_e, int(c["epochs"]), negatives=int(c["negatives"]), margin=float(c["margin"])) if len(train) else [0.0]
+        got = metrics(model.ranks(test, train, n_e))
+        return pd.DataFrame([{"config": c["config"], "model": c["model"], "first_loss": loss[0], "last_loss": loss[-1], **got}])
+
+    return rows.groupBy("config").applyInPandas(one, "config string, model string, first_loss double, last_loss double, mrr double, hits1 double, hits3 double, hits10 double, mean_rank double")
+
+
+def embeddings_of(model: Embedding, spark, table: str = "E") -> DataFrame:
+    """A trained table as ``id, re, im``."""
+    re, im = model.p[table], model.p.get(f"{table}i")
+    rows = [(i, re[i].tolist(), im[i].tolist() if im is not None else None) for i in range(len(re))]
+    return spark.createDataFrame(rows, "id int, re array<double>, im array<double>").orderBy(F.col("id"))
