@@ -99,10 +99,10 @@ def communities(edges: DataFrame, nodes: DataFrame, seasons, gamma: float = 1.0,
             if not moved:
                 break
         order = {c: i for i, c in enumerate(sorted(set(home.values())))}
-        return pd.DataFrame({"season": int(pdf["season"].iloc[0]), "node": names, "community": [order[home[x]] for x in names]})
+        return pd.DataFrame({"season": pdf["season"].iloc[0], "node": names, "community": [order[home[x]] for x in names]})
 
     ship(edges.sparkSession)
     alone = nodes.select(F.explode(F.array(*map(F.lit, seasons))).alias("season"), F.col("node").alias("src"), F.lit("").alias("dst"), F.lit(0.0).alias("w"))
-    return edges.select("season", "src", "dst", "w").unionByName(alone).groupBy("season").applyInPandas(one, "season int, node string, community int")
+    return edges.select("season", "src", "dst", "w").unionByName(alone).groupBy("season").applyInPandas(one, f"season {dict(edges.dtypes)['season']}, node string, community int")
 
 
