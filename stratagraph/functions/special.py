@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -47,6 +48,6 @@ def chi_p(z: float) -> float:
     return 2 * (1 - math.sqrt(math.erf(abs(z) / math.sqrt(2))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson_p_col(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or x != x else pearson_p(float(x), int(k)) for x, k in zip(r, n, strict=True)], dtype="float64")
