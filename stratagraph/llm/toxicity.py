@@ -103,7 +103,7 @@ def without_copies(rows: list[np.ndarray], pairs: int = 3) -> list[np.ndarray]:
     return out
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, min_docs: int = 5, min_share: float = 0.002, min_z: float = 6.0, steps: int = 200, rate: float = 0.1, decay: float = 2e-3) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, min_docs: int = 5, min_share: float = 0.002, min_z: float = 5.0, steps: int = 200, rate: float = 0.1, decay: float = 1e-3) -> Model:
     """Train on the hashed features of texts.
 
     Features carry weight if they are in ``min_docs`` and ``min_share`` of the texts and their share
@@ -154,20 +154,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", max_positive: int = 2000, max_unlabelled: int = 6000, **options) -> Model:
-    """Fit on a bounded sample: at most ``max_positive`` confirmed toxic and ``max_unlabelled`` other documents.
+    """Fit on a bounded sample: at most ``max_positive`` confirmed toxic documents and ``max_unlabelled`` of all documents.
 
-    Neither holds a held-out row. Samples are those with the least hash of the id, so they are the
+    The latter are drawn whatever their labels, so that toxic ones are among them in the share that
+    the prior tells. Neither holds a held-out row. Samples are those with the least hash of the id, so they are the
     same in every run. The prior is the share of toxic rows among all usable labels.
     """
     marks = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max("toxic").alias("_toxic"))
     prior = marks.agg(F.avg((F.col("_toxic") == 1).cast("double"))).first()[0] or 0.0
     ids = docs.where(F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(id_col).alias("_id")).distinct()
     rank = (F.xxhash64("_id"), F.col("_id"))
-    positive = marks.where("_toxic = 1").join(ids, "_id").orderBy(*rank).limit(max_positive).withColumn("_pos", F.lit(True))
-    other = ids.join(marks.where("_toxic = 1"), "_id", "left_anti").orderBy(*rank).limit(max_unlabelled).select("_id", F.lit(1).alias("_toxic"), F.lit(False).alias("_pos"))
-    chosen = {r["_id"]: r["_pos"] for r in positive.unionByName(other).select("_id", "_pos").collect()}
+    positive = marks.where("_toxic = 1").join(ids, "_id").orderBy(*rank).limit(max_positive).select("_id")
+    mixture = ids.orderBy(*rank).limit(max_unlabelled)
+    confirmed, drawn = ({r["_id"] for r in x.collect()} for x in (positive, mixture))
     # the chosen ids are at most max_positive + max_unlabelled, a size that may be broadcast
-    picked = docs.sparkSession.createDataFrame([(i,) for i in chosen], "_id long")
+    picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(confirmed | drawn)], "_id long")
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id")
 
     def make():
@@ -175,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     found = map_rows(sample.select("_id", "text"), make, "_id long, features binary").toArrow()
     rows = sorted(zip(found.column(0).to_pylist(), (np.frombuffer(x, dtype=np.uint32) for x in found.column(1).to_pylist()), strict=True), key=lambda r: r[0])
-    return fit([b for i, b in rows if chosen[i]], [b for i, b in rows if not chosen[i]], prior, **options)
+    return fit([b for i, b in rows if i in confirmed], [b for i, b in rows if i in drawn], prior, **options)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
