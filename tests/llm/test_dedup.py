@@ -99,3 +99,22 @@ def test_hot_passage_and_copies(spark):
     got = {x.doc_id: x for x in sd.documents_with_passages(frame(spark, texts)).collect()}
     assert {got[i].class_id for i in range(30)} == {0} and {got[i].class_id for i in range(30, 50)} == {30}
     assert all(got[i].duplicate_words >= 70 for i in range(1, 30))
+
+
+def test_repetitive_texts_are_compared_once():
+    r = random.Random(5)
+    lines = [sentence(r, 12) for _ in range(6)]
+    a = sd.shingles(sd.split(" ".join(r.choice(lines) for _ in range(400))))
+    b = sd.shingles(sd.split(" ".join(r.choice(lines) for _ in range(400))))
+    import time
+
+    start = time.time()
+    sd.passages(a, b, list(range(0, len(a), 40)))
+    assert time.time() - start < 5
+
+
+def test_equal_stretches():
+    r = random.Random(7)
+    x, y = sentence(r, 60), sentence(r, 30)
+    a, b = (sd.shingles(sd.split(t)) for t in (f"{y} {x} {sentence(r, 20)} {x}", f"{sentence(r, 9)} {x} {y}"))
+    assert [(i, j + 4, p, q + 4) for i, j, p, q in sd._equal(a, b, 46)] == [(30, 89, 9, 68), (110, 169, 9, 68)]
