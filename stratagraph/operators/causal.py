@@ -24,7 +24,8 @@ def its_poisson(series: DataFrame, at: int, end: int, iterations: int = 12) -> D
     coefficients, standard errors and z values.
     """
     rows = series.where(F.col("t") < end).select("series", F.col("t").cast("double").alias("t"), (F.col("t") >= at).cast("double").alias("s"), (F.col("y") + 1e-6).alias("y"))
-    beta = rows.select("series").distinct().select("series", *[F.lit(0.0).alias(f"b{i}") for i in range(3)])
+    # from the level of the series: from 0, large counts would take a step for each unit of their logarithm's overshoot
+    beta = rows.groupBy("series").agg(F.log(F.avg("y")).alias("b0")).select("series", "b0", F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
     x = [F.lit(1.0), F.col("t"), F.col("s")]
     for _ in range(iterations):
         eta = F.col("b0") + F.col("b1") * F.col("t") + F.col("b2") * F.col("s")

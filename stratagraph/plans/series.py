@@ -35,7 +35,7 @@ def quarterly_series(spark, d):
 
 
 def _its_sql(iterations: int) -> str:
-    sql = "WITH " + SERIES_SQL + ", rw AS (SELECT series, t::DOUBLE AS t, (t>=12)::INTEGER::DOUBLE AS s, y+1e-6 AS y FROM ser WHERE t<24), b0 AS (SELECT DISTINCT series, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS se0, 0.0::DOUBLE AS se1, 0.0::DOUBLE AS se2 FROM rw)"
+    sql = "WITH " + SERIES_SQL + ", rw AS (SELECT series, t::DOUBLE AS t, (t>=12)::INTEGER::DOUBLE AS s, y+1e-6 AS y FROM ser WHERE t<24), b0 AS (SELECT series, ln(avg(y)) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS se0, 0.0::DOUBLE AS se1, 0.0::DOUBLE AS se2 FROM rw GROUP BY series)"
     for i in range(iterations):
         sql += f""", f{i} AS (SELECT series, t, s, mu, eta+(y-mu)/greatest(mu,1e-6) AS z FROM (SELECT *, exp(greatest(least(eta,10.0::DOUBLE),-10.0::DOUBLE)) AS mu FROM (SELECT rw.*, b0+b1*t+b2*s AS eta FROM rw JOIN b{i} USING (series)))),
 m{i} AS (SELECT series, sum(mu) AS p, sum(mu*t) AS q, sum(mu*s) AS r, sum(mu*t*t) AS ss, sum(mu*t*s) AS tt, sum(mu*s*s) AS u, sum(mu*z) AS v0, sum(mu*t*z) AS v1, sum(mu*s*z) AS v2 FROM f{i} GROUP BY series),
