@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from stratagraph.llm.common import map_rows, texts, written
 LENGTH, END = 4096, 2
 DIMS, BITS = 4, 12
 CACHE = 800_000
+STOPS = (".", ",")
 
 
 def projection(vocabulary: int, dims: int = DIMS) -> np.ndarray:
@@ -64,24 +66,32 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.size <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, batch: list[str]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) >= CACHE:
-            known.clear()
-        out = []
-        for t in batch:
-            chunks = t.replace("\n", " ").split(" ")
-            try:
-                got = b"".join(map(known.__getitem__, chunks))
-            except KeyError:
-                new = [c for c in set(chunks) if c not in known]
-                for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[c] = np.array(e.ids, dtype=self.dtype).tobytes()
-                got = b"".join(map(known.__getitem__, chunks))
-            out.append(np.frombuffer(got, dtype=self.dtype))
+    def encode(self, batch: list[str], most: int = 1 << 22) -> list[np.ndarray]:
+        """Ids of each text; new runs of several texts (of ``most`` characters, or one text) go to the tokenizer together."""
+        known, kind, out, at = self.known, self.code, [], 0
+        while at < len(batch):
+            if len(known) >= CACHE:
+                known.clear()
+            group, size = [], 0
+            while at < len(batch) and (not group or size + len(batch[at]) <= most):
+                group.append(batch[at].replace("\n", " ").split(" "))
+                size += len(batch[at])
+                at += 1
+            new = [c for c in set().union(*group) if c not in known]
+            # a full stop or comma after a letter is a token of its own: such runs share their words
+            ended = [c for c in new if c[-1:] in STOPS and c[-2:-1].isalpha()]
+            words = {c[:-1] for c in ended}.union(c[-1] for c in ended).union(new).difference(ended)
+            words = [c for c in words if c not in known]
+            for c, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
+                known[c] = array(kind, e.ids).tobytes()
+            for c in ended:
+                known[c] = known[c[:-1]] + known[c[-1]]
+            get = known.__getitem__
+            out += [np.frombuffer(b"".join(map(get, chunks)), dtype=self.dtype) for chunks in group]
         return out
 
 
@@ -99,9 +109,7 @@ def grid(ids: np.ndarray, directions: np.ndarray) -> np.ndarray:
     """The mean direction of a document's tokens, squashed onto the grid."""
     mean = np.zeros(directions.shape[1])
     if len(ids):
-        counts = np.bincount(ids)
-        some = np.flatnonzero(counts)
-        mean = counts[some] @ directions[some] / len(ids)
+        mean = np.add.reduce(directions[ids]) / len(ids)
     return ((np.tanh(mean * 5) + 1) / 2 * ((1 << BITS) - 1)).astype(np.int64)
 
 

@@ -21,7 +21,7 @@ def test_hilbert_neighbours_touch():
 
 
 def test_tokens_equal_library():
-    odd = ["", " ", "It's  A\ttest\n\nÉcole ÉCOLE", "<|endoftext|> x<|startoftext|>y", "a\x1cb", "ΟΔΟΣ ΟΔΟΣ.", "é", "1234 5'6", "你好 世界"]
+    odd = ["", " ", "It's  A\ttest\n\nÉcole ÉCOLE", "<|endoftext|> x<|startoftext|>y", "a\x1cb", "ΟΔΟΣ ΟΔΟΣ.", "é", "1234 5'6", "你好 世界", "it's. it's, a., b,. ,. . É. ǅ, x\u0301. 5. ª, <|endoftext|>. ʰ.", "it's it a b"]
     library = Tokenizer.from_file(PATH)
     for t, ids in zip(odd, packing.WordTokens(PATH).encode(odd), strict=True):
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
