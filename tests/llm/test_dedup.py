@@ -109,7 +109,7 @@ def test_repetitive_texts_are_compared_once():
     import time
 
     start = time.time()
-    sd.passages(a, b, list(range(0, len(a), 40)))
+    sd.passages(a, sd.Target(b, 46), list(range(0, len(a), 40)))
     assert time.time() - start < 5
 
 
@@ -117,4 +117,4 @@ def test_equal_stretches():
     r = random.Random(7)
     x, y = sentence(r, 60), sentence(r, 30)
     a, b = (sd.shingles(sd.split(t)) for t in (f"{y} {x} {sentence(r, 20)} {x}", f"{sentence(r, 9)} {x} {y}"))
-    assert [(i, j + 4, p, q + 4) for i, j, p, q in sd._equal(a, b, 46)] == [(30, 89, 9, 68), (110, 169, 9, 68)]
+    assert [(i, j + 4, p, q + 4) for i, j, p, q in sd._equal(a, sd.Target(b, 46))] == [(30, 89, 9, 68), (110, 169, 9, 68)]
