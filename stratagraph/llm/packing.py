@@ -15,7 +15,7 @@ from stratagraph.llm.common import map_rows, texts, written
 
 LENGTH, END = 4096, 2
 DIMS, BITS = 4, 12
-CACHE = 800_000
+CACHE = 1_500_000
 STOPS = (".", ",")
 
 
