@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from stratagraph.sources.steps import step
+
 SEASONS = [1, 2, 3, 4]
 FIRST_YEAR = 1995
 
@@ -40,8 +42,8 @@ def _all_seasons(df: DataFrame) -> DataFrame:
 
 def edge_rules(spark: SparkSession, sf_dir: str, inter_weight: float = 0.5) -> DataFrame:
     """``season, a, b, w, prio``: all rules that write an edge; the highest prio is written last."""
-    # one scan of the order lines; everything below is small
-    cube = sales(spark, sf_dir).groupBy("season", "nation", "brand", "type").agg(F.sum("rev").alias("rev"))
+    # one scan of the order lines; the cube has as many rows as the dimensions allow, whatever the number of lines
+    cube = step(sales(spark, sf_dir).groupBy("season", "nation", "brand", "type").agg(F.sum("rev").alias("rev")))
     by_season = cube.groupBy("season", "nation").agg(F.sum("rev").alias("rev"))
     presence = by_season.select("season", "nation", (F.col("rev") / F.max("rev").over(W.partitionBy("season"))).alias("p"))
     danger = (
