@@ -20,8 +20,8 @@ from stratagraph.llm.common import drop_written, map_rows, release, texts, writt
 from stratagraph.llm.components import components
 
 SHINGLE, WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
-#: Functions whose windows must meet in a pair of documents. One is whole for equal passages (and finds 998 of 1,000 at 0.8); with
-#: two, 3 of 1,334 equal passages at sf0.1 are lost, whose minima stand in lines that other documents open.
+#: Functions whose windows must meet in a pair of documents for a near passage. With one, 998 of 1,000 pairs of passages at 0.8 share
+#: a key. Equal passages do not depend on it: see shared_stretches.
 ENOUGH = 1
 CACHE = 500_000
 #: Words sent beyond the outer anchors of a pair.
@@ -159,25 +159,74 @@ def windows(docs: DataFrame, hashes: int = HASHES, words: int = WORDS, k: int =
     return map_rows(docs, make, "key long, near int, row long, l int, c int, r int")
 
 
-def candidates(found: DataFrame, enough: int = ENOUGH) -> DataFrame:
-    """``row, other, anchors``: pairs of documents, the later one first, with the nodes (places in the later one) at which their windows meet.
+def shared_stretches(hot: DataFrame, packed: DataFrame, hashes: int, width: int, k: int) -> DataFrame:
+    """``row, other, c``: rows with the first row that has an equal stretch of ``width`` shingles, and its outermost places in the later row.
+
+    ``hot`` has the keys of each row (``row, key``) that three windows or more share. A stretch whose minimum
+    by some function is not among them has at most one other row, with which that key links it; all
+    other stretches are hashed whole, so that rows meet whatever the first row of their keys holds.
+    """
+    every = (1 << hashes) - 1
+    by_row = hot.groupBy("row").agg(F.collect_set("key").alias("keys"), F.bit_or(F.expr("shiftleft(1, CAST(key & 3 AS INT))")).alias("met")).where(F.col("met") == every).drop("met")
+
+    def make():
+        def step(batch):
+            rows, names, places = [], [], []
+            for row, p, keys in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                h = shingles(opened(p), k)
+                own = np.sort(keys.values.to_numpy())
+                shared = np.ones(len(h) - width + 1, dtype=bool)
+                for f in range(hashes):
+                    low, span = minhash(h, f), 1
+                    while span * 2 <= width:
+                        low = np.minimum(low[: len(low) - span], low[span:])
+                        span *= 2
+                    low = np.minimum(low[: len(shared)], low[width - span : width - span + len(shared)])
+                    key = (low.view(np.int64) & ~3) | f
+                    shared &= own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
+                at = np.flatnonzero(shared)
+                if len(at):
+                    rows.append(np.full(len(at), row))
+                    names.append(_stretches(h, width)[at].view(np.int64))
+                    places.append(at.astype(np.int32))
+            flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
+            return {"row": pa.array(flat(rows, np.int64)), "name": pa.array(flat(names, np.int64)), "c": pa.array(flat(places, np.int32))}
+
+        return step
+
+    placed = written(map_rows(packed.join(by_row, "row"), make, "row long, name long, c int"), "stretches")
+    first = placed.groupBy("name").agg(F.min("row").alias("other"), F.max("row").alias("m")).where("other <> m").drop("m")
+    met = placed.join(first, "name").where("row <> other").groupBy("row", "other").agg(F.min("c").alias("a"), F.max("c").alias("z"))
+    out = written(met.select("row", "other", F.explode(F.array_distinct(F.array("a", "z"))).alias("c")), "equal")
+    drop_written(placed)
+    return out
+
+
+def candidates(found: DataFrame, packed: DataFrame, enough: int = ENOUGH, *, hashes: int = HASHES, words: int = WORDS, k: int = SHINGLE) -> DataFrame:
+    """``row, other, anchors``: pairs of documents, the later one first, with the places in the later one at which they meet.
 
     Windows (``key, near, row, c``) of one key are linked with the first row of that key, and with the
-    first of those that also share what follows. Firsts are aggregated before the join; the rows of
-    a key that a third of all windows has are split by adaptive execution. No pairs within a key are
-    enumerated. A pair stays if the windows of ``enough`` functions meet in it.
+    first of those that also share what follows; a pair stays if the windows of ``enough`` functions
+    meet in it. Equal stretches of ``words`` words are linked with the first row that has the same stretch.
+    Firsts are aggregated before the join; the rows of a key that a third of all windows has are split
+    by adaptive execution. No pairs within a key are enumerated.
     """
     first = lambda *by: F.min("row").alias("_".join(by))
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), first("of", "key"), F.max("row").alias("m")).where("n > 1 AND of_key <> m").drop("n", "m")
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), first("of", "key"), F.max("row").alias("m")).where("n > 1 AND of_key <> m").drop("m")
     again = written(found.join(keys, "key"), "windows")
     drop_written(found)
     release(found.sparkSession)
+    equal = shared_stretches(again.where("n > 2").select("row", "key"), packed, hashes, words - k + 1, k)
+    release(found.sparkSession)
     closer = again.groupBy("key", "near").agg(first("of", "near"), F.max("row").alias("m")).where("of_near <> m").drop("m")
-    star = again.select("row", F.col("of_key").alias("other"), "c", "key")
-    close = again.join(closer, ["key", "near"]).where("of_near <> of_key").select("row", F.col("of_near").alias("other"), "c", "key")
-    met = star.unionByName(close).where("row <> other").groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors"), F.bit_or(F.expr("shiftleft(1, CAST(key & 3 AS INT))")).alias("met"))
+    bit = F.expr("shiftleft(1, CAST(key & 3 AS INT))").alias("bit")
+    star = again.select("row", F.col("of_key").alias("other"), "c", bit)
+    close = again.join(closer, ["key", "near"]).where("of_near <> of_key").select("row", F.col("of_near").alias("other"), "c", bit)
+    every = star.unionByName(close).where("row <> other").unionByName(equal.withColumn("bit", F.lit((1 << hashes) - 1)))
+    met = every.groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors"), F.bit_or("bit").alias("met"))
     pairs = written(met.where(F.bit_count("met") >= enough).drop("met"), "pairs")
     drop_written(again)
+    drop_written(equal)
     release(found.sparkSession)
     return pairs
 
@@ -340,8 +389,8 @@ def near_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # the intervals have told which nodes carry a window; joins need the nodes alone
     found = written(windows(keyed, hashes, words, k).select("key", "near", "row", "c"), "compact")
-    pairs = candidates(found, enough)
     packed = squeezed(keyed)
+    pairs = candidates(found, packed, enough, hashes=hashes, words=words, k=k)
     left = around_anchors(pairs.join(packed, "row").select("row", "other", "anchors", "packed"), k)
     both = left.join(packed.select(F.col("row").alias("other"), F.col("packed").alias("other_packed")), "other").select("row", "other", "anchors", "packed", "other_packed", "base")
 

@@ -118,3 +118,18 @@ def test_equal_stretches():
     x, y = sentence(r, 60), sentence(r, 30)
     a, b = (sd.shingles(sd.split(t)) for t in (f"{y} {x} {sentence(r, 20)} {x}", f"{sentence(r, 9)} {x} {y}"))
     assert [(i, j + 4, p, q + 4) for i, j, p, q in sd._equal(a, sd.Target(b, 46))] == [(30, 89, 9, 68), (110, 169, 9, 68)]
+
+
+def test_equal_passages_meet_whatever_the_first_rows_hold(spark):
+    r = random.Random(11)
+    lines = [sentence(r, 30) for _ in range(24)]
+    body = lambda: sentence(r, 60)
+    texts = [(i, f"{body()} {line} {body()}") for i, line in enumerate(lines)]
+    pairs = [(x, x + 1) for x in range(0, 23)] + [(x, x + 5) for x in range(0, 18)]
+    for n, (x, y) in enumerate(pairs):
+        texts += [(100 + n, f"{body()} {lines[x]} {lines[y]} {body()}"), (200 + n, f"{body()} {lines[x]} {lines[y]} {body()}")]
+    got = {x.doc_id: x for x in sd.documents_with_passages(frame(spark, texts)).collect()}
+    stretches = {i: {tuple(w[a : a + 50]) for a in range(len(w) - 49)} for i, w in ((i, t.split()) for i, t in texts)}
+    for n in range(len(pairs)):
+        assert stretches[100 + n] & stretches[200 + n]
+        assert got[200 + n].class_id == 100 + n and got[200 + n].duplicate_words >= 60, n
