@@ -28,6 +28,10 @@ CACHE = 500_000
 MARGIN = 200
 #: A mismatch weighs as many matches as keep the share of matches at SIMILARITY.
 PENALTY, DROP = 4, 60
+#: The same for a Jaccard similarity: it is SIMILARITY if both sides have 8/9 of matches.
+STRICT = (8, 120)
+#: A match is aligned if it is at most BAND shingles and a quarter of its distance to the anchor off the anchor's diagonal.
+BAND = 8
 
 
 class _Words(dict):
@@ -231,16 +235,16 @@ def candidates(found: DataFrame, packed: DataFrame, enough: int = ENOUGH, *, has
     return pairs
 
 
-def grow(hit: np.ndarray, c: int) -> tuple[int, int]:
-    """The stretch around c with the best score, matches against mismatches, until the score has dropped by DROP."""
+def grow(hit: np.ndarray, c: int, penalty: int = PENALTY, drop: int = DROP) -> tuple[int, int]:
+    """The stretch around c with the best score, matches against mismatches, until the score has dropped by ``drop``."""
 
     def reach(h: np.ndarray) -> int:
         total, at, block = 0, 0, 4096
         best, place = 0, -1
         while at < len(h):
-            s = total + np.cumsum(np.where(h[at : at + block], 1, -PENALTY))
+            s = total + np.cumsum(np.where(h[at : at + block], 1, -penalty))
             high = np.maximum(np.maximum.accumulate(s), best)
-            fell = np.flatnonzero(high - s > DROP)
+            fell = np.flatnonzero(high - s > drop)
             stop = int(fell[0]) if len(fell) else len(s)
             if stop:
                 k = int(s[:stop].argmax())
@@ -276,8 +280,44 @@ class Target:
         self.b, self.width = b, width
         self.order = np.argsort(b, kind="stable")
         self.sorted = b[self.order]
+        self._places = None
         self.names, self.where = np.unique(_stretches(b, width), return_index=True) if len(b) >= width else (b[:0], np.zeros(0, dtype=np.int64))
 
+    def places(self) -> Places:
+        if self._places is None:
+            self._places = Places(self.b)
+        return self._places
+
+
+class Places:
+    """Where the values of a sequence stand in it, for the nearest place to a wanted one."""
+
+    def __init__(self, b: np.ndarray):
+        self.names, number = np.unique(b, return_inverse=True)
+        self.n = len(b)
+        self.at = np.sort(number * (self.n + 1) + np.arange(self.n))
+
+    def distance(self, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Distance from ``wanted`` to the nearest place of each value, over n if it has none."""
+        number = np.minimum(np.searchsorted(self.names, values), len(self.names) - 1)
+        start = number * (self.n + 1)
+        after = np.searchsorted(self.at, start + np.clip(wanted, 0, self.n - 1))
+        best = np.full(len(values), 4 * self.n + 4)
+        for i in (after - 1, after):
+            got = self.at[np.clip(i, 0, self.n - 1)] - start
+            own = (got >= 0) & (got < self.n)
+            best = np.where(own, np.minimum(best, np.abs(got - wanted)), best)
+        return np.where(self.names[number] == values, best, 4 * self.n + 4)
+
+
+def aligned(a: np.ndarray, b: np.ndarray, in_b: Places, in_a: Places, i: int, j: int, c: int, x: int, y: int, d: int, penalty: int, drop: int) -> tuple[int, int, int, int]:
+    """The stretches around c and d, inside i to j and x to y, grown by matches near the diagonal of c and d alone."""
+    s, t = np.arange(i, j + 1), np.arange(x, y + 1)
+    here = in_b.distance(a[i : j + 1], s - c + d) <= BAND + np.abs(s - c) // 4
+    there = in_a.distance(b[x : y + 1], t - d + c) <= BAND + np.abs(t - d) // 4
+    (p, q), (u, v) = grow(here, c - i, penalty, drop), grow(there, d - x, penalty, drop)
+    return i + p, i + q, x + u, x + v
+
 
 def _equal(a: np.ndarray, target: Target) -> list[tuple[int, int, int, int]]:
     """Maximal places in a whose stretches all stand in the target, with the place of the first and last there."""
@@ -298,8 +338,9 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
 
     Equal stretches of ``words`` words are found wherever they are. Around the places in a that
     anchors name, stretches with few differences are compared: ``words`` words on both sides and a
-    Jaccard similarity of ``similarity`` or more. Each pair of stretches is compared once, however
-    often their shingles repeat.
+    Jaccard similarity of ``similarity`` or more. Stretches first take in whatever the other text has
+    anywhere; if these are too unlike, what is aligned with the anchor is compared. Each pair of
+    stretches is compared once, however often their shingles repeat.
     """
     width, b = words - k + 1, target.b
     out = _equal(a, target)
@@ -312,6 +353,13 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
     left: list[tuple[int, int]] = []
     right: list[tuple[int, int]] = []
     tried = set()
+    narrow: list[tuple[int, int, int, int, int]] = []
+    own = None
+
+    def alike(i: int, j: int, x: int, y: int) -> bool:
+        one, other = np.unique(a[i : j + 1]), np.unique(b[x : y + 1])
+        both = len(np.intersect1d(one, other, assume_unique=True))
+        return both >= similarity * (len(one) + len(other) - both)
 
     def stretch(known: list[tuple[int, int]], hit: np.ndarray, c: int) -> tuple[int, int]:
         for s in known:
@@ -324,19 +372,29 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
         i, j = stretch(left, in_b, c) if e > s else (0, -1)
         if j - i + 1 < width or any(x <= i and j <= y for x, y, _, _ in out):
             continue
-        one = None
         if in_a is None:
             in_a = np.isin(b, a)
         for d in order[s:e].tolist():
             x, y = stretch(right, in_a, d)
-            if y - x + 1 < width or (i, x, y) in tried:
+            if y - x + 1 < width:
+                continue
+            if (i, x, y) not in tried:
+                tried.add((i, x, y))
+                if alike(i, j, x, y):
+                    out.append((i, j, x, y))
+                    break
+            if any(p <= c <= q and u <= d <= v and abs(d - c - o) <= BAND for p, q, u, v, o in narrow):
                 continue
-            tried.add((i, x, y))
-            one = np.unique(a[i : j + 1]) if one is None else one
-            other = np.unique(b[x : y + 1])
-            both = len(np.intersect1d(one, other, assume_unique=True))
-            if both >= similarity * (len(one) + len(other) - both):
-                out.append((i, j, x, y))
+            own = own or Places(a)
+            found = None
+            for penalty, drop in ((PENALTY, DROP), STRICT):
+                p, q, u, v = aligned(a, b, target.places(), own, i, j, c, x, y, d, penalty, drop)
+                narrow.append((p, q, u, v, d - c))
+                if q - p + 1 >= width and v - u + 1 >= width and alike(p, q, u, v):
+                    found = (p, q, u, v)
+                    break
+            if found:
+                out.append(found)
                 break
     return [(i, j + k - 1, x, y + k - 1) for i, j, x, y in out]
 

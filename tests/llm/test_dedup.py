@@ -133,3 +133,18 @@ def test_equal_passages_meet_whatever_the_first_rows_hold(spark):
     for n in range(len(pairs)):
         assert stretches[100 + n] & stretches[200 + n]
         assert got[200 + n].class_id == 100 + n and got[200 + n].duplicate_words >= 60, n
+
+
+def test_passages_beside_text_that_the_other_has_elsewhere():
+    for seed in range(20):
+        r = random.Random(seed)
+        passage, line = sentence(r, 80), sentence(r, 40)
+        changed = passage.split()
+        changed[40] = "changed"
+        texts = [f"{passage} {line} {sentence(r, 30)}", f"{line} {sentence(r, 70)} {' '.join(changed)}"]
+        for x, y in (texts, texts[::-1], (f"{sentence(r, 20)} {line} {passage} {line}", f"{' '.join(changed)} {sentence(r, 90)} {line}")):
+            a, b = (sd.shingles(sd.split(t)) for t in (x, y))
+            start = x.split().index((passage if passage in x else " ".join(changed)).split()[0])
+            places = sorted({int(np.argmin(sd.minhash(a[start : start + 76], f))) + start for f in range(4)})
+            got = sd.passages(a, sd.Target(b, 46), [c for c in places if a[c] in b])
+            assert got and max(j - i + 1 for i, j, _, _ in got) >= 75, (seed, got)
