@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 
@@ -57,6 +58,12 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def ends_in_letter(word: str) -> bool:
+    """Whether a word ends in a letter that normalising leaves one: a mark of its own would join what follows."""
+    last = word[-1:]
+    return last.isalpha() and (last.isascii() or unicodedata.normalize("NFC", word).lower()[-1:].isalpha())
+
+
 class WordTokens:
     """Ids of texts by a tokenizer that drops white space, so that runs between spaces are encoded on their own."""
 
@@ -83,7 +90,7 @@ class WordTokens:
                 at += 1
             new = [c for c in set().union(*group) if c not in known]
             # a full stop or comma after a letter is a token of its own: such runs share their words
-            ended = [c for c in new if c[-1:] in STOPS and c[-2:-1].isalpha()]
+            ended = [c for c in new if c[-1:] in STOPS and ends_in_letter(c[:-1])]
             words = {c[:-1] for c in ended}.union(c[-1] for c in ended).union(new).difference(ended)
             words = [c for c in words if c not in known]
             for c, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):

@@ -47,3 +47,13 @@ def test_pieces(spark):
             at += r.length
         assert at == packing.LENGTH or s == max(r.sequence_id for r in got)
     assert packing.pack(docs.where("false"), PATH).count() == 0
+
+
+def test_marks_that_normalising_makes_join_what_follows():
+    words = ["\u0915\u095c", "TAKS\u0130", "\u0915\u095c\u0915", "\u0130x", "\u0958", "caf\u00e9", "cafe\u0301", "\u0391\u03a3", "\u1fb3", "\u01f0", "\ufb2a", "\u0345a", "\u1e9e", "\uac00"]
+    runs = [w + stop for w in words for stop in (",", ".")]
+    runs += [chr(c) + "," for c in range(0x80, 0x30000) if chr(c).isalpha()]
+    library = Tokenizer.from_file(PATH)
+    want = library.encode_batch_fast(runs, add_special_tokens=False)
+    for t, ids, e in zip(runs, packing.WordTokens(PATH).encode(runs), want, strict=True):
+        assert ids.tolist() == e.ids, ascii(t)
