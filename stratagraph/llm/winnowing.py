@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from stratagraph.llm.common import map_rows, small_batches, texts
 from stratagraph.shipping import ship
 
-#: Code points of a gram, grams of a window: any passage of GRAM + WINDOW - 1 code points that two texts share leaves a hash in both.
-GRAM, WINDOW = 25, 100
+#: Code points of a gram, grams of a window: any passage of GRAM + WINDOW - 1 code points that two texts share leaves a hash in both,
+#: so half of a text of 34 code points or more does.
+GRAM, WINDOW = 8, 10
 BASE = 0x9E3779B97F4A7C15
 LOWEST = -(2**63)
 

@@ -132,3 +132,10 @@ def test_near_duplicates_rows(spark):
     assert {r.component_id for r in got if r.doc_id in (3, 5, None)} == {3}
     assert {(r.fingerprint, r.component_id) for r in got if r.doc_id in (6, 8)} == {("0" * 16, 6)}
     assert simhash.near_duplicates(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_short_texts_are_near_their_edits(spark):
+    r = random.Random(6)
+    texts = [(i, "".join(r.choice("abcdefghijklmnop ") for _ in range(r.randint(34, 247)))) for i in range(200)]
+    got = winnowing.against_edits(spark.createDataFrame(rows(texts), DOC)).collect()
+    assert len(got) == 200 and min(x.near_edited for x in got) > 0
