@@ -104,3 +104,23 @@ def test_novel_links_leave_known_pairs_out(spark):
     s = spark.createDataFrame([(0, 1, 9.0), (0, 2, 8.0), (0, 3, -9.0), (1, 1, 2.0), (1, 1, 4.0)], "h int, cand int, score double")
     known = spark.createDataFrame([(0, 1)], "h int, t int")
     assert [(r.h, r.cand) for r in kg.novel_links(s, known, 0.3, 10).collect()] == [(0, 2), (1, 1)]
+
+
+def test_grids_take_all_facts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from stratagraph.operators import kg, training
+    from stratagraph.plans import graphs
+
+    quads = spark.createDataFrame([(h, r, t, tau) for h in range(4) for r in range(4) for t in range(5, 8) for tau in range(7)], "h int, r int, t int, tau int")
+
+    class Small:
+        def __init__(self, spark, d):
+            self.quads, self.entities, self.relations = quads, spark.range(8), spark.range(4)
+
+    seen = []
+    monkeypatch.setattr(graphs, "Graph", Small)
+    monkeypatch.setattr(training, "run_grid", lambda q, *rest: seen.append(q) or q)
+    graphs.train_models(spark, "")
+    want = quads.withColumn("split", kg.split_label(F.col("tau"), 4, 5, 6)).where("split IS NOT NULL")
+    assert seen[0].exceptAll(want).count() == 0 and want.exceptAll(seen[0]).count() == 0
