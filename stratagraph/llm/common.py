@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from stratagraph.shipping import ship
+from stratagraph.sources.steps import shared_dir
 
 #: Rows in one Arrow batch at most; a batch of very long texts must fit in a Python worker.
 BATCH_ROWS = 512
@@ -30,6 +34,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+@contextmanager
+def wide_batches(spark: SparkSession, rows: int = 1 << 16) -> Iterator[None]:
+    """Larger Arrow batches while tables of numbers alone are made; what runs inside must hold no texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks, and an executor's workers share its memory with its heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Apply a batch function on the executors.
 
@@ -50,24 +75,60 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]]
                     [x if isinstance(x, pa.Array) else pa.array(x, type=f.type) for f, x in zip(arrow, (out[f.name] for f in arrow), strict=True)],
                     schema=arrow,
                 )
+        del step
+        give_back()
 
     return df.mapInArrow(run, struct)
 
 
+def map_groups(df: DataFrame, keys: list[str], order: list[str], step: Callable[[pa.RecordBatch], list[tuple]], schema: str) -> DataFrame:
+    """Apply a function to each group of rows that agree in ``keys`` (whole numbers without nulls), sorted by ``order``.
+
+    Groups come one after another out of sorted partitions, so that many small ones cost no call into
+    Spark each; a task holds one Arrow batch and one group. The function returns rows of ``schema``.
+    """
+    small_batches(df.sparkSession)
+    ship(df.sparkSession)
+    struct = StructType.fromDDL(schema)
+    arrow = to_arrow_schema(struct)
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.flatnonzero(np.any([np.diff(batch.column(batch.schema.get_field_index(k)).to_numpy()) != 0 for k in keys], axis=0)) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def made(part: pa.RecordBatch):
+            ends = [*changes(part).tolist(), part.num_rows]
+            rows = [r for a, b in zip([0, *ends], ends, strict=False) for r in step(part.slice(a, b - a))]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if rest and all(rest[-1].column(rest[-1].schema.get_field_index(k))[-1] == batch.column(batch.schema.get_field_index(k))[0] for k in keys) and not len(changes(batch)):
+                rest.append(batch)  # one group goes on
+                continue
+            whole = pa.concat_batches([*rest, batch])
+            cut = changes(whole)
+            if len(cut):
+                yield from made(whole.slice(0, int(cut[-1])))
+                whole = whole.slice(int(cut[-1]))
+            rest = [whole]
+        if rest:
+            yield from made(pa.concat_batches(rest))
+        give_back()
+
+    return dealt.mapInArrow(run, struct)
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """A text column as Python strings; null is the empty text."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="stratagraph-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there, and a lost executor costs a reread."""
     spark = df.sparkSession
@@ -91,3 +152,43 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete shuffle files that no table in use can ask for again: its cleaner acts when the driver's JVM collects garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def numbered(docs: DataFrame, id_col: str, name: str = "numbered") -> DataFrame:
+    """``row`` and ``all`` (a struct of the columns), written once, so that every later step sees the same numbers.
+
+    Rows ascend by id, null ids last; rows of one id keep the order of the table. A id that very many
+    rows have spreads over several partitions.
+    """
+    kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = F.col(f"all.c{docs.columns.index(id_col)}")
+    keyed = docs.select(kept.alias("all"), F.monotonically_increasing_id().alias("place"))
+    keyed = keyed.select("all", "place", at.isNull().alias("no_id"), at.alias("id"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt = keyed.repartitionByRange(parts, "no_id", "id", "place").sortWithinPartitions("no_id", "id", "place")
+    return written(dealt.select(F.monotonically_increasing_id().alias("row"), "all"), name)
+
+
+def column_of(docs: DataFrame, name: str) -> str:
+    """Where ``numbered`` keeps a column."""
+    return f"all.c{docs.columns.index(name)}"
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> list:
+    """The columns of ``docs`` out of ``all``."""
+    return [F.col(f"all.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+
+
+def join_counted(large: DataFrame, counted: DataFrame, on: list[str], n: str = "n", spread: str = "row") -> DataFrame:
+    """``large`` joined with ``counted``, a written table that tells how many rows of ``large`` have each key.
+
+    Keys that hold more than a quarter of a partition's even share, and over 1,000 rows, are split by a hash of
+    ``spread``; the counted row is copied to each part. There are at most four such keys a partition, so their list may be broadcast.
+    """
+    spark = large.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    limit = max(1000, (counted.agg(F.sum(n)).first()[0] or 0) // (4 * parts))
+    hot = spark.createDataFrame(counted.where(F.col(n) > limit).select(*on, F.ceil(F.col(n) / limit).cast("int").alias("_parts")).collect(), counted.select(*on, F.lit(1).alias("_parts")).schema)
+    left = large.join(F.broadcast(hot), on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts"))).cast("int")).drop("_parts")
+    right = counted.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [*on, "_part"]).drop("_part")

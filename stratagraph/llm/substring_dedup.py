@@ -2,13 +2,16 @@
 
 For each of a few hash functions, a document's shingles form a Cartesian tree by hash value: each
 node is the minimum of all subsequences around it that stay inside its interval. A compact window
-(l, c, r) stands for all of these at once. Two documents whose windows have the same minimum hold a
-pair of passages with that min-hash in common; windows of all functions that meet in a pair of
-documents are joined by their intervals, and what they point at is verified on the words.
+(l, c, r) stands for all of these at once. Inside a document the windows of different functions are
+joined by their intervals: where those of two functions overlap, all subsequences of the overlap
+share both minima, a signature. Documents with a signature in common may hold a pair of alike
+passages there, and what they point at is verified on the words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -16,22 +19,21 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import drop_written, map_rows, release, texts, written
+from stratagraph.llm.common import column_of, drop_written, join_counted, map_groups, map_rows, numbered, release, texts, unpacked, wide_batches, written
 from stratagraph.llm.components import components
+from stratagraph.shipping import ship
 
-SHINGLE, WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
-#: Functions whose windows must meet in a pair of documents for a near passage. With one, 998 of 1,000 pairs of passages at 0.8 share
-#: a key. Equal passages do not depend on it: see shared_stretches.
-ENOUGH = 1
-CACHE = 500_000
-#: Words sent beyond the outer anchors of a pair.
-MARGIN = 200
+#: Two of HASHES functions must agree: passages at 0.8 share a signature with probability 1 - 0.2**5 - 5 * 0.8 * 0.2**4 = 0.9933, equal ones always.
+SHINGLE, WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 5
+CACHE = 100_000
 #: A mismatch weighs as many matches as keep the share of matches at SIMILARITY.
 PENALTY, DROP = 4, 60
 #: The same for a Jaccard similarity: it is SIMILARITY if both sides have 8/9 of matches.
 STRICT = (8, 120)
 #: A match is aligned if it is at most BAND shingles and a quarter of its distance to the anchor off the anchor's diagonal.
 BAND = 8
+#: Windows of a signature that one task compares with each other; larger groups are dealt out in pairs of chunks.
+CHUNK = 1024
 
 
 class _Words(dict):
@@ -75,62 +77,43 @@ def minhash(h: np.ndarray, f: int) -> np.ndarray:
 
 
 def compact_windows(v: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all nodes of the Cartesian tree whose intervals have ``width`` elements; of equal values the leftmost is the upper node.
+    """(l, c, r) of the nodes of the Cartesian tree whose intervals have ``width`` elements.
 
-    Zeros end a document: no interval crosses them.
+    The nodes are the minima of the subsequences of ``width`` elements; neighbouring subsequences with
+    one minimum are its window, from the first element of the first to the last of the last. A value
+    that comes again within ``width`` elements is one node with its first place as c, so a run of one
+    value is one window. Zeros end a document: no window crosses them.
     """
     n = len(v)
     if n < width:
         return (np.zeros(0, dtype=np.int64),) * 3
-    tables, span = [v], 1
-    while span * 2 <= n:
-        t = tables[-1]
-        tables.append(np.minimum(t[: len(t) - span], t[span:]))
+    low, span = v, 1
+    while span * 2 <= width:
+        low = np.minimum(low[: len(low) - span], low[span:])
         span *= 2
-    # nodes with such an interval are the minima of windows of that width
-    top = width.bit_length() - 1
-    half = tables[top]
-    low = np.minimum(half[: n - width + 1], half[width - (1 << top) : n - (1 << top) + 1])
-    inner = np.flatnonzero(low)
-    if not len(inner):
-        return (np.zeros(0, dtype=np.int64),) * 3
-    c = np.zeros(len(inner), dtype=np.int64) + inner
-    for j in range(len(tables) - 1, -1, -1):  # walk right to the first element as low as the window's least
-        step = 1 << j
-        ok = c + step <= n
-        far = ok & (tables[j][np.where(ok, c, 0)] > low[inner])
-        c = np.where(far, c + step, c)
-    c = np.unique(c)
-    least = v[c]
-    right, left = c + 1, c.copy()
-    for j in range(len(tables) - 1, -1, -1):
-        step = 1 << j
-        ok = right + step <= n
-        right = np.where(ok & (tables[j][np.where(ok, right, 0)] >= least), right + step, right)
-        ok = left - step >= 0
-        left = np.where(ok & (tables[j][np.where(ok, left - step, 0)] > least), left - step, left)
-    wide = right - left >= width
-    return left[wide], c[wide], right[wide] - 1
+    m = n - width + 1
+    low = np.minimum(low[:m], low[width - span : width - span + m])
+    first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    last = np.concatenate([first[1:], [m]]) - 1
+    inner = low[first] != 0
+    first, last = first[inner], last[inner]
+    c = first + v[first[:, None] + np.arange(width)].argmin(axis=1)
+    return first, c, last + width - 1
 
 
 def windows(docs: DataFrame, hashes: int = HASHES, words: int = WORDS, k: int = SHINGLE) -> DataFrame:
-    """``key, near, row, l, c, r`` for every function and document (columns ``row, text``).
-
-    ``key`` is the value with the function, one of four at most, in its lowest two bits; ``near`` hashes the words that follow the shingle, so that windows
-    which share more than a single shingle can be told apart.
-    """
+    """``key, row, l, c, r`` for every function and document (columns ``row, text``); a key's lowest three bits name its function."""
     width = words - k + 1
 
     def make():
         def step(batch):
-            rows = batch.column(0).to_numpy()
-            parts, owner, offset = [], [], []
-            for row, t in zip(rows, texts(batch), strict=True):
+            parts, owner = [], []
+            for row, t in zip(batch.column(0).to_numpy(), texts(batch), strict=True):
                 h = shingles(split(t), k)
                 if len(h) >= width:
                     parts.append(h)
                     owner.append(row)
-            out = [[] for _ in range(6)]
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
             at = 0
             while at < len(parts):  # a few documents at a time
                 end, size = at, 0
@@ -140,99 +123,95 @@ def windows(docs: DataFrame, hashes: int = HASHES, words: int = WORDS, k: int =
                 own = parts[at:end]
                 starts = np.cumsum([0, *(len(p) + 1 for p in own)])
                 flat = np.zeros(starts[-1], dtype=np.uint64)
-                live = np.zeros(starts[-1], dtype=bool)
+                live = np.ones(starts[-1], dtype=bool)
                 for s, p in zip(starts, own, strict=False):
                     flat[s : s + len(p)] = p
-                    live[s : s + len(p)] = True
+                    live[s + len(p)] = False
                 for f in range(hashes):
                     v = np.where(live, minhash(flat, f), np.uint64(0))
                     left, c, r = compact_windows(v, width)
                     doc = np.searchsorted(starts, c, side="right") - 1
                     base = starts[doc]
-                    with np.errstate(over="ignore"):
-                        after = flat[np.minimum(c + 4, len(flat) - 1)]
-                        near = (after * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
-                    for o, x in zip(out, ((v[c].view(np.int64) & ~3) | f, near.view(np.int64), np.asarray(owner[at:end], dtype=np.int64)[doc], left - base, c - base, r - base), strict=True):
+                    for o, x in zip(out, ((v[c].view(np.int64) & ~7) | f, np.asarray(owner[at:end], dtype=np.int64)[doc], left - base, c - base, r - base), strict=True):
                         o.append(x)
                 at = end
             cols = [np.concatenate(o) if o else np.zeros(0, dtype=np.int64) for o in out]
-            return {n: pa.array(x if n in ("key", "row") else x.astype(np.int32)) for n, x in zip(("key", "near", "row", "l", "c", "r"), cols, strict=True)}
+            return {n: pa.array(x if n in ("key", "row") else x.astype(np.int32)) for n, x in zip(("key", "row", "l", "c", "r"), cols, strict=True)}
 
         return step
 
-    return map_rows(docs, make, "key long, near int, row long, l int, c int, r int")
+    return map_rows(docs, make, "key long, row long, l int, c int, r int")
 
 
-def shared_stretches(hot: DataFrame, packed: DataFrame, hashes: int, width: int, k: int) -> DataFrame:
-    """``row, other, c``: rows with the first row that has an equal stretch of ``width`` shingles, and its outermost places in the later row.
+def shared(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``key, row, ...`` whose key several documents have, each with ``first`` and ``n``; and the written table of these keys.
 
-    ``hot`` has the keys of each row (``row, key``) that three windows or more share. A stretch whose minimum
-    by some function is not among them has at most one other row, with which that key links it; all
-    other stretches are hashed whole, so that rows meet whatever the first row of their keys holds.
+    Keys are counted before the rows are joined to them. A key that very many rows have is split.
     """
-    every = (1 << hashes) - 1
-    by_row = hot.groupBy("row").agg(F.collect_set("key").alias("keys"), F.bit_or(F.expr("shiftleft(1, CAST(key & 3 AS INT))")).alias("met")).where(F.col("met") == every).drop("met")
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").drop("last")
+    keys = written(keys, f"{name}-keys")
+    return join_counted(found, keys, ["key"]), keys
 
-    def make():
-        def step(batch):
-            rows, names, places = [], [], []
-            for row, p, keys in zip(batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                h = shingles(opened(p), k)
-                own = np.sort(keys.values.to_numpy())
-                shared = np.ones(len(h) - width + 1, dtype=bool)
-                for f in range(hashes):
-                    low, span = minhash(h, f), 1
-                    while span * 2 <= width:
-                        low = np.minimum(low[: len(low) - span], low[span:])
-                        span *= 2
-                    low = np.minimum(low[: len(shared)], low[width - span : width - span + len(shared)])
-                    key = (low.view(np.int64) & ~3) | f
-                    shared &= own[np.minimum(np.searchsorted(own, key), len(own) - 1)] == key
-                at = np.flatnonzero(shared)
-                if len(at):
-                    rows.append(np.full(len(at), row))
-                    names.append(_stretches(h, width)[at].view(np.int64))
-                    places.append(at.astype(np.int32))
-            flat = lambda x, t: np.concatenate(x) if x else np.zeros(0, dtype=t)
-            return {"row": pa.array(flat(rows, np.int64)), "name": pa.array(flat(names, np.int64)), "c": pa.array(flat(places, np.int32))}
 
-        return step
+def overlaps(key: np.ndarray, row: np.ndarray, left: np.ndarray, c: np.ndarray, r: np.ndarray, width: int, hashes: int = HASHES) -> dict[str, np.ndarray]:
+    """Signatures of two functions: the interval join of a document's windows, for all documents (sorted by row) at once.
 
-    placed = written(map_rows(packed.join(by_row, "row"), make, "row long, name long, c int"), "stretches")
-    first = placed.groupBy("name").agg(F.min("row").alias("other"), F.max("row").alias("m")).where("other <> m").drop("m")
-    met = placed.join(first, "name").where("row <> other").groupBy("row", "other").agg(F.min("c").alias("a"), F.max("c").alias("z"))
-    out = written(met.select("row", "other", F.explode(F.array_distinct(F.array("a", "z"))).alias("c")), "equal")
-    drop_written(placed)
-    return out
-
-
-def candidates(found: DataFrame, packed: DataFrame, enough: int = ENOUGH, *, hashes: int = HASHES, words: int = WORDS, k: int = SHINGLE) -> DataFrame:
-    """``row, other, anchors``: pairs of documents, the later one first, with the places in the later one at which they meet.
-
-    Windows (``key, near, row, c``) of one key are linked with the first row of that key, and with the
-    first of those that also share what follows; a pair stays if the windows of ``enough`` functions
-    meet in it. Equal stretches of ``words`` words are linked with the first row that has the same stretch.
-    Firsts are aggregated before the join; the rows of a key that a third of all windows has are split
-    by adaptive execution. No pairs within a key are enumerated.
+    Two windows meet if a subsequence of ``width`` shingles lies in both; l and r bound all of these.
+    The lowest bit of a signature's key tells whether its functions follow one another.
     """
-    first = lambda *by: F.min("row").alias("_".join(by))
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), first("of", "key"), F.max("row").alias("m")).where("n > 1 AND of_key <> m").drop("m")
-    again = written(found.join(keys, "key"), "windows")
-    drop_written(found)
-    release(found.sparkSession)
-    equal = shared_stretches(again.where("n > 2").select("row", "key"), packed, hashes, words - k + 1, k)
-    release(found.sparkSession)
-    closer = again.groupBy("key", "near").agg(first("of", "near"), F.max("row").alias("m")).where("of_near <> m").drop("m")
-    bit = F.expr("shiftleft(1, CAST(key & 3 AS INT))").alias("bit")
-    star = again.select("row", F.col("of_key").alias("other"), "c", bit)
-    close = again.join(closer, ["key", "near"]).where("of_near <> of_key").select("row", F.col("of_near").alias("other"), "c", bit)
-    every = star.unionByName(close).where("row <> other").unionByName(equal.withColumn("bit", F.lit((1 << hashes) - 1)))
-    met = every.groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors"), F.bit_or("bit").alias("met"))
-    pairs = written(met.where(F.bit_count("met") >= enough).drop("met"), "pairs")
-    drop_written(again)
-    drop_written(equal)
-    release(found.sparkSession)
-    return pairs
+    _, number = np.unique(row, return_inverse=True)
+    base = number.astype(np.int64) << 32
+    function = key & 7
+    own = []
+    for f in range(hashes):
+        at = np.flatnonzero(function == f)
+        at = at[np.argsort(base[at] + left[at], kind="stable")]
+        own.append((at, base[at] + left[at], base[at] + r[at] - (width - 1)))  # first and last start of such a subsequence
+    out: list[list[np.ndarray]] = [[] for _ in range(5)]
+    for f in range(hashes):
+        at, a0, a1 = own[f]
+        for g in range(f + 1, hashes):
+            other, b0, b1 = own[g]
+            lo = np.searchsorted(b1, a0)
+            n = np.maximum(np.searchsorted(b0, a1, side="right") - lo, 0)
+            i = np.repeat(np.arange(len(at)), n)
+            j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            x, y = at[i], other[j]
+            with np.errstate(over="ignore"):
+                both = (key[x].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (key[x].view(np.uint64) >> np.uint64(29))
+                both = ((both + key[y].view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+            both = (both & ~1) | (g == f + 1)
+            for o, v in zip(out, (both, row[x], c[x], np.maximum(left[x], left[y]), np.minimum(r[x], r[y])), strict=True):
+                o.append(v)
+    names = ("key", "row", "c", "l", "r")
+    return {n: np.concatenate(o) if o else np.zeros(0, dtype=np.int64) for n, o in zip(names, out, strict=True)}
+
+
+def signatures(found: DataFrame, hashes: int, width: int) -> DataFrame:
+    """``key, row, c, l, r``: the signatures of every document, from its windows (``key, row, l, c, r``)."""
+    names = ("key", "row", "l", "c", "r")
+    schema = pa.schema([("key", pa.int64()), ("row", pa.int64()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = {n: np.zeros(0, dtype=np.int64) for n in names}
+
+        def made(cols):
+            got = overlaps(cols["key"], cols["row"], cols["l"], cols["c"], cols["r"], width, hashes)
+            return pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in schema], schema=schema)
+
+        for b in batches:
+            rest = {n: np.concatenate([rest[n], b.column(i).to_numpy().astype(np.int64)]) for i, n in enumerate(names)}
+            if len(rest["row"]):
+                cut = int(np.searchsorted(rest["row"], rest["row"][-1]))  # the last document may go on in the next batch
+                if cut:
+                    yield made({n: x[:cut] for n, x in rest.items()})
+                    rest = {n: x[cut:] for n, x in rest.items()}
+        if len(rest["row"]):
+            yield made(rest)
+
+    ship(found.sparkSession)
+    dealt = found.select(*names).repartition("row").sortWithinPartitions("row")
+    return dealt.mapInArrow(run, "key long, row long, c int, l int, r int")
 
 
 def grow(hit: np.ndarray, c: int, penalty: int = PENALTY, drop: int = DROP) -> tuple[int, int]:
@@ -409,64 +388,247 @@ def squeezed(keyed: DataFrame) -> DataFrame:
     return map_rows(keyed, make, "row long, packed binary")
 
 
-def around_anchors(pairs: DataFrame, k: int, margin: int = MARGIN) -> DataFrame:
-    """Pairs with the words from ``margin`` before the first anchor to ``margin`` after the last, and where these begin (``base``).
+def opened(packed: bytes) -> list[bytes]:
+    return zstandard.decompress(packed).split()
+
+
+SPANS = "spans array<struct<first:int,last:int,other_first:int,other_last:int>>"
+
+
+def _named(spans: list[tuple[int, int, int, int]], base: int = 0, other_base: int = 0) -> list[dict]:
+    return [{"first": i + base, "last": j + base, "other_first": x + other_base, "other_last": y + other_base} for i, j, x, y in spans]
+
 
-    A pair that meets in one place sends little of a long text; a passage that holds an anchor is
-    found whole or in the words kept, which are more than a passage needs.
+def verified(pairs: DataFrame, packed: DataFrame, words: int, k: int, similarity: float) -> DataFrame:
+    """``row, other, spans, missed`` of ``row, other, anchors``: passages found in whole texts, and the anchors that no passage holds.
+
+    A document that very many others point at has its pairs in several tasks.
     """
+    counted = written(pairs.groupBy("other").agg(F.count("*").alias("n")).join(packed.select(F.col("row").alias("other"), F.col("packed").alias("other_packed")), "other"), "compared")
+    both = join_counted(pairs.join(packed, "row"), counted, ["other"]).select("row", "other", "anchors", "packed", "other_packed")
 
     def make():
-        press, last = zstandard.ZstdCompressor(level=3), [None, None]
+        def step(batch):
+            spans, missed, last = [], [], (None, None)
+            for anchors, t, u in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if last[0] != u:
+                    last = (u, Target(shingles(opened(u), k), words - k + 1))
+                got = passages(shingles(opened(t), k), last[1], anchors, words, k, similarity)
+                spans.append(_named(got))
+                missed.append([c for c in anchors if not any(i <= c <= j for i, j, _, _ in got)])
+            return {"row": batch.column(0), "other": batch.column(1), "spans": spans, "missed": missed}
 
+        return step
+
+    out = written(map_rows(both, make, f"row long, other long, {SPANS}, missed array<int>"), "verified")
+    drop_written(counted)
+    return out
+
+
+def neighbourhoods(places: DataFrame, packed: DataFrame, k: int, width: int) -> DataFrame:
+    """``row, c, l, r, base, anchor, around``: shingles around each place, from ``width`` before its window to as many after it, where they begin and where among them the place is."""
+    asked = places.groupBy("row").agg(F.collect_set(F.struct("c", "l", "r")).alias("asked"))
+
+    def make():
         def step(batch):
-            anchors, base, packed = [], [], []
-            for own, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if last[0] != p:
-                    last[:] = p, opened(p)
-                lo = max(0, own[0] - margin)
-                anchors.append([c - lo for c in own])
-                base.append(lo)
-                packed.append(press.compress(b" ".join(last[1][lo : own[-1] + k + margin])))
-            return {"row": batch.column(0), "other": batch.column(1), "anchors": anchors, "packed": packed, "base": base}
+            out = []
+            for row, asked, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                h = shingles(opened(p), k)
+                for a in asked:
+                    lo = max(0, a["l"] - width)
+                    at = a["l"] + int(np.argmax(h[a["l"] : a["r"] + 1] == h[a["c"]]))  # c may lie before a run of its value
+                    out.append((row, a["c"], a["l"], a["r"], lo, at - lo, h[lo : a["r"] + 1 + width].tobytes()))
+            return dict(zip(("row", "c", "l", "r", "base", "anchor", "around"), map(list, zip(*out, strict=True)), strict=True))
 
         return step
 
-    return map_rows(pairs, make, "row long, other long, anchors array<int>, packed binary, base int")
+    return map_rows(asked.join(packed, "row"), make, "row long, c int, l int, r int, base int, anchor int, around binary")
 
 
-def opened(packed: bytes) -> list[bytes]:
-    return zstandard.decompress(packed).split()
+def dense(a: np.ndarray, own: np.ndarray, other: np.ndarray, width: int, shares: tuple[float, ...]) -> list[bool]:
+    """For each share, whether some stretch of ``width`` or more of a has so many of its shingles in the other set; true if shingles of a repeat."""
+    if len(own) < len(a) or not len(other):
+        return [True] * len(shares)
+    at = np.searchsorted(other, a)
+    at[at == len(other)] = 0
+    hit, slack = other[at] == a, 1e-9 * np.arange(len(a) + 1)
+    out = []
+    for s in shares:
+        over = np.concatenate([[0.0], np.cumsum(hit - s)]) + slack
+        out.append(len(a) >= width and bool((over[width:] >= np.minimum.accumulate(over[: len(a) + 1 - width])).any()))
+    return out
+
+
+def may_be_alike(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, width: int, similarity: float) -> bool:
+    """What alike passages need: both have ``similarity`` of their shingles in common, the shorter 2s / (1 + s)."""
+    shares = (similarity, 2 * similarity / (1 + similarity))
+    x = dense(a, in_a, in_b, width, shares)
+    if not x[0]:
+        return False
+    y = dense(b, in_b, in_a, width, shares)
+    return y[0] and (x[1] or y[1])
+
+
+def equal_stretches(around: list[np.ndarray], row: np.ndarray, asked: np.ndarray, width: int) -> list[tuple[int, int, int, int, int]]:
+    """(place, its first, last, the earliest place with the same, its first) of stretches of ``width`` shingles that an earlier row has, for the places asked for; places ascend by row."""
+    long = [x for x in range(len(row)) if len(around[x]) >= width]
+    if len(long) < 2:
+        return []
+    names = [_stretches(around[x], width) for x in long]
+    owner, at = np.repeat(long, [len(n) for n in names]), np.concatenate([np.arange(len(n)) for n in names])
+    _, first, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    of = first[number]
+    later = np.flatnonzero((row[owner[of]] != row[owner]) & (asked[owner] | asked[owner[of]]))
+    if not len(later):
+        return []
+    goes_on = (np.diff(later) == 1) & (np.diff(owner[later]) == 0) & (np.diff(owner[of[later]]) == 0) & (np.diff(at[of[later]]) == 1)
+    return [(int(owner[p[0]]), int(at[p[0]]), int(at[p[-1]]) + width - 1, int(owner[of[p[0]]]), int(at[of[p[0]]])) for p in np.split(later, np.flatnonzero(~goes_on) + 1)]
 
 
-def near_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hashes: int = HASHES, words: int = WORDS, k: int = SHINGLE, similarity: float = SIMILARITY, enough: int = ENOUGH) -> DataFrame:
-    """``row, other, spans``: verified passages of a later row and the earlier one that has them; rows are numbered in the table's order.
+def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> list[tuple]:
+    """Passages between the windows of one signature, in a chunk or between two (rows ascending).
 
-    Spans are (first word, last word, the same in the other row), from 0.
+    Equal stretches are found by their hashes, for all windows at once. Windows that missed the first
+    document of the signature (``miss``) are then compared with all whose documents are not connected
+    with theirs yet.
     """
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # the intervals have told which nodes carry a window; joins need the nodes alone
-    found = written(windows(keyed, hashes, words, k).select("key", "near", "row", "c"), "compact")
-    packed = squeezed(keyed)
-    pairs = candidates(found, packed, enough, hashes=hashes, words=words, k=k)
-    left = around_anchors(pairs.join(packed, "row").select("row", "other", "anchors", "packed"), k)
-    both = left.join(packed.select(F.col("row").alias("other"), F.col("packed").alias("other_packed")), "other").select("row", "other", "anchors", "packed", "other_packed", "base")
+    width = words - k + 1
+    i, j, row, root, base, anchor, miss, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "row", "root", "base", "anchor", "miss", "part"))
+    around = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("around").to_pylist()]
+    root, out = root.copy(), []
+    # equal stretches share all signatures, so some of these are enough
+    for x, first, last, y, other in equal_stretches(around, row, miss, width) if batch.column("key")[0].as_py() & 1 else ():
+        out.append((int(row[x]), int(row[y]), _named([(first, last + k - 1, other, other + last - first + k - 1)], int(base[x]), int(base[y]))))
+        root[root == root[x]] = root[y]
+    left, right = np.flatnonzero(miss & (part == i[0])), np.flatnonzero(part == j[0])
+    if not len(left) or not len(right) or (root == root[0]).all():
+        return out
+    sets = [np.unique(x) for x in around]
+    flat, owner = np.concatenate([sets[x] for x in right]), np.repeat(np.arange(len(right)), [len(sets[x]) for x in right])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    targets: dict[int, Target] = {}
+    for x in left.tolist():
+        if (root[right] == root[x]).all():
+            continue
+        lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
+        n = hi - lo
+        met = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
+        # a passage has as many distinct shingles as its width, less what repeats around it; the other shares them but for a fifth
+        least = similarity * max(1, width - len(around[x]) + len(sets[x]))
+        for y in right[np.bincount(met, minlength=len(right)) >= least].tolist():
+            if root[y] == root[x] or not may_be_alike(around[x], sets[x], around[y], sets[y], width, similarity):
+                continue
+            a, b = (x, y) if row[x] > row[y] else (y, x)
+            if b not in targets:
+                targets[b] = Target(around[b], width)
+            got = passages(around[a], targets[b], [int(anchor[a])], words, k, similarity)
+            if got:
+                out.append((int(row[a]), int(row[b]), _named(got, int(base[a]), int(base[b]))))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def left_out(checked: DataFrame, k: int) -> DataFrame:
+    """``row, first, c``: anchors that no passage holds, of the pair they were tried in or of another with the same row."""
+    held = checked.where(F.size("spans") > 0).groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("held"))
+    missed = checked.where(F.size("missed") > 0).join(held, "row", "left").select("row", F.col("other").alias("first"), "held", F.explode("missed").alias("c"))
+    inside = F.coalesce(F.exists("held", lambda s: F.col("c").between(s["first"], s["last"] - (k - 1))), F.lit(False))
+    return missed.where(~inside).select("row", "first", "c")
+
+
+def second(met: DataFrame, checked: DataFrame, k: int) -> DataFrame:
+    """``row, other, anchors``: windows that the first document of their signature does not explain, with the first of these."""
+    open_ones = met.where("n > 2").join(left_out(checked, k), ["row", "first", "c"]).select("key", "row", "c")
+    leaders = open_ones.groupBy("key").agg(F.min("row").alias("other"), F.count("*").alias("n"))
+    again = join_counted(open_ones, written(leaders.where("n > 1"), "leaders"), ["key"]).where("row <> other")
+    pairs = again.groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors"))
+    return written(pairs.join(checked.select("row", "other"), ["row", "other"], "left_anti"), "second")
+
+
+def rest(met: DataFrame, checked: DataFrame, packed: DataFrame, words: int, k: int, similarity: float) -> DataFrame | None:
+    """``row, other, spans`` of documents that share a signature but no passage with its first document.
+
+    Where windows of a signature are in no passage yet, or their documents not connected, all windows
+    of that signature are compared, in pairs of chunks: for equal stretches, and for alike passages
+    between documents not connected yet. Nothing but verified passages leaves a task.
+    """
+    roots = written(components(checked.where(F.size("spans") > 0).select(F.col("row").alias("a"), F.col("other").alias("b"))), "roots")
+    missed = checked.where(F.size("missed") > 0).select("row", F.col("other").alias("first"), F.explode("missed").alias("c"))
+    for side in ("row", "first"):
+        missed = missed.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    apart = missed.where(F.coalesce("row_root", "row") != F.coalesce("first_root", "first")).select("row", "first", "c")
+    missed = written(apart.unionByName(left_out(checked, k)).distinct().withColumn("miss", F.lit(True)), "missed")
+    counts = met.groupBy("key").agg(F.count("*").alias("n"))
+    keys = written(met.where("n > 2").join(missed, ["row", "first", "c"]).select("key").distinct().join(counts, "key"), "mixed")
+    if keys.isEmpty():
+        return None
+    places = join_counted(met.select("key", "row", "c", "l", "r", "first"), keys, ["key"])
+    places = places.join(missed, ["row", "first", "c"], "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    places = written(places.withColumn("miss", F.coalesce("miss", F.lit(False))).withColumn("root", F.coalesce("root", "row")), "places")
+    around = neighbourhoods(places, packed, k, words - k + 1)
+    full = written(places.join(around, ["row", "c", "l", "r"]).select("key", "row", "root", "base", "anchor", "around", "miss", F.ceil(F.col("n") / CHUNK).cast("int").alias("m")), "around")
+    full = full.withColumn("part", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
+    # every window goes to the tasks in which its chunk stands on either side
+    every = F.sequence(F.lit(0), F.col("m") - 1)
+    tasks = F.array_distinct(F.concat(F.transform(every, lambda o: F.struct(o.alias("i"), F.col("part").alias("j"))), F.transform(every, lambda o: F.struct(F.col("part").alias("i"), o.alias("j")))))
+    dealt = full.withColumn("t", F.explode(tasks)).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "row", "root", "base", "anchor", "around", "miss", "part")
+    some = written(map_groups(dealt, ["key", "i", "j"], ["row", "base"], lambda b: compared(b, words, k, similarity), f"row long, other long, {SPANS}"), "rest")
+    for t in (roots, missed, keys, places, full):
+        drop_written(t)
+    return some
+
+
+def distinct_texts(table: DataFrame, text: str) -> DataFrame:
+    """``row, name, n_words``: a hash of the words, by which equal texts are found."""
 
     def make():
         def step(batch):
-            spans, last = [], (None, None)
-            for anchors, t, u, base in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4, 5)), strict=True):
-                if last[0] != u:
-                    last = (u, Target(shingles(opened(u), k), words - k + 1))
-                spans.append([{"first": i + base, "last": j + base, "other_first": x, "other_last": y} for i, j, x, y in passages(shingles(opened(t), k), last[1], anchors, words, k, similarity)])
-            return {"row": batch.column(0), "other": batch.column(1), "spans": spans}
+            own = [split(t) for t in texts(batch)]
+            return {"row": batch.column(0), "name": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in own], "n_words": [len(w) for w in own]}
 
         return step
 
-    out = written(map_rows(both, make, "row long, other long, spans array<struct<first:int,last:int,other_first:int,other_last:int>>").where(F.size("spans") > 0), "passages")
-    drop_written(pairs)
-    release(docs.sparkSession)
-    return out
+    return map_rows(table.select("row", F.col(text).alias("text")), make, "row long, name string, n_words int")
+
+
+def near_passages(table: DataFrame, text: str, *, hashes: int = HASHES, words: int = WORDS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``row, other, spans``: verified passages of a later row and an earlier one that has them, of a ``numbered`` table.
+
+    Spans are (first word, last word, the same in the other row), from 0. Of equal texts the first
+    stands for all, and each other one has its whole text in common with it (texts of under ``words``
+    words have no passages). Null texts are empty. A row may have passages in common with several
+    earlier ones; rows that share a passage are connected by such pairs, not all paired.
+    """
+    width = words - k + 1
+    names = distinct_texts(table, text)
+    first = names.groupBy("name").agg(F.min("row").alias("other"), F.max("row").alias("last"), F.count("*").alias("n"))
+    again = written(first.where("other <> last").select("name", "other", "n"), "texts")
+    copies = written(join_counted(names, again, ["name"]).where("row <> other").select("row", "other", "n_words"), "copies")
+    drop_written(again)
+    keyed = table.select("row", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    alone = keyed.join(copies.select("row"), "row", "left_anti")
+    found = written(windows(alone, hashes, words, k), "compact")
+    some, keys = shared(found, "windows")
+    with wide_batches(table.sparkSession):
+        joint = written(signatures(some, hashes, width), "signatures")
+    drop_written(found)
+    drop_written(keys)
+    release(table.sparkSession)
+    met, keys = shared(joint, "signatures")
+    met = written(met, "met")
+    drop_written(joint)
+    packed = squeezed(keyed)
+    pairs = written(met.where("row <> first").groupBy("row", F.col("first").alias("other")).agg(F.sort_array(F.collect_set("c")).alias("anchors")), "pairs")
+    checked = verified(pairs, packed, words, k, similarity)
+    checked = checked.unionByName(verified(second(met, checked, k), packed, words, k, similarity))
+    more = rest(met, checked, packed, words, k, similarity)
+    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"), F.lit(0).alias("other_first"), (F.col("n_words") - 1).alias("other_last")))
+    out = checked.where(F.size("spans") > 0).select("row", "other", "spans").unionByName(copies.where(F.col("n_words") >= words).select("row", "other", whole.alias("spans")))
+    for t in (keys, pairs, met):
+        drop_written(t)
+    release(table.sparkSession)
+    return out if more is None else out.unionByName(more)
 
 
 def _covered(spans: Column) -> Column:
@@ -485,32 +647,39 @@ def documents_with_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col
 
     The class is named by the smallest id among documents that verified passages connect; alone, a
     document is its own class. ``n_passages`` and ``duplicate_words`` count what the document repeats
-    from earlier rows, ``partners`` lists their ids. Null texts are empty; texts of under 50 words have
-    no passages. Null ids name no class that holds another id. Rows that repeat are documents of their
-    own, with passages in common. Other columns are ignored.
+    from earlier rows (smaller ids, null last; of one id, earlier places), ``partners`` lists the ids of
+    those it was compared with. Null texts are empty; texts of under 50 words have no passages. Null ids
+    name no class that holds another id. Rows that repeat are documents of their own, with passages in
+    common. Other columns are ignored. A text of any length is compared whole.
     """
-    found = near_passages(docs, id_col=id_col, text_col=text_col, **options)
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"))
+    some = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    table = numbered(some, "id", "passages")
+    found = near_passages(table, column_of(some, "text"), **options)
+    ids = table.select("row", F.col(column_of(some, "id")).alias("id"))
     joined = components(found.select(F.col("row").alias("a"), F.col("other").alias("b")))
     placed = ids.join(joined.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    names = placed.groupBy("root").agg(F.min("id").alias("class_id"))
+    # a component's root is its least row, which has its smallest id
+    placed = placed.join(ids.select(F.col("row").alias("root"), F.col("id").alias("class_id")), "root")
     partner = found.join(ids.select(F.col("row").alias("other"), F.col("id").alias("partner")), "other")
-    counts = partner.groupBy("row").agg(F.sum(F.size("spans")).alias("n_passages"), _covered(F.flatten(F.collect_list("spans"))).alias("duplicate_words"), F.sort_array(F.collect_set("partner")).alias("partners"))
-    out = placed.join(names, "root").join(counts, "row", "left")
-    empty = F.array().cast(f"array<{dict(docs.dtypes)[id_col]}>")
+    counts = partner.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.sort_array(F.collect_set("partner")).alias("partners"))
+    counts = counts.select("row", F.size(F.array_distinct(F.transform("spans", lambda s: F.struct(s["first"], s["last"])))).cast("long").alias("n_passages"), _covered(F.col("spans")).alias("duplicate_words"), "partners")
+    out = placed.join(counts, "row", "left")
+    empty = F.array().cast(f"array<{dict(some.dtypes)['id']}>")
     return out.select(F.col("id").alias(id_col), "class_id", F.coalesce("n_passages", F.lit(0).cast("long")).alias("n_passages"), F.coalesce("duplicate_words", F.lit(0).cast("long")).alias("duplicate_words"), F.coalesce("partners", empty).alias("partners"))
 
 
 def remove_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the words of passages that earlier rows have; all rows and columns stay.
 
-    White space before a deleted word goes with it. Null texts stay null.
+    Earlier are smaller ids (null last), and of one id, earlier places; of equal texts of ``words``
+    words or more all but the first lose all their words. White space before a deleted word goes with
+    it. Null and empty texts stay as they are.
     """
-    found = near_passages(docs, id_col=id_col, text_col=text_col, **options)
-    cuts = found.select("row", F.explode("spans").alias("s")).groupBy("row").agg(F.collect_set(F.struct("s.first", "s.last")).alias("_cuts")).withColumnRenamed("row", "_row")
-    names, kinds = docs.columns, dict(docs.dtypes)
-    whole = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all")).join(cuts, "_row", "left")
-    flat = whole.select(*[F.col("_all")[c].alias(f"_c{i}") for i, c in enumerate(names)], "_cuts")
+    names, kinds = docs.columns, [t for _, t in docs.dtypes]
+    table = numbered(docs, id_col, "passages")
+    found = near_passages(table, column_of(docs, text_col), **options)
+    cuts = found.select("row", F.explode("spans").alias("s")).groupBy("row").agg(F.collect_set(F.struct("s.first", "s.last")).alias("cuts"))
+    flat = table.join(cuts, "row", "left").select(*[F.col(f"all.c{i}").alias(f"c{i}") for i in range(len(names))], "cuts")
     at = names.index(text_col)
 
     def make():
@@ -528,9 +697,9 @@ def remove_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                         keep[s["first"] : s["last"] + 1] = False
                     t = "".join(p for p, k in zip(parts, keep, strict=True) if k)
                 clean.append(t)
-            return {f"_c{i}": batch.column(i) for i in range(len(names))} | {f"_c{at}": clean}
+            return {f"c{i}": batch.column(i) for i in range(len(names))} | {f"c{at}": clean}
 
         return step
 
-    out = map_rows(flat, make, ", ".join(f"_c{i} {kinds[c]}" for i, c in enumerate(names)))
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+    out = map_rows(flat, make, ", ".join(f"c{i} {t}" for i, t in enumerate(kinds)))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

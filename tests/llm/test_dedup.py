@@ -47,21 +47,41 @@ def test_lines_of_repeated_rows_and_empty_tables(spark):
 @pytest.mark.parametrize("seed", range(5))
 def test_compact_windows(seed):
     r = np.random.default_rng(seed)
-    v = r.integers(1, 12, 60).astype(np.uint64)
-    v[[17, 40]] = 0
+    v = r.permutation(np.arange(1, 301)).astype(np.uint64)
+    v[[17, 140]] = 0
     want = set()
 
     def tree(a, b):
         if b - a + 1 < 5:
             return
         c = a + int(v[a : b + 1].argmin())
-        want.add((a, c, b))
+        want.add((max(a, c - 4), c, min(b, c + 4)))
         tree(a, c - 1)
         tree(c + 1, b)
 
-    for a, b in ((0, 16), (18, 39), (41, 59)):
+    for a, b in ((0, 16), (18, 139), (141, 299)):
         tree(a, b)
     assert {tuple(map(int, x)) for x in zip(*sd.compact_windows(v, 5), strict=True)} == want
+    same = np.array([9, 7, 7, 7, 7, 7, 7, 7, 8, 9, 9, 9, 9, 9], dtype=np.uint64)
+    assert [tuple(map(int, x)) for x in zip(*sd.compact_windows(same, 5), strict=True)] == [(0, 1, 11), (8, 8, 12), (9, 9, 13)]
+
+
+def test_signatures_equal_brute_force():
+    r = np.random.default_rng(3)
+    width, hashes, cols = 6, 3, []
+    want = set()
+    for doc in (4, 9):
+        h = r.integers(1, 40, 80).astype(np.uint64)
+        v = [sd.minhash(h, f) for f in range(hashes)]
+        for f in range(hashes):
+            for left, c, right in zip(*sd.compact_windows(v[f], width), strict=True):
+                cols.append((int(v[f][c].view(np.int64) & ~7) | f, doc, int(left), int(c), int(right)))
+        low = [[int(v[f][s : s + width].min()) for s in range(len(h) - width + 1)] for f in range(hashes)]
+        for f in range(hashes):
+            for g in range(f + 1, hashes):
+                want |= {(doc, f, g, s) for s in range(1, len(low[0])) if (low[f][s], low[g][s]) != (low[f][s - 1], low[g][s - 1])} | {(doc, f, g, 0)}
+    got = sd.overlaps(*(np.array(x) for x in zip(*cols, strict=True)), width, hashes)
+    assert len(got["key"]) == len(want) and {(int(d), int(x)) for d, x in zip(got["row"], got["l"], strict=True)} == {(d, s) for d, _, _, s in want}
 
 
 def test_passages_are_found(spark):
