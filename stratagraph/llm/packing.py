@@ -11,12 +11,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from stratagraph.llm.common import map_rows, texts, written
 
 LENGTH, END = 4096, 2
 DIMS, BITS = 4, 12
-CACHE = 1_500_000
+#: Runs remembered by a Python worker, about 220 bytes each: workers outlive their tasks and share an executor's memory with its heap.
+CACHE = 600_000
 STOPS = (".", ",")
 
 
@@ -77,7 +80,7 @@ class WordTokens:
         self.dtype = np.dtype(self.code)
         self.known: dict[str, bytes] = {}
 
-    def encode(self, batch: list[str], most: int = 1 << 22) -> list[np.ndarray]:
+    def encode(self, batch: list[str], most: int = 1 << 20) -> list[np.ndarray]:
         """Ids of each text; new runs of several texts (of ``most`` characters, or one text) go to the tokenizer together."""
         known, kind, out, at = self.known, self.code, [], 0
         while at < len(batch):
@@ -177,7 +180,7 @@ def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
     tokens = written(tokenised(docs, path, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "tokens")
     begun = tokens.join(offsets(tokens).hint("shuffle_hash"), "row")
     kind = dict(docs.dtypes)[id_col]
-    flat = pa.schema([("id", tokens_type(kind)), *[(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
+    flat = pa.schema([to_arrow_schema(StructType.fromDDL(f"id {kind}")).field(0), *[(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
 
     def run(batches):
         dtype = loaded(path)[0].dtype
@@ -196,7 +199,3 @@ def pack(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str =
 
     pieces = begun.select("id", "n", "ids", "begin").mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return pieces.withColumnRenamed("id", id_col)
-
-
-def tokens_type(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]

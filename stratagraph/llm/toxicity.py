@@ -21,7 +21,7 @@ from stratagraph.llm.common import map_rows, texts
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that count as features beside the words themselves.
 STEMS = (3, 4, 5, 6)
-CACHE = 500_000
+CACHE = 200_000
 
 
 def words(text: str) -> set[str]:
@@ -168,13 +168,13 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     mixture = ids.orderBy(*rank).limit(max_unlabelled)
     confirmed, drawn = ({r["_id"] for r in x.collect()} for x in (positive, mixture))
     # the chosen ids are at most max_positive + max_unlabelled, a size that may be broadcast
-    picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(confirmed | drawn)], "_id long")
+    picked = docs.sparkSession.createDataFrame([(i,) for i in sorted(confirmed | drawn)], ids.schema)
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "_id")
 
     def make():
         return lambda batch: {"_id": batch.column(0), "features": [hashed(t).tobytes() for t in texts(batch)]}
 
-    found = map_rows(sample.select("_id", "text"), make, "_id long, features binary").toArrow()
+    found = map_rows(sample.select("_id", "text"), make, f"_id {dict(ids.dtypes)['_id']}, features binary").toArrow()
     rows = sorted(zip(found.column(0).to_pylist(), (np.frombuffer(x, dtype=np.uint32) for x in found.column(1).to_pylist()), strict=True), key=lambda r: r[0])
     return fit([b for i, b in rows if i in confirmed], [b for i, b in rows if i in drawn], prior, **options)
 
@@ -197,11 +197,12 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
 def keep_clean(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns."""
-    names = docs.columns
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + ", _toxic boolean"
+    flat = docs.select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(docs.columns)])
+    at = docs.columns.index(text_col)
 
     def make():
         rate = model.scorer()
-        return lambda batch: {n: batch.column(i) for i, n in enumerate(names)} | {"_toxic": [rate(t) >= 0.5 for t in texts(batch, text_col)]}
+        return lambda batch: {f"c{i}": batch.column(i) for i in range(batch.num_columns)} | {"clean": [rate(t) < 0.5 for t in texts(batch, f"c{at}")]}
 
-    return map_rows(docs, make, schema).where("NOT _toxic").drop("_toxic")
+    out = map_rows(flat, make, ", ".join(f"{n} {t}" for n, t in flat.dtypes) + ", clean boolean").where("clean")
+    return out.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(docs.columns)])
