@@ -395,10 +395,6 @@ def opened(packed: bytes) -> list[bytes]:
 SPANS = "spans array<struct<first:int,last:int,other_first:int,other_last:int>>"
 
 
-def _named(spans: list[tuple[int, int, int, int]], base: int = 0, other_base: int = 0) -> list[dict]:
-    return [{"first": i + base, "last": j + base, "other_first": x + other_base, "other_last": y + other_base} for i, j, x, y in spans]
-
-
 def verified(pairs: DataFrame, packed: DataFrame, words: int, k: int, similarity: float) -> DataFrame:
     """``row, other, spans, missed`` of ``row, other, anchors``: passages found in whole texts, and the anchors that no passage holds.
 
@@ -414,7 +410,7 @@ def verified(pairs: DataFrame, packed: DataFrame, words: int, k: int, similarity
                 if last[0] != u:
                     last = (u, Target(shingles(opened(u), k), words - k + 1))
                 got = passages(shingles(opened(t), k), last[1], anchors, words, k, similarity)
-                spans.append(_named(got))
+                spans.append([{"first": i, "last": j, "other_first": x, "other_last": y} for i, j, x, y in got])
                 missed.append([c for c in anchors if not any(i <= c <= j for i, j, _, _ in got)])
             return {"row": batch.column(0), "other": batch.column(1), "spans": spans, "missed": missed}
 
@@ -425,8 +421,8 @@ def verified(pairs: DataFrame, packed: DataFrame, words: int, k: int, similarity
     return out
 
 
-def neighbourhoods(places: DataFrame, packed: DataFrame, k: int, width: int) -> DataFrame:
-    """``row, c, l, r, base, anchor, around``: shingles around each place, from ``width`` before its window to as many after it, where they begin and where among them the place is."""
+def shingled(places: DataFrame, packed: DataFrame, k: int, width: int) -> DataFrame:
+    """``row, c, l, r, anchor, around``: 32 bits of each shingle from ``width`` before l to as many after r, and where among them c's value stands."""
     asked = places.groupBy("row").agg(F.collect_set(F.struct("c", "l", "r")).alias("asked"))
 
     def make():
@@ -434,15 +430,16 @@ def neighbourhoods(places: DataFrame, packed: DataFrame, k: int, width: int) ->
             out = []
             for row, asked, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 h = shingles(opened(p), k)
+                few = (h >> np.uint64(32)).astype(np.uint32)
                 for a in asked:
                     lo = max(0, a["l"] - width)
-                    at = a["l"] + int(np.argmax(h[a["l"] : a["r"] + 1] == h[a["c"]]))  # c may lie before a run of its value
-                    out.append((row, a["c"], a["l"], a["r"], lo, at - lo, h[lo : a["r"] + 1 + width].tobytes()))
-            return dict(zip(("row", "c", "l", "r", "base", "anchor", "around"), map(list, zip(*out, strict=True)), strict=True))
+                    at = a["l"] - lo + int(np.argmax(h[a["l"] : a["r"] + 1] == h[a["c"]]))  # c may lie before a run of its value
+                    out.append((row, a["c"], a["l"], a["r"], at, few[lo : a["r"] + 1 + width].tobytes()))
+            return dict(zip(("row", "c", "l", "r", "anchor", "around"), map(list, zip(*out, strict=True)), strict=True))
 
         return step
 
-    return map_rows(asked.join(packed, "row"), make, "row long, c int, l int, r int, base int, anchor int, around binary")
+    return map_rows(asked.join(packed, "row"), make, "row long, c int, l int, r int, anchor int, around binary")
 
 
 def dense(a: np.ndarray, own: np.ndarray, other: np.ndarray, width: int, shares: tuple[float, ...]) -> list[bool]:
@@ -469,36 +466,30 @@ def may_be_alike(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarra
     return y[0] and (x[1] or y[1])
 
 
-def equal_stretches(around: list[np.ndarray], row: np.ndarray, asked: np.ndarray, width: int) -> list[tuple[int, int, int, int, int]]:
-    """(place, its first, last, the earliest place with the same, its first) of stretches of ``width`` shingles that an earlier row has, for the places asked for; places ascend by row."""
-    long = [x for x in range(len(row)) if len(around[x]) >= width]
-    if len(long) < 2:
-        return []
-    names = [_stretches(around[x], width) for x in long]
-    owner, at = np.repeat(long, [len(n) for n in names]), np.concatenate([np.arange(len(n)) for n in names])
+def equal_stretches(around: list[np.ndarray], row: np.ndarray, asked: np.ndarray, width: int) -> set[tuple[int, int]]:
+    """(place, earliest place) of places that have a stretch of ``width`` shingles of an earlier row, where either is asked for; places ascend by row."""
+    names = [_stretches(x, width) for x in around]
+    owner = np.repeat(np.arange(len(row)), [len(n) for n in names])
     _, first, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
-    of = first[number]
-    later = np.flatnonzero((row[owner[of]] != row[owner]) & (asked[owner] | asked[owner[of]]))
-    if not len(later):
-        return []
-    goes_on = (np.diff(later) == 1) & (np.diff(owner[later]) == 0) & (np.diff(owner[of[later]]) == 0) & (np.diff(at[of[later]]) == 1)
-    return [(int(owner[p[0]]), int(at[p[0]]), int(at[p[-1]]) + width - 1, int(owner[of[p[0]]]), int(at[of[p[0]]])) for p in np.split(later, np.flatnonzero(~goes_on) + 1)]
+    of = owner[first[number]]
+    later = np.flatnonzero((row[of] != row[owner]) & (asked[owner] | asked[of]))
+    return set(zip(owner[later].tolist(), of[later].tolist(), strict=True))
 
 
 def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> list[tuple]:
-    """Passages between the windows of one signature, in a chunk or between two (rows ascending).
+    """(row, other, c) of windows of one signature that are alike, in a chunk or between two (rows ascending).
 
     Equal stretches are found by their hashes, for all windows at once. Windows that missed the first
     document of the signature (``miss``) are then compared with all whose documents are not connected
     with theirs yet.
     """
     width = words - k + 1
-    i, j, row, root, base, anchor, miss, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "row", "root", "base", "anchor", "miss", "part"))
-    around = [np.frombuffer(x, dtype=np.uint64) for x in batch.column("around").to_pylist()]
+    i, j, row, root, c, anchor, miss, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "row", "root", "c", "anchor", "miss", "part"))
+    around = [np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in batch.column("around").to_pylist()]
     root, out = root.copy(), []
     # equal stretches share all signatures, so some of these are enough
-    for x, first, last, y, other in equal_stretches(around, row, miss, width) if batch.column("key")[0].as_py() & 1 else ():
-        out.append((int(row[x]), int(row[y]), _named([(first, last + k - 1, other, other + last - first + k - 1)], int(base[x]), int(base[y]))))
+    for x, y in sorted(equal_stretches(around, row, miss, width)) if batch.column("key")[0].as_py() & 1 else ():
+        out.append((int(row[x]), int(row[y]), int(c[x])))
         root[root == root[x]] = root[y]
     left, right = np.flatnonzero(miss & (part == i[0])), np.flatnonzero(part == j[0])
     if not len(left) or not len(right) or (root == root[0]).all():
@@ -522,9 +513,8 @@ def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> li
             a, b = (x, y) if row[x] > row[y] else (y, x)
             if b not in targets:
                 targets[b] = Target(around[b], width)
-            got = passages(around[a], targets[b], [int(anchor[a])], words, k, similarity)
-            if got:
-                out.append((int(row[a]), int(row[b]), _named(got, int(base[a]), int(base[b]))))
+            if passages(around[a], targets[b], [int(anchor[a])], words, k, similarity):
+                out.append((int(row[a]), int(row[b]), int(c[a])))
                 root[root == root[y]] = root[x]
     return out
 
@@ -537,46 +527,37 @@ def left_out(checked: DataFrame, k: int) -> DataFrame:
     return missed.where(~inside).select("row", "first", "c")
 
 
-def second(met: DataFrame, checked: DataFrame, k: int) -> DataFrame:
-    """``row, other, anchors``: windows that the first document of their signature does not explain, with the first of these."""
-    open_ones = met.where("n > 2").join(left_out(checked, k), ["row", "first", "c"]).select("key", "row", "c")
-    leaders = open_ones.groupBy("key").agg(F.min("row").alias("other"), F.count("*").alias("n"))
-    again = join_counted(open_ones, written(leaders.where("n > 1"), "leaders"), ["key"]).where("row <> other")
-    pairs = again.groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors"))
-    return written(pairs.join(checked.select("row", "other"), ["row", "other"], "left_anti"), "second")
-
-
 def rest(met: DataFrame, checked: DataFrame, packed: DataFrame, words: int, k: int, similarity: float) -> DataFrame | None:
-    """``row, other, spans`` of documents that share a signature but no passage with its first document.
+    """``row, other, anchors`` of documents that are alike where they share a signature, though not like its first document.
 
     Where windows of a signature are in no passage yet, or their documents not connected, all windows
     of that signature are compared, in pairs of chunks: for equal stretches, and for alike passages
-    between documents not connected yet. Nothing but verified passages leaves a task.
+    between documents not connected yet. Nothing but alike windows leaves a task.
     """
     roots = written(components(checked.where(F.size("spans") > 0).select(F.col("row").alias("a"), F.col("other").alias("b"))), "roots")
     missed = checked.where(F.size("missed") > 0).select("row", F.col("other").alias("first"), F.explode("missed").alias("c"))
     for side in ("row", "first"):
         missed = missed.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-    apart = missed.where(F.coalesce("row_root", "row") != F.coalesce("first_root", "first")).select("row", "first", "c")
-    missed = written(apart.unionByName(left_out(checked, k)).distinct().withColumn("miss", F.lit(True)), "missed")
-    counts = met.groupBy("key").agg(F.count("*").alias("n"))
-    keys = written(met.where("n > 2").join(missed, ["row", "first", "c"]).select("key").distinct().join(counts, "key"), "mixed")
+    apart = missed.where(F.coalesce("row_root", "row") != F.coalesce("first_root", "first")).select("row", "first", "c", F.lit(True).alias("apart"))
+    missed = written(apart.unionByName(left_out(checked, k).withColumn("apart", F.lit(False))).groupBy("row", "first", "c").agg(F.max("apart").alias("apart")), "missed")
+    asked = met.where("n > 2").join(missed, ["row", "first", "c"]).where(F.col("apart") | (F.col("key").bitwiseAND(F.lit(1)) == 1))
+    keys = written(met.groupBy("key").agg(F.count("*").alias("n")).join(asked.select("key").distinct(), "key"), "mixed")
     if keys.isEmpty():
         return None
     places = join_counted(met.select("key", "row", "c", "l", "r", "first"), keys, ["key"])
-    places = places.join(missed, ["row", "first", "c"], "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    places = places.join(missed.select("row", "first", "c", F.lit(True).alias("miss")), ["row", "first", "c"], "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
     places = written(places.withColumn("miss", F.coalesce("miss", F.lit(False))).withColumn("root", F.coalesce("root", "row")), "places")
-    around = neighbourhoods(places, packed, k, words - k + 1)
-    full = written(places.join(around, ["row", "c", "l", "r"]).select("key", "row", "root", "base", "anchor", "around", "miss", F.ceil(F.col("n") / CHUNK).cast("int").alias("m")), "around")
+    full = places.join(shingled(places, packed, k, words - k + 1), ["row", "c", "l", "r"]).withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
     full = full.withColumn("part", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
     # every window goes to the tasks in which its chunk stands on either side
     every = F.sequence(F.lit(0), F.col("m") - 1)
     tasks = F.array_distinct(F.concat(F.transform(every, lambda o: F.struct(o.alias("i"), F.col("part").alias("j"))), F.transform(every, lambda o: F.struct(F.col("part").alias("i"), o.alias("j")))))
-    dealt = full.withColumn("t", F.explode(tasks)).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "row", "root", "base", "anchor", "around", "miss", "part")
-    some = written(map_groups(dealt, ["key", "i", "j"], ["row", "base"], lambda b: compared(b, words, k, similarity), f"row long, other long, {SPANS}"), "rest")
-    for t in (roots, missed, keys, places, full):
+    dealt = full.withColumn("t", F.explode(tasks)).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "row", "root", "c", "anchor", "around", "miss", "part")
+    some = map_groups(dealt, ["key", "i", "j"], ["row", "c"], lambda b: compared(b, words, k, similarity), "row long, other long, c int")
+    out = written(some.groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors")), "rest")
+    for t in (roots, missed, keys, places):
         drop_written(t)
-    return some
+    return out
 
 
 def distinct_texts(table: DataFrame, text: str) -> DataFrame:
@@ -621,14 +602,15 @@ def near_passages(table: DataFrame, text: str, *, hashes: int = HASHES, words: i
     packed = squeezed(keyed)
     pairs = written(met.where("row <> first").groupBy("row", F.col("first").alias("other")).agg(F.sort_array(F.collect_set("c")).alias("anchors")), "pairs")
     checked = verified(pairs, packed, words, k, similarity)
-    checked = checked.unionByName(verified(second(met, checked, k), packed, words, k, similarity))
     more = rest(met, checked, packed, words, k, similarity)
+    if more is not None:
+        checked = checked.unionByName(verified(more, packed, words, k, similarity))
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"), F.lit(0).alias("other_first"), (F.col("n_words") - 1).alias("other_last")))
     out = checked.where(F.size("spans") > 0).select("row", "other", "spans").unionByName(copies.where(F.col("n_words") >= words).select("row", "other", whole.alias("spans")))
     for t in (keys, pairs, met):
         drop_written(t)
     release(table.sparkSession)
-    return out if more is None else out.unionByName(more)
+    return out
 
 
 def _covered(spans: Column) -> Column:
