@@ -157,7 +157,7 @@ def release(spark: SparkSession) -> None:
 def numbered(docs: DataFrame, id_col: str, name: str = "numbered") -> DataFrame:
     """``row`` and ``all`` (a struct of the columns), written once, so that every later step sees the same numbers.
 
-    Rows ascend by id, null ids last; rows of one id keep the order of the table. A id that very many
+    Rows ascend by id, null ids last; rows of one id keep the order of the table. An id that very many
     rows have spreads over several partitions.
     """
     kept = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
@@ -166,7 +166,10 @@ def numbered(docs: DataFrame, id_col: str, name: str = "numbered") -> DataFrame:
     keyed = keyed.select("all", "place", at.isNull().alias("no_id"), at.alias("id"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     dealt = keyed.repartitionByRange(parts, "no_id", "id", "place").sortWithinPartitions("no_id", "id", "place")
-    return written(dealt.select(F.monotonically_increasing_id().alias("row"), "all"), name)
+    out = written(dealt.select(F.monotonically_increasing_id().alias("row"), "all"), name)
+    del dealt, keyed
+    release(docs.sparkSession)
+    return out
 
 
 def column_of(docs: DataFrame, name: str) -> str:

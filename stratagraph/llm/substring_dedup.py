@@ -23,8 +23,8 @@ from stratagraph.llm.common import column_of, drop_written, join_counted, map_gr
 from stratagraph.llm.components import components
 from stratagraph.shipping import ship
 
-#: Two of HASHES functions must agree: passages at 0.8 share a signature with probability 1 - 0.2**5 - 5 * 0.8 * 0.2**4 = 0.9933, equal ones always.
-SHINGLE, WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 5
+#: Two of HASHES functions must agree: passages at 0.8 share a signature with probability 1 - 0.2**4 - 4 * 0.8 * 0.2**3 = 0.973, equal ones always.
+SHINGLE, WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
 CACHE = 100_000
 #: A mismatch weighs as many matches as keep the share of matches at SIMILARITY.
 PENALTY, DROP = 4, 60
@@ -418,6 +418,7 @@ def verified(pairs: DataFrame, packed: DataFrame, words: int, k: int, similarity
 
     out = written(map_rows(both, make, f"row long, other long, {SPANS}, missed array<int>"), "verified")
     drop_written(counted)
+    release(pairs.sparkSession)
     return out
 
 
@@ -560,19 +561,6 @@ def rest(met: DataFrame, checked: DataFrame, packed: DataFrame, words: int, k: i
     return out
 
 
-def distinct_texts(table: DataFrame, text: str) -> DataFrame:
-    """``row, name, n_words``: a hash of the words, by which equal texts are found."""
-
-    def make():
-        def step(batch):
-            own = [split(t) for t in texts(batch)]
-            return {"row": batch.column(0), "name": [xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in own], "n_words": [len(w) for w in own]}
-
-        return step
-
-    return map_rows(table.select("row", F.col(text).alias("text")), make, "row long, name string, n_words int")
-
-
 def near_passages(table: DataFrame, text: str, *, hashes: int = HASHES, words: int = WORDS, k: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``row, other, spans``: verified passages of a later row and an earlier one that has them, of a ``numbered`` table.
 
@@ -582,14 +570,16 @@ def near_passages(table: DataFrame, text: str, *, hashes: int = HASHES, words: i
     earlier ones; rows that share a passage are connected by such pairs, not all paired.
     """
     width = words - k + 1
-    names = distinct_texts(table, text)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    names = table.select("row", F.md5(whole).alias("name"), F.regexp_count(whole, F.lit(r"[^\x20\x09-\x0D]+")).alias("n_words"))
     first = names.groupBy("name").agg(F.min("row").alias("other"), F.max("row").alias("last"), F.count("*").alias("n"))
     again = written(first.where("other <> last").select("name", "other", "n"), "texts")
     copies = written(join_counted(names, again, ["name"]).where("row <> other").select("row", "other", "n_words"), "copies")
     drop_written(again)
-    keyed = table.select("row", F.coalesce(F.col(text), F.lit("")).alias("text"))
+    keyed = table.select("row", whole.alias("text"))
     alone = keyed.join(copies.select("row"), "row", "left_anti")
     found = written(windows(alone, hashes, words, k), "compact")
+    release(table.sparkSession)
     some, keys = shared(found, "windows")
     with wide_batches(table.sparkSession):
         joint = written(signatures(some, hashes, width), "signatures")
@@ -599,15 +589,16 @@ def near_passages(table: DataFrame, text: str, *, hashes: int = HASHES, words: i
     met, keys = shared(joint, "signatures")
     met = written(met, "met")
     drop_written(joint)
-    packed = squeezed(keyed)
+    packed = written(squeezed(keyed.join(met.select("row").distinct(), "row", "left_semi")), "packed")
+    release(table.sparkSession)
     pairs = written(met.where("row <> first").groupBy("row", F.col("first").alias("other")).agg(F.sort_array(F.collect_set("c")).alias("anchors")), "pairs")
     checked = verified(pairs, packed, words, k, similarity)
     more = rest(met, checked, packed, words, k, similarity)
     if more is not None:
         checked = checked.unionByName(verified(more, packed, words, k, similarity))
-    whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"), F.lit(0).alias("other_first"), (F.col("n_words") - 1).alias("other_last")))
-    out = checked.where(F.size("spans") > 0).select("row", "other", "spans").unionByName(copies.where(F.col("n_words") >= words).select("row", "other", whole.alias("spans")))
-    for t in (keys, pairs, met):
+    every = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last"), F.lit(0).alias("other_first"), (F.col("n_words") - 1).alias("other_last")))
+    out = checked.where(F.size("spans") > 0).select("row", "other", "spans").unionByName(copies.where(F.col("n_words") >= words).select("row", "other", every.alias("spans")))
+    for t in (keys, pairs, met, packed):
         drop_written(t)
     release(table.sparkSession)
     return out
