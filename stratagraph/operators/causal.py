@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from stratagraph.functions.columns import uniform
 from stratagraph.functions.special import pearson_p_col
+from stratagraph.sources.steps import step
 
 
 def _inverse3(a: list[Column]) -> list[Column]:
@@ -21,9 +22,9 @@ def its_poisson(series: DataFrame, at: int, end: int, iterations: int = 12) -> D
     """Poisson regression of y on 1, t and a step at ``at``, over t < end, by reweighted least squares.
 
     Each iteration is one aggregate of nine sums by series, whatever the length of a series. Returns
-    coefficients, standard errors and z values.
+    coefficients, standard errors and z values. The series is checkpointed, as every iteration reads it.
     """
-    rows = series.where(F.col("t") < end).select("series", F.col("t").cast("double").alias("t"), (F.col("t") >= at).cast("double").alias("s"), (F.col("y") + 1e-6).alias("y"))
+    rows = step(series.where(F.col("t") < end).select("series", F.col("t").cast("double").alias("t"), (F.col("t") >= at).cast("double").alias("s"), (F.col("y") + 1e-6).alias("y")))
     # from the level of the series: from 0, large counts would take a step for each unit of their logarithm's overshoot
     beta = rows.groupBy("series").agg(F.log(F.avg("y")).alias("b0")).select("series", "b0", F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
     x = [F.lit(1.0), F.col("t"), F.col("s")]

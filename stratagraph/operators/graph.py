@@ -15,15 +15,15 @@ from stratagraph.shipping import ship
 
 
 def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, n: int, seasons, iterations: int = 20, every: int = 5) -> DataFrame:
-    """Power iteration from the uniform vector, each step normalised to sum 1."""
+    """Power iteration from the uniform vector, normalised to sum 1 after every few steps: scaling commutes with a step."""
     x = nodes.select("node", F.explode(F.array(*map(F.lit, seasons))).alias("season"), F.lit(1.0 / n).alias("x"))
-    e = edges.select("season", F.col("src").alias("node"), "dst", "w")
+    e = step(edges.select("season", F.col("src").alias("node"), "dst", "w"))
     for i in range(iterations):
-        y = e.join(x, ["season", "node"]).groupBy("season", F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-        total = y.groupBy("season").agg(F.sum("y").alias("t"))
-        x = y.join(total, "season").select("node", "season", (F.col("y") / (F.col("t") + 1e-12)).alias("x"))
-        if i % every == every - 1 and i < iterations - 1:
+        x = e.join(x, ["season", "node"]).groupBy("season", F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+        if i % every == every - 1 or i == iterations - 1:
             x = step(x)
+            total = x.groupBy("season").agg(F.sum("x").alias("t"))
+            x = x.join(total, "season").select("node", "season", (F.col("x") / (F.col("t") + 1e-12)).alias("x"))
     return nodes.select("node", F.explode(F.array(*map(F.lit, seasons))).alias("season")).join(x, ["node", "season"], "left").select("season", "node", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("eigenvector"))
 
 

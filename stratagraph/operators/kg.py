@@ -87,14 +87,19 @@ def negative_probabilities(quads: DataFrame, entities: DataFrame) -> DataFrame:
     return w.crossJoin(w.agg(F.sum("w").alias("total"))).select("id", "n", (F.col("w") / F.col("total")).alias("p"))
 
 
-def negative_samples(positives: DataFrame, probabilities: DataFrame, per_positive: int) -> DataFrame:
-    """Tails drawn for each positive (``pos_id``) by inverting the cumulative probabilities at hash-uniform points."""
-    acc = W.orderBy("id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    upper = probabilities.select("id", F.sum("p").over(acc).alias("hi"), "p")
-    table = upper.agg(F.sort_array(F.collect_list(F.struct("hi", "id"))).alias("cdf"))  # a row as long as the vocabulary
+def negative_samples(positives: DataFrame, probabilities: DataFrame, per_positive: int, bins: int = 1024) -> DataFrame:
+    """Tails drawn for each positive (``pos_id``) by inverting the cumulative probabilities at hash-uniform points.
+
+    A tail owns the interval between its predecessor's cumulative probability and its own; points meet
+    their interval in bins of the unit line, an equi-join with a check.
+    """
+    order = W.orderBy("id")
+    upper = probabilities.select("id", F.sum("p").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("hi"))
+    owned = upper.select("id", F.lag("hi", 1, 0.0).over(order).alias("lo"), "hi")
+    owned = owned.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.floor(F.col("hi") * bins))))
     draws = positives.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1)))).withColumn("u", uniform(F.col("pos_id") * per_positive + F.col("j")))
-    found = draws.crossJoin(table).withColumn("k", F.expr("least(size(filter(cdf, x -> x.hi <= u)), size(cdf) - 1)"))
-    return found.select("pos_id", "j", F.col("cdf")[F.col("k")]["id"].alias("neg"))
+    met = draws.withColumn("bin", F.floor(F.col("u") * bins)).join(owned, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    return met.select("pos_id", "j", F.col("id").alias("neg"))
 
 
 def margin_loss(scored: DataFrame, margin: float) -> DataFrame:
@@ -136,7 +141,12 @@ def novel_links(scores: DataFrame, known: DataFrame, threshold: float, k: int) -
     return mean.withColumn("prob", F.round(sigmoid(F.col("score")), 6)).where(F.col("prob") > threshold).orderBy(F.desc("prob"), "h", "cand").limit(k).select("h", "cand", "prob")
 
 
-def recommend(scores: DataFrame, deployed: DataFrame, k: int) -> DataFrame:
-    """The k best heads with whether they are deployed already."""
-    ranked = scores.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "h").limit(k)
-    return ranked.join(deployed, "h", "left").select("h", "score", F.coalesce("deployed", F.lit(False)).alias("deployed"))
+def recommend(scores: DataFrame, deployed: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
+    """The k best heads, of each group of ``by`` or of all, with whether they are deployed already."""
+    by = by or []
+    ranked = scores.withColumn("score", F.round("score", 6))
+    if by:
+        ranked = ranked.withColumn("_k", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), "h"))).where(F.col("_k") <= k).drop("_k")
+    else:
+        ranked = ranked.orderBy(F.desc("score"), "h").limit(k)
+    return ranked.join(deployed, [*by, "h"], "left").select(*by, "h", "score", F.coalesce("deployed", F.lit(False)).alias("deployed"))

@@ -94,11 +94,12 @@ def neg_sampling_prob(spark, d):
     return kg.negative_probabilities(g.quads, g.entities).withColumn("p", F.round("p", 8))
 
 
-@query("WITH " + PROB_SQL + """, cum AS (SELECT id, sum(p) OVER (ORDER BY id) AS hi FROM pr), pos AS (SELECT (h*1000+t)::BIGINT AS pos_id FROM quads WHERE tau=0 AND r=0), dr AS (SELECT pos_id, j::INTEGER AS j, (((((pos_id*4+j)*1103515245+12345)%2147483648)*1103515245+12345)%2147483648)/2147483648.0::DOUBLE AS u FROM pos, range(0,4) t(j))
-SELECT pos_id, j, (SELECT min(id) FROM cum WHERE hi>u)::INTEGER AS neg FROM dr""")
+@query("WITH " + PROB_SQL + """, cum AS (SELECT id, sum(p) OVER (ORDER BY id) AS hi FROM pr), pos AS (SELECT (((tau*10+r)*1000+h)*1000+t)::BIGINT AS pos_id FROM quads), dr AS (SELECT pos_id, j::INTEGER AS j, (((((pos_id*4+j)*1103515245+12345)%2147483648)*1103515245+12345)%2147483648)/2147483648.0::DOUBLE AS u FROM pos, range(0,4) t(j)),
+iv AS (SELECT id, hi, lag(hi, 1, 0.0::DOUBLE) OVER (ORDER BY id) AS lo FROM cum)
+SELECT pos_id, j, id::INTEGER AS neg FROM dr JOIN iv ON u>=lo AND u<hi""")
 def negative_samples(spark, d):
     g = Graph(spark, d)
-    pos = g.quads.where("tau = 0 AND r = 0").select((F.col("h") * 1000 + F.col("t")).cast("long").alias("pos_id"))
+    pos = g.quads.select((((F.col("tau").cast("long") * 10 + F.col("r")) * 1000 + F.col("h")) * 1000 + F.col("t")).alias("pos_id"))
     return kg.negative_samples(pos, kg.negative_probabilities(g.quads, g.entities), 4)
 
 
@@ -108,28 +109,38 @@ def emb(spark, d):
     return tables.read(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.slice(v, 1, 32).alias("re"), F.slice(v, 33, 32).alias("im"))
 
 
-#: Rows (nation, relation, point in time, brand) to score, by their vector ids.
-SCORED_SQL = """
-cand AS (SELECT h::INTEGER AS h, r::INTEGER AS r, tau::INTEGER AS tau, t::INTEGER AS t FROM range(0,25) a(h), range(200,205) b(r), (SELECT unnest([301,306]) AS tau) c, range(100,125) e(t)),
-x AS (SELECT vec_id::INTEGER AS id, k, embedding[k]::DOUBLE AS re, embedding[k+32]::DOUBLE AS im FROM embeddings, range(1,33) g(k)),
-z AS (SELECT cand.*, eh.re AS hr, eh.im AS hi, er.re AS rr, er.im AS ri, ev.re AS vr, ev.im AS vi, et.re AS tr, et.im AS ti FROM cand JOIN x eh ON eh.id=h JOIN x er ON er.id=r AND er.k=eh.k JOIN x ev ON ev.id=tau AND ev.k=eh.k JOIN x et ON et.id=t AND et.k=eh.k)
-"""
+#: Scores of queries: every vector whose id is divisible by 20 as head, with five relations and two points in time, against all vectors as tails.
+VECTORS_SQL = "x AS (SELECT vec_id::INTEGER AS id, k, embedding[k]::DOUBLE AS re, embedding[k+32]::DOUBLE AS im FROM embeddings, range(1,33) g(k))"
+JOINED_SQL = "z AS (SELECT cand.*, eh.k, eh.re AS hr, eh.im AS hi, er.re AS rr, er.im AS ri, ev.re AS vr, ev.im AS vi, et.re AS tr, et.im AS ti FROM cand JOIN x eh ON eh.id=h JOIN x er ON er.id=r AND er.k=eh.k JOIN x ev ON ev.id=tau AND ev.k=eh.k JOIN x et ON et.id=t AND et.k=eh.k)"
+SCORED_SQL = "cand AS (SELECT h.vec_id::INTEGER AS h, r::INTEGER AS r, tau::INTEGER AS tau, t.vec_id::INTEGER AS t FROM embeddings h, range(200,205) b(r), (SELECT unnest([301,306]) AS tau) c, embeddings t WHERE h.vec_id%20=0), " + VECTORS_SQL + ", " + JOINED_SQL
+#: The same for all nations (0 to 24), priorities (200 to 204), years (300 to 306) and brands (100 to 124) by their vectors.
+KNOWN_SQL = "cand AS (SELECT h::INTEGER AS h, r::INTEGER AS r, tau::INTEGER AS tau, t::INTEGER AS t FROM range(0,25) a(h), range(200,205) b(r), range(300,307) c(tau), range(100,125) e(t)), " + VECTORS_SQL + ", " + JOINED_SQL
 S = "WITH " + SCORED_SQL
 HEAD = S + " SELECT h, r, tau, t, round("
 TAIL = ",6)+0.0::DOUBLE AS score FROM z GROUP BY h, r, tau, t"
 TC = "sum((hr*(rr+vr)-hi*(ri+vi))*tr+(hr*(ri+vi)+hi*(rr+vr))*ti)"
 
 
-def candidates(spark, d, times=(301, 306)):
-    """A head, relation and point in time meet every tail once; what does not depend on the tail is looked up before."""
+def _vectors(e, where, p):
+    return e.where(where).select(F.col("id").alias(p), F.col("re").alias(f"{p}_re"), F.col("im").alias(f"{p}_im"))
+
+
+def candidates(spark, d):
+    """Queries and all tails: a stated set of heads against every vector."""
+    e = emb(spark, d)
+    left = _vectors(e, "id % 20 = 0", "h").crossJoin(_vectors(e, "id BETWEEN 200 AND 204", "r")).crossJoin(_vectors(e, "id IN (301, 306)", "tau"))
+    return left.crossJoin(_vectors(e, "true", "t"))
+
+
+def known_candidates(spark, d, times=range(300, 307)):
+    """Every nation, priority and year with every brand."""
     e = emb(spark, d)
-    take = lambda lo, hi, p: e.where(F.col("id").between(lo, hi)).select(F.col("id").alias(p), F.col("re").alias(f"{p}_re"), F.col("im").alias(f"{p}_im"))
-    left = take(0, 24, "h").crossJoin(take(200, 204, "r")).crossJoin(take(300, 306, "tau").where(F.col("tau").isin(*times)))
-    return left.crossJoin(take(100, 124, "t"))
+    left = _vectors(e, "id BETWEEN 0 AND 24", "h").crossJoin(_vectors(e, "id BETWEEN 200 AND 204", "r")).crossJoin(_vectors(e, F.col("id").isin(*times), "tau"))
+    return left.crossJoin(_vectors(e, "id BETWEEN 100 AND 124", "t"))
 
 
-def scored(spark, d, score, times=(301, 306)):
-    return candidates(spark, d, times).select("h", "r", "tau", "t", (F.round(score, 6) + 0.0).alias("score"))
+def scored(rows, score):
+    return rows.select("h", "r", "tau", "t", (F.round(score, 6) + 0.0).alias("score"))
 
 
 ARGS = ("h_re", "h_im", "r_re", "r_im", "tau_re", "tau_im", "t_re", "t_im")
@@ -141,55 +152,55 @@ def tcomplex():
 
 @query(HEAD + TC + TAIL)
 def score_tcomplex(spark, d):
-    return scored(spark, d, tcomplex())
+    return scored(candidates(spark, d), tcomplex())
 
 
 @query(HEAD + "sum((hr*rr-hi*ri)*tr+(hr*ri+hi*rr)*ti)" + TAIL)
 def score_complex(spark, d):
-    return scored(spark, d, scoring.complex_score("h_re", "h_im", "r_re", "r_im", "t_re", "t_im"))
+    return scored(candidates(spark, d), scoring.complex_score("h_re", "h_im", "r_re", "r_im", "t_re", "t_im"))
 
 
 @query(HEAD + "sum(hr*rr*tr)" + TAIL)
 def score_distmult(spark, d):
-    return scored(spark, d, scoring.distmult("h_re", "r_re", "t_re"))
+    return scored(candidates(spark, d), scoring.distmult("h_re", "r_re", "t_re"))
 
 
 @query(HEAD + "-sum(abs(hr+rr-tr))" + TAIL)
 def score_transe(spark, d):
-    return scored(spark, d, scoring.transe("h_re", "r_re", "t_re"))
+    return scored(candidates(spark, d), scoring.transe("h_re", "r_re", "t_re"))
 
 
 @query(HEAD + "-sum((hr*rr/(sqrt(rr*rr+ri*ri)+1e-12)-hi*ri/(sqrt(rr*rr+ri*ri)+1e-12)-tr)**2+(hr*ri/(sqrt(rr*rr+ri*ri)+1e-12)+hi*rr/(sqrt(rr*rr+ri*ri)+1e-12)-ti)**2)" + TAIL)
 def score_rotate(spark, d):
-    return scored(spark, d, scoring.rotate("h_re", "h_im", "r_re", "r_im", "t_re", "t_im"))
+    return scored(candidates(spark, d), scoring.rotate("h_re", "h_im", "r_re", "r_im", "t_re", "t_im"))
 
 
 @query(HEAD + "sum(hr*(rr+vr)*tr)" + TAIL)
 def score_tuckert(spark, d):
-    return scored(spark, d, scoring.tucker_t("h_re", "r_re", "tau_re", "t_re"))
+    return scored(candidates(spark, d), scoring.tucker_t("h_re", "r_re", "tau_re", "t_re"))
 
 
 @query(HEAD + TC + "+0.1*sum(hi*ti)/((sqrt(sum(hi*hi))+1e-12)*(sqrt(sum(ti*ti))+1e-12))" + TAIL)
 def score_attr_bonus(spark, d):
-    return scored(spark, d, scoring.attribute_bonus(tcomplex(), F.col("h_im"), F.col("t_im")))
+    return scored(candidates(spark, d), scoring.attribute_bonus(tcomplex(), F.col("h_im"), F.col("t_im")))
 
 
-@query(S + """, pj AS (SELECT h.id AS t, k.k, sum(h.im*w.im) + any_value(b.re) AS v FROM x h JOIN x w ON w.k=h.k AND w.id BETWEEN 400 AND 431 JOIN (SELECT id, k, re FROM x WHERE id=399) b ON b.k=w.id-399 JOIN (SELECT DISTINCT k FROM x) k ON k.k=w.id-399 WHERE h.id BETWEEN 120 AND 124 GROUP BY h.id, k.k),
+@query(S + """, pj AS (SELECT h.id AS t, k.k, sum(h.im*w.im) + any_value(b.re) AS v FROM x h JOIN x w ON w.k=h.k AND w.id BETWEEN 400 AND 431 JOIN (SELECT id, k, re FROM x WHERE id=399) b ON b.k=w.id-399 JOIN (SELECT DISTINCT k FROM x) k ON k.k=w.id-399 WHERE h.id%5=4 GROUP BY h.id, k.k),
 zz AS (SELECT z0.h, z0.r, z0.tau, z0.t, sum(z0.hr*z0.rr*coalesce(pj.v, z0.tr)) AS s FROM (SELECT cand.*, eh.k, eh.re AS hr, er.re AS rr, et.re AS tr FROM cand JOIN x eh ON eh.id=h JOIN x er ON er.id=r AND er.k=eh.k JOIN x et ON et.id=t AND et.k=eh.k) z0 LEFT JOIN pj ON pj.t=z0.t AND pj.k=z0.k GROUP BY ALL)
-SELECT h, r, tau, t, round(s,6) AS score FROM zz""")
+SELECT h, r, tau, t, round(s,6)+0.0::DOUBLE AS score FROM zz""")
 def score_inductive(spark, d):
-    """Brands 120 to 124 are unseen: their vectors come from features (the second half) by a weight table of 32 rows."""
+    """Vectors with id % 5 = 4 stand for unseen entities: their vectors come from features (the second half) by a weight table of 32 rows."""
     e = emb(spark, d)
     w = e.where("id BETWEEN 400 AND 431").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "im"))), lambda x: x["im"]).alias("w"))
     b = e.where("id = 399").select(F.col("re").alias("b"))
     rows = candidates(spark, d).crossJoin(w).crossJoin(b)
-    tail = scoring.projected(F.when(F.col("t") < 120, F.col("t_re")), F.col("t_im"), F.col("w"), F.col("b"))
-    return rows.select("h", "r", "tau", "t", F.round(scoring.distmult("h_re", "r_re", tail), 6).alias("score"))
+    tail = scoring.projected(F.when(F.col("t") % 5 != 4, F.col("t_re")), F.col("t_im"), F.col("w"), F.col("b"))
+    return scored(rows, scoring.distmult("h_re", "r_re", tail))
 
 
 TREES_SQL = """
 tree AS (SELECT DISTINCT 'geo' AS hierarchy, 'root' AS parent, 'g:'||r_name AS child FROM region UNION SELECT 'geo', 'g:'||r_name, 'n:'||n_name FROM nation JOIN region ON n_regionkey=r_regionkey
-  UNION SELECT 'geo', 'n:'||n_name, 's:'||s_suppkey FROM supplier JOIN nation ON s_nationkey=n_nationkey WHERE s_suppkey<=60
+  UNION SELECT 'geo', 'n:'||n_name, 's:'||s_suppkey FROM supplier JOIN nation ON s_nationkey=n_nationkey
   UNION SELECT 'product', 'root', 't:'||p_type FROM part UNION SELECT 'product', 't:'||p_type, 'b:'||p_brand FROM part),
 clo AS (SELECT hierarchy, parent AS anc, child AS desc_ FROM tree UNION SELECT c.hierarchy, c.anc, t.child FROM clo c JOIN tree t ON t.hierarchy=c.hierarchy AND t.parent=c.desc_ WHERE c.anc<>t.child)
 """
@@ -203,7 +214,7 @@ def tree_edges(spark, d):
     nation = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     rows = [
         read("region").select(F.lit("geo"), F.lit("root"), pre("g:", "r_name")), nation.select(F.lit("geo"), pre("g:", "r_name"), pre("n:", "n_name")),
-        read("supplier").where("s_suppkey <= 60").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("geo"), pre("n:", "n_name"), pre("s:", F.col("s_suppkey").cast("string"))),
+        read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit("geo"), pre("n:", "n_name"), pre("s:", F.col("s_suppkey").cast("string"))),
         part.select(F.lit("product"), F.lit("root"), pre("t:", "p_type")), part.select(F.lit("product"), pre("t:", "p_type"), pre("b:", "p_brand")),
     ]
     out = rows[0].toDF("hierarchy", "parent", "child")
@@ -231,7 +242,7 @@ def hierarchy_extend(spark, d):
 #: A point for every tree node: four values of the embedding that its name's rank picks, held in the ball.
 POINTS_SQL = TREES_SQL + """,
 nn AS (SELECT node, row_number() OVER (ORDER BY node)-1 AS k FROM (SELECT parent AS node FROM tree UNION SELECT child FROM tree)),
-pt AS (SELECT node, [embedding[1]::DOUBLE*0.3, embedding[2]::DOUBLE*0.3, embedding[3]::DOUBLE*0.3, embedding[4]::DOUBLE*0.3] AS v FROM nn JOIN embeddings ON vec_id=k),
+pt AS (SELECT node, [embedding[1]::DOUBLE*0.3, embedding[2]::DOUBLE*0.3, embedding[3]::DOUBLE*0.3, embedding[4]::DOUBLE*0.3] AS v FROM nn JOIN embeddings ON vec_id=k%(SELECT count(*) FROM embeddings)),
 pn AS (SELECT node, v, sqrt(list_sum(list_transform(v, lambda q: q*q))) AS m FROM pt),
 p AS (SELECT node, CASE WHEN m>=1 THEN list_transform(v, lambda q: q/(m+1e-5)*(1-1e-5)) ELSE v END AS x FROM pn),
 pm AS (SELECT node, x, sqrt(list_sum(list_transform(x, lambda q: q*q))) AS m FROM p),
@@ -246,8 +257,9 @@ def points(spark, d):
     names = edges.select(F.explode(F.array("parent", "child")).alias("name"))
     ranked = kg._numbered(names).select(F.col("name").alias("node"), F.col("id").cast("long").alias("k"))
     v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double") * 0.3)
-    e = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("k"), v.alias("v"))
-    return ranked.join(e, "k").select("node", hyp.project(F.col("v")).alias("x"))
+    read = tables.read(spark, d, "embeddings")
+    e = read.select(F.col("vec_id").alias("k"), v.alias("v"))
+    return ranked.crossJoin(read.agg(F.count("*").alias("n"))).withColumn("k", F.col("k") % F.col("n")).join(e, "k").select("node", hyp.project(F.col("v")).alias("x"))
 
 
 @query(P + " SELECT node, round(m,6) AS norm FROM pm")
@@ -327,13 +339,13 @@ def score_causal(spark, d):
     return rows.select("h", "t", F.round(scoring.causal_bonus(scoring.distmult("h_re", "r_re", "t_re"), F.col("ce")), 6).alias("score"))
 
 
-#: Test rows of the last year in vector ids, all known rows before it, and TComplEx scores.
-RANK_SQL = FACTS_SQL + ", " + SCORED_SQL + """,
+#: All rows of the last year in vector ids, which are test rows and known rows alike, and TComplEx scores.
+RANK_SQL = FACTS_SQL + ", " + KNOWN_SQL + """,
 nid AS (SELECT 'n:'||n_name AS name, (row_number() OVER (ORDER BY n_name)-1)::INTEGER AS id FROM nation), bid AS (SELECT 'b:'||b AS name, (row_number() OVER (ORDER BY b)+99)::INTEGER AS id FROM (SELECT DISTINCT p_brand AS b FROM part)),
 rid AS (SELECT p AS name, (row_number() OVER (ORDER BY p)+199)::INTEGER AS id FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)),
 vq AS (SELECT nid.id AS h, rid.id AS r, bid.id AS t, tau+300 AS tau FROM named JOIN nid ON nid.name=h JOIN rid ON rid.name=r JOIN bid ON bid.name=t),
 sc AS (SELECT h, r, tau, t AS cand, round(""" + TC + """,6) AS score FROM z WHERE tau=306 GROUP BY ALL),
-te AS (SELECT * FROM vq WHERE tau=306 AND (h+t)%5=0), kn AS (SELECT DISTINCT h, r, tau, t FROM vq WHERE tau=306 AND (h+t)%5<>0),
+te AS (SELECT * FROM vq WHERE tau=306), kn AS (SELECT DISTINCT h, r, tau, t FROM vq WHERE tau=306),
 rk AS (SELECT te.h, te.r, te.tau, te.t, 1+count(*) FILTER (s.score>own.score AND s.cand<>te.t AND kn.t IS NULL) AS rank FROM te JOIN sc own ON own.h=te.h AND own.r=te.r AND own.tau=te.tau AND own.cand=te.t JOIN sc s ON s.h=te.h AND s.r=te.r AND s.tau=te.tau LEFT JOIN kn ON kn.h=te.h AND kn.r=te.r AND kn.tau=te.tau AND kn.t=s.cand GROUP BY ALL)
 """
 R = "WITH " + RANK_SQL
@@ -352,8 +364,8 @@ def vector_quads(spark, d):
 
 def ranked(spark, d):
     last = vector_quads(spark, d).where("tau = 306")
-    sc = scored(spark, d, tcomplex(), (306,)).withColumnRenamed("t", "cand")
-    return kg.filtered_ranks(last.where("(h + t) % 5 = 0"), step(sc), last.where("(h + t) % 5 <> 0"))
+    sc = scored(known_candidates(spark, d, (306,)), tcomplex()).withColumnRenamed("t", "cand")
+    return kg.filtered_ranks(last, step(sc), last)
 
 
 def _rounded(df):
@@ -375,35 +387,43 @@ def metrics_by_type(spark, d):
     return _rounded(kg.rank_metrics(ranked(spark, d).withColumn("type", F.when(F.col("t") < 110, "low").otherwise("high")), ["type"]))
 
 
-@query(S + ", s AS (SELECT h, r, tau, t, " + TC + " AS s FROM z WHERE h=3 AND t=104 AND tau=306 GROUP BY ALL) SELECT r AS relation, round(1/(1+exp(-greatest(least(s,50.0::DOUBLE),-50.0::DOUBLE))),6) AS prob FROM s")
+SIGMOID = "round(1/(1+exp(-greatest(least(s,50.0::DOUBLE),-50.0::DOUBLE))),6)"
+
+
+@query("WITH " + KNOWN_SQL + ", s AS (SELECT h, r, tau, t, " + TC + " AS s FROM z WHERE tau=306 GROUP BY ALL) SELECT h, t, r AS relation, " + SIGMOID + " AS prob FROM s")
 def threat_relations(spark, d):
-    s = candidates(spark, d).where("h = 3 AND t = 104 AND tau = 306").select(F.col("r").alias("relation"), tcomplex().alias("score"))
-    return kg.threat_probabilities(s).select("relation", F.round("prob", 6).alias("prob"))
+    """Every relation's probability for every nation and brand in the last year."""
+    s = known_candidates(spark, d, (306,)).select("h", "t", F.col("r").alias("relation"), tcomplex().alias("score"))
+    return kg.threat_probabilities(s).select("h", "t", "relation", F.round("prob", 6).alias("prob"))
 
 
-@query(S + ", s AS (SELECT h, r, tau, t, round(" + TC + ",6) AS s FROM z WHERE r=201 AND t=104 AND tau=306 GROUP BY ALL) SELECT h, s AS score, h%3=0 AS deployed FROM s ORDER BY s DESC, h LIMIT 5")
+@query(R + ", s AS (SELECT h, r, tau, t, round(" + TC + ",6)+0.0::DOUBLE AS s FROM z WHERE r=201 AND tau=306 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, h) AS k FROM s) SELECT t, h, s AS score, EXISTS (SELECT 1 FROM vq WHERE vq.h=o.h AND vq.t=o.t AND vq.r=201 AND vq.tau=306) AS deployed FROM o WHERE k<=5")
 def recommend_topk(spark, d):
-    s = scored(spark, d, tcomplex(), (306,)).where("r = 201 AND t = 104")
-    on = spark.range(25).select(F.col("id").cast("int").alias("h"), (F.col("id") % 3 == 0).alias("deployed"))
-    return kg.recommend(s, on, 5)
+    """The five best nations for every brand, and whether the fact holds already."""
+    s = scored(known_candidates(spark, d, (306,)), tcomplex()).where("r = 201").select("t", "h", "score")
+    on = vector_quads(spark, d).where("tau = 306 AND r = 201").select("t", "h").distinct().withColumn("deployed", F.lit(True))
+    return kg.recommend(s, on, 5, by=["t"]).select("t", "h", "score", "deployed")
 
 
-@query(R + ", s AS (SELECT h, tau, t, " + TC + " AS s FROM z WHERE r=200 GROUP BY ALL), m AS (SELECT h, t AS cand, round(1/(1+exp(-greatest(least(avg(s),50.0::DOUBLE),-50.0::DOUBLE))),6) AS prob FROM s WHERE NOT EXISTS (SELECT 1 FROM vq WHERE vq.h=s.h AND vq.t=s.t AND vq.tau<=301 AND vq.r=200) GROUP BY h, t) SELECT h, cand, prob FROM m WHERE prob>0.3 ORDER BY prob DESC, h, cand LIMIT 20")
+@query(R + ", s AS (SELECT h, tau, t, " + TC + " AS s FROM z WHERE r=200 AND tau IN (301,306) GROUP BY ALL), m AS (SELECT h, t AS cand, round(1/(1+exp(-greatest(least(avg(s),50.0::DOUBLE),-50.0::DOUBLE))),6) AS prob FROM s WHERE NOT EXISTS (SELECT 1 FROM vq WHERE vq.h=s.h AND vq.t=s.t AND vq.tau<=301 AND vq.r=200) GROUP BY h, t) SELECT h, cand, prob FROM m WHERE prob>0.3 ORDER BY prob DESC, h, cand LIMIT 20")
 def novel_threats(spark, d):
-    s = candidates(spark, d).where("r = 200").select("h", "tau", F.col("t").alias("cand"), tcomplex().alias("score"))
+    s = known_candidates(spark, d, (301, 306)).where("r = 200").select("h", "tau", F.col("t").alias("cand"), tcomplex().alias("score"))
     return kg.novel_links(s, vector_quads(spark, d).where("tau <= 301 AND r = 200"), 0.3, 20)
 
 
-@query("WITH " + SCORED_SQL.replace("unnest([301,306])", "unnest([300,301,302,303,304,305,306])") + ", s AS (SELECT h, tau, t, " + TC + " AS s FROM z WHERE r=200 AND h<3 AND t<103 GROUP BY ALL) SELECT h, t, tau, round(1/(1+exp(-greatest(least(s,50.0::DOUBLE),-50.0::DOUBLE))),6) AS prob FROM s")
+@query("WITH " + KNOWN_SQL + ", s AS (SELECT h, r, tau, t, " + TC + " AS s FROM z GROUP BY ALL) SELECT h, r, t, tau, " + SIGMOID + " AS prob FROM s")
 def threat_evolution(spark, d):
-    s = candidates(spark, d, tuple(range(300, 307))).where("r = 200 AND h < 3 AND t < 103").select("h", "t", "tau", tcomplex().alias("score"))
-    return kg.threat_probabilities(s).select("h", "t", "tau", F.round("prob", 6).alias("prob"))
+    s = known_candidates(spark, d).select("h", "r", "t", "tau", tcomplex().alias("score"))
+    return kg.threat_probabilities(s).select("h", "r", "t", "tau", F.round("prob", 6).alias("prob"))
 
 
-@query(S + ", s AS (SELECT h, r, tau, t, " + TC + " AS s FROM z WHERE tau=306 GROUP BY ALL) SELECT round(avg(greatest(0.0::DOUBLE, 1+n.s-p.s)),6) AS loss FROM s p JOIN s n USING (h,r,tau) WHERE p.t=100 AND n.t IN (101,102,103)")
+@query(R + " SELECT round(avg(greatest(0.0::DOUBLE, 1+n.score-p.score)),6) AS loss FROM kn JOIN sc p ON p.h=kn.h AND p.r=kn.r AND p.tau=kn.tau AND p.cand=kn.t JOIN sc n ON n.h=kn.h AND n.r=kn.r AND n.tau=kn.tau AND n.cand<>kn.t")
 def margin_loss(spark, d):
-    s = candidates(spark, d, (306,)).select("h", "r", "t", tcomplex().alias("s"))
-    pairs = s.where("t = 100").select("h", "r", F.col("s").alias("pos")).join(s.where("t IN (101, 102, 103)").select("h", "r", F.col("s").alias("neg")), ["h", "r"])
+    """The hinge of every fact of the last year against every other brand."""
+    sc = step(scored(known_candidates(spark, d, (306,)), tcomplex()))
+    facts_ = vector_quads(spark, d).where("tau = 306").select("h", "r", "t").distinct()
+    pos = facts_.join(sc.select("h", "r", "t", F.col("score").alias("pos")), ["h", "r", "t"])
+    pairs = pos.join(sc.select("h", "r", F.col("t").alias("other"), F.col("score").alias("neg")), ["h", "r"]).where("other <> t")
     return _rounded(kg.margin_loss(pairs, 1.0))
 
 
@@ -415,10 +435,11 @@ def entity_features(spark, d):
     return c.select("c_custkey", v.alias("f")).select("c_custkey", *[F.round(F.col("f")[i], 6).alias(f"f{i + 1}") for i in range(4)])
 
 
-@query("WITH x AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda q: q::DOUBLE*q::DOUBLE))) AS n FROM embeddings WHERE vec_id<40) SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda q: q[1]::DOUBLE*q[2]::DOUBLE))/((a.n+1e-12)*(b.n+1e-12)),6) AS cos FROM x a JOIN x b ON a.vec_id<b.vec_id")
+@query("WITH x AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda q: q::DOUBLE*q::DOUBLE))) AS n FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda q: q[1]::DOUBLE*q[2]::DOUBLE))/((a.n+1e-12)*(b.n+1e-12)),6) AS cos FROM x a JOIN x b ON a.vec_id%20=0 AND a.vec_id<>b.vec_id")
 def attribute_cosine(spark, d):
-    e = tables.read(spark, d, "embeddings").where("vec_id < 40").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    both = e.toDF("a", "va").join(e.toDF("b", "vb"), F.col("a") < F.col("b"))
+    """A stated query set, the vectors whose id is divisible by 20, against all vectors."""
+    e = tables.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    both = e.where("vec_id % 20 = 0").toDF("a", "va").crossJoin(e.toDF("b", "vb")).where("a <> b")
     return both.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("cos"))
 
 
