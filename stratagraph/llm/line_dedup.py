@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import drop_written, map_rows, written
+from stratagraph.llm.common import column_of, drop_written, map_rows, numbered, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -78,9 +78,10 @@ def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("min_lines is a power of two")
     names = docs.columns
     kept = [c for c in names if c not in ("n_lines", "n_removed", "longest_run")]
-    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    table = numbered(docs, id_col, "lines")
+    keyed = table.select("row", F.col(column_of(docs, id_col)).alias("_doc"), F.col(column_of(docs, text_col)).alias("_text"))
     levels = suffix_array(keyed, id_col="_doc", text_col="_text", min_words=min_words)
-    whole = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*kept).alias("_all"))
+    whole = table.select(F.col("row").alias("_row"), F.struct(*[F.col(column_of(docs, c)).alias(f"_k{i}") for i, c in enumerate(kept)]).alias("_all"))
     found = later_copies(levels, min_lines)
     if found is None:
         whole = whole.withColumn("_cuts", F.lit(None).cast("array<int>")).withColumn("_longest", F.lit(0))
@@ -91,7 +92,7 @@ def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         deepest = found.groupBy("row").agg(F.max("length").alias("_longest"))
         marks = cuts.join(deepest, "row").withColumnRenamed("row", "_row")
         whole = whole.join(marks, "_row", "left").withColumn("_longest", F.coalesce("_longest", F.lit(0)))
-    flat = whole.select(*[F.col("_all")[c].alias(f"_c{i}") for i, c in enumerate(kept)], "_cuts", "_longest")
+    flat = whole.select(*[F.col("_all")[f"_k{i}"].alias(f"_c{i}") for i in range(len(kept))], "_cuts", "_longest")
     kinds = dict(docs.dtypes)
     text_at = kept.index(text_col)
     schema = ", ".join(f"_c{i} {kinds[c]}" for i, c in enumerate(kept)) + ", n_lines long, n_removed long, longest_run long"

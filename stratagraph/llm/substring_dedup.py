@@ -457,14 +457,20 @@ def dense(a: np.ndarray, own: np.ndarray, other: np.ndarray, width: int, shares:
     return out
 
 
-def may_be_alike(a: np.ndarray, in_a: np.ndarray, b: np.ndarray, in_b: np.ndarray, width: int, similarity: float) -> bool:
-    """What alike passages need: both have ``similarity`` of their shingles in common, the shorter 2s / (1 + s)."""
-    shares = (similarity, 2 * similarity / (1 + similarity))
-    x = dense(a, in_a, in_b, width, shares)
-    if not x[0]:
-        return False
-    y = dense(b, in_b, in_a, width, shares)
-    return y[0] and (x[1] or y[1])
+def dense_in(place: np.ndarray, number: np.ndarray, n: int, length: int, distinct: int, width: int, similarity: float) -> np.ndarray:
+    """The first test of ``dense`` for one stretch against n sets at once: which sets can hold ``similarity`` of some part of it.
+
+    ``number`` tells for each shingle of the stretch which of its distinct ones it is; ``place`` has
+    set * distinct + shingle for all that the sets hold. True for all if shingles repeat.
+    """
+    if distinct < length or length < width:
+        return np.full(n, length >= width)
+    hit = np.zeros(n * distinct, dtype=bool)
+    hit[place] = True
+    over = np.zeros((n, length + 1))
+    np.cumsum(hit.reshape(n, distinct)[:, number] - similarity, axis=1, out=over[:, 1:])
+    over += 1e-9 * np.arange(length + 1)
+    return (over[:, width:] >= np.minimum.accumulate(over[:, : length + 1 - width], axis=1)).any(axis=1)
 
 
 def equal_stretches(around: list[np.ndarray], row: np.ndarray, asked: np.ndarray, width: int) -> set[tuple[int, int]]:
@@ -495,7 +501,9 @@ def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> li
     left, right = np.flatnonzero(miss & (part == i[0])), np.flatnonzero(part == j[0])
     if not len(left) or not len(right) or (root == root[0]).all():
         return out
-    sets = [np.unique(x) for x in around]
+    unique = [np.unique(x, return_inverse=True) for x in around]
+    sets = [u for u, _ in unique]
+    shares = (similarity, 2 * similarity / (1 + similarity))  # of two alike passages, the shorter has the second share in common
     flat, owner = np.concatenate([sets[x] for x in right]), np.repeat(np.arange(len(right)), [len(sets[x]) for x in right])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
@@ -508,8 +516,16 @@ def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> li
         met = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
         # a passage has as many distinct shingles as its width, less what repeats around it; the other shares them but for a fifth
         least = similarity * max(1, width - len(around[x]) + len(sets[x]))
-        for y in right[np.bincount(met, minlength=len(right)) >= least].tolist():
-            if root[y] == root[x] or not may_be_alike(around[x], sets[x], around[y], sets[y], width, similarity):
+        near = np.flatnonzero((np.bincount(met, minlength=len(right)) >= least) & (root[right] != root[x]))
+        to = np.full(len(right), -1)
+        to[near] = np.arange(len(near))
+        shingle = np.repeat(np.arange(len(n)), n)[to[met] >= 0]
+        near = near[dense_in(to[met][to[met] >= 0] * len(sets[x]) + shingle, unique[x][1], len(near), len(around[x]), len(sets[x]), width, similarity)]
+        for y in right[near].tolist():
+            if root[y] == root[x]:
+                continue
+            one = dense(around[y], sets[y], sets[x], width, shares)
+            if not one[0] or not (one[1] or dense(around[x], sets[x], sets[y], width, shares)[1]):
                 continue
             a, b = (x, y) if row[x] > row[y] else (y, x)
             if b not in targets:
@@ -554,6 +570,7 @@ def rest(met: DataFrame, checked: DataFrame, packed: DataFrame, words: int, k: i
     every = F.sequence(F.lit(0), F.col("m") - 1)
     tasks = F.array_distinct(F.concat(F.transform(every, lambda o: F.struct(o.alias("i"), F.col("part").alias("j"))), F.transform(every, lambda o: F.struct(F.col("part").alias("i"), o.alias("j")))))
     dealt = full.withColumn("t", F.explode(tasks)).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "row", "root", "c", "anchor", "around", "miss", "part")
+    release(met.sparkSession)
     some = map_groups(dealt, ["key", "i", "j"], ["row", "c"], lambda b: compared(b, words, k, similarity), "row long, other long, c int")
     out = written(some.groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors")), "rest")
     for t in (roots, missed, keys, places):

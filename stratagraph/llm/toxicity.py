@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import map_rows, texts
+from stratagraph.llm.common import give_back, map_rows, texts
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Beginnings of words that count as features beside the words themselves.
@@ -176,7 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     found = map_rows(sample.select("_id", "text"), make, f"_id {dict(ids.dtypes)['_id']}, features binary").toArrow()
     rows = sorted(zip(found.column(0).to_pylist(), (np.frombuffer(x, dtype=np.uint32) for x in found.column(1).to_pylist()), strict=True), key=lambda r: r[0])
-    return fit([b for i, b in rows if i in confirmed], [b for i, b in rows if i in drawn], prior, **options)
+    del found
+    model = fit([b for i, b in rows if i in confirmed], [b for i, b in rows if i in drawn], prior, **options)
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

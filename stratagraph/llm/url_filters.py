@@ -65,8 +65,14 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_count: int =
 
 
 def matched(urls: DataFrame, rules: DataFrame, key_col: str) -> DataFrame:
-    """Ids of rows whose tokens hold all tokens of some rule; an inverted index finds a rule by its rarest token."""
-    posted = urls.select(key_col, "tokens", F.explode("tokens").alias("key"))
+    """Ids of rows whose tokens hold all tokens of some rule; an inverted index finds a rule by its rarest token.
+
+    Only tokens that are some rule's key are posted. Keys are among the frequent tokens that mining
+    has bounded, so the driver may hold them.
+    """
+    keys = sorted(r["key"] for r in rules.select("key").distinct().collect())
+    held = F.array_intersect("tokens", F.array(*map(F.lit, keys)).cast("array<string>"))
+    posted = urls.select(key_col, "tokens", F.explode(held).alias("key"))
     hits = posted.join(rules, "key").where(F.size(F.array_except("rule_tokens", "tokens")) == 0)
     return hits.select(key_col).distinct()
 
