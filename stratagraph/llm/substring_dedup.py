@@ -298,6 +298,25 @@ def aligned(a: np.ndarray, b: np.ndarray, in_b: Places, in_a: Places, i: int, j:
     return i + p, i + q, x + u, x + v
 
 
+def longest(hit: np.ndarray, c: int, share: float) -> tuple[int, int]:
+    """First and last place of the longest stretch that holds c and has ``share`` of matches."""
+    over = np.concatenate([[0.0], np.cumsum(hit - share)]) + 1e-9 * np.arange(len(hit) + 1)
+    length = np.arange(c + 1, len(hit) + 1)[None, :] - np.arange(c + 1)[:, None]
+    i, j = np.unravel_index(np.where(over[None, c + 1 :] >= over[: c + 1, None], length, 0).argmax(), length.shape)
+    return int(i), int(c + j)
+
+
+def nearby(a: np.ndarray, b: np.ndarray, in_b: Places, in_a: Places, c: int, d: int, width: int, similarity: float) -> tuple[int, int, int, int]:
+    """The longest stretches around c and d that share what alike ones of one length do, within two widths of them."""
+    share = 2 * similarity / (1 + similarity)
+    i, x = max(0, c - 2 * width), max(0, d - 2 * width)
+    s, t = np.arange(i, min(len(a), c + 2 * width)), np.arange(x, min(len(b), d + 2 * width))
+    here = in_b.distance(a[s], s - c + d) <= BAND + np.abs(s - c) // 4
+    there = in_a.distance(b[t], t - d + c) <= BAND + np.abs(t - d) // 4
+    (p, q), (u, v) = longest(here, c - i, share), longest(there, d - x, share)
+    return i + p, i + q, x + u, x + v
+
+
 def _equal(a: np.ndarray, target: Target) -> list[tuple[int, int, int, int]]:
     """Maximal places in a whose stretches all stand in the target, with the place of the first and last there."""
     width, names = target.width, target.names
@@ -347,31 +366,37 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
         known.append(grow(hit, c))
         return known[-1]
 
+    near: set[tuple[int, int]] = set()
     for c, s, e in zip(anchors, lo.tolist(), hi.tolist(), strict=True):
         i, j = stretch(left, in_b, c) if e > s else (0, -1)
-        if j - i + 1 < width or any(x <= i and j <= y for x, y, _, _ in out):
+        if any(x <= c <= y and x <= i and j <= y for x, y, _, _ in out):
             continue
         if in_a is None:
             in_a = np.isin(b, a)
         for d in order[s:e].tolist():
             x, y = stretch(right, in_a, d)
-            if y - x + 1 < width:
-                continue
-            if (i, x, y) not in tried:
-                tried.add((i, x, y))
-                if alike(i, j, x, y):
-                    out.append((i, j, x, y))
-                    break
-            if any(p <= c <= q and u <= d <= v and abs(d - c - o) <= BAND for p, q, u, v, o in narrow):
-                continue
             own = own or Places(a)
             found = None
-            for penalty, drop in ((PENALTY, DROP), STRICT):
-                p, q, u, v = aligned(a, b, target.places(), own, i, j, c, x, y, d, penalty, drop)
-                narrow.append((p, q, u, v, d - c))
+            if j - i + 1 >= width and y - x + 1 >= width:
+                if (i, x, y) not in tried:
+                    tried.add((i, x, y))
+                    if alike(i, j, x, y):
+                        out.append((i, j, x, y))
+                        break
+                if any(p <= c <= q and u <= d <= v and abs(d - c - o) <= BAND for p, q, u, v, o in narrow):
+                    continue
+                for penalty, drop in ((PENALTY, DROP), STRICT):
+                    p, q, u, v = aligned(a, b, target.places(), own, i, j, c, x, y, d, penalty, drop)
+                    narrow.append((p, q, u, v, d - c))
+                    if q - p + 1 >= width and v - u + 1 >= width and alike(p, q, u, v):
+                        found = (p, q, u, v)
+                        break
+            # the best scores may end before a difference that a passage can hold
+            if not found and ((d - c) // BAND, c // BAND) not in near:
+                near.add(((d - c) // BAND, c // BAND))
+                p, q, u, v = nearby(a, b, target.places(), own, c, d, width, similarity)
                 if q - p + 1 >= width and v - u + 1 >= width and alike(p, q, u, v):
                     found = (p, q, u, v)
-                    break
             if found:
                 out.append(found)
                 break
@@ -486,19 +511,19 @@ def equal_stretches(around: list[np.ndarray], row: np.ndarray, asked: np.ndarray
 def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> list[tuple]:
     """(row, other, c) of windows of one signature that are alike, in a chunk or between two (rows ascending).
 
-    Equal stretches are found by their hashes, for all windows at once. Windows that missed the first
-    document of the signature (``miss``) are then compared with all whose documents are not connected
-    with theirs yet.
+    Equal stretches are found by their hashes, for all windows at once, where one of the two is in no
+    passage yet (``miss``). Windows whose documents are not connected with the signature's first
+    (``apart``) are then compared with all whose documents are not connected with theirs.
     """
     width = words - k + 1
-    i, j, row, root, c, anchor, miss, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "row", "root", "c", "anchor", "miss", "part"))
+    i, j, row, root, c, anchor, miss, apart, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "row", "root", "c", "anchor", "miss", "apart", "part"))
     around = [np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in batch.column("around").to_pylist()]
     root, out = root.copy(), []
     # equal stretches share all signatures, so some of these are enough
     for x, y in sorted(equal_stretches(around, row, miss, width)) if batch.column("key")[0].as_py() & 1 else ():
         out.append((int(row[x]), int(row[y]), int(c[x])))
         root[root == root[x]] = root[y]
-    left, right = np.flatnonzero(miss & (part == i[0])), np.flatnonzero(part == j[0])
+    left, right = np.flatnonzero(apart & (part == i[0])), np.flatnonzero(part == j[0])
     if not len(left) or not len(right) or (root == root[0]).all():
         return out
     unique = [np.unique(x, return_inverse=True) for x in around]
@@ -562,14 +587,14 @@ def rest(met: DataFrame, checked: DataFrame, packed: DataFrame, words: int, k: i
     if keys.isEmpty():
         return None
     places = join_counted(met.select("key", "row", "c", "l", "r", "first"), keys, ["key"])
-    places = places.join(missed.select("row", "first", "c", F.lit(True).alias("miss")), ["row", "first", "c"], "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
-    places = written(places.withColumn("miss", F.coalesce("miss", F.lit(False))).withColumn("root", F.coalesce("root", "row")), "places")
+    places = places.join(missed.withColumn("miss", F.lit(True)), ["row", "first", "c"], "left").join(roots.withColumnRenamed("node", "row"), "row", "left")
+    places = written(places.withColumn("miss", F.coalesce("miss", F.lit(False))).withColumn("apart", F.coalesce("apart", F.lit(False))).withColumn("root", F.coalesce("root", "row")), "places")
     full = places.join(shingled(places, packed, k, words - k + 1), ["row", "c", "l", "r"]).withColumn("m", F.ceil(F.col("n") / CHUNK).cast("int"))
     full = full.withColumn("part", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
     # every window goes to the tasks in which its chunk stands on either side
     every = F.sequence(F.lit(0), F.col("m") - 1)
     tasks = F.array_distinct(F.concat(F.transform(every, lambda o: F.struct(o.alias("i"), F.col("part").alias("j"))), F.transform(every, lambda o: F.struct(F.col("part").alias("i"), o.alias("j")))))
-    dealt = full.withColumn("t", F.explode(tasks)).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "row", "root", "c", "anchor", "around", "miss", "part")
+    dealt = full.withColumn("t", F.explode(tasks)).select("key", F.col("t.i").alias("i"), F.col("t.j").alias("j"), "row", "root", "c", "anchor", "around", "miss", "apart", "part")
     release(met.sparkSession)
     some = map_groups(dealt, ["key", "i", "j"], ["row", "c"], lambda b: compared(b, words, k, similarity), "row long, other long, c int")
     out = written(some.groupBy("row", "other").agg(F.sort_array(F.collect_set("c")).alias("anchors")), "rest")

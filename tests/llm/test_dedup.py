@@ -168,3 +168,39 @@ def test_passages_beside_text_that_the_other_has_elsewhere():
             places = sorted({int(np.argmin(sd.minhash(a[start : start + 76], f))) + start for f in range(4)})
             got = sd.passages(a, sd.Target(b, 46), [c for c in places if a[c] in b])
             assert got and max(j - i + 1 for i, j, _, _ in got) >= 75, (seed, got)
+
+
+def test_passages_at_the_threshold_are_found(spark):
+    """One changed word in 54 (0.818), in 60 (0.836) and two in 110; equal passages of two lines that earlier documents hold one by one."""
+    r = random.Random(21)
+    body = lambda: sentence(r, 60)
+    texts, n = [], 0
+    for length, edits in ((54, 1), (60, 1), (110, 2)):
+        for _ in range(60):
+            base = sentence(r, length).split()
+            own = list(base)
+            for at in r.sample(range(6, length - 6), edits):
+                own[at] = "changed"
+            texts += [(1000 + n, f"{body()} {' '.join(base)} {body()}"), (5000 + n, f"{body()} {' '.join(own)} {body()}")]
+            n += 1
+    lines = [sentence(r, 28) for _ in range(40)]
+    texts += [(i, f"{body()} {x} {body()}") for i, x in enumerate(lines)]
+    texts += [(m * 1000 + i, f"{body()} {lines[i]} {lines[i + 1]} {body()}") for i in range(39) for m in (20, 30)]
+    got = {x.doc_id: x for x in sd.documents_with_passages(frame(spark, texts)).collect()}
+    assert sum(got[5000 + i].class_id == 1000 + i for i in range(n)) >= 0.95 * n
+    assert all(got[30000 + i].class_id == got[20000 + i].class_id and got[30000 + i].duplicate_words >= 56 for i in range(39))
+    assert all(got[i].class_id == i and got[i].n_passages == 0 for i in range(40))
+
+
+def test_results_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    r = random.Random(6)
+    line, passage = sentence(r, 9), sentence(r, 70)
+    texts = [(i, f"{sentence(r, 30)}\n{line if i % 3 else sentence(r, 9)}\n{sentence(r, 20)} {passage if i % 5 == 0 else ''}") for i in range(200)]
+    frame(spark, texts).repartition(20).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    seen = []
+    for size in ("128m", "4k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        seen.append([sorted((x.doc_id, x.text) for x in f(docs).collect()) for f in (line_dedup.remove_lines, sd.remove_passages)])
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert seen[0] == seen[1] and seen[0][0] != sorted(texts)
