@@ -1,97 +1,173 @@
-"""Line dedup over a suffix array of line ids, sorted by prefix doubling.
-
-Every document is a sequence of line ids. A round names the runs of 2**k lines that begin at each
-line from the names of their halves; a name that one place alone has drops out, so rounds shrink to
-what is repeated. Ordered by their names from the shortest run on, the places that share a run stand
-together: each name held more than once is an interval of the suffix array with a common prefix of
-at least 2**k lines. All of an interval's places but the first begin a later copy.
+"""Line dedup over a suffix array of line ids, built by prefix doubling.
+
+Every document is a sequence of line ids, and every line begins a suffix. A suffix's rank is a path:
+its line id, then for k = 1, 2, ... the number of its run of 2**k lines, which a range sort of the
+pairs (rank of its half, rank of the suffix that follows the half) gives in each round. A suffix
+whose number no other has, or whose document ends, is ranked and drops out of the rounds, so these
+shrink to what is repeated. Paths compare as arrays, so sorting by them gives the suffix array of all suffixes that
+begin with a repeated line. The longest common prefix of two neighbours follows from the entries
+their paths share, then those of the suffixes behind that, and so on. Cut where it falls below a
+length, the array falls into intervals: all copies of one run. All but the first copy are later ones.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from stratagraph.llm.common import column_of, drop_written, map_rows, numbered, written
+from stratagraph.llm.common import column_of, drop_written, join_counted, map_rows, numbered, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def _id(*cols: Column | str) -> list[Column]:
-    """A 128-bit hash as two columns."""
-    return [F.xxhash64(*cols).alias("a"), F.xxhash64(F.lit(1), *cols).alias("b")]
-
+def line_ids(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
+    """``row, pos, left, path, long``: every line with a word.
 
-def line_ids(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """``row, doc, pos, a, b, long``: every line with a word; pos counts such lines, long tells if it has ``min_words`` words."""
+    ``pos`` counts such lines, ``left`` tells how many there are from this one on, ``path`` is the
+    line's 128-bit hash as two numbers, ``long`` tells if it has ``min_words`` words.
+    """
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(WORD))
-    each = docs.select("row", F.col(id_col).alias("doc"), F.posexplode(lines).alias("pos", "line"))
-    return each.select("row", "doc", "pos", *_id("line"), (F.size(F.split(F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " ")), " ")) >= min_words).alias("long"))
+    each = docs.select("row", lines.alias("lines")).select("row", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
+    words = F.size(F.split(F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " ")), " "))
+    return each.select("row", "pos", (F.col("n") - F.col("pos")).alias("left"), F.array(F.xxhash64("line"), F.xxhash64(F.lit(1), "line")).alias("path"), (words >= min_words).alias("long"))
 
 
-def repeated(active: DataFrame) -> DataFrame:
-    """The places whose name others share, with ``later``: not the first place of that name in the order of documents.
+def _sorted_numbers(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with ``at``, which ascends in the order of ``keys`` through a range sort, written once."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return written(df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id()), name)
 
-    Names are counted before the places are joined to them, so a name that a third of all places has
-    is one row on its side; its places are split by adaptive execution.
-    """
-    place = F.struct(F.col("doc").isNull().alias("n"), "doc", "row", "pos")
-    names = active.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1")
-    return active.join(names.select("a", "b", "first"), ["a", "b"]).withColumn("later", (F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos"))).drop("first")
 
+def suffix_paths(lines: DataFrame) -> DataFrame:
+    """``row, pos, left, long, path``: the final path of every suffix that begins with a repeated line, in written tables.
 
-def suffix_array(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> list[DataFrame]:
-    """Intervals of each depth 2**k: ``row, doc, pos, a, b, later, long``, a written table for each k while any run is repeated."""
-    levels, k = [], 0
-    now = written(repeated(line_ids(docs, id_col, text_col, min_words)), "runs")
+    Two suffixes have equal paths only if they are equal to the ends of their documents. Counts are
+    taken before anything is joined to them; keys with very many rows are split (``join_counted``).
+    """
+    counts = written(lines.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
+    now = written(join_counted(lines, counts, ["path"]).select("row", "pos", "left", "long", "path"), "suffixes")
+    drop_written(counts)
+    done, k = [], 0
     while not now.isEmpty():
-        levels.append(now)
         step = 1 << k
-        ahead = now.select("row", (F.col("pos") - step).alias("pos"), F.col("a").alias("a2"), F.col("b").alias("b2"))
-        longer = now.join(ahead, ["row", "pos"]).select("row", "doc", "pos", *_id(F.lit(k), "a", "b", "a2", "b2"), "long")
-        now = written(repeated(longer), "runs")
-        k += 1
-    drop_written(now)
-    return levels
-
-
-def later_copies(levels: list[DataFrame], min_lines: int) -> DataFrame | None:
-    """``row, pos, length``: runs to delete. Runs of 2**k >= min_lines lines count, and single long lines."""
-    found = None
-    for k, level in enumerate(levels):
-        ok = F.col("later") if 1 << k >= min_lines else F.col("later") & F.col("long") if k == 0 else F.lit(False)
-        own = level.where(ok).select("row", "pos", F.lit(1 << k).alias("length"))
-        found = own if found is None else found.unionByName(own)
-    return found
+        wanted = now.where(F.col("left") > step).select("row", (F.col("pos") + step).alias("pos"))
+        known = now
+        for d in done:
+            known = known.unionByName(d)
+        refined = wanted.join(known.select("row", "pos", F.col("path").alias("own")), ["row", "pos"], "left")
+        ranked, lone = refined.where("own IS NOT NULL"), refined.where("own IS NULL").drop("own")
+        # what no table of suffixes has is a line that occurs once: its id is its path
+        ahead = ranked.unionByName(lone.join(lines.select("row", "pos", F.col("path").alias("own")), ["row", "pos"]))
+        keyed = written(now.join(ahead.select("row", (F.col("pos") - step).alias("pos"), F.col("own").alias("next")), ["row", "pos"], "left").withColumn("next", F.coalesce("next", F.array().cast("array<bigint>"))), "keyed")
+        ranks = _sorted_numbers(keyed.groupBy("path", "next").agg(F.count("*").alias("n")), ["path", "next"], "ranks")
+        again = written(join_counted(keyed, ranks, ["path", "next"]).select("row", "pos", "left", "long", F.concat("path", F.array("at")).alias("path"), "n"), "ranked")
+        # a suffix that ends in this run equals the others of its number
+        open_ = (F.col("n") > 1) & (F.col("left") > step)
+        done.append(written(again.where(~open_).drop("n"), "suffixes-done"))
+        following = written(again.where(open_).drop("n"), "suffixes")
+        for d in (now, keyed, ranks, again):
+            drop_written(d)
+        now, k = following, k + 1
+    out = now
+    for d in done:
+        out = out.unionByName(d)
+    out._parts = [now, *done]
+    return out
+
+
+def _levels(a: str, b: str) -> Column:
+    """How many numbers two paths share: k for suffixes that share a run of 2**(k - 1) lines, but none of 2**k."""
+    return F.greatest(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) - 1, F.lit(0))
+
+
+def suffix_array(paths: DataFrame) -> DataFrame:
+    """``at, before, part, row, pos, long, lcp``: suffixes in order, with the lines each has in common with the one ``before`` it (written).
+
+    Equal suffixes follow the order of documents. ``part`` is the range partition, of which there are
+    as many as shuffle partitions; only tables of one row for each are seen whole.
+    """
+    order = _sorted_numbers(paths, ["path", "row", "pos"], "suffix-order").withColumn("part", F.shiftright("at", 33))
+    ends = order.groupBy("part").agg(F.max_by(F.struct("at", "row", "pos", "path"), "at").alias("end"))
+    edges = ends.select("part", F.lag("end").over(W.orderBy("part")).alias("edge"))
+    pairs = order.join(edges, "part").withColumn("b", F.coalesce(F.lag(F.struct("at", "row", "pos", "path")).over(W.partitionBy("part").orderBy("at")), "edge"))
+    same = F.col("path") == F.col("b.path")
+    level = F.when(F.col("b").isNull(), 0).otherwise(_levels("path", "b.path"))
+    pairs = pairs.withColumn("level", F.when(same, 0).otherwise(level)).withColumn("lcp", F.when(same, F.col("left")).when(level > 0, F.pow(F.lit(2), level - 1).cast("int")).otherwise(0))
+    now = written(pairs.select("at", F.col("b.at").alias("before"), "part", "row", "pos", "long", F.col("b.row").alias("brow"), F.col("b.pos").alias("bpos"), "level", "lcp"), "neighbours")
+    drop_written(order)
+    first, open_, more = now, now.where("level > 1").select("at", "row", "pos", "brow", "bpos", "lcp"), []
+    while not open_.isEmpty():
+        x = paths.select("row", F.col("pos").alias("xpos"), F.col("path").alias("x"), "left")
+        y = paths.select(F.col("row").alias("brow"), F.col("pos").alias("ypos"), F.col("path").alias("y"))
+        both = open_.withColumn("xpos", F.col("pos") + F.col("lcp")).withColumn("ypos", F.col("bpos") + F.col("lcp")).join(x, ["row", "xpos"]).join(y, ["brow", "ypos"])
+        equal, shared = F.col("x") == F.col("y"), _levels("x", "y")
+        gain = F.when(equal, F.col("left")).when(shared > 0, F.pow(F.lit(2), shared - 1).cast("int")).otherwise(0)
+        got = written(both.select("at", "row", "pos", "brow", "bpos", (F.col("lcp") + gain).alias("lcp"), F.when(equal, 0).otherwise(shared).alias("level")).where(gain > 0), "longer")
+        more.append(got)
+        open_ = got.where("level > 1").drop("level")
+    if not more:
+        return first
+    grown = more[0]
+    for m in more[1:]:
+        grown = grown.unionByName(m)
+    best = grown.groupBy("at").agg(F.max("lcp").alias("grown"))
+    out = written(first.drop("brow", "bpos", "level").join(best, "at", "left").withColumn("lcp", F.greatest("lcp", F.coalesce("grown", F.lit(0)))).drop("grown"), "suffix-array")
+    for d in (first, *more):
+        drop_written(d)
+    return out
+
+
+def later_copies(array: DataFrame, depth: int) -> DataFrame:
+    """``at, row, pos, depth``: the suffixes of ``array`` whose first ``depth`` lines an earlier place has (written).
+
+    An interval is what lies between two neighbours with fewer than ``depth`` lines in common; it may
+    reach over many partitions. Its first copy is the least (row, pos).
+    """
+    cut = F.when(F.col("lcp") < depth, F.col("at"))
+    starts = array.groupBy("part").agg(F.max(cut).alias("top"))
+    before = starts.select("part", F.max("top").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
+    inside = F.max(cut).over(W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = written(array.join(before, "part").withColumn("interval", F.coalesce(inside, "carried")).drop("part", "carried"), "placed")
+    found = written(placed.groupBy("interval").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).where("n > 1"), "intervals")
+    out = join_counted(placed, found, ["interval"]).where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
+    out = written(out.select("at", "row", "pos", F.lit(depth).alias("depth")), "later-copies")
+    drop_written(placed)
+    drop_written(found)
+    return out
 
 
 def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 2, min_words: int = 8) -> DataFrame:
-    """``docs`` with its text cleaned, and ``n_lines, n_removed, longest_run`` (lines with words, those deleted, the deepest repeated run found at a place, a power of two).
-
-    A repeated run counts if it has ``min_lines`` lines (a power of two) or is a line of ``min_words``
-    words; in every copy but the first its lines go. The first copy is that of the smallest id (null
-    last), then of the earliest row and line. Lines without words stay and are not part of runs. Null
-    texts stay null; a document may end up with an empty text. All rows and columns are kept, except
-    that a column named like a new one is replaced.
+    """``docs`` with its text cleaned, and ``n_lines, n_removed, longest_run``: lines with words, those deleted, and lines
+    in the longest run that begins at a deleted place and stands elsewhere too (0 without one).
+
+    A repeated run counts if it has ``min_lines`` lines or is a line of ``min_words`` words; in every
+    copy but the first its lines go. The first copy is that of the smallest id (null last), then of
+    the earliest row and line. Lines without words stay and are not part of runs. Null texts stay
+    null; a document may end up with an empty text. All rows and columns are kept, except that a
+    column named like a new one is replaced. Very long texts are cut into lines like any other.
     """
-    if min_lines & (min_lines - 1):
-        raise ValueError("min_lines is a power of two")
+    if min_lines < 1:
+        raise ValueError("min_lines is at least 1")
     names = docs.columns
     kept = [c for c in names if c not in ("n_lines", "n_removed", "longest_run")]
     table = numbered(docs, id_col, "lines")
-    keyed = table.select("row", F.col(column_of(docs, id_col)).alias("_doc"), F.col(column_of(docs, text_col)).alias("_text"))
-    levels = suffix_array(keyed, id_col="_doc", text_col="_text", min_words=min_words)
+    lines = written(line_ids(table.select("row", F.col(column_of(docs, text_col)).alias("_text")), "_text", min_words), "line-ids")
+    paths = suffix_paths(lines)
+    drop_written(lines)
+    array = suffix_array(paths)
+    for d in paths._parts:
+        drop_written(d)
     whole = table.select(F.col("row").alias("_row"), F.struct(*[F.col(column_of(docs, c)).alias(f"_k{i}") for i, c in enumerate(kept)]).alias("_all"))
-    found = later_copies(levels, min_lines)
-    if found is None:
-        whole = whole.withColumn("_cuts", F.lit(None).cast("array<int>")).withColumn("_longest", F.lit(0))
-    else:
-        # windows of the least depth cover what deeper ones do, so only they are listed
-        cuts = found.where(F.col("length") <= min_lines).withColumn("p", F.explode(F.sequence("pos", F.col("pos") + F.col("length") - 1)))
-        cuts = cuts.groupBy("row").agg(F.collect_set("p").alias("_cuts"))
-        deepest = found.groupBy("row").agg(F.max("length").alias("_longest"))
-        marks = cuts.join(deepest, "row").withColumnRenamed("row", "_row")
-        whole = whole.join(marks, "_row", "left").withColumn("_longest", F.coalesce("_longest", F.lit(0)))
+    runs = later_copies(array, min_lines)
+    if min_lines > 1:  # single long lines: all places of an interval of depth 1 begin with the same line
+        runs = runs.unionByName(later_copies(array.where("long"), 1))
+    # a place's longest run is shared with the neighbour before it or the one after it
+    edges = array.select("at", "lcp").unionByName(array.select(F.col("before").alias("at"), "lcp")).where("lcp > 0")
+    deepest = runs.join(edges, "at").groupBy("row").agg(F.max("lcp").alias("_longest"))
+    cuts = runs.select("row", F.explode(F.sequence("pos", F.col("pos") + F.col("depth") - 1)).alias("p")).groupBy("row").agg(F.collect_set("p").alias("_cuts"))
+    marks = cuts.join(deepest, "row").withColumnRenamed("row", "_row")
+    whole = whole.join(marks, "_row", "left").withColumn("_longest", F.coalesce("_longest", F.lit(0)))
     flat = whole.select(*[F.col("_all")[f"_k{i}"].alias(f"_c{i}") for i in range(len(kept))], "_cuts", "_longest")
     kinds = dict(docs.dtypes)
     text_at = kept.index(text_col)

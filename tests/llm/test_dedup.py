@@ -44,6 +44,51 @@ def test_lines_of_repeated_rows_and_empty_tables(spark):
     assert line_dedup.remove_lines(frame(spark, [(1, "alone")])).first().text == "alone"
 
 
+def test_suffix_array_equals_brute_force(spark):
+    r = random.Random(8)
+    pool = ["a", "b", "c", "dd dd"]
+    docs = [[r.choice(pool) if r.random() < 0.85 else f"only {r.random()}" for _ in range(r.randint(0, 25))] for _ in range(25)]
+    docs += [docs[3], docs[4] + docs[5], ["a"] * 20, ["a"] * 13, docs[4] + docs[5]]
+    table = spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "row long, text string").repartition(3)
+    paths = line_dedup.suffix_paths(line_dedup.line_ids(table, "text", 8))
+    got = line_dedup.suffix_array(paths).orderBy("at").collect()
+
+    def common(x, y):
+        k = 0
+        for p, q in zip(docs[x[0]][x[1] :], docs[y[0]][y[1] :], strict=False):
+            if p != q:
+                break
+            k += 1
+        return k
+
+    every = [(i, j) for i, d in enumerate(docs) for j in range(len(d))]
+    want = [p for p in every if sum(docs[q[0]][q[1]] == docs[p[0]][p[1]] for q in every) > 1]
+    places = [(x.row, x.pos) for x in got]
+    assert sorted(places) == want
+    assert [x.lcp for x in got] == [0] + [common(a, b) for a, b in zip(places, places[1:], strict=False)]
+    # sorted: no suffix elsewhere has more in common with a place than its neighbours do
+    for i, p in enumerate(places):
+        near = max(common(p, places[j]) for j in (i - 1, i + 1) if 0 <= j < len(places))
+        assert near == max(common(p, q) for q in places if q != p)
+
+
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_line_runs_of_any_length(spark, least):
+    r = random.Random(least)
+    texts = [(i, "\n".join(r.choice("abcdef") for _ in range(r.randint(1, 30)))) for i in range(20)]
+    got = {x.doc_id: x for x in line_dedup.remove_lines(frame(spark, texts), min_lines=least).collect()}
+    seen = set()
+    for i, t in texts:
+        lines, gone = t.split("\n"), set()
+        for p in range(len(lines) - least + 1):
+            run = tuple(lines[p : p + least])
+            if run in seen:
+                gone |= set(range(p, p + least))
+            seen.add(run)
+        assert got[i].text == "\n".join(x for p, x in enumerate(lines) if p not in gone) and got[i].n_removed == len(gone)
+        assert got[i].longest_run >= least if gone else got[i].longest_run == 0
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_compact_windows(seed):
     r = np.random.default_rng(seed)
