@@ -182,16 +182,19 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> list:
     return [F.col(f"all.c{i}").alias(c) for i, c in enumerate(docs.columns)]
 
 
-def join_counted(large: DataFrame, counted: DataFrame, on: list[str], n: str = "n", spread: str = "row") -> DataFrame:
-    """``large`` joined with ``counted``, a written table that tells how many rows of ``large`` have each key.
+def join_counted(large: DataFrame, counted: DataFrame, on: list[str], n: str = "n", spread: str = "row", total: int | None = None) -> DataFrame:
+    """``large`` joined with ``counted``, a written table that tells how many rows of ``large`` have each key (``total`` in all).
 
     Keys that hold more than a quarter of a partition's even share, and over 1,000 rows, are split by a hash of
     ``spread``; the counted row is copied to each part. There are at most four such keys a partition, so their list may be broadcast.
     """
     spark = large.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    limit = max(1000, (counted.agg(F.sum(n)).first()[0] or 0) // (4 * parts))
-    hot = spark.createDataFrame(counted.where(F.col(n) > limit).select(*on, F.ceil(F.col(n) / limit).cast("int").alias("_parts")).collect(), counted.select(*on, F.lit(1).alias("_parts")).schema)
+    limit = max(1000, (counted.agg(F.sum(n)).first()[0] or 0 if total is None else total) // (4 * parts))
+    found = counted.where(F.col(n) > limit).select(*on, F.ceil(F.col(n) / limit).cast("int").alias("_parts")).collect()
+    if not found:
+        return large.join(counted, on)
+    hot = spark.createDataFrame(found, counted.select(*on, F.lit(1).alias("_parts")).schema)
     left = large.join(F.broadcast(hot), on, "left").withColumn("_part", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), F.col("_parts"))).cast("int")).drop("_parts")
     right = counted.join(F.broadcast(hot), on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return left.join(right, [*on, "_part"]).drop("_part")

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 
 from stratagraph.llm.common import column_of, drop_written, join_counted, map_rows, numbered, written
 
-WORD = "[^\\x20\\x09-\\x0D]+"
+WORD, GAP = "[^\\x20\\x09-\\x0D]+", "[\\x20\\x09-\\x0D]"
 
 
 def line_ids(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
@@ -29,8 +29,8 @@ def line_ids(docs: DataFrame, text_col: str, min_words: int) -> DataFrame:
     """
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(WORD))
     each = docs.select("row", lines.alias("lines")).select("row", F.size("lines").alias("n"), F.posexplode("lines").alias("pos", "line"))
-    words = F.size(F.split(F.trim(F.regexp_replace("line", "[\\x20\\x09-\\x0D]+", " ")), " "))
-    return each.select("row", "pos", (F.col("n") - F.col("pos")).alias("left"), F.array(F.xxhash64("line"), F.xxhash64(F.lit(1), "line")).alias("path"), (words >= min_words).alias("long"))
+    many = f"^{GAP}*+(?:{WORD}+{GAP}++){{{max(0, min_words - 1)}}}{WORD[:-1]}"
+    return each.select("row", "pos", (F.col("n") - F.col("pos")).alias("left"), F.array(F.xxhash64("line"), F.xxhash64(F.lit(1), "line")).alias("path"), F.col("line").rlike(many).alias("long"))
 
 
 def _sorted_numbers(df: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -46,36 +46,37 @@ def suffix_paths(lines: DataFrame) -> DataFrame:
     taken before anything is joined to them; keys with very many rows are split (``join_counted``).
     """
     counts = written(lines.groupBy("path").agg(F.count("*").alias("n")).where("n > 1"), "line-counts")
-    now = written(join_counted(lines, counts, ["path"]).select("row", "pos", "left", "long", "path"), "suffixes")
+    first = join_counted(lines, counts, ["path"]).select("row", "pos", "left", "long", "path", F.lit(True).alias("open"), F.lit(1).alias("step"))
+    tables = [written(first, "suffixes")]
     drop_written(counts)
-    done, k = [], 0
-    while not now.isEmpty():
-        step = 1 << k
-        wanted = now.where(F.col("left") > step).select("row", (F.col("pos") + step).alias("pos"))
-        known = now
-        for d in done:
-            known = known.unionByName(d)
-        refined = wanted.join(known.select("row", "pos", F.col("path").alias("own")), ["row", "pos"], "left")
-        ranked, lone = refined.where("own IS NOT NULL"), refined.where("own IS NULL").drop("own")
-        # what no table of suffixes has is a line that occurs once: its id is its path
-        ahead = ranked.unionByName(lone.join(lines.select("row", "pos", F.col("path").alias("own")), ["row", "pos"]))
-        keyed = written(now.join(ahead.select("row", (F.col("pos") - step).alias("pos"), F.col("own").alias("next")), ["row", "pos"], "left").withColumn("next", F.coalesce("next", F.array().cast("array<bigint>"))), "keyed")
+    # all rounds run the same plan, in which the length of the runs is a column, so that Spark compiles it once
+    while n := (now := tables[-1].where("open")).count():
+        known = tables[-1].select("row", "pos", "path")
+        if len(tables) > 1:
+            known = known.unionByName(_ended(tables[:-1]).select("row", "pos", "path"))
+        ahead = known.select("row", F.col("pos").alias("at"), F.col("path").alias("next"))
+        # a line that occurs once is in no table of suffixes: such lines come first among all, by their places
+        lone = F.array(F.lit(-(1 << 63)).cast("long"), F.col("row"), F.col("at").cast("long"))
+        follows = F.when(F.col("left") <= F.col("step"), F.array().cast("array<bigint>")).otherwise(F.coalesce("next", lone))
+        keyed = written(now.withColumn("at", F.col("pos") + F.col("step")).join(ahead, ["row", "at"], "left").withColumn("next", follows).drop("at", "open"), "keyed")
         ranks = _sorted_numbers(keyed.groupBy("path", "next").agg(F.count("*").alias("n")), ["path", "next"], "ranks")
-        again = written(join_counted(keyed, ranks, ["path", "next"]).select("row", "pos", "left", "long", F.concat("path", F.array("at")).alias("path"), "n"), "ranked")
         # a suffix that ends in this run equals the others of its number
-        open_ = (F.col("n") > 1) & (F.col("left") > step)
-        done.append(written(again.where(~open_).drop("n"), "suffixes-done"))
-        following = written(again.where(open_).drop("n"), "suffixes")
-        for d in (now, keyed, ranks, again):
-            drop_written(d)
-        now, k = following, k + 1
-    out = now
-    for d in done:
-        out = out.unionByName(d)
-    out._parts = [now, *done]
+        is_open = (F.col("n") > 1) & (F.col("left") > F.col("step"))
+        again = join_counted(keyed, ranks, ["path", "next"], total=n).select("row", "pos", "left", "long", F.concat("path", F.array("at")).alias("path"), is_open.alias("open"), (F.col("step") * 2).alias("step"))
+        tables.append(written(again, "suffixes"))
+        drop_written(keyed)
+        drop_written(ranks)
+    out = _ended(tables)
+    out._parts = tables
     return out
 
 
+def _ended(tables: list[DataFrame]) -> DataFrame:
+    """The suffixes that left the rounds, in one scan of the tables of several rounds."""
+    paths = [t._written_at for t in tables]
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths).where("NOT open").drop("open", "step")
+
+
 def _levels(a: str, b: str) -> Column:
     """How many numbers two paths share: k for suffixes that share a run of 2**(k - 1) lines, but none of 2**k."""
     return F.greatest(F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) - 1, F.lit(0))
@@ -118,21 +119,30 @@ def suffix_array(paths: DataFrame) -> DataFrame:
     return out
 
 
-def later_copies(array: DataFrame, depth: int) -> DataFrame:
-    """``at, row, pos, depth``: the suffixes of ``array`` whose first ``depth`` lines an earlier place has (written).
+def intervals(array: DataFrame, depths: list[int]) -> DataFrame:
+    """``array`` with a column ``in<depth>`` for each depth: where the suffix's interval begins (written).
 
     An interval is what lies between two neighbours with fewer than ``depth`` lines in common; it may
-    reach over many partitions. Its first copy is the least (row, pos).
+    reach over many partitions.
+    """
+    cut = {d: F.when(F.col("lcp") < d, F.col("at")) for d in depths}
+    starts = array.groupBy("part").agg(*[F.max(cut[d]).alias(f"top{d}") for d in depths])
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    carried = starts.select("part", *[F.max(f"top{d}").over(earlier).alias(f"top{d}") for d in depths])
+    inside = W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = array.join(carried, "part").select(*array.columns, *[F.coalesce(F.max(cut[d]).over(inside), F.col(f"top{d}")).alias(f"in{d}") for d in depths])
+    return written(rows, "intervals")
+
+
+def later_copies(placed: DataFrame, depth: int) -> DataFrame:
+    """``at, row, pos, depth``: the suffixes whose first ``depth`` lines an earlier place has (written).
+
+    The first copy in an interval of ``intervals`` is the least (row, pos).
     """
-    cut = F.when(F.col("lcp") < depth, F.col("at"))
-    starts = array.groupBy("part").agg(F.max(cut).alias("top"))
-    before = starts.select("part", F.max("top").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)).alias("carried"))
-    inside = F.max(cut).over(W.partitionBy("part").orderBy("at").rowsBetween(W.unboundedPreceding, W.currentRow))
-    placed = written(array.join(before, "part").withColumn("interval", F.coalesce(inside, "carried")).drop("part", "carried"), "placed")
-    found = written(placed.groupBy("interval").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).where("n > 1"), "intervals")
-    out = join_counted(placed, found, ["interval"]).where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
+    name = f"in{depth}"
+    found = written(placed.groupBy(name).agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first")).where("n > 1"), "firsts")
+    out = join_counted(placed, found, [name]).where((F.col("row") != F.col("first.row")) | (F.col("pos") != F.col("first.pos")))
     out = written(out.select("at", "row", "pos", F.lit(depth).alias("depth")), "later-copies")
-    drop_written(placed)
     drop_written(found)
     return out
 
@@ -159,9 +169,11 @@ def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     for d in paths._parts:
         drop_written(d)
     whole = table.select(F.col("row").alias("_row"), F.struct(*[F.col(column_of(docs, c)).alias(f"_k{i}") for i, c in enumerate(kept)]).alias("_all"))
-    runs = later_copies(array, min_lines)
+    placed = intervals(array, sorted({1, min_lines}))
+    runs = later_copies(placed, min_lines)
     if min_lines > 1:  # single long lines: all places of an interval of depth 1 begin with the same line
-        runs = runs.unionByName(later_copies(array.where("long"), 1))
+        runs = runs.unionByName(later_copies(placed.where("long"), 1))
+    drop_written(placed)
     # a place's longest run is shared with the neighbour before it or the one after it
     edges = array.select("at", "lcp").unionByName(array.select(F.col("before").alias("at"), "lcp")).where("lcp > 0")
     deepest = runs.join(edges, "at").groupBy("row").agg(F.max("lcp").alias("_longest"))
