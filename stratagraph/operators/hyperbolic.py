@@ -45,6 +45,16 @@ def ordering_loss(closed: DataFrame, points: DataFrame, margin: float = 0.1) ->
     return closure_norms(closed, points).groupBy("hierarchy").agg(F.avg(F.greatest(F.lit(0.0), F.col("na") - F.col("nd") + margin)).alias("loss"))
 
 
+def weighted_loss(closed: DataFrame, points: DataFrame, weights: dict[str, float], margin: float = 0.1) -> DataFrame:
+    """``loss``: the ordering losses of the named hierarchies by weight, summed; weights of 0 or less and absent hierarchies add nothing."""
+    used = {k: w for k, w in weights.items() if w > 0}
+    share = F.lit(0.0)
+    for name, w in used.items():
+        share = F.when(F.col("hierarchy") == name, F.lit(float(w))).otherwise(share)
+    losses = ordering_loss(closed, points, margin)
+    return losses.agg(F.coalesce(F.sum(share * F.col("loss")), F.lit(0.0)).alias("loss"))
+
+
 def ordering_validity(closed: DataFrame, points: DataFrame) -> DataFrame:
     ok = F.col("na") < F.col("nd")
     return closure_norms(closed, points).groupBy("hierarchy").agg(F.avg(ok.cast("double")).alias("valid"), F.avg(F.when(ok, F.col("nd") - F.col("na"))).alias("mean_gap"))

@@ -293,6 +293,11 @@ def tree_norm_loss(spark, d):
     return hyp.ordering_loss(graph.closure(tree_edges(spark, d)), points(spark, d)).withColumn("loss", F.round("loss", 6))
 
 
+@query(P + ", l AS (SELECT hierarchy, avg(greatest(0.0::DOUBLE, a.m-b.m+0.1)) AS loss FROM clo JOIN pm a ON a.node=anc JOIN pm b ON b.node=desc_ GROUP BY ALL) SELECT round(sum(CASE hierarchy WHEN 'geo' THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END*loss),6) AS loss FROM l")
+def weighted_tree_loss(spark, d):
+    return hyp.weighted_loss(graph.closure(tree_edges(spark, d)), points(spark, d), {"geo": 0.3, "product": 0.2}).withColumn("loss", F.round("loss", 6))
+
+
 @query(P + " SELECT hierarchy, round(avg((a.m<b.m)::INTEGER),6) AS valid, round(avg(b.m-a.m) FILTER (a.m<b.m),6) AS mean_gap FROM clo JOIN pm a ON a.node=anc JOIN pm b ON b.node=desc_ GROUP BY ALL")
 def norm_order_validity(spark, d):
     return hyp.ordering_validity(graph.closure(tree_edges(spark, d)), points(spark, d)).select("hierarchy", F.round("valid", 6).alias("valid"), F.round("mean_gap", 6).alias("mean_gap"))
