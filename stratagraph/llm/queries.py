@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import bpe, line_dedup, packing, prefix_counts, quality_rules, simhash, substring_dedup, toxicity, url_filters, winnowing
+from stratagraph.llm import bpe, interval_relations, line_dedup, packing, prefix_counts, quality_rules, simhash, substring_dedup, toxicity, url_filters, winnowing
 from stratagraph.llm.common import read
 
 
@@ -54,9 +54,14 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.documents_with_passages(read(spark, sf_dir, "documents"))
 
 
+def op11_interval_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = [read(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks")]
+    return interval_relations.sale_session_relations(*tables).withColumnsRenamed({"id": "sale_id", "crc": "sessions_crc"})
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op11_interval_relations": interval_relations.ORACLE_SQL}
