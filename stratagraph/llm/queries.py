@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.llm import bpe, interval_relations, line_dedup, packing, prefix_counts, quality_rules, simhash, substring_dedup, toxicity, url_filters, winnowing
+from stratagraph.llm import bpe, interval_relations, line_dedup, packing, prefix_counts, quality_rules, secret_scan, simhash, spelling, substring_dedup, toxicity, url_filters, winnowing
 from stratagraph.llm.common import read
 
 
@@ -59,9 +59,17 @@ def op11_interval_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interval_relations.sale_session_relations(*tables).withColumnsRenamed({"id": "sale_id", "crc": "sessions_crc"})
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(read(spark, sf_dir, "documents")))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op11_interval_relations": interval_relations.ORACLE_SQL}
+    return {"op1_line_dedup": line_dedup.ORACLE_SQL, "op11_interval_relations": interval_relations.ORACLE_SQL, "op12_spelling_variants": spelling.ORACLE_SQL}
