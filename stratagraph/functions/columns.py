@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: Multiplier, increment and modulus of the generator behind ``uniform``; fixed values that SQL repeats.
 A, C, M = 1103515245, 12345, 2147483648
+FOLD = 7919
 
 
 def sigmoid(x: Column) -> Column:
@@ -49,8 +50,13 @@ def total(a: Column) -> Column:
 
 
 def uniform(i: Column) -> Column:
-    """A number in [0, 1) from a whole number below 8e9; two steps of a linear congruential generator."""
-    one = (i.cast("long") * A + C) % M
+    """A number in [0, 1) from a whole number that is not negative; two steps of a linear congruential generator.
+
+    What exceeds the modulus is folded in first, so that large numbers neither overflow nor meet small ones.
+    """
+    i = i.cast("long")
+    folded = (i % M + FOLD * F.shiftright(i, 31)) % M
+    one = (folded * A + C) % M
     return ((one * A + C) % M) / F.lit(float(M))
 
 

@@ -27,13 +27,24 @@ def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, n: int, seasons,
     return nodes.select("node", F.explode(F.array(*map(F.lit, seasons))).alias("season")).join(x, ["node", "season"], "left").select("season", "node", F.round(F.coalesce("x", F.lit(0.0)), 6).alias("eigenvector"))
 
 
-def shortest_paths(edges: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """``season, src, dst, d``: least sums of 1/w, by min-plus squaring; ``rounds`` covers paths of 2**rounds edges."""
-    d = step(edges.groupBy("season", "src", "dst").agg(F.min(1 / F.col("w")).alias("d")))
-    for _ in range(rounds):
-        via = d.select("season", F.col("src").alias("mid"), F.col("dst").alias("to"), F.col("d").alias("d2"))
-        longer = d.withColumnRenamed("dst", "mid").join(via, ["season", "mid"]).where("src <> to").select("season", "src", F.col("to").alias("dst"), (F.col("d") + F.col("d2")).alias("d"))
-        d = step(d.unionByName(longer).groupBy("season", "src", "dst").agg(F.min("d").alias("d")))
+def shortest_paths(edges: DataFrame) -> DataFrame:
+    """``season, src, dst, d``: least sums of 1/w over paths of any length.
+
+    Each round joins the pairs that became shorter in the last one with all pairs, on both sides, so the edges of a
+    path double; it ends when no pair became shorter. Weights are positive.
+    """
+    keys = ["season", "src", "dst"]
+    d = step(edges.where("src <> dst").groupBy(*keys).agg(F.min(1 / F.col("w")).alias("d")))
+    fresh = d
+    while not fresh.isEmpty():
+        left = lambda x: x.select("season", "src", F.col("dst").alias("mid"), F.col("d").alias("d1"))
+        right = lambda x: x.select("season", F.col("src").alias("mid"), "dst", F.col("d").alias("d2"))
+        meet = lambda a, b: left(a).join(right(b), ["season", "mid"]).where("src <> dst").select(*keys, (F.col("d1") + F.col("d2")).alias("d"))
+        longer = meet(fresh, d) if fresh is d else meet(fresh, d).unionByName(meet(d, fresh))
+        longer = longer.groupBy(*keys).agg(F.min("d").alias("new"))
+        both = step(d.join(longer, keys, "full").select(*keys, F.least("d", "new").alias("d"), F.coalesce(F.col("new") < F.col("d") * (1 - 1e-12), F.col("d").isNull()).alias("shorter")))
+        # sums of the same edges in another order differ in their last digits and are no news
+        d, fresh = both.select(*keys, "d"), both.where("shorter").select(*keys, "d")
     return d
 
 

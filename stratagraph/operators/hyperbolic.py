@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stratagraph.functions.columns import dot, norm, sub
+from stratagraph.operators import ordinals
+from stratagraph.sources.steps import step
 
 EPS = 1e-5
 
@@ -21,11 +24,58 @@ def distance(x: Column, y: Column) -> Column:
     return F.acosh(1 + 2 * dot(d, d) / ((1 - dot(x, x)) * (1 - dot(y, y)) + 1e-12))
 
 
-def sharing_ancestor(closed: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """Distinct ordered pairs ``h, t`` with an ancestor in common in some hierarchy; ``roots`` leaves these ancestors out."""
-    anc = closed if roots is None else closed.join(roots, closed["anc"] == roots["node"], "left_anti")
-    a, b = anc.select("hierarchy", "anc", F.col("desc").alias("h")), anc.select("hierarchy", "anc", F.col("desc").alias("t"))
-    return a.join(b, ["hierarchy", "anc"]).where("h <> t").select("h", "t").distinct()
+def sharing(pairs: DataFrame, closed: DataFrame) -> DataFrame:
+    """Those of the pairs ``h, t`` that have an ancestor in common in some hierarchy. A pair meets its own ancestors only."""
+    up = closed.select("hierarchy", "anc", "desc")
+    both = pairs.select("h", "t").distinct().join(up.withColumnRenamed("desc", "h"), "h").join(up.withColumnRenamed("desc", "t"), ["hierarchy", "anc", "t"])
+    return both.where("h <> t").select("h", "t").distinct()
+
+
+def nearest_effects(closed: DataFrame, points: DataFrame, asked: Column, k: int, digits: int = 6) -> DataFrame:
+    """``h, t, ce``: the k largest effects of every asked ``node`` with nodes that share an ancestor with it, equal ones by name.
+
+    Below every ancestor nodes are put in order of their norms, rounded to ``digits``. The k nearest of a node are among the k
+    places from its own norm on, and the k before it, so rows are 2k for each pair of a node and an ancestor of it, and
+    pairs of nodes are never written.
+    """
+    group = ["hierarchy", "anc"]
+    size = F.round(norm(F.col("x")), digits)
+    below = closed.join(points.select(F.col("node").alias("desc"), size.alias("n")), "desc").select(*group, F.col("desc").alias("node"), "n")
+    near = []
+    for sign in (1.0, -1.0):
+        # equal norms by name in both directions
+        placed = ordinals.numbered(below.withColumn("at", F.col("n") * sign), [*group, "at", "node"], "place")
+        first = placed.groupBy(*group, "at").agg(F.min("place").alias("from"))
+        asks = placed.where(asked).join(first, [*group, "at"]).select(*group, F.col("node").alias("h"), F.col("n").alias("nh"), F.explode(F.sequence(F.col("from"), F.col("from") + k)).alias("place"))
+        met = asks.join(placed.select(*group, "place", F.col("node").alias("t"), F.col("n").alias("nt")), [*group, "place"])
+        near.append(met.where("h <> t").select("h", "t", F.round(F.greatest(F.lit(0.0), 1 - F.abs(F.col("nh") - F.col("nt"))), digits).alias("ce")))
+    order = W.partitionBy("h").orderBy(F.desc("ce"), "t")
+    found = near[0].unionByName(near[1]).distinct()
+    return found.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= k).drop("_k")
+
+
+def effect_sums(closed: DataFrame, points: DataFrame) -> DataFrame:
+    """For every node ``node, pairs, effects, squares, most``: how many nodes share its tree's topmost ancestor, and the sum, the
+    sum of squares and the largest of its effects with them. Norms are below 1, as in the ball, so every effect is positive.
+
+    Sums over differences of norms come from running sums in order of the norms. A hierarchy is a forest: a node has one topmost ancestor.
+    """
+    group = ["hierarchy", "anc"]
+    top = closed.join(closed.select("hierarchy", F.col("desc").alias("anc")).distinct(), group, "left_anti")
+    rows = top.join(points.select(F.col("node").alias("desc"), norm(F.col("x")).alias("n")), "desc").select(*group, F.col("desc").alias("node"), "n")
+    order = [*group, "n", "node"]
+    placed = step(ordinals.running(ordinals.numbered(rows, order, "place"), order, "n", "upto"))
+    whole = placed.groupBy(*group).agg(F.min("place").alias("first"), F.count("*").alias("m"), F.sum("n").alias("sum"), F.sum(F.col("n") * F.col("n")).alias("sum2"), F.min_by(F.col("upto") - F.col("n"), "place").alias("before"))
+    near = placed.select(*group, F.explode(F.array(F.col("place") - 1, F.col("place") + 1)).alias("place"), F.col("n").alias("other"))
+    gap = placed.join(near, [*group, "place"], "left").groupBy(*group, "place", "node", "n", "upto").agg(F.min(F.abs(F.col("n") - F.col("other"))).alias("gap"))
+    rows = gap.join(whole, group)
+    below, above = F.col("place") - F.col("first"), F.col("first") + F.col("m") - 1 - F.col("place")
+    under = F.col("upto") - F.col("n") - F.col("before")
+    over = F.col("sum") - under - F.col("n")
+    apart = F.col("n") * below - under + over - F.col("n") * above
+    apart2 = F.col("m") * F.col("n") * F.col("n") - 2 * F.col("n") * F.col("sum") + F.col("sum2")
+    pairs = F.col("m") - 1
+    return rows.where("m > 1").select("node", pairs.alias("pairs"), (pairs - apart).alias("effects"), (pairs - 2 * apart + apart2).alias("squares"), (1 - F.col("gap")).alias("most"))
 
 
 def causal_effect(pairs: DataFrame, points: DataFrame) -> DataFrame:

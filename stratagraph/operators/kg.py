@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratagraph.functions.columns import sigmoid, uniform, valid_at
+from stratagraph.functions.columns import dot, sigmoid, uniform, valid_at
+from stratagraph.operators import blocks, ordinals
 
 
-def _numbered(names: DataFrame) -> DataFrame:
-    """Ids from 0 by sorted name. Vocabularies are small next to the facts; one sort of them is enough."""
-    return names.distinct().withColumn("id", F.row_number().over(W.orderBy("name")) - 1)
+def _numbered(names: DataFrame, start: int = 0) -> DataFrame:
+    """``name, id``: distinct names by sorted name, ids as whole numbers of 32 bits from ``start``."""
+    return ordinals.numbered(names.select("name").distinct(), ["name"], start=start).withColumn("id", F.col("id").cast("int"))
 
 
 def entity_ids(facts: DataFrame) -> DataFrame:
@@ -29,9 +30,8 @@ def relation_ids(facts: DataFrame) -> DataFrame:
 
 def extended_ids(ids: DataFrame, more: DataFrame) -> DataFrame:
     """Names that the dictionary lacks get ids after its last one, by sorted name."""
-    n = ids.agg((F.max("id") + 1).alias("n"))
-    new = more.select("name").distinct().join(ids, "name", "left_anti").crossJoin(n)
-    return ids.select("name", "id").unionByName(new.select("name", (F.row_number().over(W.orderBy("name")) - 1 + F.coalesce("n", F.lit(0))).alias("id")))
+    last = ids.agg(F.max("id")).first()[0]
+    return ids.select("name", "id").unionByName(_numbered(more.select("name").join(ids, "name", "left_anti"), 0 if last is None else last + 1))
 
 
 def expand_intervals(facts: DataFrame, n: int) -> DataFrame:
@@ -93,9 +93,7 @@ def negative_samples(positives: DataFrame, probabilities: DataFrame, per_positiv
     A tail owns the interval between its predecessor's cumulative probability and its own; points meet
     their interval in bins of the unit line, an equi-join with a check.
     """
-    order = W.orderBy("id")
-    upper = probabilities.select("id", F.sum("p").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("hi"))
-    owned = upper.select("id", F.lag("hi", 1, 0.0).over(order).alias("lo"), "hi")
+    owned = ordinals.running(probabilities.select("id", "p"), ["id"], "p", "hi").select("id", (F.col("hi") - F.col("p")).alias("lo"), "hi")
     owned = owned.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") * bins), F.floor(F.col("hi") * bins))))
     draws = positives.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(per_positive - 1)))).withColumn("u", uniform(F.col("pos_id") * per_positive + F.col("j")))
     met = draws.withColumn("bin", F.floor(F.col("u") * bins)).join(owned, "bin").where((F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
@@ -107,20 +105,50 @@ def margin_loss(scored: DataFrame, margin: float) -> DataFrame:
     return scored.agg(F.coalesce(F.avg(F.greatest(F.lit(0.0), margin + F.col("neg") - F.col("pos"))), F.lit(0.0)).alias("loss"))
 
 
-def filtered_ranks(test: DataFrame, scores: DataFrame, known: DataFrame) -> DataFrame:
+def decode(rows: DataFrame, ids: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Adds names: ``columns`` maps a column of ids to the name's column. Unknown ids get no name; their rows stay."""
+    for column, name in columns.items():
+        rows = rows.join(ids.select(F.col("id").alias(column), F.col("name").alias(name)), column, "left")
+    return rows
+
+
+def filtered_ranks(test: DataFrame, queries: DataFrame, candidates: DataFrame, known: DataFrame, how: str = "dot") -> DataFrame:
     """Rank of each test row's tail among all candidates, other known tails left out; ties count in its favour.
 
-    ``scores`` has ``h, r, tau, cand, score`` for each distinct (h, r, tau) of the test rows, so that
-    rows which share these are scored once.
+    ``test`` and ``known`` have ``h, r, t, tau``; ``queries`` has a vector ``q`` for each (h, r, tau), ``candidates`` (``id, c``)
+    those of tails. Candidates are counted block by block; known tails, which are as many as facts, are scored one by one
+    and their counts taken off. Test rows without a query's or a tail's vector are left out; repeated rows stay.
     """
     keys = ["h", "r", "tau"]
-    tested = test.groupBy(*keys, "t").agg(F.count("*").alias("times"))
-    target = tested.join(scores.withColumnRenamed("cand", "t"), [*keys, "t"]).withColumnRenamed("score", "own")
-    masked = known.select(*keys, F.col("t").alias("cand")).distinct().withColumn("known", F.lit(True))
-    others = scores.join(masked, [*keys, "cand"], "left")
-    pairs = target.join(others, keys)
-    better = (F.col("score") > F.col("own")) & (F.col("cand") != F.col("t")) & F.col("known").isNull()
-    return pairs.groupBy(*keys, "t", "times").agg((F.count_if(better) + 1).alias("rank")).select(*keys, "t", "rank", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_")).drop("_")
+    tails = candidates.select(F.col("id").alias("t"), "c")
+    score = lambda df: df.join(queries, keys).join(tails, "t").withColumn("score", F.round(blocks_score(F.col("q"), F.col("c"), how), 6) + 0.0).drop("c")
+    tested = score(test.groupBy(*keys, "t").agg(F.count("*").alias("times"))).withColumnRenamed("score", "own")
+    over = blocks.against_all(tested.select(*keys, "t", "q", "own"), [*keys, "t"], candidates, how)
+    # of the known tails of a query, those of a better score: sums over distinct scores, best first
+    by_score = score(known.select(*keys, "t").distinct()).groupBy(*keys, "score").agg(F.count("*").alias("k"), F.lit(True).alias("is_known"))
+    levels = by_score.unionByName(tested.select(*keys, F.col("own").alias("score")).distinct().select("*", F.lit(0).cast("long").alias("k"), F.lit(False).alias("is_known")))
+    levels = levels.groupBy(*keys, "score").agg(F.sum("k").alias("k"))
+    above = W.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, -1)
+    better = levels.select(*keys, F.col("score").alias("own"), F.coalesce(F.sum("k").over(above), F.lit(0)).alias("known_better"))
+    out = tested.drop("q").join(over.select(*keys, "t", "better"), [*keys, "t"]).join(better, [*keys, "own"])
+    return out.select(*keys, "t", (1 + F.col("better") - F.col("known_better")).alias("rank"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")).drop("_")
+
+
+def blocks_score(q: Column, c: Column, how: str) -> Column:
+    """The score of one pair, as ``blocks.scores`` has it."""
+    if how == "dot":
+        return dot(q, c)
+    return -F.aggregate(F.zip_with(q, c, lambda x, y: F.abs(x - y) if how == "l1" else (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+
+
+def all_margin_loss(facts: DataFrame, queries: DataFrame, candidates: DataFrame, margin: float = 1.0, how: str = "dot") -> DataFrame:
+    """Mean hinge of every distinct fact (``h, r, t, tau``) against every other candidate, summed block by block; 0 without pairs."""
+    keys = ["h", "r", "tau"]
+    rows = facts.select(*keys, "t").distinct().join(queries, keys).join(candidates.select(F.col("id").alias("t"), "c"), "t")
+    rows = rows.select(*keys, "t", "q", (F.round(blocks_score(F.col("q"), F.col("c"), how), 6) + 0.0).alias("own"))
+    sums = blocks.against_all(rows, [*keys, "t"], candidates, how, margin)
+    # a fact against itself has the margin as hinge
+    return sums.agg(F.coalesce(F.sum(F.col("hinge") - margin) / F.sum(F.col("n") - 1), F.lit(0.0)).alias("loss"))
 
 
 def rank_metrics(ranks: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -134,6 +162,11 @@ def threat_probabilities(scores: DataFrame) -> DataFrame:
     return scores.withColumn("prob", sigmoid(F.col("score")))
 
 
+def relations_present(quads: DataFrame, relations: DataFrame, wanted: list[str]) -> DataFrame:
+    """Those of the wanted relations (names) that the quads have, as ``name, id``; none of them is an empty table, not an error."""
+    return relations.where(F.col("name").isin(wanted)).join(quads.select(F.col("r").alias("id")).distinct(), "id", "left_semi").select("name", "id")
+
+
 def novel_links(scores: DataFrame, known: DataFrame, threshold: float, k: int) -> DataFrame:
     """Likely pairs (h, t) that the known rows lack, best first; a pair's scores at several times are averaged."""
     fresh = scores.join(known.select("h", F.col("t").alias("cand")).distinct(), ["h", "cand"], "left_anti")

@@ -59,3 +59,27 @@ def projected(learned: Column, features: Column, weights: list[list[float]] | Co
     """A learned vector, or for an unseen entity its features times the weights (one array for each output) plus the bias."""
     made = F.zip_with(F.transform(weights, lambda w: dot(features, w)), bias, lambda x, b: x + b)
     return F.coalesce(learned, made)
+
+
+def query_vector(model: str, h_re, h_im, r_re, r_im, v_re=None, v_im=None) -> Column:
+    """Head, relation and time folded into one vector, so that a tail's score is one product or distance (``TAIL_SCORES``)."""
+    if model == "transe":
+        return add(h_re, r_re)
+    if model == "distmult":
+        return mul(h_re, r_re)
+    if model == "tuckert":
+        return mul(h_re, add(r_re, v_re))
+    if model == "rotate":
+        size = F.zip_with(r_re, r_im, lambda x, y: F.sqrt(x * x + y * y) + 1e-12)
+        r_re, r_im = (F.zip_with(x, size, lambda a, n: a / n) for x in (r_re, r_im))
+    elif model == "tcomplex":
+        r_re, r_im = add(r_re, v_re), add(r_im, v_im)
+    return F.concat(*complex_product(h_re, h_im, r_re, r_im))
+
+
+def tail_vector(model: str, t_re, t_im) -> Column:
+    return t_re if model in ("transe", "distmult", "tuckert") else F.concat(t_re, t_im)
+
+
+#: How the two vectors of a model meet.
+TAIL_SCORES = {"tcomplex": "dot", "complex": "dot", "distmult": "dot", "tuckert": "dot", "transe": "l1", "rotate": "l2"}

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stratagraph.functions.columns import cosine, normalised
-from stratagraph.operators import graph, hyperbolic as hyp, kg, scoring, training
+from stratagraph.functions.columns import dot, norm, normalised
+from stratagraph.operators import blocks, graph, hyperbolic as hyp, kg, projection, scoring, training
 from stratagraph.plans.registry import query
 from stratagraph.sources import tables
 from stratagraph.sources.steps import step
@@ -94,12 +94,13 @@ def neg_sampling_prob(spark, d):
     return kg.negative_probabilities(g.quads, g.entities).withColumn("p", F.round("p", 8))
 
 
-@query("WITH " + PROB_SQL + """, cum AS (SELECT id, sum(p) OVER (ORDER BY id) AS hi FROM pr), pos AS (SELECT (((tau*10+r)*1000+h)*1000+t)::BIGINT AS pos_id FROM quads), dr AS (SELECT pos_id, j::INTEGER AS j, (((((pos_id*4+j)*1103515245+12345)%2147483648)*1103515245+12345)%2147483648)/2147483648.0::DOUBLE AS u FROM pos, range(0,4) t(j)),
+@query("WITH " + PROB_SQL + """, cum AS (SELECT id, sum(p) OVER (ORDER BY id) AS hi FROM pr), pos AS (SELECT (((tau*nr+r)*ne+h)*ne+t)::BIGINT AS pos_id FROM quads, (SELECT (SELECT count(*) FROM ent) AS ne, (SELECT count(*) FROM rel) AS nr)), dr AS (SELECT pos_id, j::INTEGER AS j, ((((((pos_id*4+j)%2147483648+7919*((pos_id*4+j)//2147483648))%2147483648*1103515245+12345)%2147483648)*1103515245+12345)%2147483648)/2147483648.0::DOUBLE AS u FROM pos, range(0,4) t(j)),
 iv AS (SELECT id, hi, lag(hi, 1, 0.0::DOUBLE) OVER (ORDER BY id) AS lo FROM cum)
 SELECT pos_id, j, id::INTEGER AS neg FROM dr JOIN iv ON u>=lo AND u<hi""")
 def negative_samples(spark, d):
     g = Graph(spark, d)
-    pos = g.quads.select((((F.col("tau").cast("long") * 10 + F.col("r")) * 1000 + F.col("h")) * 1000 + F.col("t")).alias("pos_id"))
+    n_e, n_r = g.entities.count(), g.relations.count()
+    pos = g.quads.select((((F.col("tau").cast("long") * n_r + F.col("r")) * n_e + F.col("h")) * n_e + F.col("t")).alias("pos_id"))
     return kg.negative_samples(pos, kg.negative_probabilities(g.quads, g.entities), 4)
 
 
@@ -109,93 +110,120 @@ def emb(spark, d):
     return tables.read(spark, d, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.slice(v, 1, 32).alias("re"), F.slice(v, 33, 32).alias("im"))
 
 
-#: Scores of queries: every vector whose id is divisible by 20 as head, with five relations and two points in time, against all vectors as tails.
-VECTORS_SQL = "x AS (SELECT vec_id::INTEGER AS id, k, embedding[k]::DOUBLE AS re, embedding[k+32]::DOUBLE AS im FROM embeddings, range(1,33) g(k))"
-JOINED_SQL = "z AS (SELECT cand.*, eh.k, eh.re AS hr, eh.im AS hi, er.re AS rr, er.im AS ri, ev.re AS vr, ev.im AS vi, et.re AS tr, et.im AS ti FROM cand JOIN x eh ON eh.id=h JOIN x er ON er.id=r AND er.k=eh.k JOIN x ev ON ev.id=tau AND ev.k=eh.k JOIN x et ON et.id=t AND et.k=eh.k)"
-SCORED_SQL = "cand AS (SELECT h.vec_id::INTEGER AS h, r::INTEGER AS r, tau::INTEGER AS tau, t.vec_id::INTEGER AS t FROM embeddings h, range(200,205) b(r), (SELECT unnest([301,306]) AS tau) c, embeddings t WHERE h.vec_id%20=0), " + VECTORS_SQL + ", " + JOINED_SQL
-#: The same for all nations (0 to 24), priorities (200 to 204), years (300 to 306) and brands (100 to 124) by their vectors.
-KNOWN_SQL = "cand AS (SELECT h::INTEGER AS h, r::INTEGER AS r, tau::INTEGER AS tau, t::INTEGER AS t FROM range(0,25) a(h), range(200,205) b(r), range(300,307) c(tau), range(100,125) e(t)), " + VECTORS_SQL + ", " + JOINED_SQL
+#: Vectors by key: entities, relations and points in time, numbered one after another, take the vectors of these numbers, modulo how many there are.
+VECTORS_SQL = FACTS_SQL + """,
+x AS (SELECT vec_id::INTEGER AS id, k, embedding[k]::DOUBLE AS re, embedding[k+32]::DOUBLE AS im FROM embeddings, range(1,33) g(k)),
+base AS (SELECT (SELECT count(*) FROM ent) AS ne, (SELECT count(*) FROM rel) AS nr, (SELECT count(*) FROM embeddings) AS nv),
+xe AS (SELECT ent.id, name, k, re, im FROM ent CROSS JOIN base JOIN x ON x.id=ent.id%nv),
+xr AS (SELECT rel.id, name, k, re, im FROM rel CROSS JOIN base JOIN x ON x.id=(ne+rel.id)%nv),
+xt AS (SELECT tau::INTEGER AS tau, k, re, im FROM range(0,7) u(tau) CROSS JOIN base JOIN x ON x.id=(ne+nr+tau)%nv)"""
+PARTS_SQL = "h.re AS hr, h.im AS hi, r.re AS rr, r.im AS ri, v.re AS vr, v.im AS vi, t.re AS tr, t.im AS ti"
+#: A stated query set, every vector whose id is divisible by 20 as head with all relations and two points in time, against all vectors as tails.
+SCORED_SQL = VECTORS_SQL + ", z AS (SELECT h.id AS h, r.id AS r, v.tau, t.id AS t, h.k, " + PARTS_SQL + " FROM x h JOIN xr r ON r.k=h.k JOIN xt v ON v.k=h.k AND v.tau IN (1,6) JOIN x t ON t.k=h.k WHERE h.id%20=0)"
+#: Every nation, relation and year with every entity as tail.
+KNOWN_SQL = VECTORS_SQL + ", z AS (SELECT h.id AS h, h.name AS hn, r.id AS r, r.name AS rn, v.tau, t.id AS t, t.name AS tn, " + PARTS_SQL + " FROM xe h JOIN xr r ON r.k=h.k JOIN xt v ON v.k=h.k JOIN xe t ON t.k=h.k WHERE h.name LIKE 'n:%')"
 S = "WITH " + SCORED_SQL
-HEAD = S + " SELECT h, r, tau, t, round("
-TAIL = ",6)+0.0::DOUBLE AS score FROM z GROUP BY h, r, tau, t"
 TC = "sum((hr*(rr+vr)-hi*(ri+vi))*tr+(hr*(ri+vi)+hi*(rr+vr))*ti)"
 
 
-def _vectors(e, where, p):
-    return e.where(where).select(F.col("id").alias(p), F.col("re").alias(f"{p}_re"), F.col("im").alias(f"{p}_im"))
+def best_of(score: str) -> str:
+    return S + f" SELECT h, r, tau, t, score FROM (SELECT *, row_number() OVER (PARTITION BY h, r, tau ORDER BY score DESC, t) AS place FROM (SELECT h, r, tau, t, round({score},6)+0.0::DOUBLE AS score FROM z GROUP BY h, r, tau, t)) WHERE place<=10"
 
 
-def candidates(spark, d):
-    """Queries and all tails: a stated set of heads against every vector."""
-    e = emb(spark, d)
-    left = _vectors(e, "id % 20 = 0", "h").crossJoin(_vectors(e, "id BETWEEN 200 AND 204", "r")).crossJoin(_vectors(e, "id IN (301, 306)", "tau"))
-    return left.crossJoin(_vectors(e, "true", "t"))
+class Vectors(Graph):
+    """A graph whose names and times have vectors, gathered by key from all embeddings."""
 
+    def __init__(self, spark, d):
+        super().__init__(spark, d)
+        self.emb = emb(spark, d)
+        n_e, n_r, n = self.entities.count(), self.relations.count(), self.emb.count()
+        gather = lambda keys, key, start: keys.withColumn("_v", (F.col(key) + start) % n).join(self.emb.withColumnRenamed("id", "_v"), "_v").drop("_v")
+        self.e, self.r = gather(self.entities, "id", 0), gather(self.relations, "id", n_e)
+        self.t = gather(spark.range(YEARS).select(F.col("id").cast("int").alias("tau")), "tau", n_e + n_r)
 
-def known_candidates(spark, d, times=range(300, 307)):
-    """Every nation, priority and year with every brand."""
-    e = emb(spark, d)
-    left = _vectors(e, "id BETWEEN 0 AND 24", "h").crossJoin(_vectors(e, "id BETWEEN 200 AND 204", "r")).crossJoin(_vectors(e, F.col("id").isin(*times), "tau"))
-    return left.crossJoin(_vectors(e, "id BETWEEN 100 AND 124", "t"))
+    def queries(self, model, heads, times=None, relations=None):
+        """``h, r, tau, q``: heads (``id, re, im``) with relations and times, folded into one vector each before any tail is met."""
+        part = lambda df, key, p: df.select(F.col(key).alias(p), F.col("re").alias(f"{p}_re"), F.col("im").alias(f"{p}_im"))
+        t = self.t if times is None else self.t.where(F.col("tau").isin(*times))
+        rows = part(heads, "id", "h").crossJoin(part(self.r if relations is None else relations, "id", "r")).crossJoin(part(t, "tau", "tau"))
+        return rows.select("h", "r", "tau", scoring.query_vector(model, "h_re", "h_im", "r_re", "r_im", "tau_re", "tau_im").alias("q"))
 
+    @property
+    def nations(self):
+        return self.e.where(F.col("name").startswith("n:"))
 
-def scored(rows, score):
-    return rows.select("h", "r", "tau", "t", (F.round(score, 6) + 0.0).alias("score"))
+    def names(self, rows, **columns):
+        return kg.decode(rows, self.entities, columns)
 
 
-ARGS = ("h_re", "h_im", "r_re", "r_im", "tau_re", "tau_im", "t_re", "t_im")
+def tails(model, vectors):
+    return vectors.select("id", scoring.tail_vector(model, F.col("re"), F.col("im")).alias("c"))
 
 
-def tcomplex():
-    return scoring.tcomplex(*ARGS)
+def top_tails(spark, d, model):
+    g = Vectors(spark, d)
+    out = blocks.best(g.queries(model, g.emb.where("id % 20 = 0"), (1, 6)), ["h", "r", "tau"], tails(model, g.emb), 10, scoring.TAIL_SCORES[model])
+    return out.withColumnRenamed("id", "t")
 
 
-@query(HEAD + TC + TAIL)
+@query(best_of(TC))
 def score_tcomplex(spark, d):
-    return scored(candidates(spark, d), tcomplex())
+    """The ten best tails of every query of the stated set."""
+    return top_tails(spark, d, "tcomplex")
 
 
-@query(HEAD + "sum((hr*rr-hi*ri)*tr+(hr*ri+hi*rr)*ti)" + TAIL)
+@query(best_of("sum((hr*rr-hi*ri)*tr+(hr*ri+hi*rr)*ti)"))
 def score_complex(spark, d):
-    return scored(candidates(spark, d), scoring.complex_score("h_re", "h_im", "r_re", "r_im", "t_re", "t_im"))
+    return top_tails(spark, d, "complex")
 
 
-@query(HEAD + "sum(hr*rr*tr)" + TAIL)
+@query(best_of("sum(hr*rr*tr)"))
 def score_distmult(spark, d):
-    return scored(candidates(spark, d), scoring.distmult("h_re", "r_re", "t_re"))
+    return top_tails(spark, d, "distmult")
 
 
-@query(HEAD + "-sum(abs(hr+rr-tr))" + TAIL)
+@query(best_of("-sum(abs(hr+rr-tr))"))
 def score_transe(spark, d):
-    return scored(candidates(spark, d), scoring.transe("h_re", "r_re", "t_re"))
+    return top_tails(spark, d, "transe")
 
 
-@query(HEAD + "-sum((hr*rr/(sqrt(rr*rr+ri*ri)+1e-12)-hi*ri/(sqrt(rr*rr+ri*ri)+1e-12)-tr)**2+(hr*ri/(sqrt(rr*rr+ri*ri)+1e-12)+hi*rr/(sqrt(rr*rr+ri*ri)+1e-12)-ti)**2)" + TAIL)
+@query(best_of("-sum((hr*rr/(sqrt(rr*rr+ri*ri)+1e-12)-hi*ri/(sqrt(rr*rr+ri*ri)+1e-12)-tr)**2+(hr*ri/(sqrt(rr*rr+ri*ri)+1e-12)+hi*rr/(sqrt(rr*rr+ri*ri)+1e-12)-ti)**2)"))
 def score_rotate(spark, d):
-    return scored(candidates(spark, d), scoring.rotate("h_re", "h_im", "r_re", "r_im", "t_re", "t_im"))
+    return top_tails(spark, d, "rotate")
 
 
-@query(HEAD + "sum(hr*(rr+vr)*tr)" + TAIL)
+@query(best_of("sum(hr*(rr+vr)*tr)"))
 def score_tuckert(spark, d):
-    return scored(candidates(spark, d), scoring.tucker_t("h_re", "r_re", "tau_re", "t_re"))
+    return top_tails(spark, d, "tuckert")
 
 
-@query(HEAD + TC + "+0.1*sum(hi*ti)/((sqrt(sum(hi*hi))+1e-12)*(sqrt(sum(ti*ti))+1e-12))" + TAIL)
+@query(best_of(TC + "+0.1*sum(hi*ti)/((sqrt(sum(hi*hi))+1e-12)*(sqrt(sum(ti*ti))+1e-12))"))
 def score_attr_bonus(spark, d):
-    return scored(candidates(spark, d), scoring.attribute_bonus(tcomplex(), F.col("h_im"), F.col("t_im")))
+    """The bonus is one more product: both sides' attributes at unit length join the vectors."""
+    g = Vectors(spark, d)
+    unit = lambda c: F.transform(c, lambda x: x / (norm(c) + 1e-12))
+    heads = g.emb.where("id % 20 = 0").select("id", "re", "im", F.transform(unit(F.col("im")), lambda x: 0.1 * x).alias("u"))
+    q = g.queries("tcomplex", heads, (1, 6)).join(heads.select(F.col("id").alias("h"), "u"), "h").select("h", "r", "tau", F.concat("q", "u").alias("q"))
+    c = g.emb.select("id", F.concat("re", "im", unit(F.col("im"))).alias("c"))
+    return blocks.best(q, ["h", "r", "tau"], c, 10).withColumnRenamed("id", "t")
+
 
+#: One alignment step from zero over seen vectors: rate 0.1, loss weight 0.5, so twice 0.05 of the mean products.
+STEP = 0.1
 
-@query(S + """, pj AS (SELECT h.id AS t, k.k, sum(h.im*w.im) + any_value(b.re) AS v FROM x h JOIN x w ON w.k=h.k AND w.id BETWEEN 400 AND 431 JOIN (SELECT id, k, re FROM x WHERE id=399) b ON b.k=w.id-399 JOIN (SELECT DISTINCT k FROM x) k ON k.k=w.id-399 WHERE h.id%5=4 GROUP BY h.id, k.k),
-zz AS (SELECT z0.h, z0.r, z0.tau, z0.t, sum(z0.hr*z0.rr*coalesce(pj.v, z0.tr)) AS s FROM (SELECT cand.*, eh.k, eh.re AS hr, er.re AS rr, et.re AS tr FROM cand JOIN x eh ON eh.id=h JOIN x er ON er.id=r AND er.k=eh.k JOIN x et ON et.id=t AND et.k=eh.k) z0 LEFT JOIN pj ON pj.t=z0.t AND pj.k=z0.k GROUP BY ALL)
-SELECT h, r, tau, t, round(s,6)+0.0::DOUBLE AS score FROM zz""")
+
+@query(S + f""", seen AS (SELECT id, k, re, im FROM x WHERE id%5<>4), ns AS (SELECT count(*)/32 AS n FROM seen),
+w AS (SELECT a.k AS f, b.k, {STEP}::DOUBLE*sum(a.im*b.re)/any_value(n) AS w FROM seen a JOIN seen b ON a.id=b.id CROSS JOIN ns GROUP BY a.k, b.k), bias AS (SELECT k, {STEP}::DOUBLE*sum(re)/any_value(n) AS b FROM seen CROSS JOIN ns GROUP BY k),
+pj AS (SELECT a.id AS t, w.k, sum(a.im*w.w)+any_value(bias.b) AS v FROM x a JOIN w ON w.f=a.k JOIN bias ON bias.k=w.k WHERE a.id%5=4 GROUP BY a.id, w.k),
+zz AS (SELECT z.h, z.r, z.tau, z.t, round(sum(hr*rr*coalesce(pj.v,tr)),6)+0.0::DOUBLE AS score FROM z LEFT JOIN pj ON pj.t=z.t AND pj.k=z.k GROUP BY ALL)
+SELECT h, r, tau, t, score FROM (SELECT *, row_number() OVER (PARTITION BY h, r, tau ORDER BY score DESC, t) AS place FROM zz) WHERE place<=10""")
 def score_inductive(spark, d):
-    """Vectors with id % 5 = 4 stand for unseen entities: their vectors come from features (the second half) by a weight table of 32 rows."""
-    e = emb(spark, d)
-    w = e.where("id BETWEEN 400 AND 431").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "im"))), lambda x: x["im"]).alias("w"))
-    b = e.where("id = 399").select(F.col("re").alias("b"))
-    rows = candidates(spark, d).crossJoin(w).crossJoin(b)
-    tail = scoring.projected(F.when(F.col("t") % 5 != 4, F.col("t_re")), F.col("t_im"), F.col("w"), F.col("b"))
-    return scored(rows, scoring.distmult("h_re", "r_re", tail))
+    """Vectors with id % 5 = 4 stand for unseen entities: theirs come from features (the second half) by a projection learned from the others."""
+    g = Vectors(spark, d)
+    seen = g.emb.select("id", F.col("im").alias("f"), F.when(F.col("id") % 5 != 4, F.col("re")).alias("y"))
+    learned = projection.moments(seen, "f", "y")
+    known = projection.project(seen, "f", "y", projection.aligned(learned, steps=1, rate=0.1, weight=0.5))
+    return blocks.best(g.queries("distmult", g.emb.where("id % 20 = 0"), (1, 6)), ["h", "r", "tau"], known.select("id", F.col("y").alias("c")), 10).withColumnRenamed("id", "t")
 
 
 TREES_SQL = """
@@ -264,8 +292,6 @@ def points(spark, d):
 
 @query(P + " SELECT node, round(m,6) AS norm FROM pm")
 def poincare_project(spark, d):
-    from stratagraph.functions.columns import norm
-
     return points(spark, d).select("node", F.round(norm(F.col("x")), 6).alias("norm"))
 
 
@@ -276,16 +302,27 @@ def poincare_distance(spark, d):
     return c.join(pts.toDF("anc", "xa"), "anc").join(pts.toDF("desc", "xd"), "desc").select("hierarchy", "anc", "desc", F.round(hyp.distance(F.col("xa"), F.col("xd")), 6).alias("dist"))
 
 
-@query(P + " SELECT h, t, round(ce,6) AS ce FROM ce")
+#: The ten largest effects of every supplier, by norms of six places.
+NEAR_SQL = P + """, near AS (SELECT h, t, ce FROM (SELECT h, t, ce, row_number() OVER (PARTITION BY h ORDER BY ce DESC, t) AS place FROM (SELECT h, t, round(greatest(0.0::DOUBLE, 1-abs(round(a.m,6)-round(b.m,6))),6) AS ce FROM shared JOIN pm a ON a.node=h JOIN pm b ON b.node=t WHERE h LIKE 's:%')) WHERE place<=10)"""
+
+
+def near_pairs(spark, d, closed, pts):
+    return hyp.nearest_effects(closed, pts, F.col("node").startswith("s:"), 10)
+
+
+@query(NEAR_SQL + " SELECT h, t, ce FROM near")
 def causal_effect(spark, d):
-    return hyp.causal_effect(hyp.sharing_ancestor(graph.closure(tree_edges(spark, d))), points(spark, d)).withColumn("ce", F.round("ce", 6))
+    """The ten strongest effects of every supplier: nearest norms below a shared ancestor, from the places in sorted order."""
+    return near_pairs(spark, d, graph.closure(tree_edges(spark, d)), points(spark, d))
 
 
 @query(P + " SELECT round(avg(ce),6) AS mean, round(stddev_pop(ce),6) AS std, round(max(ce),6) AS max, count(*) AS n, round(avg(ce) FILTER (h LIKE 'n:%')/(avg(ce) FILTER (h LIKE 'b:%')+1e-8),6) AS ratio FROM ce WHERE ce>0")
 def ce_group_ratio(spark, d):
-    ce = hyp.causal_effect(hyp.sharing_ancestor(graph.closure(tree_edges(spark, d))), points(spark, d)).where("ce > 0")
-    mean = lambda p: F.avg(F.when(F.col("h").startswith(p), F.col("ce")))
-    return ce.agg(F.round(F.avg("ce"), 6).alias("mean"), F.round(F.stddev_pop("ce"), 6).alias("std"), F.round(F.max("ce"), 6).alias("max"), F.count("*").alias("n"), F.round(mean("n:") / (mean("b:") + 1e-8), 6).alias("ratio"))
+    """Figures over all pairs of each tree, from sums over sorted norms; no pair is written."""
+    s = hyp.effect_sums(graph.closure(tree_edges(spark, d)), points(spark, d))
+    n, mean = F.sum("pairs"), F.sum("effects") / F.sum("pairs")
+    of = lambda p: F.sum(F.when(F.col("node").startswith(p), F.col("effects"))) / F.sum(F.when(F.col("node").startswith(p), F.col("pairs")))
+    return s.agg(F.round(mean, 6).alias("mean"), F.round(F.sqrt(F.greatest(F.sum("squares") / n - mean * mean, F.lit(0.0))), 6).alias("std"), F.round(F.max("most"), 6).alias("max"), n.alias("n"), F.round(of("n:") / (of("b:") + 1e-8), 6).alias("ratio"))
 
 
 @query(P + " SELECT hierarchy, round(avg(greatest(0.0::DOUBLE, a.m-b.m+0.1)),6) AS loss FROM clo JOIN pm a ON a.node=anc JOIN pm b ON b.node=desc_ GROUP BY ALL")
@@ -304,7 +341,7 @@ def norm_order_validity(spark, d):
 
 
 DELTA = [0.1, -0.05, 0.02, 0.03]
-CF_SQL = P + """, nodex AS (SELECT 'g:'||min(r_name) AS s FROM region),
+CF_SQL = NEAR_SQL + """, nodex AS (SELECT 'g:'||min(r_name) AS s FROM region),
 raw AS (SELECT list_transform(list_zip(x,[0.1,-0.05,0.02,0.03]), lambda q: q[1]+q[2]) AS v FROM p, nodex WHERE node=s),
 rawm AS (SELECT v, sqrt(list_sum(list_transform(v, lambda q: q*q))) AS m FROM raw),
 o AS (SELECT CASE WHEN m>=1 THEN list_transform(v, lambda q: q/(m+1e-5)*(1-1e-5)) ELSE v END AS o FROM rawm),
@@ -313,64 +350,47 @@ below AS (SELECT DISTINCT desc_ AS node FROM clo, nodex WHERE anc=s),
 mv AS (SELECT pm.node, list_transform(list_zip(x,[0.1,-0.05,0.02,0.03]), lambda q: q[1]+q[2]*0.5*exp(-acosh(1+2*list_sum(list_transform(list_zip(o,x), lambda u: (u[1]-u[2])**2))/((1-oo)*(1-m*m)+1e-12)))) AS v FROM pm JOIN below USING (node), om),
 mvm AS (SELECT node, v, sqrt(list_sum(list_transform(v, lambda q: q*q))) AS m FROM mv),
 aft AS (SELECT node, least(m, m/(m+1e-5)*(1-1e-5)*(CASE WHEN m>=1 THEN 1 ELSE 1e9 END)) AS m FROM mvm UNION ALL SELECT s, sqrt(oo) FROM om, nodex UNION ALL SELECT node, m FROM pm WHERE node NOT IN (SELECT node FROM below) AND node<>(SELECT s FROM nodex)),
-ce1 AS (SELECT h, t, greatest(0.0::DOUBLE, 1-abs(a.m-b.m)) AS ce FROM shared JOIN aft a ON a.node=h JOIN aft b ON b.node=t)
-SELECT h, t, round(0.05*ce.ce,6) AS factual, round(0.05*ce1.ce,6) AS counterfactual, round(0.05*ce1.ce-0.05*ce.ce,6) AS delta FROM ce JOIN ce1 USING (h,t)"""
+ce0 AS (SELECT near.h, near.t, greatest(0.0::DOUBLE, 1-abs(a.m-b.m)) AS ce FROM near JOIN pm a ON a.node=h JOIN pm b ON b.node=t),
+ce1 AS (SELECT h, t, greatest(0.0::DOUBLE, 1-abs(a.m-b.m)) AS ce FROM near JOIN aft a ON a.node=h JOIN aft b ON b.node=t)
+SELECT h, t, round(0.05*ce0.ce,6) AS factual, round(0.05*ce1.ce,6) AS counterfactual, round(0.05*ce1.ce-0.05*ce0.ce,6) AS delta FROM ce0 JOIN ce1 USING (h,t)"""
 
 
 @query(CF_SQL)
 def counterfactual(spark, d):
-    """Shift the first region and see how effects change along the tree."""
+    """Shift the first region and see how the strongest effects of every supplier change along the tree."""
     closed = step(graph.closure(tree_edges(spark, d)))
     pts = step(points(spark, d))
     node = "g:" + tables.read(spark, d, "region").agg(F.min("r_name")).first()[0]
-    pairs = step(hyp.sharing_ancestor(closed))
+    pairs = step(near_pairs(spark, d, closed, pts).select("h", "t"))
     out = hyp.counterfactual(pairs.withColumn("score", F.lit(0.0)), pairs, pts, hyp.shifted(pts, closed, node, DELTA), 0.05)
     return out.select("h", "t", *[F.round(c, 6).alias(c) for c in ("factual", "counterfactual", "delta")])
 
 
-
-
-@query(P + ", bn AS (SELECT 'b:'||b AS name, (row_number() OVER (ORDER BY b)+99)::INTEGER AS id FROM (SELECT DISTINCT p_brand AS b FROM part)), x AS (SELECT vec_id::INTEGER AS id, k, embedding[k]::DOUBLE AS re FROM embeddings, range(1,33) g(k)), s AS (SELECT a.id AS h, b.id AS t, sum(a.re*c.re*b.re) AS s FROM x a JOIN x b ON a.k=b.k AND a.id<>b.id JOIN x c ON c.k=a.k AND c.id=200 WHERE a.id BETWEEN 100 AND 124 AND b.id BETWEEN 100 AND 124 GROUP BY ALL) SELECT s.h, s.t, round(s+0.05*coalesce(ce,0),6) AS score FROM s JOIN bn bh ON bh.id=s.h JOIN bn bt ON bt.id=s.t LEFT JOIN ce ON ce.h=bh.name AND ce.t=bt.name")
+@query(P.replace("WITH RECURSIVE ", "WITH RECURSIVE " + VECTORS_SQL.strip() + ", ") + ", s AS (SELECT a.name AS h, b.name AS t, sum(a.re*c.re*b.re) AS s FROM xe a JOIN xe b ON a.k=b.k AND a.id<>b.id JOIN xr c ON c.k=a.k AND c.name='1-URGENT' WHERE a.name LIKE 'b:%' AND b.name LIKE 'b:%' GROUP BY ALL) SELECT s.h, s.t, round(s+0.05*coalesce(ce,0),6)+0.0::DOUBLE AS score FROM s LEFT JOIN ce ON ce.h=s.h AND ce.t=s.t")
 def score_causal(spark, d):
-    """Brand pairs: a trilinear score plus the effect along the product tree."""
-    e = emb(spark, d)
-    brands = e.where("id BETWEEN 100 AND 124")
-    rel = e.where("id = 200").select(F.col("re").alias("r_re"))
-    names = kg._numbered(tables.read(spark, d, "part").select(F.concat(F.lit("b:"), "p_brand").alias("name"))).select("name", (F.col("id") + 100).alias("id"))
-    ce = hyp.causal_effect(hyp.sharing_ancestor(graph.closure(tree_edges(spark, d))), points(spark, d))
-    ids = ce.join(names.toDF("h", "hid"), "h").join(names.toDF("t", "tid"), "t").select(F.col("hid").alias("h"), F.col("tid").alias("t"), "ce")
-    a, b = brands.select(F.col("id").alias("h"), F.col("re").alias("h_re")), brands.select(F.col("id").alias("t"), F.col("re").alias("t_re"))
-    rows = a.crossJoin(b).where("h <> t").crossJoin(rel).join(ids, ["h", "t"], "left")
-    return rows.select("h", "t", F.round(scoring.causal_bonus(scoring.distmult("h_re", "r_re", "t_re"), F.col("ce")), 6).alias("score"))
-
-
-#: All rows of the last year in vector ids, which are test rows and known rows alike, and TComplEx scores.
-RANK_SQL = FACTS_SQL + ", " + KNOWN_SQL + """,
-nid AS (SELECT 'n:'||n_name AS name, (row_number() OVER (ORDER BY n_name)-1)::INTEGER AS id FROM nation), bid AS (SELECT 'b:'||b AS name, (row_number() OVER (ORDER BY b)+99)::INTEGER AS id FROM (SELECT DISTINCT p_brand AS b FROM part)),
-rid AS (SELECT p AS name, (row_number() OVER (ORDER BY p)+199)::INTEGER AS id FROM (SELECT DISTINCT o_orderpriority AS p FROM orders)),
-vq AS (SELECT nid.id AS h, rid.id AS r, bid.id AS t, tau+300 AS tau FROM named JOIN nid ON nid.name=h JOIN rid ON rid.name=r JOIN bid ON bid.name=t),
-sc AS (SELECT h, r, tau, t AS cand, round(""" + TC + """,6) AS score FROM z WHERE tau=306 GROUP BY ALL),
-te AS (SELECT * FROM vq WHERE tau=306), kn AS (SELECT DISTINCT h, r, tau, t FROM vq WHERE tau=306),
-rk AS (SELECT te.h, te.r, te.tau, te.t, 1+count(*) FILTER (s.score>own.score AND s.cand<>te.t AND kn.t IS NULL) AS rank FROM te JOIN sc own ON own.h=te.h AND own.r=te.r AND own.tau=te.tau AND own.cand=te.t JOIN sc s ON s.h=te.h AND s.r=te.r AND s.tau=te.tau LEFT JOIN kn ON kn.h=te.h AND kn.r=te.r AND kn.tau=te.tau AND kn.t=s.cand GROUP BY ALL)
+    """A stated list of pairs, those of brands: a trilinear score plus the effect along the product tree."""
+    g = Vectors(spark, d)
+    brands = g.e.where(F.col("name").startswith("b:"))
+    rel = g.r.where("name = '1-URGENT'").select(F.col("re").alias("r_re"))
+    a, b = brands.select(F.col("name").alias("h"), F.col("re").alias("h_re")), brands.select(F.col("name").alias("t"), F.col("re").alias("t_re"))
+    rows = step(a.crossJoin(b).where("h <> t").crossJoin(rel).select("h", "t", scoring.distmult("h_re", "r_re", "t_re").alias("s")))
+    ce = hyp.causal_effect(hyp.sharing(rows.select("h", "t"), graph.closure(tree_edges(spark, d))), points(spark, d))
+    return rows.join(ce, ["h", "t"], "left").select("h", "t", (F.round(scoring.causal_bonus(F.col("s"), F.col("ce")), 6) + 0.0).alias("score"))
+
+
+#: Rows of the last year, which are test rows and known rows alike, and TComplEx scores of all entities as tails.
+RANK_SQL = KNOWN_SQL + """,
+sc AS (SELECT h, r, tau, t AS cand, round(""" + TC + """,6)+0.0::DOUBLE AS score FROM z WHERE tau=6 GROUP BY ALL),
+te AS (SELECT * FROM quads WHERE tau=6), kn AS (SELECT DISTINCT h, r, tau, t FROM te),
+rk AS (SELECT te.h, te.r, te.tau, te.t, (1+count(*) FILTER (s.score>own.score AND s.cand<>te.t AND kn.t IS NULL))::BIGINT AS rank FROM te JOIN sc own ON own.h=te.h AND own.r=te.r AND own.tau=te.tau AND own.cand=te.t JOIN sc s ON s.h=te.h AND s.r=te.r AND s.tau=te.tau LEFT JOIN kn ON kn.h=te.h AND kn.r=te.r AND kn.tau=te.tau AND kn.t=s.cand GROUP BY ALL)
 """
 R = "WITH " + RANK_SQL
 METRICS = "round(coalesce(avg(1.0::DOUBLE/rank),0),6) AS mrr, round(coalesce(avg((rank<=1)::INTEGER),0),6) AS hits1, round(coalesce(avg((rank<=3)::INTEGER),0),6) AS hits3, round(coalesce(avg((rank<=10)::INTEGER),0),6) AS hits10, round(coalesce(avg(rank),0),6) AS mean_rank"
 
 
-def vector_quads(spark, d):
-    """Facts of sales over time in vector ids."""
-    number = lambda df, start: kg._numbered(df.toDF("name")).select("name", (F.col("id") + start).alias("id"))
-    n = number(tables.read(spark, d, "nation").select(F.concat(F.lit("n:"), "n_name")), 0)
-    b = number(tables.read(spark, d, "part").select(F.concat(F.lit("b:"), "p_brand")), 100)
-    r = number(tables.read(spark, d, "orders").select("o_orderpriority"), 200)
-    q = kg.expand_intervals(facts(spark, d), YEARS)
-    return step(q.join(n.toDF("h", "hid"), "h").join(r.toDF("r", "rid"), "r").join(b.toDF("t", "tid"), "t").select(F.col("hid").alias("h"), F.col("rid").alias("r"), F.col("tid").alias("t"), (F.col("tau") + 300).alias("tau")))
-
-
-def ranked(spark, d):
-    last = vector_quads(spark, d).where("tau = 306")
-    sc = scored(known_candidates(spark, d, (306,)), tcomplex()).withColumnRenamed("t", "cand")
-    return kg.filtered_ranks(last, step(sc), last)
+def ranked(g):
+    last = step(g.quads.where("tau = 6"))
+    return kg.filtered_ranks(last, g.queries("tcomplex", g.nations, (6,)), tails("tcomplex", g.e), last)
 
 
 def _rounded(df):
@@ -379,57 +399,74 @@ def _rounded(df):
 
 @query(R + " SELECT h, r, tau, t, rank FROM rk")
 def filtered_ranks(spark, d):
-    return ranked(spark, d)
+    return ranked(Vectors(spark, d))
 
 
 @query(R + f" SELECT {METRICS} FROM rk")
 def link_prediction_metrics(spark, d):
-    return _rounded(kg.rank_metrics(ranked(spark, d)))
+    return _rounded(kg.rank_metrics(ranked(Vectors(spark, d))))
 
 
-@query(R + f" SELECT CASE WHEN t<110 THEN 'low' ELSE 'high' END AS type, {METRICS} FROM rk GROUP BY ALL")
+@query(R + f" SELECT CASE WHEN name LIKE 'b:%' THEN 'brand' ELSE 'region' END AS type, {METRICS} FROM rk JOIN ent ON ent.id=rk.t GROUP BY ALL")
 def metrics_by_type(spark, d):
-    return _rounded(kg.rank_metrics(ranked(spark, d).withColumn("type", F.when(F.col("t") < 110, "low").otherwise("high")), ["type"]))
+    g = Vectors(spark, d)
+    kind = F.when(F.col("name").startswith("b:"), "brand").otherwise("region")
+    return _rounded(kg.rank_metrics(g.names(ranked(g), t="name").withColumn("type", kind), ["type"]))
 
 
 SIGMOID = "round(1/(1+exp(-greatest(least(s,50.0::DOUBLE),-50.0::DOUBLE))),6)"
+#: Priorities that count as threats; those that the facts lack are left out.
+THREATS = ["1-URGENT", "2-HIGH", "0-UNHEARD"]
 
 
-@query("WITH " + KNOWN_SQL + ", s AS (SELECT h, r, tau, t, " + TC + " AS s FROM z WHERE tau=306 GROUP BY ALL) SELECT h, t, r AS relation, " + SIGMOID + " AS prob FROM s")
-def threat_relations(spark, d):
-    """Every relation's probability for every nation and brand in the last year."""
-    s = known_candidates(spark, d, (306,)).select("h", "t", F.col("r").alias("relation"), tcomplex().alias("score"))
-    return kg.threat_probabilities(s).select("h", "t", "relation", F.round("prob", 6).alias("prob"))
+def pair_scores(g, times=None, relations=None):
+    """Scores of every nation with every brand: a stated list of pairs."""
+    brands = tails("tcomplex", g.e.where(F.col("name").startswith("b:"))).withColumnRenamed("id", "t")
+    return g.queries("tcomplex", g.nations, times, relations).crossJoin(brands).select("h", "r", "tau", "t", (F.round(dot(F.col("q"), F.col("c")), 6) + 0.0).alias("score"))
 
 
-@query(R + ", s AS (SELECT h, r, tau, t, round(" + TC + ",6)+0.0::DOUBLE AS s FROM z WHERE r=201 AND tau=306 GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, h) AS k FROM s) SELECT t, h, s AS score, EXISTS (SELECT 1 FROM vq WHERE vq.h=o.h AND vq.t=o.t AND vq.r=201 AND vq.tau=306) AS deployed FROM o WHERE k<=5")
-def recommend_topk(spark, d):
-    """The five best nations for every brand, and whether the fact holds already."""
-    s = scored(known_candidates(spark, d, (306,)), tcomplex()).where("r = 201").select("t", "h", "score")
-    on = vector_quads(spark, d).where("tau = 306 AND r = 201").select("t", "h").distinct().withColumn("deployed", F.lit(True))
-    return kg.recommend(s, on, 5, by=["t"]).select("t", "h", "score", "deployed")
+@query("WITH " + KNOWN_SQL + ", s AS (SELECT hn AS h, tn AS t, rn AS relation, round(" + TC + ",6) AS s FROM z WHERE tau=6 AND rn IN ('1-URGENT','2-HIGH','0-UNHEARD') AND tn LIKE 'b:%' GROUP BY ALL) SELECT h, t, relation, " + SIGMOID + " AS prob FROM s")
+def threat_relations(spark, d):
+    """The probability of each threat that the facts know, for every nation and brand in the last year, with names."""
+    g = Vectors(spark, d)
+    present = kg.relations_present(g.quads, g.relations, THREATS)
+    s = kg.threat_probabilities(pair_scores(g, (6,), g.r.join(present.select("id"), "id", "left_semi")))
+    named = kg.decode(g.names(s, h="hn", t="tn"), g.relations, {"r": "relation"})
+    return named.select(F.col("hn").alias("h"), F.col("tn").alias("t"), "relation", F.round("prob", 6).alias("prob"))
 
 
-@query(R + ", s AS (SELECT h, tau, t, " + TC + " AS s FROM z WHERE r=200 AND tau IN (301,306) GROUP BY ALL), m AS (SELECT h, t AS cand, round(1/(1+exp(-greatest(least(avg(s),50.0::DOUBLE),-50.0::DOUBLE))),6) AS prob FROM s WHERE NOT EXISTS (SELECT 1 FROM vq WHERE vq.h=s.h AND vq.t=s.t AND vq.tau<=301 AND vq.r=200) GROUP BY h, t) SELECT h, cand, prob FROM m WHERE prob>0.3 ORDER BY prob DESC, h, cand LIMIT 20")
+@query(R + ", s AS (SELECT h, hn, t, tn, round(" + TC + ",6)+0.0::DOUBLE AS s FROM z WHERE rn='2-HIGH' AND tau=6 AND tn LIKE 'b:%' GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY s DESC, h) AS k FROM s) SELECT tn AS t, hn AS h, s AS score, EXISTS (SELECT 1 FROM quads q JOIN rel ON rel.id=q.r AND rel.name='2-HIGH' WHERE q.h=o.h AND q.t=o.t AND q.tau=6) AS deployed FROM o WHERE k<=5")
+def recommend_topk(spark, d):
+    """The five best nations for every brand by name, and whether the fact holds already. Brands are the queries, nations the candidates."""
+    g = Vectors(spark, d)
+    high = g.r.where("name = '2-HIGH'")
+    # the score is linear in the tail, so heads with the relation folded in are what a brand's vector meets
+    heads = g.queries("tcomplex", g.nations, (6,), high).select(F.col("h").alias("id"), F.col("q").alias("c"))
+    brands = tails("tcomplex", g.e.where(F.col("name").startswith("b:"))).select(F.col("id").alias("t"), F.col("c").alias("q"))
+    found = blocks.best(brands, ["t"], heads, 5).withColumnRenamed("id", "h")
+    on = g.quads.where("tau = 6").join(high.select(F.col("id").alias("r")), "r", "left_semi").select("t", "h").distinct().withColumn("deployed", F.lit(True))
+    return g.names(kg.recommend(found, on, 5, by=["t"]), h="hn", t="tn").select(F.col("tn").alias("t"), F.col("hn").alias("h"), "score", "deployed")
+
+
+@query(R + ", s AS (SELECT h, hn, tau, t, tn, round(" + TC + ",6)+0.0::DOUBLE AS s FROM z WHERE rn='1-URGENT' AND tau IN (1,6) AND tn LIKE 'b:%' GROUP BY ALL), m AS (SELECT h, hn, t, tn, round(1/(1+exp(-greatest(least(avg(s),50.0::DOUBLE),-50.0::DOUBLE))),6) AS prob FROM s WHERE NOT EXISTS (SELECT 1 FROM quads q JOIN rel ON rel.id=q.r AND rel.name='1-URGENT' WHERE q.h=s.h AND q.t=s.t AND q.tau<=1) GROUP BY ALL) SELECT hn AS h, tn AS cand, prob FROM (SELECT * FROM m WHERE prob>0.3 ORDER BY prob DESC, h, t LIMIT 20)")
 def novel_threats(spark, d):
-    s = known_candidates(spark, d, (301, 306)).where("r = 200").select("h", "tau", F.col("t").alias("cand"), tcomplex().alias("score"))
-    return kg.novel_links(s, vector_quads(spark, d).where("tau <= 301 AND r = 200"), 0.3, 20)
+    g = Vectors(spark, d)
+    urgent = g.r.where("name = '1-URGENT'")
+    s = pair_scores(g, (1, 6), urgent).withColumnRenamed("t", "cand")
+    known = g.quads.where("tau <= 1").join(urgent.select(F.col("id").alias("r")), "r", "left_semi")
+    return g.names(kg.novel_links(s, known, 0.3, 20), h="hn", cand="cn").select(F.col("hn").alias("h"), F.col("cn").alias("cand"), "prob")
 
 
-@query("WITH " + KNOWN_SQL + ", s AS (SELECT h, r, tau, t, " + TC + " AS s FROM z GROUP BY ALL) SELECT h, r, t, tau, " + SIGMOID + " AS prob FROM s")
+@query("WITH " + KNOWN_SQL + ", s AS (SELECT h, r, tau, t, round(" + TC + ",6) AS s FROM z WHERE tn LIKE 'b:%' GROUP BY ALL) SELECT h, r, t, tau, " + SIGMOID + " AS prob FROM s")
 def threat_evolution(spark, d):
-    s = known_candidates(spark, d).select("h", "r", "t", "tau", tcomplex().alias("score"))
-    return kg.threat_probabilities(s).select("h", "r", "t", "tau", F.round("prob", 6).alias("prob"))
+    return kg.threat_probabilities(pair_scores(Vectors(spark, d))).select("h", "r", "t", "tau", F.round("prob", 6).alias("prob"))
 
 
 @query(R + " SELECT round(avg(greatest(0.0::DOUBLE, 1+n.score-p.score)),6) AS loss FROM kn JOIN sc p ON p.h=kn.h AND p.r=kn.r AND p.tau=kn.tau AND p.cand=kn.t JOIN sc n ON n.h=kn.h AND n.r=kn.r AND n.tau=kn.tau AND n.cand<>kn.t")
 def margin_loss(spark, d):
-    """The hinge of every fact of the last year against every other brand."""
-    sc = step(scored(known_candidates(spark, d, (306,)), tcomplex()))
-    facts_ = vector_quads(spark, d).where("tau = 306").select("h", "r", "t").distinct()
-    pos = facts_.join(sc.select("h", "r", "t", F.col("score").alias("pos")), ["h", "r", "t"])
-    pairs = pos.join(sc.select("h", "r", F.col("t").alias("other"), F.col("score").alias("neg")), ["h", "r"]).where("other <> t")
-    return _rounded(kg.margin_loss(pairs, 1.0))
+    """The hinge of every fact of the last year against every other entity."""
+    g = Vectors(spark, d)
+    return _rounded(kg.all_margin_loss(step(g.quads.where("tau = 6")), g.queries("tcomplex", g.nations, (6,)), tails("tcomplex", g.e)))
 
 
 @query("WITH c AS (SELECT c_custkey, [(c_mktsegment='BUILDING')::INTEGER::DOUBLE, (c_mktsegment='AUTOMOBILE')::INTEGER::DOUBLE, least(greatest(c_acctbal,0)/10000,1), (c_nationkey%3=0)::INTEGER::DOUBLE] AS v FROM customer), m AS (SELECT *, sqrt(list_sum(list_transform(v, lambda q: q*q))) AS n FROM c) SELECT c_custkey, round(v[1]/k,6) AS f1, round(v[2]/k,6) AS f2, round(v[3]/k,6) AS f3, round(v[4]/k,6) AS f4 FROM (SELECT *, CASE WHEN n<1e-8 THEN 1 ELSE n END AS k FROM m)")
@@ -440,12 +477,12 @@ def entity_features(spark, d):
     return c.select("c_custkey", v.alias("f")).select("c_custkey", *[F.round(F.col("f")[i], 6).alias(f"f{i + 1}") for i in range(4)])
 
 
-@query("WITH x AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda q: q::DOUBLE*q::DOUBLE))) AS n FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda q: q[1]::DOUBLE*q[2]::DOUBLE))/((a.n+1e-12)*(b.n+1e-12)),6) AS cos FROM x a JOIN x b ON a.vec_id%20=0 AND a.vec_id<>b.vec_id")
+@query("WITH x AS (SELECT vec_id, embedding, sqrt(list_sum(list_transform(embedding, lambda q: q::DOUBLE*q::DOUBLE)))+1e-12 AS n FROM embeddings), c AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_sum(list_transform(list_zip(a.embedding,b.embedding), lambda q: q[1]::DOUBLE*q[2]::DOUBLE))/(a.n*b.n),6)+0.0::DOUBLE AS cos FROM x a JOIN x b ON a.vec_id%20=0) SELECT a, b, cos FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cos DESC, b) AS place FROM c) WHERE place<=10")
 def attribute_cosine(spark, d):
-    """A stated query set, the vectors whose id is divisible by 20, against all vectors."""
-    e = tables.read(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    both = e.where("vec_id % 20 = 0").toDF("a", "va").crossJoin(e.toDF("b", "vb")).where("a <> b")
-    return both.select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("cos"))
+    """The ten nearest vectors, itself included, of a stated query set: the vectors whose id is divisible by 20. Each is normalised once."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    e = tables.read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(v, lambda x: x / (norm(v) + 1e-12)).alias("c"))
+    return blocks.best(e.where("id % 20 = 0").toDF("a", "q"), ["a"], e, 10).select("a", F.col("id").alias("b"), F.col("score").alias("cos"))
 
 
 def _grid(spark, d, rows):

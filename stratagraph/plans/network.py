@@ -154,14 +154,14 @@ PATHS_SQL = "WITH RECURSIVE " + EDGES_SQL.replace("e AS (SELECT season, a AS src
 @query(PATHS_SQL + " SELECT season, src, dst, round(d,6) AS d FROM d6")
 def shortest_paths(spark, d):
     x = Net(spark, d)
-    return graph.shortest_paths(x.edges, x.nodes, 6).withColumn("d", F.round("d", 6))
+    return graph.shortest_paths(x.edges).withColumn("d", F.round("d", 6))
 
 
 @query(PATHS_SQL + """, c AS (SELECT a.season, a.dst AS node, count(*) AS c FROM d6 a JOIN d6 b ON a.season=b.season AND a.dst=b.src JOIN d6 s ON s.season=a.season AND s.src=a.src AND s.dst=b.dst WHERE a.src<>b.dst AND abs(a.d+b.d-s.d)<1e-6 GROUP BY ALL)
 SELECT season, node, round(coalesce(c,0)::DOUBLE/(((SELECT n FROM n)-1)*((SELECT n FROM n)-2)),6) AS betweenness FROM (SELECT season, node FROM nodes, seasons) LEFT JOIN c USING (season, node)""")
 def betweenness(spark, d):
     x = Net(spark, d)
-    return graph.path_betweenness(graph.shortest_paths(x.edges, x.nodes, 6), x.nodes, x.n, SEASONS)
+    return graph.path_betweenness(graph.shortest_paths(x.edges), x.nodes, x.n, SEASONS)
 
 
 @query(E + """, g AS (SELECT node, split_part(node,':',1) AS c FROM nodes), f AS (SELECT season, g1.c AS c1, g2.c AS c2, w FROM e JOIN g g1 ON g1.node=src JOIN g g2 ON g2.node=dst),

@@ -64,7 +64,8 @@ def test_poincare(spark):
 def test_counterfactual_moves_scores(spark):
     closed = spark.createDataFrame([("t", "r", "a"), ("t", "r", "b"), ("t", "r", "c"), ("t", "a", "c")], "hierarchy string, anc string, desc string")
     pts = spark.createDataFrame([("r", [0.0, 0.1]), ("a", [0.2, 0.0]), ("b", [0.0, 0.5]), ("c", [0.4, 0.1])], "node string, x array<double>")
-    pairs = hyp.sharing_ancestor(closed)
+    names = spark.createDataFrame([(x,) for x in "rabc"], "h string")
+    pairs = hyp.sharing(names.crossJoin(names.toDF("t")), closed)
     assert pairs.count() == 6
     scores = pairs.withColumn("score", F.lit(1.0))
     after = hyp.shifted(pts, closed, "a", [0.3, 0.0])

@@ -75,12 +75,24 @@ def test_empty_metrics(spark):
 
 
 def test_filtered_ranks(spark):
-    scores = spark.createDataFrame([(0, 0, 0, c, s) for c, s in enumerate((0.9, 0.8, 0.8, 0.1))], "h int, r int, tau int, cand int, score double")
+    """Ties count for the target, known tails are left out, repeated rows stay; a candidate that nothing points at counts too."""
+    candidates = spark.createDataFrame([(c, [s]) for c, s in enumerate((0.9, 0.8, 0.8, 0.1))], "id int, c array<double>")
+    queries = spark.createDataFrame([(0, 0, 0, [1.0])], "h int, r int, tau int, q array<double>")
     quads = lambda rows: spark.createDataFrame([(0, 0, t, 0) for t in rows], "h int, r int, t int, tau int")
-    ranks = lambda test, known: sorted((r.t, r.rank) for r in kg.filtered_ranks(quads(test), scores, quads(known)).collect())
+    ranks = lambda test, known: sorted((r.t, r["rank"]) for r in kg.filtered_ranks(quads(test), queries, candidates, quads(known)).collect())
     assert ranks([1, 3], []) == [(1, 2), (3, 4)]
     assert ranks([1, 1], [0]) == [(1, 1), (1, 1)]
     assert ranks([3], [0, 3]) == [(3, 3)]
+    assert ranks([], [0]) == []
+
+
+def test_names_and_relations_present(spark):
+    ids = spark.createDataFrame([("a", 0), ("b", 1)], "name string, id int")
+    rows = spark.createDataFrame([(0, 1), (1, 7)], "h int, t int")
+    assert sorted(map(tuple, kg.decode(rows, ids, {"h": "hn", "t": "tn"}).select("h", "t", "hn", "tn").collect())) == [(0, 1, "a", "b"), (1, 7, "b", None)]
+    quads = spark.createDataFrame([(0, 1, 1, 0)], "h int, r int, t int, tau int")
+    assert [tuple(r) for r in kg.relations_present(quads, ids, ["b", "a", "zzz"]).collect()] == [("b", 1)]
+    assert kg.relations_present(quads, ids, ["zzz"]).count() == 0
 
 
 def test_intervals(spark):

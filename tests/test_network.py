@@ -69,7 +69,7 @@ def test_paths_and_betweenness(demo):
     for k in range(n):
         d = np.minimum(d, d[:, [k]] + d[[k], :])
     one = edges.where("season = 'winter'")
-    paths = graph.shortest_paths(one, nodes, 6)
+    paths = graph.shortest_paths(one)
     got = {(r.src, r.dst): r.d for r in paths.collect()}
     want = {(names[i], names[j]): d[i, j] for i in range(n) for j in range(n) if i != j and np.isfinite(d[i, j])}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
