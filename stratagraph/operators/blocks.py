@@ -73,9 +73,15 @@ def packed(rows: DataFrame, numbers: list[str], vector: str, size: int, prefix:
 
 
 def scores(q: np.ndarray, c: np.ndarray, how: str) -> np.ndarray:
-    """Scores of all rows of ``q`` against all of ``c``: ``dot``, minus the ``l1`` distance, or minus the ``l2`` distance squared."""
+    """Scores of all rows of ``q`` against all of ``c``: ``dot``, minus the ``l1`` distance, or minus the ``l2`` distance squared.
+
+    ``dot_effect`` adds an effect along trees: queries end with a weight, a tree and a norm, candidates with a tree and a norm.
+    """
     if how == "dot":
         return q @ c.T
+    if how == "dot_effect":
+        near = np.maximum(0, 1 - np.abs(q[:, -1:] - c[:, -1]))
+        return q[:, :-3] @ c[:, :-2].T + q[:, -3:-2] * np.where(q[:, -2:-1] == c[:, -2], near, 0)
     out = np.zeros((len(q), len(c)))
     for k in range(q.shape[1]):
         off = q[:, k, None] - c[None, :, k]

@@ -33,3 +33,22 @@ def bird_slots() -> list[Column]:
 
 def measure_slots() -> list[Column]:
     return [*[flag(F.col("type") == t) for t in ("physical_barrier", "deterrent", "attractant")], F.lit(0.5)]
+
+
+def fact_features(entities: DataFrame, facts: DataFrame, slots: list[tuple[Column, float]], size: int, baseline: float = 0.01) -> DataFrame:
+    """``name, f``: features of entities from the facts that they are part of, ``size`` slots over their L2 norm.
+
+    A slot is a condition on ``side`` (h or t: which the entity is), ``r``, ``other``, ``tb``, ``te`` and a scale: it holds how many of the
+    entity's facts meet the condition, over the scale, at most 1; scale 1 makes a flag. Conditions that are null do not hold. The last
+    place is the baseline's: entities that fill no slot have it alone, so that no vector is zero. Needs fewer slots than ``size``.
+    """
+    if len(slots) >= size:
+        raise ValueError("the last place is the baseline's")
+    sides = F.array(F.struct(F.lit("h").alias("side"), F.col("h").alias("name"), F.col("t").alias("other")), F.struct(F.lit("t").alias("side"), F.col("t").alias("name"), F.col("h").alias("other")))
+    each = facts.select(F.explode(sides).alias("s"), "r", "tb", "te").select("s.*", "r", "tb", "te")
+    counts = each.groupBy("name").agg(*[F.count_if(c).alias(f"s{i}") for i, (c, _) in enumerate(slots)])
+    value = lambda i, scale: F.least(F.coalesce(F.col(f"s{i}"), F.lit(0)) / float(scale), F.lit(1.0))
+    rows = entities.select("name").join(counts, "name", "left").select("name", F.array(*[value(i, scale) for i, (_, scale) in enumerate(slots)]).alias("v"))
+    empty = ~F.exists("v", lambda x: x > 0)
+    padded = F.concat("v", F.array(*[F.lit(0.0)] * (size - len(slots) - 1), F.when(empty, baseline).otherwise(0.0)))
+    return rows.select("name", normalised(padded).alias("f"))

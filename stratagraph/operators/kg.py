@@ -138,6 +138,10 @@ def blocks_score(q: Column, c: Column, how: str) -> Column:
     """The score of one pair, as ``blocks.scores`` has it."""
     if how == "dot":
         return dot(q, c)
+    if how == "dot_effect":
+        at = F.element_at
+        effect = F.when(at(q, -2) == at(c, -2), F.greatest(F.lit(0.0), 1 - F.abs(at(q, -1) - at(c, -1)))).otherwise(0.0)
+        return dot(F.slice(q, 1, F.size(q) - 3), F.slice(c, 1, F.size(c) - 2)) + at(q, -3) * effect
     return -F.aggregate(F.zip_with(q, c, lambda x, y: F.abs(x - y) if how == "l1" else (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 

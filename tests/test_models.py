@@ -1,10 +1,10 @@
-"""Scores as columns against numpy, gradients against finite differences, training and ranking."""
+"""Scores as columns against numpy, ranking and intervals."""
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stratagraph.operators import kg, scoring, training
+from stratagraph.operators import kg, scoring
 
 R = np.random.default_rng(0)
 
@@ -32,44 +32,7 @@ def test_scores(spark):
     assert got.bonus == pytest.approx(0.1 * v["hr"] @ v["tr"] / np.linalg.norm(v["hr"]) / np.linalg.norm(v["tr"]))
 
 
-@pytest.mark.parametrize("name", training.MODELS)
-def test_gradients(name):
-    f = np.abs(R.normal(size=(5, 3)))
-    m = training.Embedding(name, 5, 3, 4, 4, features=f, effect=np.zeros((5, 5)))
-    row = [np.array([x]) for x in (1, 2, 3, 0)]
-    sums = {}
-    for table, rows, g in m.gradients(*row, np.ones(1)):
-        np.add.at(sums.setdefault(table, np.zeros_like(m.p[table])), rows, g)
-    for table, g in sums.items():
-        for i, j in zip(*np.nonzero(g), strict=True):
-            at = m.p[table][i, j]
-            m.p[table][i, j] = at + 1e-6
-            up = m.score(*row)[0]
-            m.p[table][i, j] = at - 1e-6
-            assert (up - m.score(*row)[0]) / 2e-6 == pytest.approx(g[i, j], abs=1e-5), (table, i, j)
-            m.p[table][i, j] = at
-
-
-@pytest.mark.parametrize("name", training.MODELS)
-def test_training_lowers_the_loss(name):
-    quads = np.array([(h, h % 2, (h + 1) % 8, k) for h in range(8) for k in range(3)])
-    m = training.Embedding(name, 8, 2, 4, 8, features=np.eye(8))
-    before = m.p["R"].copy()
-    loss = m.fit(quads, 8, epochs=12, batch=8, negatives=4)
-    assert len(loss) == 12 and loss[-1] < loss[0]
-    assert not np.array_equal(before, m.p["R"])  # relations learn too
-    ranks = m.ranks(quads, quads, 8)
-    got = training.metrics(ranks)
-    assert ranks.min() >= 1 and got["hits1"] <= got["hits3"] <= got["hits10"] and 0 < got["mrr"] <= 1
-
-
-def test_unseen_entities_come_from_features():
-    m = training.Embedding("inductive", 4, 1, 1, 3, features=np.eye(4), seen=np.array([True, True, True, False]))
-    assert np.allclose(m.entity(np.array([3]))[0][0], m.p["W"][0][3] + m.p["b"][0])
-
-
 def test_empty_metrics(spark):
-    assert set(training.metrics(np.zeros(0)).values()) == {0.0}
     got = kg.rank_metrics(spark.createDataFrame([], "rank int")).first()
     assert set(got) == {0.0}
 
