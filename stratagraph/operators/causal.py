@@ -64,12 +64,17 @@ def did(series: DataFrame, treated: str, control: str, pre: tuple[int, int], pos
 
 
 def did_bootstrap(series: DataFrame, treated: str, control: str, pre: tuple[int, int], post: tuple[int, int], replicates: int = 2000) -> DataFrame:
-    """Percentile interval of the estimate over resamples of the four cells, drawn by hash-uniform numbers."""
+    """Percentile interval of the estimate over resamples of the four cells, drawn by hash-uniform numbers.
+
+    Every draw of a replicate has a number of its own: the points of all cells before it, and its place in its cell.
+    """
     cell = F.when((F.col("series") == treated) & F.col("t").between(*pre), 0).when((F.col("series") == treated) & F.col("t").between(*post), 1).when((F.col("series") == control) & F.col("t").between(*pre), 2).when((F.col("series") == control) & F.col("t").between(*post), 3)
     rows = series.withColumn("cell", cell).where("cell IS NOT NULL").withColumn("k", F.row_number().over(W.partitionBy("cell").orderBy("t")) - 1)
     sizes = rows.groupBy("cell").agg(F.count("*").alias("n"))
+    # four cells at most: their offsets need no key
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("points", F.sum("n").over(W.partitionBy(F.lit(0))))
     draws = series.sparkSession.range(replicates).withColumnRenamed("id", "rep").crossJoin(sizes).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    draws = draws.withColumn("k", F.floor(uniform(F.col("rep") * 64 + F.col("cell") * 16 + F.col("i")) * F.col("n")).cast("int"))
+    draws = draws.withColumn("k", F.floor(uniform(F.col("rep") * F.col("points") + F.col("before") + F.col("i")) * F.col("n")).cast("int"))
     means = draws.join(rows.select("cell", "k", "y"), ["cell", "k"]).groupBy("rep", "cell").agg(F.avg("y").alias("m"))
     m = lambda c: F.max(F.when(F.col("cell") == c, F.col("m")))
     reps = means.groupBy("rep").agg(((m(1) - m(0)) - (m(3) - m(2))).alias("d"))

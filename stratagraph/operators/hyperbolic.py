@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from stratagraph.functions.columns import dot, norm, sub
+from stratagraph.functions.columns import dot, norm, sub, uniform
 from stratagraph.operators import ordinals
 from stratagraph.sources.steps import step
 
@@ -106,8 +106,9 @@ def weighted_loss(closed: DataFrame, points: DataFrame, weights: dict[str, float
 
 
 def ordering_validity(closed: DataFrame, points: DataFrame) -> DataFrame:
+    """By hierarchy: the share of pairs in order, how far these are apart, the least norm of an ancestor, the largest of a descendant, and the pairs."""
     ok = F.col("na") < F.col("nd")
-    return closure_norms(closed, points).groupBy("hierarchy").agg(F.avg(ok.cast("double")).alias("valid"), F.avg(F.when(ok, F.col("nd") - F.col("na"))).alias("mean_gap"))
+    return closure_norms(closed, points).groupBy("hierarchy").agg(F.avg(ok.cast("double")).alias("valid"), F.avg(F.when(ok, F.col("nd") - F.col("na"))).alias("mean_gap"), F.min("na").alias("least_norm"), F.max("nd").alias("most_norm"), F.count("*").alias("n"))
 
 
 def shifted(points: DataFrame, closed: DataFrame, node: str, delta: list[float], decay: float = 0.5) -> DataFrame:
@@ -126,3 +127,49 @@ def counterfactual(scores: DataFrame, pairs: DataFrame, points: DataFrame, after
     new = before if faithful else causal_effect(pairs, after)
     both = scores.join(before.withColumnRenamed("ce", "ce0"), ["h", "t"], "left").join(new.withColumnRenamed("ce", "ce1"), ["h", "t"], "left")
     return both.select("h", "t", (F.col("score") + beta * F.coalesce("ce0", F.lit(0.0))).alias("factual"), (F.col("score") + beta * F.coalesce("ce1", F.lit(0.0))).alias("counterfactual")).withColumn("delta", F.col("counterfactual") - F.col("factual"))
+
+
+def norm_factors(closed: DataFrame, points: DataFrame, weights: dict[str, float], margin: float = 0.1, rate: float = 0.005, share: float = 1.0, draw: int = 0) -> DataFrame:
+    """``node, factor``: how one round of the update scales nodes. Pairs that break the order by norms move fully, others a tenth.
+
+    An ancestor is drawn in, a descendant pushed out. What several pairs ask of a node is multiplied, and held between a half and
+    two. ``share`` of the pairs is drawn, by a hash of their names and ``draw``. Hierarchies of no positive weight move nothing.
+    """
+    used = [k for k, w in weights.items() if w > 0]
+    pairs = closure_norms(closed.where(F.col("hierarchy").isin(used)), points)
+    if share < 1:
+        pairs = pairs.where(uniform(F.pmod(F.xxhash64(F.lit(draw), "hierarchy", "anc", "desc"), F.lit(1 << 30))) < share)
+    by = F.when(F.col("na") >= F.col("nd") - margin, F.lit(rate)).otherwise(rate / 10)
+    moves = F.array(F.struct(F.col("anc").alias("node"), F.log(1 - by).alias("f")), F.struct(F.col("desc").alias("node"), F.log(1 + by).alias("f")))
+    sums = pairs.select(F.explode(moves).alias("m")).groupBy("m.node").agg(F.sum("m.f").alias("f"))
+    return sums.select("node", F.greatest(F.lit(0.5), F.least(F.lit(2.0), F.exp("f"))).alias("factor"))
+
+
+def scaled(points: DataFrame, factors: DataFrame) -> DataFrame:
+    """Points times their factors, held in the ball; points without a factor stay."""
+    rows = points.join(factors, "node", "left")
+    return rows.select("node", F.when(F.col("factor").isNull(), F.col("x")).otherwise(project(F.transform("x", lambda v: v * F.col("factor")))).alias("x"))
+
+
+def fit_norms(closed: DataFrame, points: DataFrame, weights: dict[str, float], rounds: int, margin: float = 0.1, rate: float = 0.005, share: float = 1.0, enough: float = 1e-6) -> tuple[DataFrame, list[float]]:
+    """Points after up to ``rounds`` rounds that each lower the weighted ordering loss, and the losses, the first before any.
+
+    A round that does not lower the loss is taken back and tried at half the rate; the loop ends when the loss falls by less than
+    ``enough``, when the rate is under a thousandth of the first, or after ``rounds`` tries. Every round is checkpointed.
+    """
+    loss = lambda pts: weighted_loss(closed, pts, weights, margin).first().loss
+    closed, now = step(closed), step(points)
+    losses, least = [loss(now)], rate / 1000
+    for draw in range(rounds):
+        if losses[-1] <= 0 or rate < least:
+            break
+        after = step(scaled(now, norm_factors(closed, now, weights, margin, rate, share, draw)))
+        found = loss(after)
+        if found >= losses[-1]:
+            rate /= 2
+            continue
+        now, fell = after, losses[-1] - found
+        losses.append(found)
+        if fell < enough:
+            break
+    return now, losses

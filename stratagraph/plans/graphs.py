@@ -335,9 +335,28 @@ def weighted_tree_loss(spark, d):
     return hyp.weighted_loss(graph.closure(tree_edges(spark, d)), points(spark, d), {"geo": 0.3, "product": 0.2}).withColumn("loss", F.round("loss", 6))
 
 
-@query(P + " SELECT hierarchy, round(avg((a.m<b.m)::INTEGER),6) AS valid, round(avg(b.m-a.m) FILTER (a.m<b.m),6) AS mean_gap FROM clo JOIN pm a ON a.node=anc JOIN pm b ON b.node=desc_ GROUP BY ALL")
+@query(P + """, f AS (SELECT anc, desc_, CASE WHEN a.m>=b.m-0.1 THEN 0.005::DOUBLE ELSE 0.0005::DOUBLE END AS r FROM clo JOIN pm a ON a.node=anc JOIN pm b ON b.node=desc_ WHERE hierarchy='geo'),
+g AS (SELECT node, greatest(0.5::DOUBLE, least(2.0::DOUBLE, exp(sum(l)))) AS f FROM (SELECT anc AS node, ln(1-r) AS l FROM f UNION ALL SELECT desc_, ln(1+r) FROM f) GROUP BY node),
+n AS (SELECT node, m*coalesce(f,1) AS q FROM pm LEFT JOIN g USING (node))
+SELECT node, round(CASE WHEN q>=1 THEN q/(q+1e-5)*(1-1e-5) ELSE q END,6) AS norm FROM n""")
+def norm_update(spark, d):
+    """Norms after one round of the hyperbolic update over all pairs; the product tree has weight 0 and stays."""
+    closed, pts = step(graph.closure(tree_edges(spark, d))), step(points(spark, d))
+    after = hyp.scaled(pts, hyp.norm_factors(closed, pts, {"geo": 0.3, "product": 0.0}))
+    return after.select("node", F.round(norm(F.col("x")), 6).alias("norm"))
+
+
+@query()
+def norm_fit(spark, d):
+    """The weighted ordering loss after each of up to eight rounds."""
+    _, losses = hyp.fit_norms(graph.closure(tree_edges(spark, d)), points(spark, d), {"geo": 0.3, "product": 0.2}, 8, rate=0.02)
+    return spark.createDataFrame([(i, x) for i, x in enumerate(losses)], "round int, loss double").select("round", F.round("loss", 6).alias("loss"))
+
+
+@query(P + " SELECT hierarchy, round(avg((a.m<b.m)::INTEGER),6) AS valid, round(avg(b.m-a.m) FILTER (a.m<b.m),6) AS mean_gap, round(min(a.m),6) AS least_norm, round(max(b.m),6) AS most_norm, count(*) AS n FROM clo JOIN pm a ON a.node=anc JOIN pm b ON b.node=desc_ GROUP BY ALL")
 def norm_order_validity(spark, d):
-    return hyp.ordering_validity(graph.closure(tree_edges(spark, d)), points(spark, d)).select("hierarchy", F.round("valid", 6).alias("valid"), F.round("mean_gap", 6).alias("mean_gap"))
+    out = hyp.ordering_validity(graph.closure(tree_edges(spark, d)), points(spark, d))
+    return out.select("hierarchy", *[F.round(c, 6).alias(c) for c in ("valid", "mean_gap", "least_norm", "most_norm")], "n")
 
 
 DELTA = [0.1, -0.05, 0.02, 0.03]

@@ -69,8 +69,8 @@ def did(spark, d):
 
 
 @query(Q + """, cell AS (SELECT CASE WHEN series='BUILDING' THEN CASE WHEN t<20 THEN 0 ELSE 1 END ELSE CASE WHEN t<20 THEN 2 ELSE 3 END END AS cell, t, y FROM ser WHERE t BETWEEN 16 AND 23),
-rw AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY t)-1 AS k, y FROM cell), sz AS (SELECT cell, count(*) AS n FROM rw GROUP BY cell),
-dr AS (SELECT rep, cell, floor((((((rep*64+cell*16+i)*1103515245+12345)%2147483648)*1103515245+12345)%2147483648)/2147483648.0::DOUBLE*n)::INTEGER AS k FROM range(0,2000) a(rep), sz, range(0,4) b(i)),
+rw AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY t)-1 AS k, y FROM cell), sz AS (SELECT cell, n, sum(n) OVER (ORDER BY cell)-n AS before, sum(n) OVER () AS points FROM (SELECT cell, count(*) AS n FROM rw GROUP BY cell)),
+dr AS (SELECT rep, cell, floor((((((rep*points+before+i)*1103515245+12345)%2147483648)*1103515245+12345)%2147483648)/2147483648.0::DOUBLE*n)::INTEGER AS k FROM range(0,2000) a(rep), sz, range(0,4) b(i) WHERE i<n),
 me AS (SELECT rep, cell, avg(y) AS m FROM dr JOIN rw USING (cell,k) GROUP BY rep, cell), di AS (SELECT rep, (max(m) FILTER (cell=1)-max(m) FILTER (cell=0))-(max(m) FILTER (cell=3)-max(m) FILTER (cell=2)) AS d FROM me GROUP BY rep)
 SELECT round(quantile_cont(d,0.025),6) AS low, round(quantile_cont(d,0.975),6) AS high, round(avg(d),6) AS mean FROM di""")
 def did_bootstrap(spark, d):

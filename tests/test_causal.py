@@ -72,3 +72,47 @@ def test_counterfactual_moves_scores(spark):
     moved = {(r.h, r.t): r.delta for r in hyp.counterfactual(scores, pairs, pts, after, 0.1).collect()}
     assert moved["a", "b"] != 0 and moved["a", "b"] == moved["b", "a"]
     assert all(r.delta == 0 for r in hyp.counterfactual(scores, pairs, pts, after, 0.1, faithful=True).collect())
+
+
+def test_bootstrap_of_forty_points(spark):
+    """Cells of over sixteen points share no draws; the interval equals numpy's on the same draws."""
+    from stratagraph.functions.columns import A, C, FOLD, M
+
+    rng = np.random.default_rng(1)
+    y = {s: rng.normal(size=80) for s in "ab"}
+    df = spark.createDataFrame([(s, t, float(v)) for s in "ab" for t, v in enumerate(y[s])], "series string, t int, y double")
+    got = causal.did_bootstrap(df, "a", "b", (0, 39), (40, 79), 300).first()
+    cells = [y["a"][:40], y["a"][40:], y["b"][:40], y["b"][40:]]
+    i = np.arange(300)[:, None] * 160 + np.arange(160)
+    u = ((((i % M + FOLD * (i >> 31)) % M * A + C) % M * A + C) % M) / M
+    assert len(np.unique(u)) == u.size
+    m = [c[np.floor(u[:, 40 * k : 40 * k + 40] * 40).astype(int)].mean(1) for k, c in enumerate(cells)]
+    d = (m[1] - m[0]) - (m[3] - m[2])
+    assert (got.low, got.high, got["mean"]) == (pytest.approx(np.percentile(d, 2.5)), pytest.approx(np.percentile(d, 97.5)), pytest.approx(d.mean()))
+
+
+def test_norm_update(spark):
+    """One round equals numpy's product of factors; the loss falls in every accepted round; weight 0 moves nothing."""
+    rng = np.random.default_rng(2)
+    up = {i: (i - 1) // 2 for i in range(1, 20)}
+    closed = []
+    for i in up:
+        j = i
+        while j:
+            j = up[j]
+            closed.append(("t", f"n{j:02d}", f"n{i:02d}"))
+    pts = {f"n{i:02d}": rng.uniform(-0.6, 0.6, 2) for i in range(20)}
+    cdf = spark.createDataFrame(closed, "hierarchy string, anc string, desc string")
+    pdf = spark.createDataFrame([(k, x.tolist()) for k, x in pts.items()], "node string, x array<double>")
+    factor = dict.fromkeys(pts, 1.0)
+    size = {k: np.linalg.norm(x) for k, x in pts.items()}
+    for _, a, b in closed:
+        by = 0.005 if size[a] >= size[b] - 0.1 else 0.0005
+        factor[a] *= 1 - by
+        factor[b] *= 1 + by
+    got = {r.node: r.x for r in hyp.scaled(pdf, hyp.norm_factors(cdf, pdf, {"t": 1.0})).collect()}
+    assert got.keys() == pts.keys() and all(got[k] == pytest.approx((pts[k] * factor[k]).tolist(), abs=1e-12) for k in pts)
+    _, losses = hyp.fit_norms(cdf, pdf, {"t": 0.3, "other": 0.0}, 4, rate=0.02)
+    assert len(losses) > 2 and all(b < a for a, b in zip(losses, losses[1:], strict=False))
+    after, losses = hyp.fit_norms(cdf, pdf, {"t": 0.0}, 4)
+    assert losses == [0.0] and {r.node: r.x for r in after.collect()} == {k: x.tolist() for k, x in pts.items()}

@@ -87,18 +87,18 @@ def test_an_epoch_equals_numpy(spark, world):
 def test_models_differ_and_learn(spark, world):
     quads, entities, relations, _ = world
     configs = spark.createDataFrame([(m, m, 4, 4, 1.0) for m in ("tcomplex", "eai_tcomplex", "inductive", "chkg")], descent.CONFIG)
-    params, history = descent.train(quads, configs, entities, relations, 3, 4)
+    params, history = descent.train(quads, configs, entities, relations, 3, 2)
     assert all(history[-1][m] < history[0][m] for m in history[0])
     start = {r.id: r.v for r in descent.initial(configs, entities, relations, 3).where("config = 'inductive' AND kind = 'E'").collect()}
     end = {r.id: r.v for r in params.where("config = 'inductive' AND kind = 'E'").collect()}
     assert start.keys() == end.keys() and start[4] != end[4] and len(end[4]) == 8  # made from features, not trained
     ranks = set()
-    for m in ("tcomplex", "eai_tcomplex", "inductive", "chkg"):
+    for m in ("tcomplex", "chkg"):
         q, c, how = descent.vectors(params, m, m, entities, quads.select("h", "r", "tau").distinct())
         found = kg.filtered_ranks(quads, q, c, quads, how)
         assert found.count() == 31
-        ranks.add(tuple(kg.rank_metrics(found).first()) + tuple(history[-1].values()) + (m,))
-    assert len(ranks) == 4
+        ranks.add(tuple(kg.rank_metrics(found).first()))
+    assert len(ranks) == 2 and len(set(history[-1].values())) == 4
 
 
 def test_effect_in_ranks(spark):
