@@ -2,41 +2,66 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratagraph.functions.columns import uniform
-from stratagraph.functions.special import pearson_p_col
+from stratagraph.functions.special import correlation_p, normal_tail
 from stratagraph.sources.steps import step
 
 
-def _inverse3(a: list[Column]) -> list[Column]:
-    """Inverse of a symmetric 3 x 3 matrix given by a00 a01 a02 a11 a12 a22, in the same order."""
-    p, q, r, s, t, u = a
-    det = p * (s * u - t * t) - q * (q * u - t * r) + r * (q * t - s * r)
-    return [(s * u - t * t) / det, (r * t - q * u) / det, (q * t - r * s) / det, (p * u - r * r) / det, (q * r - p * t) / det, (p * s - q * q) / det]
+SUMS = [f"m{i}{j}" for i in range(3) for j in range(i, 3)] + [f"v{i}" for i in range(3)]
+FITTED = ["b0", "b1", "b2", "se0", "se1", "se2"]
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Coefficients and standard errors from the sums of many series at once; a singular matrix has its pseudo-inverse."""
+    for batch in batches:
+        col = {c: batch.column(batch.schema.get_field_index(c)).to_numpy() for c in SUMS}
+        m = np.array([[col[f"m{min(i, j)}{max(i, j)}"] for j in range(3)] for i in range(3)]).transpose(2, 0, 1)
+        inverse = np.linalg.pinv(m, rcond=1e-13, hermitian=True)
+        beta = np.einsum("nij,jn->in", inverse, np.array([col[f"v{i}"] for i in range(3)]))
+        se = np.sqrt(np.maximum(np.einsum("nii->in", inverse), 0))
+        yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, [*beta, *se])], names=["series", *FITTED])
 
 
-def its_poisson(series: DataFrame, at: int, end: int, iterations: int = 12) -> DataFrame:
+def its_poisson(series: DataFrame, at: int, end: int, tolerance: float = 1e-6, most: int = 50) -> DataFrame:
     """Poisson regression of y on 1, t and a step at ``at``, over t < end, by reweighted least squares.
 
-    Each iteration is one aggregate of nine sums by series, whatever the length of a series. Returns
-    coefficients, standard errors and z values. The series is checkpointed, as every iteration reads it.
+    Each iteration is one aggregate of nine sums by series, whatever the length of a series; the sums of all series are solved
+    together. A series whose coefficients move by less than ``tolerance`` leaves the loop, which ends without series;
+    those that have not settled after ``most`` iterations have ``settled`` false. Returns coefficients, standard errors, z
+    values, Wald's two-sided p values (``p``), those by the square root of the chi-squared law (``c``), and ``settled``. Where the
+    columns depend on each other, say in a series that ends before the step, the smallest of the equally good fits is returned.
     """
+    kind = dict(series.dtypes)["series"]
     rows = step(series.where(F.col("t") < end).select("series", F.col("t").cast("double").alias("t"), (F.col("t") >= at).cast("double").alias("s"), (F.col("y") + 1e-6).alias("y")))
     # from the level of the series: from 0, large counts would take a step for each unit of their logarithm's overshoot
-    beta = rows.groupBy("series").agg(F.log(F.avg("y")).alias("b0")).select("series", "b0", F.lit(0.0).alias("b1"), F.lit(0.0).alias("b2"))
+    now = rows.groupBy("series").agg(F.log(F.avg("y")).alias("b0")).select("series", "b0", *[F.lit(0.0).alias(c) for c in FITTED[1:]])
     x = [F.lit(1.0), F.col("t"), F.col("s")]
-    for _ in range(iterations):
+    done, now = None, step(now)
+    for i in range(most):
         eta = F.col("b0") + F.col("b1") * F.col("t") + F.col("b2") * F.col("s")
-        fit = rows.join(beta, "series").withColumn("eta", eta).withColumn("mu", F.exp(F.greatest(F.least("eta", F.lit(10.0)), F.lit(-10.0))))
+        fit = rows.join(now, "series").withColumn("eta", eta).withColumn("mu", F.exp(F.greatest(F.least("eta", F.lit(10.0)), F.lit(-10.0))))
         fit = fit.withColumn("z", F.col("eta") + (F.col("y") - F.col("mu")) / F.greatest("mu", F.lit(1e-6)))
         sums = fit.groupBy("series").agg(*[F.sum(F.col("mu") * x[i] * x[j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)], *[F.sum(F.col("mu") * x[i] * F.col("z")).alias(f"v{i}") for i in range(3)])
-        inv = _inverse3([F.col(f"m{i}{j}") for i in range(3) for j in range(i, 3)])
-        full = [[inv[0], inv[1], inv[2]], [inv[1], inv[3], inv[4]], [inv[2], inv[4], inv[5]]]
-        beta = sums.select("series", *[sum((full[i][j] * F.col(f"v{j}") for j in range(1, 3)), full[i][0] * F.col("v0")).alias(f"b{i}") for i in range(3)], *[F.sqrt(F.abs(full[i][i])).alias(f"se{i}") for i in range(3)])
-    return beta.select("series", *[f"b{i}" for i in range(3)], *[f"se{i}" for i in range(3)], *[(F.col(f"b{i}") / F.greatest(F.col(f"se{i}"), F.lit(1e-10))).alias(f"z{i}") for i in range(3)])
+        new = sums.mapInArrow(_solved, f"series {kind}, " + ", ".join(f"{c} double" for c in FITTED))
+        moved = F.greatest(*[F.abs(F.col(f"n.b{i}") - F.col(f"o.b{i}")) for i in range(3)])
+        both = step(new.alias("n").join(now.alias("o"), "series").select("series", *[f"n.{c}" for c in FITTED], (moved < tolerance).alias("settled")))
+        left = both.where("NOT settled")
+        if i == most - 1 or left.isEmpty():
+            done = both if done is None else done.unionByName(both)
+            break
+        done = both.where("settled") if done is None else done.unionByName(both.where("settled"))
+        now = left.drop("settled")
+    z = [F.col(f"b{i}") / F.greatest(F.col(f"se{i}"), F.lit(1e-10)) for i in range(3)]
+    p = [2 * normal_tail(F.abs(v)) for v in z]
+    return done.select("series", *FITTED, *[v.alias(f"z{i}") for i, v in enumerate(z)], *[v.alias(f"p{i}") for i, v in enumerate(p)], *[(2 * (1 - F.sqrt(1 - v))).alias(f"c{i}") for i, v in enumerate(p)], "settled")
 
 
 def its_counterfactual(series: DataFrame, coefficients: DataFrame, at: int, zero_from: int | None) -> DataFrame:
@@ -81,13 +106,37 @@ def did_bootstrap(series: DataFrame, treated: str, control: str, pre: tuple[int,
     return reps.agg(F.percentile("d", 0.025).alias("low"), F.percentile("d", 0.975).alias("high"), F.avg("d").alias("mean"))
 
 
-def lagged_correlation(series: DataFrame, x: str, y: str, lags=(1, 2, 3, 4), with_p: bool = True) -> DataFrame:
-    """Correlation of x, some points earlier, with y; lags at which x does not vary are left out."""
-    wide = series.where(F.col("series").isin(x, y)).groupBy("t").agg(F.max(F.when(F.col("series") == x, F.col("y"))).alias("x"), F.max(F.when(F.col("series") == y, F.col("y"))).alias("y"))
-    moved = wide.select("y", *[F.lag("x", k).over(W.orderBy("t")).alias(f"x{k}") for k in lags])
-    long = moved.select("y", F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"x{k}").alias("x")) for k in lags])).alias("p")).select("y", "p.lag", "p.x").where("x IS NOT NULL AND y IS NOT NULL")
-    out = long.groupBy("lag").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")).where("sx > 0 AND sy > 0").drop("sx", "sy")
-    return out.withColumn("p", pearson_p_col("r", "n")) if with_p else out
+def lagged_correlation(series: DataFrame, x: str | list[str], y: str, lags=(1, 2, 3, 4), with_p: bool = True) -> DataFrame:
+    """Correlation of each x, some points earlier, with y: ``lag, r, n, p``, with ``series`` where x is a list.
+
+    Points meet by their t, so gaps stay gaps. Lags at which x does not vary are left out; where y does not, r and p are null.
+    """
+    many = isinstance(x, list)
+    own = series.where(F.col("series").isin(x if many else [x])).select("series", "t", F.col("y").alias("x"), F.explode(F.array(*map(F.lit, lags))).alias("lag"))
+    other = series.where(F.col("series") == y).select(F.col("t").alias("t2"), F.col("y").alias("y"))
+    met = own.join(other, F.col("t") + F.col("lag") == F.col("t2")).where("x IS NOT NULL AND y IS NOT NULL")
+    out = met.groupBy("series", "lag").agg(F.corr("x", "y").alias("r"), F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")).where("sx > 0")
+    out = out.withColumn("r", F.when(F.col("sy") > 0, F.col("r"))).select(*["series"] * many, "lag", "r", "n")
+    return out.withColumn("p", correlation_p(F.col("r"), F.col("n"))) if with_p else out
+
+
+def period_quarter(period: Column) -> Column:
+    """The quarter of a period written ``YYYY-Qn``; null if it is written otherwise."""
+    found = F.regexp_extract(period, r"^\d{4}-Q([1-4])$", 1)
+    return F.when(found != "", found.cast("int"))
+
+
+def discovery(series: DataFrame, outcome: str, step_at: int, periods: DataFrame, breeding: tuple[int, ...] = (1, 2), level: float = 0.05, lags=(1, 2, 3, 4)) -> DataFrame:
+    """``source, lag, r, n, p, significant``: correlations of the outcome with an earlier step and with an earlier breeding season.
+
+    ``periods`` has ``t, period`` (``YYYY-Qn``). Up to eight rows: the step drops out at lags at which it does not vary.
+    """
+    t = series.where(F.col("series") == outcome).select("t").distinct()
+    stepped = t.select(F.lit("measure").alias("series"), "t", (F.col("t") >= step_at).cast("double").alias("y"))
+    season = t.join(periods, "t").select(F.lit("breeding_season").alias("series"), "t", period_quarter(F.col("period")).isin(*breeding).cast("double").alias("y"))
+    every = series.where(F.col("series") == outcome).select("series", "t", "y").unionByName(stepped).unionByName(season)
+    out = lagged_correlation(every, ["measure", "breeding_season"], outcome, lags)
+    return out.withColumnRenamed("series", "source").withColumn("significant", F.coalesce(F.col("p") < level, F.lit(False)))
 
 
 def annual_rollup(series: DataFrame, per_year: int = 4) -> DataFrame:

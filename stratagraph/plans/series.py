@@ -47,7 +47,13 @@ b{i + 1} AS MATERIALIZED (SELECT series, ((ss*u-tt*tt)*v0+(r*tt-q*u)*v1+(q*tt-r*
 ITS = _its_sql(12)
 
 
-@query(ITS + " SELECT series, round(b0,4) AS b0, round(b1,4) AS b1, round(b2,4) AS b2, round(se0,4) AS se0, round(se1,4) AS se1, round(se2,4) AS se2, round(b0/greatest(se0,1e-10),4) AS z0, round(b1/greatest(se1,1e-10),4) AS z1, round(b2/greatest(se2,1e-10),4) AS z2 FROM b12")
+def _tail(i: int) -> str:
+    z = f"(abs(b{i})/greatest(se{i},1e-10))"
+    t = f"(1/(1+0.2316419::DOUBLE*{z}))"
+    return f"exp(-{z}*{z}/2)/sqrt(2*pi())*({t}*(0.319381530::DOUBLE+{t}*(-0.356563782::DOUBLE+{t}*(1.781477937::DOUBLE+{t}*(-1.821255978::DOUBLE+{t}*1.330274429::DOUBLE)))))"
+
+
+@query(ITS + " SELECT series, round(b0,4) AS b0, round(b1,4) AS b1, round(b2,4) AS b2, round(se0,4) AS se0, round(se1,4) AS se1, round(se2,4) AS se2, round(b0/greatest(se0,1e-10),4) AS z0, round(b1/greatest(se1,1e-10),4) AS z1, round(b2/greatest(se2,1e-10),4) AS z2, " + ", ".join(f"round(({_tail(i)})*2,4) AS p{i}, round(2*(1-sqrt(1-2*({_tail(i)}))),4) AS c{i}" for i in range(3)) + ", true AS settled FROM b12")
 def its_poisson(spark, d):
     return _rounded(causal.its_poisson(series(spark, d), 12, 24), 4)
 
@@ -82,11 +88,26 @@ def lag_corr(spark, d):
     return _rounded(causal.lagged_correlation(series(spark, d), "BUILDING", "MACHINERY", with_p=False))
 
 
-@query()
+#: Two-sided p of r over n points: the finite sum of Student's law, its coefficients by gamma functions.
+P_SQL = "greatest(0.0::DOUBLE, 1-CASE WHEN (n-2)%2=1 THEN 2/pi()*(asin(abs(r))+abs(r)*coalesce(list_sum(list_transform(range(0,(n-3)//2), lambda k: exp(lgamma(k+1)-lgamma(k+1.5))*sqrt(pi())/2*pow(1-r*r,k+0.5))),0)) ELSE abs(r)*list_sum(list_transform(range(0,(n-2)//2), lambda k: exp(lgamma(k+0.5)-lgamma(k+1))/sqrt(pi())*pow(1-r*r,k))) END)"
+LAG_SQL = Q + ", lg AS (SELECT k::INTEGER AS lag, b.y, a.y AS x FROM ser b JOIN range(1,5) g(k) ON true JOIN ser a ON a.t=b.t-k WHERE a.series='BUILDING' AND b.series='MACHINERY'), c AS (SELECT lag, corr(x,y) AS r, count(*) AS n FROM lg GROUP BY lag)"
+
+
+@query(LAG_SQL + f" SELECT lag, round(r,6) AS r, n, round({P_SQL},6) AS p FROM c")
 def lag_corr_p(spark, d):
     return _rounded(causal.lagged_correlation(series(spark, d), "BUILDING", "MACHINERY"))
 
 
+@query(Q + f""", src AS (SELECT 'measure' AS source, t, (t>=12)::INTEGER::DOUBLE AS x FROM ser WHERE series='BUILDING' UNION ALL SELECT 'breeding_season', t, (t%4 IN (0,1))::INTEGER::DOUBLE FROM ser WHERE series='BUILDING'),
+c AS (SELECT source, k::INTEGER AS lag, corr(x,y) AS r, count(*) AS n FROM src JOIN range(1,5) g(k) ON true JOIN ser ON ser.t=src.t+k AND series='BUILDING' GROUP BY ALL)
+SELECT source, lag, round(r,6) AS r, n, round({P_SQL},6) AS p, {P_SQL}<0.05 AS significant FROM c""")
+def lag_discovery(spark, d):
+    """Correlations of a segment's orders with an earlier step and with an earlier first half of the year, out of written periods."""
+    s = series(spark, d)
+    periods = s.select("t", F.concat(F.floor(F.col("t") / 4) + 1995, F.lit("-Q"), F.col("t") % 4 + 1).alias("period")).distinct()
+    return _rounded(causal.discovery(s, "BUILDING", 12, periods))
+
+
 @query(Q + " SELECT series, (t//4)::INTEGER AS year, sum(y) AS y FROM ser GROUP BY ALL HAVING count(*)=4")
 def annual_rollup(spark, d):
     return causal.annual_rollup(series(spark, d))

@@ -11,11 +11,19 @@ from stratagraph.operators import causal, hyperbolic as hyp
 from stratagraph.sources import synth
 
 
-def test_special_functions():
-    assert special.pearson_p(-0.535, 27) == pytest.approx(0.00404, abs=2e-4)
-    assert special.incomplete_beta(2, 3, 0.4) == pytest.approx(0.5248, abs=1e-9)
-    assert special.wald_p(1.959963985) == pytest.approx(0.05, abs=1e-8)
-    assert special.chi_p(0) == 2
+def test_special_functions(spark):
+    """Student's law against a sum over its density, for few and many points, odd and even."""
+    rows = [(-0.535, 27), (0.3, 3), (0.3, 4), (0.9, 5), (-0.1, 40), (0.05, 1001), (1.0, 9), (0.0, 8), (None, 9), (0.5, 2)]
+    got = spark.createDataFrame(rows, "r double, n long").select("r", "n", special.correlation_p(F.col("r"), F.col("n")).alias("p"), special.normal_tail(F.lit(1.959963985)).alias("tail")).collect()
+    for x in got:
+        assert x.tail == pytest.approx(0.025, abs=1e-7)
+        if x.r is None or x.n < 3:
+            assert x.p is None
+            continue
+        # the sine of the angle has density cos ** (n - 4) over (-1, 1)
+        angle = (np.arange(200_000) + 0.5) / 200_000 * math.pi / 2
+        density = np.cos(angle) ** (x.n - 3)
+        assert x.p == pytest.approx(density[np.sin(angle) > abs(x.r)].sum() / density.sum(), abs=1e-4), x
 
 
 def test_quarters(spark):
@@ -116,3 +124,41 @@ def test_norm_update(spark):
     assert len(losses) > 2 and all(b < a for a, b in zip(losses, losses[1:], strict=False))
     after, losses = hyp.fit_norms(cdf, pdf, {"t": 0.0}, 4)
     assert losses == [0.0] and {r.node: r.x for r in after.collect()} == {k: x.tolist() for k, x in pts.items()}
+
+
+def test_fits_settle(spark):
+    """A series that needs more than twelve steps, one that never meets the step, one of zeros, beside an easy one."""
+    t = np.arange(24)
+    y = {"easy": 20 + t % 3, "jump": np.where(t < 11, 0, np.where(t == 11, 1, 1000)), "short": 5 + t[:10], "zero": 0 * t}
+    df = spark.createDataFrame([(k, int(i), float(v)) for k, x in y.items() for i, v in enumerate(x)], "series string, t int, y double")
+    got = {r.series: r for r in causal.its_poisson(df, 12, 24, most=16).collect()}
+    assert got.keys() == y.keys() and [k for k in y if not got[k].settled] == ["zero"]
+    for k, x in y.items():
+        n = len(x)
+        design = np.stack([np.ones(n), t[:n], t[:n] >= 12], axis=1).astype(float)
+        b, steps = np.array([np.log(np.mean(x + 1e-6)), 0, 0]), 0
+        for steps in range(1, 51):  # noqa: B007
+            eta = design @ b
+            mu = np.exp(np.clip(eta, -10, 10))
+            new = np.linalg.pinv(design.T @ (mu[:, None] * design), rcond=1e-13, hermitian=True) @ design.T @ (mu * (eta + (x + 1e-6 - mu) / np.maximum(mu, 1e-6)))
+            b, off = new, np.abs(new - b).max()
+            if off < 1e-6:
+                break
+        assert k != "jump" or steps > 12
+        if off < 1e-6:
+            assert got[k].settled and [got[k].b0, got[k].b1, got[k].b2] == pytest.approx(list(b), abs=1e-3), k
+    easy = got["easy"]
+    assert easy.p1 == pytest.approx(math.erfc(abs(easy.z1) / math.sqrt(2)), abs=1e-6) and easy.c1 == pytest.approx(2 * (1 - math.sqrt(math.erf(abs(easy.z1) / math.sqrt(2)))), abs=1e-6)
+    assert got["short"].b2 == pytest.approx(0, abs=1e-9)
+
+
+def test_discovery(spark):
+    rng = np.random.default_rng(4)
+    y = [(("o"), t, float(5 + 3 * ((t - 1) % 4 < 2) + rng.normal(0, 0.1))) for t in range(28)]
+    s = spark.createDataFrame(y, "series string, t int, y double")
+    periods = spark.createDataFrame([(t, f"{2017 + t // 4}-Q{t % 4 + 1}") for t in range(28)], "t int, period string")
+    got = {(r.source, r.lag): r for r in causal.discovery(s, "o", 12, periods).collect()}
+    assert len(got) == 8 and got["breeding_season", 1].r > 0.99 and got["breeding_season", 1].significant and not got["measure", 1].significant
+    assert {k[0] for k in got} == {r[0] for r in causal.discovery(s, "o", 12, periods).select("source").collect()}
+    assert causal.discovery(s, "o", 99, periods).count() == 4  # a step that never comes does not vary
+    assert [r[0] for r in spark.createDataFrame([("2020-Q3",), ("2020Q3",), ("2020-Q5",), (None,)], "p string").select(causal.period_quarter(F.col("p"))).collect()] == [3, None, None, None]
