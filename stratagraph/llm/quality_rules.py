@@ -16,9 +16,10 @@ SYMBOLS = "#*$%&|<>"
 ENDS = ".!?…:;\"'”’»)]。！？：；」』）"
 #: Phrases of boilerplate lines, in lower case.
 BOILERPLATE = ("cookie", "javascript", "all rights reserved", "terms of use", "privacy policy", "lorem ipsum", "click here", "sign up", "log in", "subscribe")
+#: Words for each boilerplate phrase of a line, up to which it counts as boilerplate however long it is.
+PHRASE_WORDS = 30
 SEPARATORS = {"|", "»", "«", ">", "<", "•", "·", "/", "::", "→", "-", "–"}
 _SYMBOL_MAP = {ord(c): None for c in SYMBOLS}
-_SPACE_MAP = dict.fromkeys([0x20, *range(0x09, 0x0E)])
 
 
 def line_fails(line: str, words: list[str]) -> bool:
@@ -33,10 +34,8 @@ def line_fails(line: str, words: list[str]) -> bool:
         return True
     if n < 5 and line.rstrip()[-1:] not in ENDS:
         return True  # a short line that no sentence ends
-    if len(line) < 200:
-        low = line.lower()
-        return any(x in low for x in BOILERPLATE)
-    return False
+    low = line.lower()
+    return sum(low.count(x) for x in BOILERPLATE) * PHRASE_WORDS >= n
 
 
 def repeated_words(words: list[str], window: int = 5) -> int:

@@ -203,19 +203,3 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     by_fp = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return found.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, d: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component of near copies: that of the smallest id (null last), then the first row.
-
-    All columns stay as they are.
-    """
-    marked = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = written(fingerprints(marked.select(F.struct("_row", "_id").alias("_key"), "_text"), id_col="_key", text_col="_text", k=k).select("_key._row", "_key._id", "fp"), "simhash")
-    order = F.struct(F.col("_id").isNull().alias("n"), "_id", "_row")
-    first = found.groupBy("fp").agg(F.min(order).alias("first"))
-    joined = components(links(first.select("fp"), d))
-    named = first.join(joined.withColumnRenamed("node", "fp"), "fp", "left")
-    stays = named.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    whole = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
-    return whole.join(stays, "_row", "left_semi").select(*[F.col("_all")[c].alias(c) for c in docs.columns])

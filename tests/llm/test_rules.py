@@ -148,3 +148,16 @@ def test_risk_stays_non_negative():
 @pytest.mark.parametrize("text", ["", "a", "zum"])
 def test_features(text):
     assert len(set(toxicity.hashed(text).tolist())) == len(toxicity.hashed(text))
+
+
+def test_boilerplate_in_lines_of_any_length():
+    """Phrases are judged against the words of their line, with no limit on its length."""
+    from stratagraph.llm.quality_rules import line_fails
+
+    prose = "the river bends and the road bends with it past quiet fields. " * 8
+    banner = "We use cookies on this site, please read our privacy policy and the terms of use before you go on. " * 4
+    assert len(banner) > 300 and line_fails(banner, banner.split())
+    one = prose + "He baked a cookie."
+    assert not line_fails(one, one.split())
+    short = "Please accept every cookie."
+    assert line_fails(short, short.split())
