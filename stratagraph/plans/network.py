@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratagraph.functions.columns import mapped
 from stratagraph.operators import graph, network as net
 from stratagraph.plans.registry import query
 from stratagraph.sources import tables
@@ -42,6 +43,13 @@ def coo_edges(spark, d):
     return Net(spark, d).edges
 
 
+@query(E + " SELECT src, dst, round(avg(w),6) AS mean_w, round(max(w) FILTER (season=1),6) AS first_w FROM e GROUP BY src, dst")
+def season_weight(spark, d):
+    """An edge's weight over its seasons, and in the first; null where it has none there."""
+    m = Net(spark, d).edges.groupBy("src", "dst").agg(F.map_from_entries(F.collect_list(F.struct("season", "w"))).alias("m"))
+    return m.select("src", "dst", F.round(mapped(F.col("m")), 6).alias("mean_w"), F.round(mapped(F.col("m"), F.lit(1)), 6).alias("first_w"))
+
+
 @query(E + " SELECT season, src, dst, w FROM e WHERE split_part(src,':',1)='n' AND split_part(dst,':',1)='b'")
 def layer_block(spark, d):
     return net.block(Net(spark, d).edges, "n", "b")
