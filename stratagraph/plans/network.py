@@ -43,11 +43,11 @@ def coo_edges(spark, d):
     return Net(spark, d).edges
 
 
-@query(E + " SELECT src, dst, round(avg(w),8) AS mean_w, round(max(w) FILTER (season=1),8) AS first_w FROM e GROUP BY src, dst")
+@query(E + " SELECT src, dst, round(avg(w),10) AS mean_w, round(max(w) FILTER (season=1),10) AS first_w FROM e GROUP BY src, dst")
 def season_weight(spark, d):
     """An edge's weight over its seasons, and in the first; null where it has none there."""
     m = Net(spark, d).edges.groupBy("src", "dst").agg(F.map_from_entries(F.collect_list(F.struct("season", "w"))).alias("m"))
-    return m.select("src", "dst", F.round(mapped(F.col("m")), 8).alias("mean_w"), F.round(mapped(F.col("m"), F.lit(1)), 8).alias("first_w"))
+    return m.select("src", "dst", F.round(mapped(F.col("m")), 10).alias("mean_w"), F.round(mapped(F.col("m"), F.lit(1)), 10).alias("first_w"))
 
 
 @query(E + " SELECT season, src, dst, w FROM e WHERE split_part(src,':',1)='n' AND split_part(dst,':',1)='b'")
