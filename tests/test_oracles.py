@@ -9,7 +9,7 @@ import pytest
 from stratagraph.plans import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-CHOSEN = ["edge_rules", "degree_centrality", "season_summary", "risk_ranking", "topk_jaccard", "interval_expand", "interval_overlap", "negative_samples", "score_rotate", "filtered_ranks", "novel_threats", "closure", "causal_effect", "weighted_tree_loss", "its_poisson", "did_bootstrap", "lag_corr", "annual_rollup"]
+CHOSEN = ["edge_rules", "degree_centrality", "season_summary", "risk_ranking", "topk_jaccard", "interval_expand", "interval_overlap", "negative_samples", "score_rotate", "filtered_ranks", "novel_threats", "closure", "causal_effect", "weighted_tree_loss", "its_poisson", "did_bootstrap", "lag_discovery", "annual_rollup", "norm_update", "fact_features_16", "recommend_topk", "season_weight", "score_inductive"]
 
 
 def plain(rows):
