@@ -71,3 +71,44 @@ def test_cut(pieces):
         n = ours.cut(t, budget)
         assert len(theirs.encode(t[:n])) <= budget
         assert n == len(t) or all(len(theirs.encode(t[:m])) > budget for m in range(n + 1, len(t) + 1))
+
+
+BROKEN = [(1, None, 5, "x"), (2, "", 6, None), (None, "a null id", 7, "y"), (None, None, 7, "y"), (3, "one text twice", 8, "z"), (3, "one text twice", 8, "z"), (4, "höher, weiter 你好 😀 " * 60_000, 9, "w")]
+
+
+def broken(spark):
+    """Null and empty texts, null and repeated ids, a text of over a megabyte, extra columns named like results."""
+    return spark.createDataFrame(BROKEN, "doc_id long, text string, n_tokens int, ids_sha256 string")
+
+
+def key(row):
+    return tuple((x is not None, x) for x in row)
+
+
+def test_round_trip_of_a_broken_table(spark, byte_bpe):
+    from hashlib import sha256
+
+    from stratagraph.llm import bpe
+
+    want = []
+    for i, text, *_ in BROKEN:
+        ids = byte_bpe[1].encode_ordinary(text or "")
+        want.append((i, len(ids), sha256(b"".join(x.to_bytes(4, "little") for x in ids)).hexdigest(), sha256((text or "").encode()).hexdigest()))
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    got = bpe.round_trip(broken(spark), path, P.PATTERN)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    encoded = bpe.encode_documents(broken(spark), path, P.PATTERN).collect()
+    assert sorted(((r.doc_id, len(r.ids) // 4) for r in encoded), key=key) == sorted((w[:2] for w in want), key=key)
+    assert bpe.round_trip(broken(spark).where("false"), path, P.PATTERN).count() == 0
+
+
+def test_counts_of_a_broken_table(spark, pieces):
+    from stratagraph.llm import prefix_counts
+
+    path = P.path("piece_bpe_32k.model")
+    want = [(i, len((text or "").encode()), n := len(pieces[1].encode(text or "")), n > 4096) for i, text, *_ in BROKEN]
+    got = prefix_counts.token_counts(broken(spark), path)
+    assert got.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"]
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
+    assert prefix_counts.token_counts(broken(spark).where("false"), path).count() == 0
