@@ -1,4 +1,4 @@
-"""Iterative graph operators: power iteration, min-plus paths, closure, greedy communities.
+"""Iterative graph operators: power iteration, min-plus paths, closure, communities.
 
 Loops write each step's table to the checkpoint folder, so plans stay short and a lost executor
 costs one step. Their tables hold nodes or pairs of nodes, not the edges they came from.
@@ -6,12 +6,11 @@ costs one step. Their tables hold nodes or pairs of nodes, not the edges they ca
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.sources.steps import step
-from stratagraph.shipping import ship
+from stratagraph.operators.ordinals import numbered
+from stratagraph.sources.steps import step, written
 
 
 def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, n: int, seasons, iterations: int = 20, every: int = 5) -> DataFrame:
@@ -73,47 +72,67 @@ def closure(edges: DataFrame, by: str = "hierarchy", most: int = 64) -> DataFram
     return found
 
 
-def communities(edges: DataFrame, nodes: DataFrame, seasons, gamma: float = 1.0, passes: int = 50) -> DataFrame:
-    """Greedy single-level modularity moves, in node order, season by season; communities are numbered from 0.
-
-    Moves depend on each other, so a season is one group; the groups run in parallel.
-    """
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = sorted(set(pdf["src"]) | set(pdf["dst"]))
-        names = [x for x in names if x]
-        near: dict[str, dict[str, float]] = {x: {} for x in names}
-        for a, b, w in zip(pdf["src"], pdf["dst"], pdf["w"], strict=True):
-            if a and b:
-                near[a][b] = w
-        k = {x: sum(near[x].values()) for x in names}
-        m = sum(k.values()) / 2
-        home = {x: i for i, x in enumerate(names)}
-        total = {home[x]: k[x] for x in names}
-        for _ in range(passes if m > 0 else 0):
-            moved = False
-            for x in names:
-                own = home[x]
-                total[own] -= k[x]
-                into: dict[int, float] = {}
-                for y, w in near[x].items():
-                    if y != x:
-                        into[home[y]] = into.get(home[y], 0.0) + w
-                best, gain = own, 0.0
-                for c in sorted(into):
-                    g = into[c] / m - gamma * total[c] * k[x] / (2 * m * m)
-                    if c != own and g > gain + 1e-15:
-                        best, gain = c, g
-                home[x] = best
-                total[best] += k[x]
-                moved |= best != own
-            if not moved:
-                break
-        order = {c: i for i, c in enumerate(sorted(set(home.values())))}
-        return pd.DataFrame({"season": pdf["season"].iloc[0], "node": names, "community": [order[home[x]] for x in names]})
-
-    ship(edges.sparkSession)
-    alone = nodes.select(F.explode(F.array(*map(F.lit, seasons))).alias("season"), F.col("node").alias("src"), F.lit("").alias("dst"), F.lit(0.0).alias("w"))
-    return edges.select("season", "src", "dst", "w").unionByName(alone).groupBy("season").applyInPandas(one, f"season {dict(edges.dtypes)['season']}, node string, community int")
+def communities(edges: DataFrame, nodes: DataFrame, seasons, gamma: float = 1.0) -> DataFrame:
+    """Communities by single-level modularity moves of many nodes at once, until no node gains by one; numbered from 0 in a season.
 
+    Each node asks for the community, of those its neighbours are in, that gains it most over staying (ties: the first
+    by name). The best request that touches a community decides whether nodes leave or enter it in this round. Moves
+    out of or into one community then take at most gamma k k' / 2m² for each pair of movers from each other's gains; a
+    node goes if its gain exceeds its half of that over all who ask. Where nobody's does, those go whose request is the
+    best of their target and of their source: each community has one mover then, and gains add up. So every round
+    raises modularity, the loop ends, and no node could gain by a move after it.
 
+    Weights count to ten decimal places and are added exactly, so the result doesn't depend on partitioning. Edges are
+    symmetric, one row a direction; loops are left out. Nodes without edges are communities of their own.
+    """
+    e = written(edges.where("src <> dst").select("season", "src", "dst", "w"))
+    k = e.groupBy("season", F.col("src").alias("node")).agg(_exact("w", "k"))
+    m = k.groupBy("season").agg(_exact("k", "k2")).select("season", (F.col("k2") / 2).alias("m"))
+    at = written(k.join(m, "season").where("k > 0").select("season", "node", "k", "m", F.col("node").alias("home")))
+    while True:
+        ask = written(_requests(e, at, gamma))
+        if ask.isEmpty():
+            break
+        goes = _movers(ask, gamma).select("season", "node", F.col("to").alias("new"))
+        at = written(at.join(goes, ["season", "node"], "left").select("season", "node", "k", "m", F.coalesce("new", "home").alias("home")))
+    every = nodes.select("node", F.explode(F.array(*map(F.lit, seasons))).alias("season"))
+    named = every.join(at.select("season", "node", "home"), ["season", "node"], "left").withColumn("home", F.coalesce("home", "node"))
+    placed = numbered(named.select("season", "home").distinct(), ["season", "home"], "place")
+    start = placed.groupBy("season").agg(F.min("place").alias("start"))
+    numbers = placed.join(start, "season").select("season", "home", (F.col("place") - F.col("start")).cast("int").alias("community"))
+    return named.join(numbers, ["season", "home"]).select("season", "node", "community")
+
+
+def _exact(value: str, name: str):
+    """A sum that no order of its rows changes."""
+    return F.sum(F.col(value).cast("decimal(28,10)")).cast("double").alias(name)
+
+
+def _requests(e: DataFrame, at: DataFrame, gamma: float) -> DataFrame:
+    """``season, node, k, m, home, to, delta``: nodes that gain ``delta`` if they alone go to ``to``."""
+    own = at.select("season", "node", F.col("home").alias("to"), F.lit(0.0).alias("w"))
+    near = e.join(at.select("season", F.col("node").alias("dst"), F.col("home").alias("to")), ["season", "dst"]).select("season", F.col("src").alias("node"), "to", "w")
+    into = near.unionByName(own).groupBy("season", "node", "to").agg(_exact("w", "w"))
+    total = at.groupBy("season", F.col("home").alias("to")).agg(_exact("k", "total"))
+    each = into.join(at, ["season", "node"]).join(total, ["season", "to"])
+    stays = F.col("to") == F.col("home")
+    others = F.col("total") - F.when(stays, F.col("k")).otherwise(0.0)
+    each = each.withColumn("gain", F.col("w") / F.col("m") - gamma * others * F.col("k") / (2 * F.col("m") * F.col("m")))
+    found = each.groupBy("season", "node", "k", "m", "home").agg(
+        F.max(F.when(stays, F.col("gain"))).alias("stay"), F.min(F.when(~stays, F.struct((-F.col("gain")).alias("loss"), "to"))).alias("best"))
+    return found.select("season", "node", "k", "m", "home", F.col("best.to").alias("to"), (-F.col("best.loss") - F.col("stay")).alias("delta")).where("delta > 1e-12")
+
+
+def _movers(ask: DataFrame, gamma: float) -> DataFrame:
+    """Those requests of a round that together raise modularity."""
+    ask = ask.withColumn("place", F.struct((-F.col("delta")).alias("loss"), "node"))
+    sides = [ask.select("season", F.col(c).alias("c"), "place", F.lit(c).alias("side")) for c in ("home", "to")]
+    role = sides[0].unionByName(sides[1]).groupBy("season", "c").agg(F.min(F.struct("place", "side")).alias("first")).select("season", "c", "first.side")
+    for c in ("home", "to"):
+        ask = ask.join(role.where(F.col("side") == c).select("season", F.col("c").alias(c)), ["season", c], "left_semi")
+    for c in ("home", "to"):
+        ask = ask.join(ask.groupBy("season", c).agg(_exact("k", f"{c}_k"), F.min("place").alias(f"{c}_first")), ["season", c])
+    others = F.col("home_k") + F.col("to_k") - 2 * F.col("k")
+    ask = ask.withColumn("free", F.col("delta") > gamma * F.col("k") * others / (4 * F.col("m") * F.col("m")))
+    ask = written(ask.withColumn("alone", (F.col("home_first") == F.col("place")) & (F.col("to_first") == F.col("place"))).select("season", "node", "to", "free", "alone"))
+    return ask.join(ask.groupBy("season").agg(F.max("free").alias("some")), "season").where("free OR (NOT some AND alone)")

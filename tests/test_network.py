@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stratagraph.operators import graph, network as net
 from stratagraph.sources import synth
@@ -83,12 +84,57 @@ def test_paths_and_betweenness(demo):
     assert all(abs(ours[v] - count[v] / ((n - 1) * (n - 2))) < 1e-6 for v in names)
 
 
+def move_gain(a, home, x, c):
+    """What modularity gains if node x alone goes to community c."""
+    k, m = a.sum(1), a.sum() / 2
+    value = lambda c: a[x, home == c].sum() / m - (k[home == c].sum() - (k[x] if home[x] == c else 0)) * k[x] / (2 * m * m)
+    return value(c) - value(home[x])
+
+
+def in_order(a):
+    """Modularity after moves one by one in node order; a move must gain over leaving, not over staying."""
+    k, m, home = a.sum(1), a.sum() / 2, np.arange(len(a))
+    for _ in range(50):
+        before = home.copy()
+        for x in range(len(a)):
+            best, most = home[x], 1e-15
+            rest = np.arange(len(a)) != x
+            for c in sorted(set(home[(a[x] > 0) & rest]) - {home[x]}):
+                gain = a[x, home == c].sum() / m - k[(home == c) & rest].sum() * k[x] / (2 * m * m)
+                if gain > most:
+                    best, most = c, gain
+            home[x] = best
+        if (before == home).all():
+            break
+    return sum(a[np.ix_(home == c, home == c)].sum() / (2 * m) - (k[home == c].sum() / (2 * m)) ** 2 for c in set(home))
+
+
 def test_communities(demo):
     _, nodes, edges = demo
-    groups = graph.communities(edges, nodes, S).cache()
-    assert groups.count() == 63 * 4
-    q = {r.season: r.modularity for r in net.modularity(edges, groups).collect()}
-    assert all(-0.5 <= x <= 1 for x in q.values())
+    two = edges.where("season IN ('spring', 'winter')")
+    groups = graph.communities(two, nodes, ["spring", "winter"]).cache()
+    assert groups.count() == groups.select("season", "node").distinct().count() == 63 * 2
+    q = {r.season: r.modularity for r in net.modularity(two, groups).collect()}
+    for season in ("spring", "winter"):
+        names, a = dense(edges, nodes, season)
+        found = {r.node: r.community for r in groups.where(F.col("season") == season).collect()}
+        home = np.array([found[x] for x in names])
+        assert set(home) == set(range(len(set(home))))
+        assert q[season] >= 0.98 * in_order(a)
+        assert all(move_gain(a, home, x, c) < 1e-9 for x in range(len(names)) for c in set(home[a[x] > 0]))
+
+
+def test_communities_of_small_cases(spark):
+    pairs = [(1, "a", "b"), (1, "b", "c"), (1, "a", "c"), (1, "d", "e"), (1, "e", "f"), (1, "d", "f"), (1, "c", "d"), (1, "a", "a")]
+    star = [(2, "a", f"l{i:02}") for i in range(40)]
+    e = spark.createDataFrame([(s, *p, 1.0) for s, x, y in pairs + star for p in {(x, y), (y, x)}], "season int, src string, dst string, w double")
+    nodes = spark.createDataFrame([(x,) for x in [*"abcdefg", *(f"l{i:02}" for i in range(40))]], "node string")
+    for parts in (1, 5):
+        rows = graph.communities(e.repartition(parts), nodes, [1, 2, 3]).collect()
+        at = {s: {r.node: r.community for r in rows if r.season == s} for s in (1, 2, 3)}
+        assert at[1]["a"] == at[1]["b"] == at[1]["c"] != at[1]["d"] == at[1]["e"] == at[1]["f"] and len(set(at[1].values())) == 43
+        assert len({at[2][f"l{i:02}"] for i in range(40)} | {at[2]["a"]}) == 1 and len(set(at[2].values())) == 7
+        assert sorted(at[3].values()) == list(range(47))
 
 
 def test_jaccard_and_blocks(demo):
