@@ -213,11 +213,11 @@ def remove_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return result.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(kept)], "n_lines", "n_removed", "longest_run")
 
 
-#: The same deletions by window functions, for tables whose ids differ.
+#: The same deletions by window functions, and longest runs by growing all repeated runs line by line, for tables whose ids differ.
 ORACLE_SQL = r"""
-WITH lines AS (
+WITH RECURSIVE lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents
-), worded AS (
+), worded AS MATERIALIZED (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS o,
     lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS following
   FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
@@ -229,8 +229,18 @@ WITH lines AS (
   SELECT *, (one > 1 AND words >= 8) OR coalesce(two, 1) > 1 OR coalesce(lag(two) OVER (PARTITION BY doc_id ORDER BY o), 1) > 1 AS gone FROM ranked
 ), every AS (
   SELECT l.doc_id, l.i, l.line, m.o IS NOT NULL AS worded, coalesce(m.gone, false) AS gone FROM lines l LEFT JOIN marked m USING (doc_id, i)
+), repeated(n, doc_id, o, run) AS (
+  SELECT 1::BIGINT, doc_id, o, run FROM (SELECT doc_id, o, dense_rank() OVER (ORDER BY line) AS run, count(*) OVER (PARTITION BY line) AS places FROM worded) WHERE places > 1
+  UNION ALL
+  SELECT n + 1, doc_id, o, run FROM (
+    SELECT r.n, r.doc_id, r.o, dense_rank() OVER (ORDER BY r.run, w.line) AS run, count(*) OVER (PARTITION BY r.run, w.line) AS places
+    FROM repeated r JOIN worded w ON w.doc_id = r.doc_id AND w.o = r.o + r.n) WHERE places > 1
+), longest AS (
+  SELECT r.doc_id, max(r.n) AS n FROM repeated r JOIN ranked k USING (doc_id, o) WHERE (k.one > 1 AND k.words >= 8) OR k.two > 1 GROUP BY r.doc_id
 )
+SELECT doc_id, n_lines, n_removed, coalesce(n, 0)::BIGINT AS longest_run, clean_md5 FROM (
 SELECT doc_id, count_if(worded)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed,
   md5(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS clean_md5
 FROM every GROUP BY doc_id
+) LEFT JOIN longest USING (doc_id)
 """

@@ -14,7 +14,7 @@ from stratagraph.llm.common import read
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     clean = line_dedup.remove_lines(read(spark, sf_dir, "documents"))
-    return clean.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
+    return clean.select("doc_id", "n_lines", "n_removed", "longest_run", F.md5(F.coalesce("text", F.lit(""))).alias("clean_md5"))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
