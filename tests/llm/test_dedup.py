@@ -30,9 +30,10 @@ def test_lines_equal_sql(spark):
     con = duckdb.connect()
     con.execute("create table documents (doc_id bigint, text varchar)")
     con.executemany("insert into documents values (?, ?)", texts)
-    for doc_id, n_lines, n_removed, digest in con.sql(line_dedup.ORACLE_SQL).fetchall():
+    for doc_id, *want in con.sql(line_dedup.ORACLE_SQL).fetchall():
         x = got[doc_id]
-        assert (x.n_lines, x.n_removed, hashlib.md5((x.text or "").encode()).hexdigest()) == (n_lines, n_removed, digest)
+        assert [x.n_lines, x.n_removed, x.longest_run, hashlib.md5((x.text or "").encode()).hexdigest()] == want
+    assert got[103].longest_run >= 29
     assert got[100].text is None and got[0].row == 3
 
 
@@ -77,16 +78,25 @@ def test_line_runs_of_any_length(spark, least):
     r = random.Random(least)
     texts = [(i, "\n".join(r.choice("abcdef") for _ in range(r.randint(1, 30)))) for i in range(20)]
     got = {x.doc_id: x for x in line_dedup.remove_lines(frame(spark, texts), min_lines=least).collect()}
-    seen = set()
-    for i, t in texts:
-        lines, gone = t.split("\n"), set()
+    seen, split = set(), [t.split("\n") for _, t in texts]
+    places = [(i, p) for i, lines in enumerate(split) for p in range(len(lines))]
+
+    def common(i, p, j, q):
+        n = 0
+        while p + n < len(split[i]) and q + n < len(split[j]) and split[i][p + n] == split[j][q + n]:
+            n += 1
+        return n
+
+    for i, lines in enumerate(split):
+        gone, longest = set(), 0
         for p in range(len(lines) - least + 1):
             run = tuple(lines[p : p + least])
             if run in seen:
                 gone |= set(range(p, p + least))
+                longest = max(longest, *(common(i, p, *x) for x in places if x != (i, p)))
             seen.add(run)
         assert got[i].text == "\n".join(x for p, x in enumerate(lines) if p not in gone) and got[i].n_removed == len(gone)
-        assert got[i].longest_run >= least if gone else got[i].longest_run == 0
+        assert got[i].longest_run == longest
 
 
 @pytest.mark.parametrize("seed", range(5))
