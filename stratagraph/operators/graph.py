@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.operators.ordinals import numbered
-from stratagraph.sources.steps import step, written
+from stratagraph.sources.steps import drop_written, step, written
 
 
 def eigenvector_centrality(edges: DataFrame, nodes: DataFrame, n: int, seasons, iterations: int = 20, every: int = 5) -> DataFrame:
@@ -93,8 +93,13 @@ def communities(edges: DataFrame, nodes: DataFrame, seasons, gamma: float = 1.0)
         ask = written(_requests(e, at, gamma))
         if ask.isEmpty():
             break
-        goes = _movers(ask, gamma).select("season", "node", F.col("to").alias("new"))
+        marked = written(_marked(ask, gamma))
+        some = marked.groupBy("season").agg(F.max("free").alias("some"))
+        goes = marked.join(some, "season").where("free OR (NOT some AND alone)").select("season", "node", F.col("to").alias("new"))
+        before = at
         at = written(at.join(goes, ["season", "node"], "left").select("season", "node", "k", "m", F.coalesce("new", "home").alias("home")))
+        drop_written(before, ask, marked)
+    drop_written(e, ask)
     every = nodes.select("node", F.explode(F.array(*map(F.lit, seasons))).alias("season"))
     named = every.join(at.select("season", "node", "home"), ["season", "node"], "left").withColumn("home", F.coalesce("home", "node"))
     placed = numbered(named.select("season", "home").distinct(), ["season", "home"], "place")
@@ -123,8 +128,8 @@ def _requests(e: DataFrame, at: DataFrame, gamma: float) -> DataFrame:
     return found.select("season", "node", "k", "m", "home", F.col("best.to").alias("to"), (-F.col("best.loss") - F.col("stay")).alias("delta")).where("delta > 1e-12")
 
 
-def _movers(ask: DataFrame, gamma: float) -> DataFrame:
-    """Those requests of a round that together raise modularity."""
+def _marked(ask: DataFrame, gamma: float) -> DataFrame:
+    """``season, node, to, free, alone``: the requests a round allows; the free ones, or else those alone, together raise modularity."""
     ask = ask.withColumn("place", F.struct((-F.col("delta")).alias("loss"), "node"))
     sides = [ask.select("season", F.col(c).alias("c"), "place", F.lit(c).alias("side")) for c in ("home", "to")]
     role = sides[0].unionByName(sides[1]).groupBy("season", "c").agg(F.min(F.struct("place", "side")).alias("first")).select("season", "c", "first.side")
@@ -134,5 +139,5 @@ def _movers(ask: DataFrame, gamma: float) -> DataFrame:
         ask = ask.join(ask.groupBy("season", c).agg(_exact("k", f"{c}_k"), F.min("place").alias(f"{c}_first")), ["season", c])
     others = F.col("home_k") + F.col("to_k") - 2 * F.col("k")
     ask = ask.withColumn("free", F.col("delta") > gamma * F.col("k") * others / (4 * F.col("m") * F.col("m")))
-    ask = written(ask.withColumn("alone", (F.col("home_first") == F.col("place")) & (F.col("to_first") == F.col("place"))).select("season", "node", "to", "free", "alone"))
-    return ask.join(ask.groupBy("season").agg(F.max("free").alias("some")), "season").where("free OR (NOT some AND alone)")
+    alone = (F.col("home_first") == F.col("place")) & (F.col("to_first") == F.col("place"))
+    return ask.withColumn("alone", alone).select("season", "node", "to", "free", "alone")
