@@ -35,8 +35,8 @@ def step(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """A step's table written to the folder that the cluster shares, and read again.
 
-    A checkpoint keeps what the optimizer inferred of its columns; over the rounds of a loop whose columns
-    derive from each other this grows without bound, and so does planning. A table that is read anew has none of it.
+    For loops whose columns derive from each other: with checkpoints their rounds were measured to become slower
+    and slower, likely as a checkpoint keeps what the optimizer inferred of its columns. A table read anew has none of it.
     """
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
