@@ -130,3 +130,39 @@ def test_margin_loss_over_blocks(spark):
     want = np.mean([max(0, 1 + s[h, o] - s[h, t]) for h, _, t, _ in facts for o in range(20) if o != t])
     got = kg.all_margin_loss(spark.createDataFrame(facts * 2, "h int, r int, t int, tau int"), queries, frame(spark, c, "c")).first()
     assert got.loss == pytest.approx(want, abs=1e-6)
+
+
+def test_cells_grow_with_rows_not_with_partitions(spark):
+    """Few rows in many partitions are one block and one task."""
+    queries, candidates = frame(spark, R.normal(size=(60, 3)), "q", "a").repartition(30), frame(spark, R.normal(size=(50, 3)), "c").repartition(20)
+    cells = blocks._cells(queries, ["a"], candidates)
+    assert cells.rdd.getNumPartitions() == 1 and cells.count() == 1
+
+
+def test_gathered_vectors_multiply_no_partitions(spark, tmp_path):
+    """Vectors that lie in many files make no more partitions of the queries that heads, relations and times are multiplied to."""
+    import os
+
+    from stratagraph.plans import graphs
+
+    for f in os.listdir("/root/testdata/sf0.001"):
+        if f != "embeddings.parquet":
+            os.symlink(f"/root/testdata/sf0.001/{f}", tmp_path / f)
+    spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").repartition(9).write.parquet(str(tmp_path / "embeddings.parquet"))
+    g = graphs.Vectors(spark, str(tmp_path))
+    assert g.queries("tcomplex", g.nations).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("how", ["dot", "l1", "l2"])
+def test_kept_over_blocks(how):
+    """The best of several blocks in turn, with ties, values that are no numbers, and scores that differ by less than rounding."""
+    q, c = R.normal(size=(20, 5)), R.normal(size=(900, 5)).round(1)
+    c[100:140], c[700], c[300] = c[3], np.nan, c[5] + 1e-9
+    want = np.round(pairwise(q, c, how), 6)
+    want[np.isnan(want)] = -np.inf
+    kept = None
+    for at in (0, 4, 300, 600):
+        to = {0: 4, 4: 300, 300: 600, 600: 900}[at]
+        kept = blocks._kept(q, c[at:to], np.arange(at, to), how, 12, 6, kept)
+    order = np.lexsort((np.broadcast_to(np.arange(900), want.shape), -want), axis=1)[:, :12]
+    assert (kept[0] == order).all() and np.allclose(kept[1], np.take_along_axis(want, order, 1), atol=1.1e-6)
