@@ -166,3 +166,13 @@ def test_kept_over_blocks(how):
         kept = blocks._kept(q, c[at:to], np.arange(at, to), how, 12, 6, kept)
     order = np.lexsort((np.broadcast_to(np.arange(900), want.shape), -want), axis=1)[:, :12]
     assert (kept[0] == order).all() and np.allclose(kept[1], np.take_along_axis(want, order, 1), atol=1.1e-6)
+
+
+def test_effects_of_every_node(spark):
+    """Not suppliers alone: each node of the trees that shares an ancestor with another has effects."""
+    from stratagraph.plans import graphs
+
+    d = "/root/testdata/sf0.001"
+    closed = graph.closure(graphs.tree_edges(spark, d))
+    asked = {r.h for r in graphs.near_pairs(spark, d, closed, graphs.points(spark, d)).select("h").distinct().collect()}
+    assert asked == {r.desc for r in closed.select("desc").distinct().collect()}
