@@ -83,12 +83,13 @@ def without_copies(rows: list[np.ndarray], pairs: int = 3) -> list[np.ndarray]:
     """
     if not rows:
         return rows
-    _, place, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    rare = np.split(seen[place] <= max(30, 0.002 * len(rows)), np.cumsum([len(r) for r in rows])[:-1])
+    names, seen = np.unique(np.concatenate(rows), return_counts=True)
+    # looked up text by text: places of all features at once are several times the features
+    few_seen = seen <= max(30, 0.002 * len(rows))
     known: list[set[tuple[int, ...]]] = [set() for _ in range(pairs)]
     out = []
-    for r, few in zip(rows, rare, strict=True):
-        own = r[few].astype(np.uint64)
+    for r in rows:
+        own = r[few_seen[np.searchsorted(names, r)]].astype(np.uint64)
         again = False
         for i in range(pairs if len(own) else 0):
             low = []
@@ -116,17 +117,20 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     positive, unlabelled = without_copies(positive), without_copies(unlabelled)
     rows = positive + unlabelled
     n, n_pos = len(rows), len(positive)
-    names, flat, seen = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    in_pos = np.bincount(flat[: sum(map(len, positive))], minlength=len(names))
+    names, seen = np.unique(np.concatenate(rows), return_counts=True)
+    in_pos = np.zeros(len(names), dtype=np.int64)
+    own, times = np.unique(np.concatenate(positive), return_counts=True)
+    in_pos[np.searchsorted(names, own)] = times
     share = seen / n
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_pos + 1 / (n - n_pos)))
     z = (in_pos / n_pos - (seen - in_pos) / (n - n_pos)) / error
     used = np.flatnonzero((seen >= max(min_docs, min_share * n)) & (np.abs(z) >= min_z))
-    new = np.full(len(names), -1)
+    new = np.full(len(names), -1, dtype=np.int32)
     new[used] = np.arange(len(used))
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    cols = new[flat]
-    owner, cols = owner[cols >= 0], cols[cols >= 0]
+    # features that carry weight, text by text: places of all features at once are several times the features
+    placed = [new[np.searchsorted(names, r)] for r in rows]
+    placed = [x[x >= 0] for x in placed]
+    owner, cols = np.repeat(np.arange(n), [len(x) for x in placed]), np.concatenate(placed)
     is_pos = np.arange(n) < n_pos
     w, b = np.zeros(len(used)), math.log(prior / (1 - prior)) if prior < 1 else 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
