@@ -35,7 +35,7 @@ def lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of five-word shingles) stays: that of the smallest id."""
+    """One document of each group of near copies (0.8 of five-word shingles) stays: that of the smallest id. SimHash's index and min-hash bands find them."""
     return near_copies.keep_one(docs).select(COLUMNS)
 
 

@@ -1,7 +1,9 @@
-"""Near copies of whole texts: pairs whose five-word shingles are 0.8 or more alike, found by bands of min-hashes and verified.
+"""Near copies of whole texts: pairs whose five-word shingles are 0.8 or more alike, every one verified on the shingles.
 
-SimHash cannot take this similarity in: fingerprints of pairs at 0.8 differ in 9 bits at the median and in up to 17,
-and 18 disjoint masks over 64 bits are 3 or 4 bits wide, under which every document meets a good part of all others.
+SimHash fingerprints of five-word shingles and their Gray-order index (``simhash``) give the pairs within 4 bits. Alone they
+cannot take this similarity in: fingerprints of pairs at 0.8 differ in 9 bits at the median and in up to 17, and 18 disjoint
+masks over 64 bits are 3 or 4 bits wide, under which every document meets a good part of all others. So bands of min-hashes
+give the pairs that the fingerprints leave unconnected.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm.common import column_of, drop_written, map_rows, numbered, texts, unpacked, written
+from stratagraph.llm import simhash
 from stratagraph.llm.components import components
 from stratagraph.llm.substring_dedup import opened, shingles, split, squeezed
 
@@ -51,23 +54,24 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signed(keyed: DataFrame, k: int) -> DataFrame:
-    """``row, whole, bands, sig``: a hash of the words, the bands' keys, and 32 bits of each function."""
+    """``row, whole, fp, bands, sig``: a hash of the words, the SimHash fingerprint, the bands' keys, and 32 bits of each function."""
 
     def make():
         def step(batch):
-            whole, bands, sigs = [], [], []
+            whole, fps, bands, sigs = [], [], [], []
             for t in texts(batch):
                 words = split(t)
                 h = shingle_set(words, k)
                 whole.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
+                fps.append(simhash.simhash(t, k))
                 s = signature(h) if len(h) else np.zeros(0, dtype=np.uint64)
                 bands.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(s.reshape(-1, ROWS))])
                 sigs.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
-            return {"row": batch.column(0), "whole": whole, "bands": bands, "sig": sigs}
+            return {"row": batch.column(0), "whole": whole, "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), "bands": bands, "sig": sigs}
 
         return step
 
-    return map_rows(keyed, make, "row long, whole string, bands array<long>, sig binary")
+    return map_rows(keyed, make, "row long, whole string, fp long, bands array<long>, sig binary")
 
 
 def verified(pairs: DataFrame, packed: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -105,17 +109,29 @@ def _compared(table: pa.Table) -> pa.Table:
     return pa.table({"a": flat(a), "b": flat(b)})
 
 
+def fingerprint_pairs(first: DataFrame) -> DataFrame:
+    """``a, b``: pairs of rows (``row, fp``) that connect all whose fingerprints are equal or within the index's distance."""
+    least = first.groupBy("fp").agg(F.min("row").alias("least"))
+    same = first.join(least, "fp").where("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    near = simhash.links(least.select("fp"))
+    for side in ("a", "b"):
+        near = near.join(least.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_row")), side)
+    return same.unionByName(near.select(F.greatest("a_row", "b_row").alias("a"), F.least("a_row", "b_row").alias("b"))).distinct()
+
+
 def links(first: DataFrame, packed: DataFrame, k: int, similarity: float) -> DataFrame:
-    """``a, b``: links that connect all rows (``row, bands, sig``) whose texts are alike and share a band.
+    """``a, b``: links that connect all rows (``row, fp, bands, sig``) whose texts are alike and share a band or an index's pair.
 
-    Rows are compared with the first of their band; in bands that this leaves in several components, all
+    Pairs that the fingerprints' index gives come first, each verified. Then rows are compared with the first of their band; in bands that this leaves in several components, all
     rows that are not connected yet are compared with each other, in pairs of chunks.
     """
+    indexed = written(fingerprint_pairs(first), "indexed")
+    by_index = verified(indexed, packed, k, similarity)
     posted = first.select("row", F.posexplode("bands").alias("n", "key"))
     groups = posted.groupBy("n", "key").agg(F.min("row").alias("b"), F.count("*").alias("size")).where("size > 1")
     met = written(posted.join(groups, ["n", "key"]), "bands")
     star = written(met.where("row <> b").select(F.col("row").alias("a"), "b").distinct(), "star")
-    near = verified(star, packed, k, similarity)
+    near = written(by_index.unionByName(verified(written(star.join(indexed, ["a", "b"], "left_anti"), "starred"), packed, k, similarity)), "near")
     roots = components(near)
     placed = met.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     split_up = placed.groupBy("n", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("n", "key")
@@ -124,7 +140,7 @@ def links(first: DataFrame, packed: DataFrame, k: int, similarity: float) -> Dat
     chunks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
     dealt = dealt.withColumn("g", F.explode(chunks)).select("n", "key", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "c", "row", "root", "sig")
     rest = dealt.groupBy("n", "key", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
-    more = verified(written(rest.join(star, ["a", "b"], "left_anti"), "rest"), packed, k, similarity)
+    more = verified(written(rest.join(star.unionByName(indexed).distinct(), ["a", "b"], "left_anti"), "rest"), packed, k, similarity)
     drop_written(met)
     return near.unionByName(more)
 
@@ -138,7 +154,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     keyed = table.select("row", F.coalesce(F.col(column_of(docs, text_col)), F.lit("")).alias("text"))
     found = written(signed(keyed, k), "signatures")
     copies = written(found.groupBy("whole").agg(F.min("row").alias("row")), "copies")
-    joined = components(links(found.select("row", "bands", "sig").join(copies.select("row"), "row", "left_semi"), squeezed(keyed), k, similarity))
+    joined = components(links(found.select("row", "fp", "bands", "sig").join(copies.select("row"), "row", "left_semi"), squeezed(keyed), k, similarity))
     # a component's root is its least row
     stays = copies.select("row").join(joined.where("node <> root").select(F.col("node").alias("row")), "row", "left_anti")
     return table.join(stays, "row", "left_semi").select(*unpacked(table, docs))

@@ -3,8 +3,9 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
-from stratagraph.llm import near_copies as nc
+from stratagraph.llm import near_copies as nc, simhash
 from stratagraph.llm.substring_dedup import split
 
 
@@ -37,3 +38,16 @@ def test_near_copies_equal_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {x.doc_id for x in corpus_pipeline.near_copies_out(spark, docs, "").collect()}
     assert got == {find(i) for i in range(len(texts))}
+
+
+def test_stage_takes_pairs_of_the_fingerprints_index(spark, monkeypatch):
+    """The stage's links come from SimHash's index too: without any band, texts within its distance still meet, each pair verified."""
+    r = random.Random(3)
+    base = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    near = [*base[:-1], "other"]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(reversed(base)))]
+    distances = bin(simhash.simhash(rows[0][1], 5) ^ simhash.simhash(rows[1][1], 5)).count("1")
+    assert distances <= simhash.DISTANCE
+    monkeypatch.setattr(nc, "signed", lambda keyed, k, f=nc.signed: f(keyed, k).withColumn("bands", F.expr("cast(array() as array<long>)")))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {x.doc_id for x in corpus_pipeline.near_copies_out(spark, docs, "").collect()} == {1, 3}
