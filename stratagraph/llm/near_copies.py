@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratagraph.llm.common import column_of, drop_written, map_rows, numbered, texts, unpacked, written
+from stratagraph.llm.common import column_of, drop_written, map_groups, map_rows, numbered, texts, unpacked, written
 from stratagraph.llm import simhash
 from stratagraph.llm.components import components
 from stratagraph.llm.substring_dedup import opened, shingles, split, squeezed
@@ -24,6 +24,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 3
 #: Rows of a band's group that one task compares; larger groups are dealt out in pairs of chunks.
 CHUNK = 2048
+#: Sets compared with one at a time.
+SETS = 256
 #: Functions that must agree, in share, for two texts of a group to be compared (4.8 standard deviations below 0.8).
 AGREE = 0.5
 
@@ -54,7 +56,7 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def signed(keyed: DataFrame, k: int) -> DataFrame:
-    """``row, whole, fp, bands, sig``: a hash of the words, the SimHash fingerprint, the bands' keys, and 32 bits of each function."""
+    """``row, whole, fp, bands, sig``: a hash of the words, the SimHash fingerprint, 32 bits of each function, and the keys of bands of these."""
 
     def make():
         def step(batch):
@@ -65,8 +67,9 @@ def signed(keyed: DataFrame, k: int) -> DataFrame:
                 whole.append(xxhash.xxh3_128_hexdigest(b" ".join(words)))
                 fps.append(simhash.simhash(t, k))
                 s = signature(h) if len(h) else np.zeros(0, dtype=np.uint64)
-                bands.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(s.reshape(-1, ROWS))])
-                sigs.append((s >> np.uint64(32)).astype(np.uint32).tobytes())
+                few = (s >> np.uint64(32)).astype(np.uint32)
+                bands.append([xxhash.xxh64_intdigest(b.tobytes(), i) - (1 << 63) for i, b in enumerate(few.reshape(-1, ROWS))])
+                sigs.append(few.tobytes())
             return {"row": batch.column(0), "whole": whole, "fp": pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), "bands": bands, "sig": sigs}
 
         return step
@@ -93,20 +96,49 @@ def verified(pairs: DataFrame, packed: DataFrame, k: int, similarity: float) ->
     return written(map_rows(both, make, "a long, b long, ok boolean").where("ok").select("a", "b"), "alike")
 
 
-def _compared(table: pa.Table) -> pa.Table:
-    """Pairs of a chunk, or of two, that are not connected yet and agree in enough functions."""
-    row, root, c = (table.column(n).to_numpy() for n in ("row", "root", "c"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), dtype=np.uint32).reshape(len(row), -1)
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    left, right = np.flatnonzero(c == i), np.flatnonzero(c == j)
-    a, b = [], []
-    for x in left:
-        other = right[right > x] if i == j else right
-        near = other[(root[other] != root[x]) & ((sig[other] == sig[x]).sum(axis=1) >= AGREE * sig.shape[1])]
-        a.append(np.maximum(row[near], row[x]))
-        b.append(np.minimum(row[near], row[x]))
-    flat = lambda v: np.concatenate(v) if v else np.zeros(0, dtype=np.int64)
-    return pa.table({"a": flat(a), "b": flat(b)})
+def _alike(one: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets are alike to ``one``; all are in order, and none is empty."""
+    ends = np.cumsum([len(x) for x in sets])
+    flat = np.concatenate(sets)
+    hit = one[np.minimum(np.searchsorted(one, flat), len(one) - 1)] == flat
+    both = np.diff(np.concatenate([[0], np.cumsum(hit)])[ends], prepend=0)
+    return both >= similarity * (len(one) + np.diff(ends, prepend=0) - both)
+
+
+def compared(batch: pa.RecordBatch, k: int, similarity: float) -> list[tuple]:
+    """(a, b) of alike rows that connect what is not connected yet, in a chunk of a band's group or between two: a forest.
+
+    A pair that agrees in enough functions is verified here, so a group sends on fewer links than it has rows, however many of
+    its pairs are near. Several bands may hold a pair: it is verified in the first of them. The group's least row has been
+    compared with all.
+    """
+    i, j, row, c = (batch.column(n).to_numpy() for n in ("i", "j", "row", "c"))
+    n, least = batch.column("n")[0].as_py(), batch.column("b")[0].as_py()
+    _, root = np.unique(batch.column("root").to_numpy(), return_inverse=True)
+    sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(len(row), -1)
+    packed, known, out = batch.column("packed"), {}, []
+
+    def shingled(x: int) -> np.ndarray:
+        if x not in known:
+            known[x] = shingle_set(opened(packed[x].as_py()), k)
+        return known[x]
+
+    left, right = np.flatnonzero((c == i[0]) & (row != least)), np.flatnonzero((c == j[0]) & (row != least))
+    for x in left.tolist():
+        other = right[right > x] if i[0] == j[0] else right
+        other = other[root[other] != root[x]]
+        same = sig[other] == sig[x]
+        other = other[(same.sum(axis=1) >= AGREE * sig.shape[1]) & ~same[:, : n * ROWS].reshape(len(other), n, ROWS).all(axis=2).any(axis=1)]
+        for at in range(0, len(other), SETS):
+            near = other[at : at + SETS]
+            near = near[root[near] != root[x]]
+            if not len(near):
+                continue
+            for y in near[_alike(shingled(x), [shingled(y) for y in near.tolist()], similarity)].tolist():
+                if root[y] != root[x]:
+                    out.append((int(max(row[x], row[y])), int(min(row[x], row[y]))))
+                    root[root == root[y]] = root[x]
+    return out
 
 
 def fingerprint_pairs(first: DataFrame) -> DataFrame:
@@ -123,7 +155,7 @@ def links(first: DataFrame, packed: DataFrame, k: int, similarity: float) -> Dat
     """``a, b``: links that connect all rows (``row, fp, bands, sig``) whose texts are alike and share a band or an index's pair.
 
     Pairs that the fingerprints' index gives come first, each verified. Then rows are compared with the first of their band; in bands that this leaves in several components, all
-    rows that are not connected yet are compared with each other, in pairs of chunks.
+    rows that are not connected yet are compared with each other, in pairs of chunks, each of which verifies its pairs and gives a forest.
     """
     indexed = written(fingerprint_pairs(first), "indexed")
     by_index = verified(indexed, packed, k, similarity)
@@ -135,12 +167,11 @@ def links(first: DataFrame, packed: DataFrame, k: int, similarity: float) -> Dat
     roots = components(near)
     placed = met.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     split_up = placed.groupBy("n", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("n", "key")
-    dealt = placed.join(split_up, ["n", "key"]).join(first.select("row", "sig"), "row").withColumn("m", F.ceil(F.col("size") / CHUNK).cast("int"))
+    dealt = placed.join(split_up, ["n", "key"]).join(first.select("row", "sig"), "row").join(packed, "row").withColumn("m", F.ceil(F.col("size") / CHUNK).cast("int"))
     dealt = dealt.withColumn("c", F.pmod(F.xxhash64("row"), F.col("m")).cast("int"))
     chunks = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda o: F.struct(F.least("c", o).alias("i"), F.greatest("c", o).alias("j")))
-    dealt = dealt.withColumn("g", F.explode(chunks)).select("n", "key", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "c", "row", "root", "sig")
-    rest = dealt.groupBy("n", "key", "i", "j").applyInArrow(_compared, "a long, b long").distinct()
-    more = verified(written(rest.join(star.unionByName(indexed).distinct(), ["a", "b"], "left_anti"), "rest"), packed, k, similarity)
+    dealt = dealt.withColumn("g", F.explode(chunks)).select("n", "key", F.col("g.i").alias("i"), F.col("g.j").alias("j"), "c", "row", "b", "root", "sig", "packed")
+    more = written(map_groups(dealt, ["n", "key", "i", "j"], ["row"], lambda g: compared(g, k, similarity), "a long, b long").distinct(), "more")
     drop_written(met)
     return near.unionByName(more)
 
