@@ -276,24 +276,38 @@ class Places:
         self.n = len(b)
         self.at = np.sort(number * (self.n + 1) + np.arange(self.n))
 
-    def distance(self, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """Distance from ``wanted`` to the nearest place of each value, over n if it has none."""
+    def starts(self, values: np.ndarray) -> np.ndarray:
+        """Where the places of each value begin among all; -1 if it has none."""
         number = np.minimum(np.searchsorted(self.names, values), len(self.names) - 1)
-        start = number * (self.n + 1)
-        after = np.searchsorted(self.at, start + np.clip(wanted, 0, self.n - 1))
-        best = np.full(len(values), 4 * self.n + 4)
+        return np.where(self.names[number] == values, number * (self.n + 1), -1)
+
+    def distance(self, starts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """Distance from ``wanted`` to the nearest place of each value (by ``starts``), over n if it has none."""
+        after = np.searchsorted(self.at, starts + np.minimum(np.maximum(wanted, 0), self.n - 1))
+        far = 4 * self.n + 4
+        best = np.full(len(starts), far)
         for i in (after - 1, after):
-            got = self.at[np.clip(i, 0, self.n - 1)] - start
-            own = (got >= 0) & (got < self.n)
-            best = np.where(own, np.minimum(best, np.abs(got - wanted)), best)
-        return np.where(self.names[number] == values, best, 4 * self.n + 4)
+            got = self.at[np.minimum(np.maximum(i, 0), self.n - 1)] - starts
+            best = np.where((got >= 0) & (got < self.n), np.minimum(best, np.abs(got - wanted)), best)
+        return np.where(starts >= 0, best, far)
+
+
+class Sides:
+    """Two sequences' places, and where those of each shingle begin in the other one."""
 
+    def __init__(self, a: np.ndarray, target: Target):
+        self.in_b, self.in_a = target.places(), Places(a)
+        self.to_b, self.to_a = self.in_b.starts(a), self.in_a.starts(target.b)
 
-def aligned(a: np.ndarray, b: np.ndarray, in_b: Places, in_a: Places, i: int, j: int, c: int, x: int, y: int, d: int, penalty: int, drop: int) -> tuple[int, int, int, int]:
-    """The stretches around c and d, inside i to j and x to y, grown by matches near the diagonal of c and d alone."""
+
+def aligned(to_b: np.ndarray, to_a: np.ndarray, in_b: Places, in_a: Places, i: int, j: int, c: int, x: int, y: int, d: int, penalty: int, drop: int) -> tuple[int, int, int, int]:
+    """The stretches around c and d, inside i to j and x to y, grown by matches near the diagonal of c and d alone.
+
+    ``to_b`` and ``to_a`` tell for each shingle of one text where its places in the other begin (``Places.starts``).
+    """
     s, t = np.arange(i, j + 1), np.arange(x, y + 1)
-    here = in_b.distance(a[i : j + 1], s - c + d) <= BAND + np.abs(s - c) // 4
-    there = in_a.distance(b[x : y + 1], t - d + c) <= BAND + np.abs(t - d) // 4
+    here = in_b.distance(to_b[i : j + 1], s - c + d) <= BAND + np.abs(s - c) // 4
+    there = in_a.distance(to_a[x : y + 1], t - d + c) <= BAND + np.abs(t - d) // 4
     (p, q), (u, v) = grow(here, c - i, penalty, drop), grow(there, d - x, penalty, drop)
     return i + p, i + q, x + u, x + v
 
@@ -301,20 +315,36 @@ def aligned(a: np.ndarray, b: np.ndarray, in_b: Places, in_a: Places, i: int, j:
 def longest(hit: np.ndarray, c: int, share: float) -> tuple[int, int]:
     """First and last place of the longest stretch that holds c and has ``share`` of matches."""
     over = np.concatenate([[0.0], np.cumsum(hit - share)]) + 1e-9 * np.arange(len(hit) + 1)
-    length = np.arange(c + 1, len(hit) + 1)[None, :] - np.arange(c + 1)[:, None]
-    i, j = np.unravel_index(np.where(over[None, c + 1 :] >= over[: c + 1, None], length, 0).argmax(), length.shape)
-    return int(i), int(c + j)
+    # the last end whose sum is as high as a start's: sums over all later ends fall from end to end
+    highest = np.maximum.accumulate(over[:c:-1])
+    length = len(hit) - np.searchsorted(highest, over[: c + 1]) - np.arange(c + 1)
+    i = int(np.where(length + np.arange(c + 1) > c, length, 0).argmax())
+    return i, max(c, i + int(length[i]) - 1)
 
 
-def nearby(a: np.ndarray, b: np.ndarray, in_b: Places, in_a: Places, c: int, d: int, width: int, similarity: float) -> tuple[int, int, int, int]:
-    """The longest stretches around c and d that share what alike ones of one length do, within two widths of them."""
+def around(c: int, n: int, width: int) -> tuple[int, int]:
+    """Two widths to each side of c."""
+    return max(0, c - 2 * width), min(n, c + 2 * width)
+
+
+def roomy(hit: np.ndarray, c: int, width: int, similarity: float) -> bool:
+    """Whether a stretch of ``width`` near c, and with c, has as many matches anywhere as an alike one needs near its diagonal."""
+    i, j = around(c, len(hit), width)
+    p, q = longest(hit[i:j], c - i, 2 * similarity / (1 + similarity))
+    return q - p + 1 >= width
+
+
+def nearby(to_b: np.ndarray, to_a: np.ndarray, in_b: Places, in_a: Places, c: int, d: int, width: int, similarity: float) -> tuple[int, int, int, int] | None:
+    """The longest stretches around c and d that share what alike ones of one length do, within two widths of them; None if one is under ``width``."""
     share = 2 * similarity / (1 + similarity)
-    i, x = max(0, c - 2 * width), max(0, d - 2 * width)
-    s, t = np.arange(i, min(len(a), c + 2 * width)), np.arange(x, min(len(b), d + 2 * width))
-    here = in_b.distance(a[s], s - c + d) <= BAND + np.abs(s - c) // 4
-    there = in_a.distance(b[t], t - d + c) <= BAND + np.abs(t - d) // 4
-    (p, q), (u, v) = longest(here, c - i, share), longest(there, d - x, share)
-    return i + p, i + q, x + u, x + v
+    (i, j), (x, y) = around(c, len(to_b), width), around(d, len(to_a), width)
+    s = np.arange(i, j)
+    p, q = longest(in_b.distance(to_b[i:j], s - c + d) <= BAND + np.abs(s - c) // 4, c - i, share)
+    if q - p + 1 < width:
+        return None
+    t = np.arange(x, y)
+    u, v = longest(in_a.distance(to_a[x:y], t - d + c) <= BAND + np.abs(t - d) // 4, d - x, share)
+    return (i + p, i + q, x + u, x + v) if v - u + 1 >= width else None
 
 
 def _equal(a: np.ndarray, target: Target) -> list[tuple[int, int, int, int]]:
@@ -373,9 +403,9 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
             continue
         if in_a is None:
             in_a = np.isin(b, a)
+        room = None
         for d in order[s:e].tolist():
             x, y = stretch(right, in_a, d)
-            own = own or Places(a)
             found = None
             if j - i + 1 >= width and y - x + 1 >= width:
                 if (i, x, y) not in tried:
@@ -385,8 +415,9 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
                         break
                 if any(p <= c <= q and u <= d <= v and abs(d - c - o) <= BAND for p, q, u, v, o in narrow):
                     continue
+                own = own or Sides(a, target)
                 for penalty, drop in ((PENALTY, DROP), STRICT):
-                    p, q, u, v = aligned(a, b, target.places(), own, i, j, c, x, y, d, penalty, drop)
+                    p, q, u, v = aligned(own.to_b, own.to_a, own.in_b, own.in_a, i, j, c, x, y, d, penalty, drop)
                     narrow.append((p, q, u, v, d - c))
                     if q - p + 1 >= width and v - u + 1 >= width and alike(p, q, u, v):
                         found = (p, q, u, v)
@@ -394,9 +425,13 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
             # the best scores may end before a difference that a passage can hold
             if not found and ((d - c) // BAND, c // BAND) not in near:
                 near.add(((d - c) // BAND, c // BAND))
-                p, q, u, v = nearby(a, b, target.places(), own, c, d, width, similarity)
-                if q - p + 1 >= width and v - u + 1 >= width and alike(p, q, u, v):
-                    found = (p, q, u, v)
+                if room is None:
+                    room = roomy(in_b, c, width, similarity)
+                if room and roomy(in_a, d, width, similarity):
+                    own = own or Sides(a, target)
+                    got = nearby(own.to_b, own.to_a, own.in_b, own.in_a, c, d, width, similarity)
+                    if got and alike(*got):
+                        found = got
             if found:
                 out.append(found)
                 break
@@ -500,9 +535,14 @@ def dense_in(place: np.ndarray, number: np.ndarray, n: int, length: int, distinc
 
 def equal_stretches(around: list[np.ndarray], row: np.ndarray, asked: np.ndarray, width: int) -> set[tuple[int, int]]:
     """(place, earliest place) of places that have a stretch of ``width`` shingles of an earlier row, where either is asked for; places ascend by row."""
-    names = [_stretches(x, width) for x in around]
-    owner = np.repeat(np.arange(len(row)), [len(n) for n in names])
-    _, first, number = np.unique(np.concatenate(names), return_index=True, return_inverse=True)
+    size = np.array([len(x) for x in around])
+    flat = np.concatenate(around)
+    if len(flat) < width:
+        return set()
+    owner = np.repeat(np.arange(len(row)), size)
+    names, inside = _stretches(flat, width), owner[: len(flat) - width + 1] == owner[width - 1 :]
+    owner = owner[: len(names)][inside]
+    _, first, number = np.unique(names[inside], return_index=True, return_inverse=True)
     of = owner[first[number]]
     later = np.flatnonzero((row[of] != row[owner]) & (asked[owner] | asked[of]))
     return set(zip(owner[later].tolist(), of[later].tolist(), strict=True))

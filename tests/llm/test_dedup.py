@@ -259,3 +259,23 @@ def test_results_do_not_depend_on_how_files_are_split(spark, tmp_path):
         seen.append([sorted((x.doc_id, x.text) for x in f(docs).collect()) for f in (line_dedup.remove_lines, sd.remove_passages)])
     spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert seen[0] == seen[1] and seen[0][0] != sorted(texts)
+
+
+def test_places_without_room_are_not_tried_on_diagonals(monkeypatch):
+    """A shingle that repeats in the other text is tried on the diagonal of every place, but only where enough matches stand around it."""
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        hit = r.random(int(r.integers(1, 150))) < r.choice([0.3, 0.8, 0.9])
+        c = int(r.integers(len(hit)))
+        hit[c] = True
+        over = [0.0, *(np.cumsum(hit - 0.8) + 1e-9 * np.arange(1, len(hit) + 1))]
+        want = max((j - i, -i) for i in range(c + 1) for j in range(c + 1, len(hit) + 1) if over[j] >= over[i])
+        assert sd.longest(hit, c, 0.8) == (-want[1], want[0] - want[1] - 1)
+    tried = []
+    monkeypatch.setattr(sd, "nearby", lambda *a, f=sd.nearby: tried.append(1) or f(*a))
+    a, b = r.integers(1, 1 << 60, 300).astype(np.uint64), r.integers(1, 1 << 60, 4000).astype(np.uint64)
+    b[::20] = a[150]
+    assert sd.passages(a, sd.Target(b, 46), [150]) == [] and not tried
+    b[1000:1046] = a[130:176]
+    b[1002] = b[1012] = b[1032] = b[1043] = 0
+    assert sd.passages(a, sd.Target(b, 46), [150]) and tried
