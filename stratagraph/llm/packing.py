@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from array import array
@@ -18,9 +19,11 @@ from stratagraph.llm.common import map_rows, texts, written
 
 LENGTH, END = 4096, 2
 DIMS, BITS = 4, 12
-#: Runs remembered by a Python worker, about 220 bytes each: workers outlive their tasks and share an executor's memory with its heap.
-CACHE = 600_000
+#: Runs of one generation, about 220 bytes each; a Python worker remembers two: workers outlive their tasks and share an executor's memory with its heap.
+CACHE = 400_000
 STOPS = (".", ",")
+#: Signs that begin no contraction and no special token.
+LETTERS = re.compile(r"([A-Za-z]+)([#*$%&.,;:!?]*)")
 
 
 def projection(vocabulary: int, dims: int = DIMS) -> np.ndarray:
@@ -79,27 +82,48 @@ class WordTokens:
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @staticmethod
+    def parts(run: str) -> tuple[str, ...]:
+        """Shorter or lower-case runs whose ids make up those of ``run``; none if it is best left whole.
+
+        ASCII letters are lower-cased by the tokenizer, and signs after them are a token run of their own, as is a full stop or
+        comma after any letter.
+        """
+        if found := LETTERS.fullmatch(run):
+            word, signs = found[1].lower(), found[2]
+            return (word, signs) if signs else () if word == run else (word,)
+        return (run[:-1], run[-1]) if run[-1:] in STOPS and ends_in_letter(run[:-1]) else ()
+
+    def unknown(self, runs: set[str]) -> list[str]:
+        """Those that neither generation has; what the older one has is taken over."""
+        new = [c for c in runs if c not in self.known]
+        if not self.older:
+            return new
+        self.known.update((c, self.older[c]) for c in new if c in self.older)
+        return [c for c in new if c not in self.known]
 
     def encode(self, batch: list[str], most: int = 1 << 20) -> list[np.ndarray]:
         """Ids of each text; new runs of several texts (of ``most`` characters, or one text) go to the tokenizer together."""
         known, kind, out, at = self.known, self.code, [], 0
         while at < len(batch):
-            if len(known) >= CACHE:
-                known.clear()
+            if len(known) >= CACHE:  # runs that come again move to the next generation, so that frequent ones are not encoded anew
+                self.older, self.known = known, {}
+                known = self.known
             group, size = [], 0
             while at < len(batch) and (not group or size + len(batch[at]) <= most):
                 group.append(batch[at].replace("\n", " ").split(" "))
                 size += len(batch[at])
                 at += 1
-            new = [c for c in set().union(*group) if c not in known]
-            # a full stop or comma after a letter is a token of its own: such runs share their words
-            ended = [c for c in new if c[-1:] in STOPS and ends_in_letter(c[:-1])]
-            words = {c[:-1] for c in ended}.union(c[-1] for c in ended).union(new).difference(ended)
-            words = [c for c in words if c not in known]
+            new = self.unknown(set().union(*group))
+            # what normalising and splitting make the same shares its words
+            parts = {c: p for c in new if (p := self.parts(c))}
+            words = self.unknown(set(new).difference(parts).union(*parts.values()))
             for c, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
                 known[c] = array(kind, e.ids).tobytes()
-            for c in ended:
-                known[c] = known[c[:-1]] + known[c[-1]]
+            for c, p in parts.items():
+                known[c] = b"".join([known[x] for x in p])
             get = known.__getitem__
             out += [np.frombuffer(b"".join(map(get, chunks)), dtype=self.dtype) for chunks in group]
         return out

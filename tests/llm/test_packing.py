@@ -57,3 +57,29 @@ def test_marks_that_normalising_makes_join_what_follows():
     want = library.encode_batch_fast(runs, add_special_tokens=False)
     for t, ids, e in zip(runs, packing.WordTokens(PATH).encode(runs), want, strict=True):
         assert ids.tolist() == e.ids, ascii(t)
+
+
+def test_runs_of_one_word_are_encoded_once():
+    """Runs that differ by capitals or signs after the word cost one run of the tokenizer, and get its ids."""
+    runs = [w + s for w in ("word", "Word", "WORD", "s", "S", "It") for s in ("", ".", ",", "$$$", "%%.", "#*&", "!?", ":;")]
+    runs += ["<|endoftext|>", "<|ENDOFTEXT|>", "<|endoftext|>.", "word|", "word<", "it's", "It's.", "IT'S", "a'", "a''s", "9.", "a9$", "\u212a.", "x\u0301$", "caf\u00e9$", "A$a", "$A"]
+    library = Tokenizer.from_file(PATH)
+    mine = packing.WordTokens(PATH)
+    for t, ids in zip(runs, mine.encode(runs), strict=True):
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
+    sent, inner = [], packing.WordTokens(PATH)
+    tokenizer = inner.tokenizer
+    inner.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, words, **k: sent.extend(words) or tokenizer.encode_batch_fast(words, **k)})()
+    inner.encode(["word Word WORD word. Word$$$ WORD,"])
+    assert sorted(sent) == ["$$$", ",", ".", "word"]
+
+
+def test_frequent_runs_outlast_the_cache(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE", 50)
+    sent, words = [], packing.WordTokens(PATH)
+    tokenizer = words.tokenizer
+    words.tokenizer = type("Counted", (), {"encode_batch_fast": lambda self, runs, **k: sent.extend(runs) or tokenizer.encode_batch_fast(runs, **k)})()
+    texts = ["the of " + " ".join(f"x{chr(97 + i)}{chr(97 + j)}" for j in range(26)) for i in range(20)]
+    for t in texts:
+        assert words.encode([t])[0].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    assert sent.count("the") == 1 and len(words.known) + len(words.older) < 160
