@@ -39,6 +39,20 @@ def test_best_and_counts(spark, how):
         assert (r.better, r.n) == ((s[r.a] > -1).sum(), len(c)) and r.hinge == pytest.approx(np.maximum(0, 2 + s[r.a]).sum())
 
 
+@pytest.mark.parametrize("how", ["dot", "l1", "l2"])
+def test_every_pair(spark, how):
+    """One row for each pair, over several blocks; a pair without a vector has no score; empty sides give no rows."""
+    q, c = R.normal(size=(37, 3)), R.normal(size=(blocks.CANDIDATES + 300, 3))
+    s = np.round(pairwise(q, c, how), 6)
+    queries, candidates = frame(spark, q, "q", "a"), frame(spark, c, "c").repartition(3)
+    x = blocks.every(queries, ["a"], candidates, how).toPandas()
+    assert len(x) == s.size and not x.duplicated(["a", "id"]).any()
+    assert np.allclose(x.score, s[x.a, x.id], rtol=0, atol=1e-12)
+    less = blocks.every(queries.withColumn("q", F.when(F.col("a") > 2, F.col("q"))), ["a"], candidates.where("id < 9").withColumn("c", F.when(F.col("id") > 0, F.col("c"))), how)
+    assert less.count() == 37 * 9 and less.where("score IS NOT NULL").count() == 34 * 8 and less.distinct().count() == 37 * 9
+    assert blocks.every(queries.where("a < 0"), ["a"], candidates, how).count() == 0 == blocks.every(queries, ["a"], candidates.where("id < 0"), how).count()
+
+
 def test_best_without_rows(spark):
     q, c = frame(spark, np.ones((2, 2)), "q", "a"), frame(spark, np.ones((3, 2)), "c")
     assert blocks.best(q.where("a > 5"), ["a"], c, 2).count() == 0
