@@ -9,7 +9,7 @@ import pytest
 from stratagraph.plans import ORACLES, QUERIES
 from tests.test_oracles import DATA, plain
 
-WHOLE = ["score_tcomplex", "score_complex", "score_distmult", "score_transe", "score_rotate", "score_tuckert"]
+WHOLE = ["score_tcomplex", "score_complex", "score_distmult", "score_transe", "score_rotate", "score_tuckert", "score_attr_bonus"]
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
