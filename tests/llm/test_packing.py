@@ -27,6 +27,27 @@ def test_tokens_equal_library():
         assert ids.tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_plain_words_go_to_the_model_alone():
+    """Words of Latin-1 letters do not pass the whole tokenizer; ids are the library's, as they are beside letters and signs that are not plain."""
+    library, words = Tokenizer.from_file(PATH), packing.WordTokens(PATH)
+    plain = ["schauüach", "Auütz", "ciónasdoes###", "Geieä", "STRASSE.", "éleviç,", packing.LOWER, packing.LOWER.upper(), "x" * 3000]
+    odd = ["ÿ÷×ß", "Ünï'ts", "e\u0301te", "ª º µ", "ŒÆæ", "İi", "ſ", "Ø'S", "é<|endoftext|>"]
+    seen = []
+
+    class Spy:
+        def encode_batch_fast(self, new, **options):
+            seen.extend(new)
+            return library.encode_batch_fast(new, **options)
+
+    words.tokenizer = Spy()
+    text = " ".join(plain + odd)
+    assert words.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+    assert seen and not [x for x in seen if packing.PLAIN.fullmatch(x)]
+    words.forms = None
+    words.known.clear()
+    assert words.encode([text])[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_pieces(spark):
     texts = [(1, "hello world " * 900), (2, None), (2, ""), (None, "x"), (5, "the end"), (5, "the end"), (7, "word " * 9000)]
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in texts], "doc_id long, text string, ids string, row long")
