@@ -150,6 +150,7 @@ def shared(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """
     keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("first"), F.max("row").alias("last")).where("first <> last").drop("last")
     keys = written(keys, f"{name}-keys")
+    release(found.sparkSession)  # the counts' shuffle is as large as the join's, which follows
     return join_counted(found, keys, ["key"]), keys
 
 
@@ -218,7 +219,10 @@ def grow(hit: np.ndarray, c: int, penalty: int = PENALTY, drop: int = DROP) -> t
     """The stretch around c with the best score, matches against mismatches, until the score has dropped by ``drop``."""
 
     def reach(h: np.ndarray) -> int:
-        total, at, block = 0, 0, 4096
+        few = drop // penalty + 1
+        if len(h) >= few and not h[:few].any():
+            return 0
+        total, at, block = 0, 0, 256
         best, place = 0, -1
         while at < len(h):
             s = total + np.cumsum(np.where(h[at : at + block], 1, -penalty))
@@ -231,7 +235,7 @@ def grow(hit: np.ndarray, c: int, penalty: int = PENALTY, drop: int = DROP) -> t
                     best, place = int(s[k]), at + k
             if stop < len(s):
                 break
-            total, at = int(s[-1]), at + block
+            total, at, block = int(s[-1]), at + block, 4096
         return place + 1
 
     return c - reach(hit[:c][::-1]), c + reach(hit[c + 1 :])
@@ -259,9 +263,18 @@ class Target:
         self.b, self.width = b, width
         self.order = np.argsort(b, kind="stable")
         self.sorted = b[self.order]
+        self.number = np.cumsum(np.concatenate([[False], self.sorted[1:] != self.sorted[:-1]])) if len(b) else self.order
         self._places = None
         self.names, self.where = np.unique(_stretches(b, width), return_index=True) if len(b) >= width else (b[:0], np.zeros(0, dtype=np.int64))
 
+    def of(self, at: np.ndarray) -> np.ndarray:
+        """Where the values at these places of ``sorted`` stand."""
+        hit = np.zeros(len(self.b), dtype=bool)
+        hit[self.number[at]] = True
+        out = np.empty(len(self.b), dtype=bool)
+        out[self.order] = hit[self.number]
+        return out
+
     def places(self) -> Places:
         if self._places is None:
             self._places = Places(self.b)
@@ -361,18 +374,18 @@ def _equal(a: np.ndarray, target: Target) -> list[tuple[int, int, int, int]]:
     return [(int(p[0]), int(p[-1]) + width - 1, int(target.where[at[p[0]]]), int(target.where[at[p[-1]]]) + width - 1) for p in parts]
 
 
-def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WORDS, k: int = SHINGLE, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
+def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WORDS, k: int = SHINGLE, similarity: float = SIMILARITY, one: bool = False) -> list[tuple[int, int, int, int]]:
     """Verified passages (first and last word in a, in the target) of two shingle sequences.
 
     Equal stretches of ``words`` words are found wherever they are. Around the places in a that
     anchors name, stretches with few differences are compared: ``words`` words on both sides and a
     Jaccard similarity of ``similarity`` or more. Stretches first take in whatever the other text has
     anywhere; if these are too unlike, what is aligned with the anchor is compared. Each pair of
-    stretches is compared once, however often their shingles repeat.
+    stretches is compared once, however often their shingles repeat. ``one``: some are enough.
     """
     width, b = words - k + 1, target.b
     out = _equal(a, target)
-    if len(b) < width or sum(j - i + 1 for i, j, _, _ in out) == len(a):
+    if len(b) < width or (one and out) or sum(j - i + 1 for i, j, _, _ in out) == len(a):
         return [(i, j + k - 1, x, y + k - 1) for i, j, x, y in out]
     at = np.minimum(np.searchsorted(target.sorted, a), len(b) - 1)
     in_b, in_a = target.sorted[at] == a, None
@@ -402,7 +415,7 @@ def passages(a: np.ndarray, target: Target, anchors: list[int], words: int = WOR
         if any(x <= c <= y and x <= i and j <= y for x, y, _, _ in out):
             continue
         if in_a is None:
-            in_a = np.isin(b, a)
+            in_a = target.of(at[in_b])
         room = None
         for d in order[s:e].tolist():
             x, y = stretch(right, in_a, d)
@@ -503,34 +516,100 @@ def shingled(places: DataFrame, packed: DataFrame, k: int, width: int) -> DataFr
     return map_rows(asked.join(packed, "row"), make, "row long, c int, l int, r int, anchor int, around binary")
 
 
-def dense(a: np.ndarray, own: np.ndarray, other: np.ndarray, width: int, shares: tuple[float, ...]) -> list[bool]:
-    """For each share, whether some stretch of ``width`` or more of a has so many of its shingles in the other set; true if shingles of a repeat."""
-    if len(own) < len(a) or not len(other):
-        return [True] * len(shares)
-    at = np.searchsorted(other, a)
-    at[at == len(other)] = 0
-    hit, slack = other[at] == a, 1e-9 * np.arange(len(a) + 1)
+def near_anchor(hit: np.ndarray, last: np.ndarray, shared: np.ndarray, low: np.ndarray, high: np.ndarray, width: int, shares: tuple[float, ...]) -> list[np.ndarray]:
+    """For each share, which rows of ``hit`` have a stretch of ``width`` or more that may hold a place from ``low`` to ``high`` and so many hits, or ``width`` hits in a row anywhere.
+
+    Of shingles that come again, ``last`` has the place before (or -1): those without a hit count once, as far as is sure. No stretch
+    has more distinct hits than ``shared``. Rows may end with places of no hit and no place before; these change nothing where the
+    row itself has ``width`` places.
+    """
+    n, length = hit.shape
+    if length < width:
+        return [np.zeros(n, dtype=bool)] * len(shares)
+    hits, misses = np.zeros((n, length + 1)), np.zeros((n, length + 1))
+    np.cumsum(hit, axis=1, out=hits[:, 1:])
+    np.cumsum((last < 0) & ~hit, axis=1, out=misses[:, 1:])
+    run = (hits[:, width:] - hits[:, :-width] == width).any(axis=1)
+    at = np.arange(length + 1)
+    fewest = np.zeros(n)
+    if (last >= 0).any():
+        # distinct shingles without a hit in stretches of ``width``: each counts for the starts between its place before and this one
+        row, place = np.nonzero(~hit)
+        since = np.broadcast_to(np.maximum(np.maximum(last + 1, at[:-1] - width + 1), 0), hit.shape)[row, place]
+        changes = np.bincount(row * (length + 1) + since, minlength=n * (length + 1)) - np.bincount(row * (length + 1) + place + 1, minlength=n * (length + 1))
+        fewest = np.cumsum(changes.reshape(n, length + 1), axis=1)[:, : length + 1 - width].min(axis=1)
+    late, before = at[: length + 1 - width] > high[:, None], at[width:] <= low[:, None]
     out = []
     for s in shares:
-        over = np.concatenate([[0.0], np.cumsum(hit - s)]) + slack
-        out.append(len(a) >= width and bool((over[width:] >= np.minimum.accumulate(over[: len(a) + 1 - width])).any()))
+        over = (1 - s) * hits - s * misses + 1e-9 * at
+        least = np.minimum.accumulate(np.where(late, np.inf, over[:, : length + 1 - width]), axis=1)
+        out.append(run | ((fewest <= shared * (1 - s) / s + 1e-9) & ((over[:, width:] >= least) & ~before).any(axis=1)))
     return out
 
 
-def dense_in(place: np.ndarray, number: np.ndarray, n: int, length: int, distinct: int, width: int, similarity: float) -> np.ndarray:
-    """The first test of ``dense`` for one stretch against n sets at once: which sets can hold ``similarity`` of some part of it.
-
-    ``number`` tells for each shingle of the stretch which of its distinct ones it is; ``place`` has
-    set * distinct + shingle for all that the sets hold. True for all if shingles repeat.
-    """
-    if distinct < length or length < width:
-        return np.full(n, length >= width)
-    hit = np.zeros(n * distinct, dtype=bool)
-    hit[place] = True
-    over = np.zeros((n, length + 1))
-    np.cumsum(hit.reshape(n, distinct)[:, number] - similarity, axis=1, out=over[:, 1:])
-    over += 1e-9 * np.arange(length + 1)
-    return (over[:, width:] >= np.minimum.accumulate(over[:, : length + 1 - width], axis=1)).any(axis=1)
+class Windows:
+    """Windows' shingles, numbered: what tells of one of them and many others whether they can be alike."""
+
+    def __init__(self, around: list[np.ndarray], anchor: np.ndarray):
+        self.size = np.array([len(x) for x in around])
+        self.start = np.cumsum(self.size) - self.size
+        flat = np.concatenate(around)
+        order = np.sort((flat << np.uint64(32)) | np.arange(len(flat), dtype=np.uint64))
+        value, order = order >> np.uint64(32), (order & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        new = np.concatenate([[True], value[1:] != value[:-1]])
+        self.number, self.last = np.empty(len(flat), dtype=np.int64), np.full(len(flat), -1)
+        self.number[order] = np.cumsum(new) - 1
+        owner = np.repeat(np.arange(len(around)), self.size)
+        same = ~new[1:] & (owner[order[1:]] == owner[order[:-1]])
+        again = order[1:][same]
+        self.last[again] = order[:-1][same] - self.start[owner[again]]
+        #: How often a window has a shingle that it had before.
+        self.repeats = np.bincount(owner[again], minlength=len(around))
+        #: The anchor's shingle, and its first and last place.
+        self.anchor = self.number[self.start + anchor]
+        at = np.flatnonzero(self.number == self.anchor[owner])
+        self.low, self.high = np.empty(len(around), dtype=np.int64), np.empty(len(around), dtype=np.int64)
+        self.low[owner[at[::-1]]] = (at - self.start[owner[at]])[::-1]
+        self.high[owner[at]] = at - self.start[owner[at]]
+        self.place = np.full(int(new.sum()), -1)  # of a shingle in the window at hand
+
+    def places(self, x: int) -> slice:
+        return slice(self.start[x], self.start[x] + self.size[x])
+
+    def alike(self, x: int, others: np.ndarray, numbers: np.ndarray, owner: np.ndarray, width: int, similarity: float) -> np.ndarray:
+        """Which of the others may have a passage in common with x: equal ``width`` anywhere, or alike around both anchors.
+
+        ``numbers`` are the others' shingles, ``owner`` the places of their windows in ``others``. Nothing that ``passages`` finds
+        is left out: alike stretches hold the anchors' shingle, share ``similarity`` of either and more of the shorter.
+        """
+        own, size = self.number[self.places(x)], int(self.size[x])
+        self.place[own] = np.arange(size)
+        shared = np.bincount(owner[self.place[numbers] >= 0], minlength=len(others))
+        # a passage has as many distinct shingles as its width, less what repeats around it; the other shares them but for a fifth
+        near = np.flatnonzero(shared >= similarity * max(1, width - int(self.repeats[x])))
+        near = near[(self.size[others[near]] >= width) & (size >= width)]
+        ys = others[near]
+        if len(ys):
+            shares = (similarity, 2 * similarity / (1 + similarity))
+            inside = np.arange(int(self.size[ys].max())) < self.size[ys][:, None]
+            place, last = np.full(inside.shape, -1), np.full(inside.shape, -1)
+            parts = [self.places(y) for y in ys.tolist()]
+            place[inside] = self.place[np.concatenate([self.number[p] for p in parts])]
+            last[inside] = np.concatenate([self.last[p] for p in parts])
+            there = place >= 0
+            here = np.zeros((len(ys), size), dtype=bool)
+            here[np.nonzero(there)[0], place[there]] = True
+            both = here.sum(axis=1)
+            here = here[:, self.place[own]]
+            other = self.anchor[x] != self.anchor[ys]  # not known where the other has this one's shingle
+            left = near_anchor(here, self.last[self.places(x)], both, np.full(len(ys), self.low[x]), np.full(len(ys), self.high[x]), width, shares)
+            some = np.flatnonzero(other | left[0])
+            if len(some):
+                right = near_anchor(there[some], last[some], both[some], self.low[ys[some]], self.high[ys[some]], width, shares)
+                some = some[other[some] | (right[0] & (left[1][some] | right[1]))]
+            near = near[some]
+        self.place[own] = -1
+        return near
 
 
 def equal_stretches(around: list[np.ndarray], row: np.ndarray, asked: np.ndarray, width: int) -> set[tuple[int, int]]:
@@ -557,7 +636,10 @@ def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> li
     """
     width = words - k + 1
     i, j, row, root, c, anchor, miss, apart, part = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("i", "j", "row", "root", "c", "anchor", "miss", "apart", "part"))
-    around = [np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in batch.column("around").to_pylist()]
+    around = batch.column("around").to_pylist()
+    flat = np.frombuffer(b"".join(around), dtype=np.uint32).astype(np.uint64)
+    ends = np.cumsum([len(x) // 4 for x in around]).tolist()
+    around = [flat[x:y] for x, y in zip([0, *ends], ends, strict=False)]
     root, out = root.copy(), []
     # equal stretches share all signatures, so some of these are enough
     for x, y in sorted(equal_stretches(around, row, miss, width)) if batch.column("key")[0].as_py() & 1 else ():
@@ -566,36 +648,19 @@ def compared(batch: pa.RecordBatch, words: int, k: int, similarity: float) -> li
     left, right = np.flatnonzero(apart & (part == i[0])), np.flatnonzero(part == j[0])
     if not len(left) or not len(right) or (root == root[0]).all():
         return out
-    unique = [np.unique(x, return_inverse=True) for x in around]
-    sets = [u for u, _ in unique]
-    shares = (similarity, 2 * similarity / (1 + similarity))  # of two alike passages, the shorter has the second share in common
-    flat, owner = np.concatenate([sets[x] for x in right]), np.repeat(np.arange(len(right)), [len(sets[x]) for x in right])
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
+    known = Windows(around, anchor)
+    numbers, owner = np.concatenate([known.number[known.places(x)] for x in right.tolist()]), np.repeat(np.arange(len(right)), known.size[right])
     targets: dict[int, Target] = {}
     for x in left.tolist():
         if (root[right] == root[x]).all():
             continue
-        lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
-        n = hi - lo
-        met = owner[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)]
-        # a passage has as many distinct shingles as its width, less what repeats around it; the other shares them but for a fifth
-        least = similarity * max(1, width - len(around[x]) + len(sets[x]))
-        near = np.flatnonzero((np.bincount(met, minlength=len(right)) >= least) & (root[right] != root[x]))
-        to = np.full(len(right), -1)
-        to[near] = np.arange(len(near))
-        shingle = np.repeat(np.arange(len(n)), n)[to[met] >= 0]
-        near = near[dense_in(to[met][to[met] >= 0] * len(sets[x]) + shingle, unique[x][1], len(near), len(around[x]), len(sets[x]), width, similarity)]
-        for y in right[near].tolist():
+        for y in right[known.alike(x, right, numbers, owner, width, similarity)].tolist():
             if root[y] == root[x]:
                 continue
-            one = dense(around[y], sets[y], sets[x], width, shares)
-            if not one[0] or not (one[1] or dense(around[x], sets[x], sets[y], width, shares)[1]):
-                continue
             a, b = (x, y) if row[x] > row[y] else (y, x)
             if b not in targets:
                 targets[b] = Target(around[b], width)
-            if passages(around[a], targets[b], [int(anchor[a])], words, k, similarity):
+            if passages(around[a], targets[b], [int(anchor[a])], words, k, similarity, one=True):
                 out.append((int(row[a]), int(row[b]), int(c[a])))
                 root[root == root[y]] = root[x]
     return out
@@ -671,6 +736,7 @@ def near_passages(table: DataFrame, text: str, *, hashes: int = HASHES, words: i
     met, keys = shared(joint, "signatures")
     met = written(met, "met")
     drop_written(joint)
+    release(table.sparkSession)
     packed = written(squeezed(keyed.join(met.select("row").distinct(), "row", "left_semi")), "packed")
     release(table.sparkSession)
     pairs = written(met.where("row <> first").groupBy("row", F.col("first").alias("other")).agg(F.sort_array(F.collect_set("c")).alias("anchors")), "pairs")

@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stratagraph.llm import line_dedup, substring_dedup as sd
@@ -279,3 +280,47 @@ def test_places_without_room_are_not_tried_on_diagonals(monkeypatch):
     b[1000:1046] = a[130:176]
     b[1002] = b[1012] = b[1032] = b[1043] = 0
     assert sd.passages(a, sd.Target(b, 46), [150]) and tried
+
+
+def _windows(rng, n: int) -> list[np.ndarray]:
+    """Shingles of windows around one shingle (7): some repeat a few, some have many of their own, and some are edited copies."""
+    common, out = rng.integers(100, 1 << 20, 140), []
+    for i in range(n):
+        if i % 3 == 0:
+            a = np.tile(np.concatenate([rng.integers(100, 1 << 20, 10), common[:10]]), 7)
+        else:
+            a = np.where(rng.random(140) < (0.02, 0.1, 0.15, 0.3)[i % 4], rng.integers(100, 1 << 20, 140), common)
+        a[70] = 7
+        if i % 5 == 4:
+            a = np.concatenate([common[rng.integers(0, 60) :][:50], a])  # alike or equal away from the anchor
+        out.append(a.astype(np.uint64))
+    return out
+
+
+def test_windows_that_cannot_be_alike_are_not_compared():
+    rng = np.random.default_rng(5)
+    around = _windows(rng, 60)
+    anchor = np.array([int(np.flatnonzero(a == 7)[0]) for a in around])
+    known, others = sd.Windows(around, anchor), np.arange(60)
+    numbers, owner = known.number, np.repeat(others, known.size)
+    asked = found = 0
+    for x in range(60):
+        near = set(known.alike(x, others, numbers, owner, 46, 0.8).tolist())
+        for y in range(60):
+            a, b = max(x, y), min(x, y)
+            if x != y and sd.passages(around[a], sd.Target(around[b], 46), [int(anchor[a])]):
+                assert y in near
+                found += 1
+        asked += len(near - {x})
+    assert 200 < found and asked < 60 * 59 / 4
+
+
+def test_groups_of_repeating_windows_are_told_apart_at_once(monkeypatch):
+    rng = np.random.default_rng(6)
+    around = [w for i, w in enumerate(_windows(rng, 90)) if i % 3 == 0 and i % 5 != 4]
+    n = len(around)
+    calls, old = [], sd.passages
+    monkeypatch.setattr(sd, "passages", lambda *a, **k: calls.append(1) or old(*a, **k))
+    zeros = np.zeros(n, dtype=np.int32)
+    batch = pa.RecordBatch.from_pydict({"key": zeros.astype(np.int64), "i": zeros, "j": zeros, "part": zeros, "row": np.arange(n), "root": np.arange(n), "c": zeros + 70, "anchor": zeros + 70, "around": [w.astype(np.uint32).tobytes() for w in around], "miss": [True] * n, "apart": [True] * n})
+    assert sd.compared(batch, 50, 5, 0.8) == [] and not calls
