@@ -24,3 +24,14 @@ def test_every_tail_is_scored(spark, name):
     n, heads = con.sql("select count(*), count(*) filter (vec_id%20=0) from embeddings").fetchall()[0]
     assert len(got) == heads * relations * 2 * n
     assert plain(got) == plain(con.sql(ORACLES[name]).select(*columns).fetchall())
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_every_cosine(spark):
+    """Not the nearest alone: a row for every vector of the stated set with every vector."""
+    con = duckdb.connect()
+    con.sql(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
+    got = QUERIES["attribute_cosine"](spark, DATA).select("a", "b", "cos").collect()
+    n, asked = con.sql("select count(*), count(*) filter (vec_id%20=0) from embeddings").fetchall()[0]
+    assert len(got) == asked * n and {r.a for r in got} == set(range(0, n, 20))
+    assert plain(got) == plain(con.sql(ORACLES["attribute_cosine"]).select("a", "b", "cos").fetchall())
