@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from stratagraph.functions.columns import uniform
 from stratagraph.functions.special import correlation_p, normal_tail
-from stratagraph.sources.steps import step
+from stratagraph.sources.steps import drop_written, step, written
 
 
 SUMS = [f"m{i}{j}" for i in range(3) for j in range(i, 3)] + [f"v{i}" for i in range(3)]
@@ -40,11 +40,12 @@ def its_poisson(series: DataFrame, at: int, end: int, tolerance: float = 1e-6, m
     columns depend on each other, say in a series that ends before the step, the smallest of the equally good fits is returned.
     """
     kind = dict(series.dtypes)["series"]
-    rows = step(series.where(F.col("t") < end).select("series", F.col("t").cast("double").alias("t"), (F.col("t") >= at).cast("double").alias("s"), (F.col("y") + 1e-6).alias("y")))
+    # written: a checkpoint keeps the optimizer's estimate of its size, and a round that joins the last two would square it each time
+    rows = written(series.where(F.col("t") < end).select("series", F.col("t").cast("double").alias("t"), (F.col("t") >= at).cast("double").alias("s"), (F.col("y") + 1e-6).alias("y")))
     # from the level of the series: from 0, large counts would take a step for each unit of their logarithm's overshoot
-    now = rows.groupBy("series").agg(F.log(F.avg("y")).alias("b0")).select("series", "b0", *[F.lit(0.0).alias(c) for c in FITTED[1:]])
+    now = written(rows.groupBy("series").agg(F.log(F.avg("y")).alias("b0")).select("series", "b0", *[F.lit(0.0).alias(c) for c in FITTED[1:]]))
     x = [F.lit(1.0), F.col("t"), F.col("s")]
-    done, now = None, step(now)
+    done, tables = None, [rows, now]
     for i in range(most):
         eta = F.col("b0") + F.col("b1") * F.col("t") + F.col("b2") * F.col("s")
         fit = rows.join(now, "series").withColumn("eta", eta).withColumn("mu", F.exp(F.greatest(F.least("eta", F.lit(10.0)), F.lit(-10.0))))
@@ -52,13 +53,17 @@ def its_poisson(series: DataFrame, at: int, end: int, tolerance: float = 1e-6, m
         sums = fit.groupBy("series").agg(*[F.sum(F.col("mu") * x[i] * x[j]).alias(f"m{i}{j}") for i in range(3) for j in range(i, 3)], *[F.sum(F.col("mu") * x[i] * F.col("z")).alias(f"v{i}") for i in range(3)])
         new = sums.mapInArrow(_solved, f"series {kind}, " + ", ".join(f"{c} double" for c in FITTED))
         moved = F.greatest(*[F.abs(F.col(f"n.b{i}") - F.col(f"o.b{i}")) for i in range(3)])
-        both = step(new.alias("n").join(now.alias("o"), "series").select("series", *[f"n.{c}" for c in FITTED], (moved < tolerance).alias("settled")))
-        left = both.where("NOT settled")
-        if i == most - 1 or left.isEmpty():
+        both = written(new.alias("n").join(now.alias("o"), "series").select("series", *[f"n.{c}" for c in FITTED], (moved < tolerance).alias("settled")))
+        tables.append(both)
+        settled, left = both.agg(F.count_if("settled"), F.count_if(~F.col("settled"))).first()
+        if i == most - 1 or not left:
             done = both if done is None else done.unionByName(both)
             break
-        done = both.where("settled") if done is None else done.unionByName(both.where("settled"))
-        now = left.drop("settled")
+        if settled:
+            done = both.where("settled") if done is None else done.unionByName(both.where("settled"))
+        now = both.where("NOT settled").drop("settled")
+    done = step(done)
+    drop_written(*tables)
     z = [F.col(f"b{i}") / F.greatest(F.col(f"se{i}"), F.lit(1e-10)) for i in range(3)]
     p = [2 * normal_tail(F.abs(v)) for v in z]
     return done.select("series", *FITTED, *[v.alias(f"z{i}") for i, v in enumerate(z)], *[v.alias(f"p{i}") for i, v in enumerate(p)], *[(2 * (1 - F.sqrt(1 - v))).alias(f"c{i}") for i, v in enumerate(p)], "settled")

@@ -162,3 +162,16 @@ def test_discovery(spark):
     assert {k[0] for k in got} == {r[0] for r in causal.discovery(s, "o", 12, periods).select("source").collect()}
     assert causal.discovery(s, "o", 99, periods).count() == 4  # a step that never comes does not vary
     assert [r[0] for r in spark.createDataFrame([("2020-Q3",), ("2020Q3",), ("2020-Q5",), (None,)], "p string").select(causal.period_quarter(F.col("p"))).collect()] == [3, None, None, None]
+
+
+def test_rounds_of_a_fit_stay_small(spark, monkeypatch):
+    """Counts over exp(10) never settle: after many rounds the estimated size of a round's table is still that of its few rows."""
+    made = []
+    for name in ("step", "written"):
+        f = getattr(causal, name, None)
+        if f:
+            monkeypatch.setattr(causal, name, lambda df, f=f: (made.append(f(df)), made[-1])[1])
+    df = spark.createDataFrame([("a", t, 60_000.0 + 500 * (t % 5)) for t in range(24)], "series string, t int, y double")
+    got = causal.its_poisson(df, 12, 24, most=6).collect()
+    assert [r.settled for r in got] == [False] and len(made) > 6
+    assert max(int(str(x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for x in made) < 1 << 40
