@@ -10,7 +10,7 @@ passages there, and what they point at is verified on the words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,8 @@ from stratagraph.shipping import ship
 #: Two of HASHES functions must agree: passages at 0.8 share a signature with probability 1 - 0.2**4 - 4 * 0.8 * 0.2**3 = 0.973, equal ones always.
 SHINGLE, WORDS, SIMILARITY, HASHES = 5, 50, 0.8, 4
 CACHE = 100_000
+#: Bytes of short texts whose words are hashed together.
+TOGETHER = 1 << 17
 #: A mismatch weighs as many matches as keep the share of matches at SIMILARITY.
 PENALTY, DROP = 4, 60
 #: The same for a Jaccard similarity: it is SIMILARITY if both sides have 8/9 of matches.
@@ -54,11 +56,14 @@ def split(text: str) -> list[bytes]:
 
 def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     """64-bit hashes of the k-word shingles."""
-    n = len(words)
-    if n < k:
+    return _joined(np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=len(words)), k)
+
+
+def _joined(one: np.ndarray, k: int) -> np.ndarray:
+    """The shingles of words with these hashes."""
+    if len(one) < k:
         return np.zeros(0, dtype=np.uint64)
-    one = np.fromiter(map(_words.__getitem__, words), dtype=np.uint64, count=n)
-    m = n - k + 1
+    m = len(one) - k + 1
     h = one[:m].copy()
     with np.errstate(over="ignore"):
         for i in range(1, k):
@@ -68,6 +73,71 @@ def shingles(words: list[bytes], k: int = SHINGLE) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _turned(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a lower-cased text begin, and the hashes that ``_words`` has of them: XXH64 with seed 7, of all words at once."""
+    data = np.frombuffer(text + b" " + bytes(8), dtype=np.uint8)
+    inside = ~_SPACE[data[: len(text) + 1]]
+    edge = np.flatnonzero(np.diff(inside, prepend=False))
+    start, end = edge[::2], edge[1::2]
+    size = end - start
+    eight = np.ndarray((len(text) + 2,), dtype="<u8", buffer=data, strides=(1,))  # from every byte on
+    h, at = size.astype(np.uint64) + (_P5 + np.uint64(7)), start.copy()
+    long = np.flatnonzero(size >= 32)
+    with np.errstate(over="ignore"):
+        for more in (8, 16, 24):
+            some = np.flatnonzero(size >= more)
+            if not len(some):
+                break
+            x = _turned(eight[at[some]] * _P2, 31) * _P1
+            h[some] = _turned(h[some] ^ x, 27) * _P1 + _P4
+            at[some] += 8
+        some = np.flatnonzero(size & 4)
+        h[some] = _turned(h[some] ^ ((eight[at[some]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        at[some] += 4
+        for more in (1, 2, 3):
+            some = np.flatnonzero((size & 3) >= more)
+            h[some] = _turned(h[some] ^ (data[at[some]].astype(np.uint64) * _P5), 11) * _P1
+            at[some] += 1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        h ^= h >> np.uint64(32)
+    for i in long.tolist():
+        h[i] = xxhash.xxh64_intdigest(text[start[i] : end[i]], 7)
+    return start, h
+
+
+def shingled_texts(lower: Iterable[bytes], k: int = SHINGLE) -> Iterator[np.ndarray]:
+    """The shingles of lower-cased texts, one after another; the words of several short ones are hashed together."""
+    held: list[bytes] = []
+    size = 0
+
+    def made() -> Iterator[np.ndarray]:
+        start, one = word_hashes(b" ".join(held))
+        ends = np.cumsum([len(t) + 1 for t in held])
+        cuts = np.searchsorted(start, ends).tolist()
+        every = _joined(one, k)
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            yield every[a : max(a, b - k + 1)]
+        held.clear()
+
+    for text in lower:
+        if held and size + len(text) > TOGETHER:
+            yield from made()
+            size = 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield from made()
+
+
 def minhash(h: np.ndarray, f: int) -> np.ndarray:
     """Function f of the shingles; 0 is left for the end of a document."""
     with np.errstate(over="ignore"):
@@ -108,8 +178,7 @@ def windows(docs: DataFrame, hashes: int = HASHES, words: int = WORDS, k: int =
     def make():
         def step(batch):
             parts, owner = [], []
-            for row, t in zip(batch.column(0).to_numpy(), texts(batch), strict=True):
-                h = shingles(split(t), k)
+            for row, h in zip(batch.column(0).to_numpy(), shingled_texts((t.encode().lower() for t in texts(batch)), k), strict=True):
                 if len(h) >= width:
                     parts.append(h)
                     owner.append(row)
@@ -222,20 +291,21 @@ def grow(hit: np.ndarray, c: int, penalty: int = PENALTY, drop: int = DROP) -> t
         few = drop // penalty + 1
         if len(h) >= few and not h[:few].any():
             return 0
-        total, at, block = 0, 0, 256
-        best, place = 0, -1
+        total, best, place, at, block = 0, 0, -1, 0, 256
         while at < len(h):
-            s = total + np.cumsum(np.where(h[at : at + block], 1, -penalty))
-            high = np.maximum(np.maximum.accumulate(s), best)
-            fell = np.flatnonzero(high - s > drop)
-            stop = int(fell[0]) if len(fell) else len(s)
-            if stop:
-                k = int(s[:stop].argmax())
-                if s[k] > best:
-                    best, place = int(s[k]), at + k
-            if stop < len(s):
-                break
-            total, at, block = int(s[-1]), at + block, 4096
+            part = h[at : at + block]
+            match, last = bool(part[0]), -1
+            for end in [*np.flatnonzero(part[1:] != part[:-1]).tolist(), len(part) - 1]:  # runs of matches, or of mismatches
+                if match:
+                    total += end - last
+                    if total > best:
+                        best, place = total, at + end
+                else:
+                    total -= penalty * (end - last)
+                    if best - total > drop:
+                        return place + 1
+                match, last = not match, end
+            at, block = at + block, 4096
         return place + 1
 
     return c - reach(hit[:c][::-1]), c + reach(hit[c + 1 :])
@@ -478,11 +548,14 @@ def verified(pairs: DataFrame, packed: DataFrame, words: int, k: int, similarity
 
     def make():
         def step(batch):
-            spans, missed, last = [], [], (None, None)
-            for anchors, t, u in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
-                if last[0] != u:
-                    last = (u, Target(shingles(opened(u), k), words - k + 1))
-                got = passages(shingles(opened(t), k), last[1], anchors, words, k, similarity)
+            spans, missed, target = [], [], None
+            every, own, other = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            new = [i == 0 or u != other[i - 1] for i, u in enumerate(other)]
+            parts = shingled_texts((zstandard.decompress(p) for t, u, n in zip(own, other, new, strict=True) for p in ((u, t) if n else (t,))), k)
+            for anchors, n in zip(every, new, strict=True):
+                if n:
+                    target = Target(next(parts), words - k + 1)
+                got = passages(next(parts), target, anchors, words, k, similarity)
                 spans.append([{"first": i, "last": j, "other_first": x, "other_last": y} for i, j, x, y in got])
                 missed.append([c for c in anchors if not any(i <= c <= j for i, j, _, _ in got)])
             return {"row": batch.column(0), "other": batch.column(1), "spans": spans, "missed": missed}
@@ -502,8 +575,8 @@ def shingled(places: DataFrame, packed: DataFrame, k: int, width: int) -> DataFr
     def make():
         def step(batch):
             out = []
-            for row, asked, p in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                h = shingles(opened(p), k)
+            rows, places, packed = (batch.column(i).to_pylist() for i in range(3))
+            for row, asked, h in zip(rows, places, shingled_texts(map(zstandard.decompress, packed), k), strict=True):
                 few = (h >> np.uint64(32)).astype(np.uint32)
                 for a in asked:
                     lo = max(0, a["l"] - width)

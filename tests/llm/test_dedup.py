@@ -324,3 +324,39 @@ def test_groups_of_repeating_windows_are_told_apart_at_once(monkeypatch):
     zeros = np.zeros(n, dtype=np.int32)
     batch = pa.RecordBatch.from_pydict({"key": zeros.astype(np.int64), "i": zeros, "j": zeros, "part": zeros, "row": np.arange(n), "root": np.arange(n), "c": zeros + 70, "anchor": zeros + 70, "around": [w.astype(np.uint32).tobytes() for w in around], "miss": [True] * n, "apart": [True] * n})
     assert sd.compared(batch, 50, 5, 0.8) == [] and not calls
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """Short words of many texts by one run of numpy, none by the dictionary; the same hashes and shingles as one by one."""
+    rng = random.Random(9)
+    parts = ["a", "B", "é", "中", "\U0001f600", " ", "\n", "\t", "\x0b", "\x0c", "\r", " ", " ", "wxyz" * 2, "q" * 31, "q" * 32, "Long" * 30]
+    ts = ["", " ", "one", "a b c d e", *("".join(rng.choices(parts, k=rng.randrange(60))) for _ in range(300)), "w " * 90_000, "end of it all now"]
+    want = [sd.shingles(sd.split(t)) for t in ts]
+    hashes = [[sd._words[w] for w in sd.split(t)] for t in ts]
+    monkeypatch.setattr(sd, "_words", None)
+    assert [sd.word_hashes(t.encode().lower())[1].tolist() for t in ts] == hashes
+    got = list(sd.shingled_texts(t.encode().lower() for t in ts))
+    assert len(got) == len(ts) and all(np.array_equal(x, y) for x, y in zip(got, want, strict=True))
+
+
+def test_growth_by_runs():
+    """Runs of matches and mismatches give the stretch that the score by places gives."""
+
+    def reach(h, penalty, drop):
+        total = best = 0
+        place = -1
+        for i, x in enumerate(h):
+            total += 1 if x else -penalty
+            if total > best:
+                best, place = total, i
+            if best - total > drop:
+                break
+        return place + 1
+
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 255, 256, 257, 700, 5000):
+        for share in (0.0, 0.5, 0.8, 0.9, 0.97, 1.0):
+            hit = rng.random(n) < share
+            for c in {0, n // 2, n - 1}:
+                for penalty, drop in ((sd.PENALTY, sd.DROP), sd.STRICT):
+                    assert sd.grow(hit, c, penalty, drop) == (c - reach(hit[:c][::-1], penalty, drop), c + reach(hit[c + 1 :], penalty, drop))
